@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from stayline import config as C
 from stayline.functions import exprs as X
 
-CENTS = F.round(F.col("MonthlyCharges") * 100).cast("long")
+def _cents() -> F.Column:
+    return F.round(F.col("MonthlyCharges") * 100).cast("long")
 
 
 def risk_frame(scored: DataFrame) -> DataFrame:
@@ -24,22 +25,22 @@ def risk_frame(scored: DataFrame) -> DataFrame:
     return scored.select(
         "customerID", "segment", "segment_label", "is_churner", "churn_prob", "tenure",
         "MonthlyCharges", "TotalCharges", "action_label", "priority",
-        CENTS.alias("monthly_cents"),
-        F.round(F.col("churn_prob") * F.col("MonthlyCharges"), 6).alias("expected_loss"),
+        _cents().alias("monthly_cents"),
+        ((X.micro("churn_prob") * _cents()) / 1e8).alias("expected_loss"),
         F.when(F.col("is_churner"), F.col("MonthlyCharges") * 12).otherwise(F.lit(0.0)).alias("arr_at_risk"))
 
 
 def _el_micro_cents() -> F.Column:
     """expected loss in micro-cents: p_micro * cents (exact integer)."""
-    return X.micro("churn_prob") * CENTS
+    return X.micro("churn_prob") * _cents()
 
 
 def portfolio_kpis(scored: DataFrame) -> DataFrame:
     """MRR, MRR at risk, % at risk, expected loss, ARR at risk, mean value."""
     a = scored.agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum(CENTS).alias("__mrr"),
-        F.sum(F.when(F.col("is_churner"), CENTS).otherwise(F.lit(0))).alias("__risk"),
+        F.sum(_cents()).alias("__mrr"),
+        F.sum(F.when(F.col("is_churner"), _cents()).otherwise(F.lit(0))).alias("__risk"),
         F.sum(_el_micro_cents()).alias("__el"))
     return a.select(
         "customers",
@@ -57,8 +58,8 @@ def segment_revenue(scored: DataFrame, seg: str = "segment_label") -> DataFrame:
     a = scored.groupBy(seg).agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(F.col("is_churner").cast("long")).alias("churners"),
-        F.sum(CENTS).alias("__mrr"),
-        F.sum(F.when(F.col("is_churner"), CENTS).otherwise(F.lit(0))).alias("__risk"),
+        F.sum(_cents()).alias("__mrr"),
+        F.sum(F.when(F.col("is_churner"), _cents()).otherwise(F.lit(0))).alias("__risk"),
         F.sum(_el_micro_cents()).alias("__el"),
         F.sum(X.micro("churn_prob")).alias("__p"),
         F.sum(F.col("tenure").cast("long")).alias("__t"),
@@ -103,22 +104,38 @@ def top_action_per_segment(scored: DataFrame, seg: str = "segment_label", action
 
 def segment_intelligence(scored: DataFrame) -> DataFrame:
     """P3 + P4 + P5 with display strings, sorted by at-risk MRR, plus
-    the churn-rate tone (> .4 danger, > .2 warn)."""
-    rev = segment_ratios(segment_revenue(scored))
-    top = top_action_per_segment(scored)
-    j = rev.join(top.select("segment", "top_action"), "segment", "left")
+    the churn-rate tone (> .4 danger, > .2 warn).
+
+    One scan: a first aggregation by (segment, action) gives the action
+    counts and partial sums; a second one by segment (segments x actions
+    input rows) adds them up and picks the top action with ``min_by`` over
+    (-count, name), so no second branch and no join.  The at-risk total
+    comes from a window over the k-row result.
+    """
+    lvl1 = scored.groupBy("segment_label", "action_label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("is_churner").cast("long")).alias("ch"),
+        F.sum(_cents()).alias("mrr"),
+        F.sum(F.when(F.col("is_churner"), _cents()).otherwise(F.lit(0))).alias("risk"),
+        F.sum(X.micro("churn_prob")).alias("p"))
+    lvl2 = lvl1.groupBy(F.col("segment_label").alias("segment")).agg(
+        F.sum("n").alias("customers"), F.sum("ch").alias("churners"),
+        F.sum("mrr").alias("mrr_cents"), F.sum("risk").alias("risk_cents"), F.sum("p").alias("p_micro"),
+        F.min_by("action_label", F.struct(-F.col("n"), F.col("action_label"))).alias("top_action"))
+    tot = F.sum("risk_cents").over(Window.partitionBy())
+    n = F.col("customers")
+    churn_rate = F.col("churners") / n
     hi, mid = C.TONE_BANDS
-    return j.select(
+    return lvl2.select(
         "segment", "customers", "churners",
-        X.pct1_text(F.col("churn_rate")).alias("churn_rate_text"),
-        X.pct1_text(F.col("avg_prob")).alias("avg_prob_text"),
-        X.money0_text(F.round(F.col("mrr") * 100).cast("long")).alias("mrr_text"),
-        X.money0_text(F.round(F.col("mrr_at_risk") * 100).cast("long")).alias("mrr_at_risk_text"),
-        X.pct1_text(F.col("risk_share")).alias("risk_share_text"),
+        X.pct1_text(churn_rate).alias("churn_rate_text"),
+        X.pct1_text(X.mean_from_micro(F.col("p_micro"), n)).alias("avg_prob_text"),
+        X.money0_text(F.col("mrr_cents")).alias("mrr_text"),
+        X.money0_text(F.col("risk_cents")).alias("mrr_at_risk_text"),
+        X.pct1_text(F.when(tot == 0, F.lit(0.0)).otherwise(F.col("risk_cents") / tot)).alias("risk_share_text"),
         F.coalesce(F.col("top_action"), F.lit("—")).alias("top_action"),
-        F.when(F.col("churn_rate") > hi, "danger").when(F.col("churn_rate") > mid, "warn")
-         .otherwise("ok").alias("tone"),
-        "mrr_at_risk").orderBy(F.desc("mrr_at_risk"), "segment")
+        F.when(churn_rate > hi, "danger").when(churn_rate > mid, "warn").otherwise("ok").alias("tone"),
+        (F.col("risk_cents") / 100.0).alias("mrr_at_risk")).orderBy(F.desc("mrr_at_risk"), "segment")
 
 
 def distribution(scored: DataFrame, by: str) -> DataFrame:
@@ -176,7 +193,7 @@ def action_plan(scored: DataFrame, top: DataFrame | None = None) -> DataFrame:
     else:
         d = d.withColumns({"driver_1": F.lit(""), "driver_2": F.lit(""), "driver_3": F.lit("")})
     p = F.col("plan_priority")
-    cents = CENTS
+    cents = _cents()
     return d.select(
         "customerID",
         F.col("segment_label").alias("segment_name"), "segment",
@@ -337,7 +354,7 @@ def risk_band_summary(scored: DataFrame) -> DataFrame:
     a = d.groupBy("risk_level").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(X.micro("churn_prob")).alias("__p"),
-        F.sum(CENTS).alias("__mrr"),
+        F.sum(_cents()).alias("__mrr"),
         F.sum(F.round(F.col("TotalCharges") * 100).cast("long")).alias("__ltv"))
     return a.crossJoin(F.broadcast(tot)).select(
         "risk_level", "customers",
@@ -349,7 +366,7 @@ def risk_band_summary(scored: DataFrame) -> DataFrame:
 
 def revenue_projection(scored: DataFrame) -> DataFrame:
     """P25: at-risk revenue over 1 and 2 years (churners' MRR x 12 / x 24)."""
-    a = scored.agg(F.sum(F.when(F.col("is_churner"), CENTS).otherwise(F.lit(0))).alias("__r"))
+    a = scored.agg(F.sum(F.when(F.col("is_churner"), _cents()).otherwise(F.lit(0))).alias("__r"))
     return a.select((F.col("__r") / 100.0).alias("mrr_at_risk"),
                     (F.col("__r") * 12 / 100.0).alias("revenue_1y"),
                     (F.col("__r") * 24 / 100.0).alias("revenue_2y"))

@@ -102,10 +102,14 @@ def _band(c: str) -> str:
     return "CASE " + " ".join(parts) + " ELSE 'nan' END"
 
 
-FEAT = f"""
-med AS (SELECT median(MonthlyCharges) AS med_mc FROM clean),
-feat AS (
-  SELECT clean.*,
+def feat_sql(src: str = "clean", dst: str = "feat", med: str | None = "med") -> str:
+    """Engineered features of ``src`` as CTE ``dst``; ``med`` names the CTE
+    holding the MonthlyCharges median (created here when it is 'med')."""
+    head = f"med AS (SELECT median(MonthlyCharges) AS med_mc FROM {src})," if med == "med" else ""
+    return f"""
+{head}
+{dst} AS (
+  SELECT {src}.*,
     TotalCharges / (CASE WHEN tenure = 0 THEN 1 ELSE tenure END) AS avg_monthly_spend,
     MonthlyCharges - TotalCharges / (CASE WHEN tenure = 0 THEN 1 ELSE tenure END) AS charge_gap,
     {_flag('MonthlyCharges > med_mc')} AS is_high_value,
@@ -118,7 +122,10 @@ feat AS (
     {_flag("Partner = 'No' AND Dependents = 'No'")} AS is_isolated,
     {_flag("InternetService = 'Fiber optic' AND OnlineSecurity = 'No'")} AS fiber_no_security,
     {_flag("InternetService = 'No'")} AS no_internet_services
-  FROM clean CROSS JOIN med)"""
+  FROM {src} CROSS JOIN (SELECT med_mc FROM med) mm)"""
+
+
+FEAT = feat_sql()
 
 
 def _distance(num, modes) -> str:
@@ -199,7 +206,7 @@ def _select_action() -> str:
       ELSE CASE WHEN value_tier = 'high' THEN 'loyalty_program' ELSE 'do_nothing' END END"""
 
 
-def scored_sql(tau: float = C.DEFAULT_THRESHOLD) -> str:
+def scored_sql(tau: float = C.DEFAULT_THRESHOLD, src: str = "feat", dst: str = "scored", p: str = "") -> str:
     th = C.RULE_THRESHOLDS
     d = [_distance(num, modes) for num, modes in C.SEGMENT_PROTOTYPES]
     dcols = ", ".join(f"{e} AS d{i}" for i, e in enumerate(d))
@@ -208,42 +215,42 @@ def scored_sql(tau: float = C.DEFAULT_THRESHOLD) -> str:
     w = C.PRIORITY_WEIGHTS
     vs = C.VALUE_TIER_SCORE
     return f"""
-segd AS (SELECT feat.*, {dcols} FROM feat),
-seg AS (
-  SELECT segd.*, CAST({seg} AS INTEGER) AS segment, least({dl}) AS segment_cost,
+{p}segd AS (SELECT {src}.*, {dcols} FROM {src}),
+{p}seg AS (
+  SELECT {p}segd.*, CAST({seg} AS INTEGER) AS segment, least({dl}) AS segment_cost,
     round(CASE WHEN list_sort([{dl}])[2] > 0 THEN 1.0 - least({dl}) / list_sort([{dl}])[2] ELSE 0.0 END, 6)
       AS segment_confidence
-  FROM segd),
-lin AS (
-  SELECT seg.*, {_seg_label('segment')} AS segment_label,
+  FROM {p}segd),
+{p}lin AS (
+  SELECT {p}seg.*, {_seg_label('segment')} AS segment_label,
     round(1.0 / (1.0 + exp(-({_linear()}))), 6) AS churn_prob
-  FROM seg),
-tier AS (
-  SELECT lin.*, churn_prob >= {dbl(tau)} AS is_churner,
+  FROM {p}seg),
+{p}tier AS (
+  SELECT {p}lin.*, churn_prob >= {dbl(tau)} AS is_churner,
     CASE WHEN coalesce(tenure, 0) >= {th['high_value_tenure_months']}
               AND coalesce(MonthlyCharges, 0.0) >= {dbl(th['high_value_monthly_charges'])} THEN 'high'
          WHEN coalesce(MonthlyCharges, 0.0) < {dbl(th['low_value_monthly_charges'])} THEN 'low'
          ELSE 'medium' END AS value_tier
-  FROM lin),
-tier2 AS (
-  SELECT tier.*,
+  FROM {p}lin),
+{p}tier2 AS (
+  SELECT {p}tier.*,
     CASE value_tier WHEN 'low' THEN {dbl(vs['low'])} WHEN 'medium' THEN {dbl(vs['medium'])}
                     WHEN 'high' THEN {dbl(vs['high'])} ELSE 0.5 END AS value_score,
     {_seg_risk('segment_label')} AS segment_risk
-  FROM tier),
-act AS (
-  SELECT tier2.*,
+  FROM {p}tier),
+{p}act AS (
+  SELECT {p}tier2.*,
     least(greatest(churn_prob * {dbl(w['churn_probability'])} + segment_risk * {dbl(w['segment_risk'])}
                    + (1.0 - value_score) * {dbl(w['customer_value'])}, 0.0), 1.0) AS priority,
     {_select_action()} AS action_key
-  FROM tier2),
-scored AS (
-  SELECT act.* EXCLUDE ({dl}), {_action_label('action_key')} AS action_label,
+  FROM {p}tier2),
+{dst} AS (
+  SELECT {p}act.* EXCLUDE ({dl}), {_action_label('action_key')} AS action_label,
     'Segment: ' || coalesce(segment_label, '') || ' | ' ||
     (CASE WHEN churn_prob >= 0.6 THEN 'High' WHEN churn_prob >= 0.4 THEN 'Medium' ELSE 'Low' END)
     || ' churn risk (' || {_pct1('churn_prob')} || ') | Customer value: '
     || upper(substr(value_tier, 1, 1)) || substr(value_tier, 2) AS reason
-  FROM act)"""
+  FROM {p}act)"""
 
 
 CHAIN = {"raw": [RAW], "clean": [RAW, CLEAN], "feat": [RAW, CLEAN, FEAT],
