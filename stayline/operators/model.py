@@ -267,11 +267,18 @@ def model_feature_importance(model, feature_names: Sequence[str], top: int = 20,
 
 
 def encoded_feature_names(enc: PipelineModel, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL):
-    """Names of the assembled vector slots: numerics then kept one-hot levels."""
+    """Names of the assembled vector slots: numerics, then one slot per
+    one-hot level kept.  With handleInvalid='error' the last index (the
+    alphabetically first level) is dropped; with 'keep' the dropped slot is
+    the invalid bucket, so every real level keeps a slot."""
+    from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
     names = list(numeric)
-    indexers = [s for s in enc.stages if hasattr(s, "labels") and hasattr(s, "getInputCol")]
+    indexers = [s for s in enc.stages if isinstance(s, StringIndexerModel)]
+    ohe = next(s for s in enc.stages if isinstance(s, OneHotEncoderModel))
+    keep = ohe.getHandleInvalid() == "keep"
     for c, si in zip(categorical, indexers):
-        names += [f"{c}_{lv}" for lv in si.labels[:-1]]
+        labels = si.labels if keep else si.labels[:-1]
+        names += [f"{c}_{lv}" for lv in labels]
     return names
 
 
@@ -327,3 +334,15 @@ def overfit_gap(metrics: DataFrame, metric_col: str = "value", tolerance: float
     return (piv.withColumn("train_test_gap", F.col("train") - F.col("test"))
                .withColumn("train_val_gap", F.col("train") - F.col("validation"))
                .withColumn("within_tolerance", F.abs(F.col("train") - F.col("test")) < tolerance))
+
+
+def vector_slot_names(df: DataFrame, vec: str = "features") -> list:
+    """Slot names of an assembled vector, read from the column's ML
+    attribute metadata (exact for any encoder settings)."""
+    meta = df.schema[vec].metadata.get("ml_attr", {})
+    n = int(meta.get("num_attrs", 0))
+    names = [f"f{i}" for i in range(n)]
+    for group in meta.get("attrs", {}).values():
+        for a in group:
+            names[int(a["idx"])] = a.get("name", names[int(a["idx"])])
+    return names

@@ -1 +1,160 @@
-"""Registered queries."""
+"""Registered queries: explanations (X*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stayline import config as C
+from stayline.operators import explain as X
+from stayline.operators import model as M
+from stayline.plans.oracle import dbl, linear_design_sql, with_views
+from stayline.plans.registry import query
+from stayline.plans.score import processed_view, scored_view
+from stayline.session import scratch_path
+
+FEATS = X.FEATURES
+W = dict(C.LINEAR_WEIGHTS)
+D = linear_design_sql()
+
+
+def _shap_sql() -> str:
+    mu = ", ".join(f"avg({D[f]}) AS mu_{f}" for f in FEATS)
+    cols = ", ".join(f"{D[f]} AS x_{f}, round({dbl(W[f])} * ({D[f]} - mu_{f}), 6) AS phi_{f}" for f in FEATS)
+    base = dbl(C.LINEAR_INTERCEPT) + "".join(f" + mu_{f} * {dbl(W[f])}" for f in FEATS)
+    margin = dbl(C.LINEAR_INTERCEPT) + "".join(f" + {D[f]} * {dbl(W[f])}" for f in FEATS)
+    long = " UNION ALL ".join(
+        f"SELECT customerID, '{f}' AS feature, x_{f} AS feature_value, phi_{f} AS contribution FROM shapw" for f in FEATS)
+    return f"""
+mu AS (SELECT {mu} FROM scored),
+shapw AS (SELECT customerID, {cols}, round({base}, 6) AS base_margin, round({margin}, 6) AS margin
+          FROM scored CROSS JOIN mu),
+shapl AS ({long}),
+topl AS (SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank,
+                feature, contribution, feature_value,
+                CASE WHEN abs(contribution) < 1e-6 THEN 'neutral' WHEN contribution > 0 THEN 'increases_churn'
+                     ELSE 'decreases_churn' END AS direction
+         FROM shapl QUALIFY rank <= {C.TOP_N_DRIVERS})"""
+
+
+SHAP = _shap_sql()
+
+
+def _wide(spark, sf_dir):
+    return X.linear_shap(scored_view(spark, sf_dir))
+
+
+@query("linear_shap", with_views("SELECT * FROM shapl", extra=SHAP))
+def q_linear_shap(spark, sf_dir):
+    return X.shap_long(_wide(spark, sf_dir))
+
+
+@query("top_features_per_row", with_views("SELECT * FROM topl", extra=SHAP))
+def q_top_features_per_row(spark, sf_dir):
+    top = X.top_features_per_row(_wide(spark, sf_dir))
+    return X.top_features_long(top).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("impact_direction", with_views(
+    "SELECT customerID, feature, contribution, CASE WHEN abs(contribution) < 1e-6 THEN 'neutral' "
+    "WHEN contribution > 0 THEN 'increases_churn' ELSE 'decreases_churn' END AS direction FROM shapl", extra=SHAP))
+def q_impact_direction(spark, sf_dir):
+    return X.impact_direction(X.shap_long(_wide(spark, sf_dir))).select("customerID", "feature", "contribution", "direction")
+
+
+@query("global_importance", with_views("""
+SELECT feature, mean_abs_shap, mean_shap,
+  CASE WHEN mean_shap > 0 THEN 'increases_churn' WHEN mean_shap < 0 THEN 'decreases_churn' ELSE 'neutral' END AS direction
+FROM (SELECT feature, CAST(sum(CAST(round(abs(contribution) * 1000000) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 1000000.0) AS mean_abs_shap,
+        CAST(sum(CAST(round(contribution * 1000000) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 1000000.0) AS mean_shap
+      FROM shapl GROUP BY feature) t ORDER BY mean_abs_shap DESC, feature LIMIT 10""", extra=SHAP))
+def q_global_importance(spark, sf_dir):
+    return X.global_importance(X.shap_long(_wide(spark, sf_dir)))
+
+
+@query("batch_top_features", with_views("""
+SELECT a.feature, a.avg_shap_value, coalesce(f.frequency, 0) AS frequency FROM
+ (SELECT feature, CAST(sum(CAST(round(abs(contribution) * 1000000) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 1000000.0) AS avg_shap_value
+  FROM shapl GROUP BY feature) a
+LEFT JOIN (SELECT feature, count(*) AS frequency FROM topl GROUP BY feature) f ON a.feature = f.feature
+ORDER BY a.avg_shap_value DESC, a.feature LIMIT 5""", extra=SHAP))
+def q_batch_top_features(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    return X.batch_top_features(X.shap_long(wide), X.top_features_long(X.top_features_per_row(wide)))
+
+
+@query("explain_customers", with_views("""
+SELECT t.customerID, s.churn_prob, round(1.0 / (1.0 + exp(-w.base_margin)), 6) AS base_value, t.rank, t.feature,
+       t.contribution, t.direction
+FROM topl t JOIN keys k ON t.customerID = k.customerID JOIN scored s ON s.customerID = t.customerID
+JOIN shapw w ON w.customerID = t.customerID WHERE t.rank <= 3""",
+    extra=SHAP + ", keys AS (SELECT customerID FROM scored WHERE is_churner ORDER BY churn_prob DESC, customerID LIMIT 10)"))
+def q_explain_customers(spark, sf_dir):
+    """X7 for the ten most likely churners (the key list is read from the
+    scored data)."""
+    scored = scored_view(spark, sf_dir)
+    keys = scored.filter("is_churner").orderBy(F.desc("churn_prob"), "customerID").limit(10).select("customerID")
+    ex = X.explain_customers(X.linear_shap(scored), keys, scored, n=3)
+    return ex.select("customerID", "churn_prob", "base_value", F.posexplode("top_features").alias("pos", "t")) \
+             .select("customerID", "churn_prob", "base_value", (F.col("pos") + 1).cast("int").alias("rank"),
+                     "t.feature", "t.contribution", "t.direction")
+
+
+@query("base_value", with_views(
+    "SELECT DISTINCT base_margin, round(1.0 / (1.0 + exp(-base_margin)), 6) AS base_prob FROM shapw", extra=SHAP))
+def q_base_value(spark, sf_dir):
+    """X8 for the linear score: margin at the batch means and its probability."""
+    w = _wide(spark, sf_dir)
+    return w.select("base_margin").distinct().withColumn(
+        "base_prob", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("base_margin"))), 6))
+
+
+@query("additivity_check", with_views(
+    "SELECT count(*) AS rows_checked, CAST(sum(CASE WHEN abs(base_margin + "
+    + " + ".join(f"phi_{f}" for f in FEATS) + " - margin) > 1e-4 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM shapw",
+    extra=SHAP))
+def q_additivity_check(spark, sf_dir):
+    w = _wide(spark, sf_dir)
+    bad = X.additivity_check(w)
+    return w.agg(F.count(F.lit(1)).alias("rows_checked")).crossJoin(bad.agg(F.count(F.lit(1)).alias("violations")))
+
+
+@query("driver_columns", with_views(
+    "SELECT customerID, " + ", ".join(
+        f"coalesce(max(CASE WHEN rank = {i} THEN feature END), '') AS driver_{i}" for i in (1, 2, 3))
+    + " FROM topl GROUP BY customerID", extra=SHAP))
+def q_driver_columns(spark, sf_dir):
+    return X.driver_columns(X.top_features_per_row(_wide(spark, sf_dir)))
+
+
+@query("tree_shap")
+def q_tree_shap(spark, sf_dir):
+    """X1 + X8 on a GBT churn model trained on the processed table:
+    per customer base value, margin, |base + sum(phi) - logit(p)| and the
+    contributions in long form (rows-only check; additivity is tested)."""
+    from pyspark.ml.functions import vector_to_array
+    enc, gbt, _, _ = M.train_churn(_with_segment(spark, sf_dir), max_iter=15, max_depth=3)
+    data = enc.transform(M.prepare_model_input(_with_segment(spark, sf_dir)))
+    trees, weights = X.read_gbt_trees(spark, gbt, scratch_path(spark, "gbt_model"))
+    names = M.vector_slot_names(data)
+    shap = X.tree_shap(data, trees, weights, len(names))
+    scored = gbt.transform(data).select("customerID", vector_to_array("probability")[1].alias("p"))
+    j = shap.join(scored, "customerID")
+    j = j.withColumn("gap", F.abs(F.col("margin") - F.log(F.col("p") / (1 - F.col("p")))))
+    return X.tree_shap_long(j.select("customerID", "contributions"), names) \
+        .join(j.select("customerID", "base_value", "margin", "gap"), "customerID")
+
+
+def _with_segment(spark, sf_dir):
+    from stayline.operators import features, segments
+    feat = features.engineer_features(processed_view(spark, sf_dir))
+    return segments.assign_segments(feat).withColumn("segment", F.col("segment").cast("string"))
+
+
+@query("sampled_shapley")
+def q_sampled_shapley(spark, sf_dir):
+    """X10 against a 100-row seeded background sample (rows-only check; the
+    test compares it with the exact linear SHAP for the same background)."""
+    from stayline.operators import clean
+    scored = scored_view(spark, sf_dir)
+    bg = clean.background_sample(scored, n=100)
+    return X.sampled_shapley(scored, bg)
