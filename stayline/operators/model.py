@@ -291,8 +291,11 @@ def best_so_far(trials: DataFrame, order: str = "trial", value: str = "value") -
 
 def ensemble_average(scores: DataFrame, key: str = "customerID", model: str = "model",
                      p: str = "churn_prob") -> DataFrame:
-    """Mean probability over models per key (long input)."""
-    return scores.groupBy(key).agg(F.avg(p).alias("ensemble_prob"))
+    """Mean probability over models per key (long input); summed in
+    exact 1e-6 units so the mean does not depend on summation order."""
+    micro = F.round(F.col(p) * 1_000_000).cast("long")
+    return scores.groupBy(key).agg(
+        (F.sum(micro).cast("double") / (F.count(F.lit(1)).cast("double") * 1_000_000.0)).alias("ensemble_prob"))
 
 
 def ensemble_weighted(scores: DataFrame, weights: DataFrame, key: str = "customerID",

@@ -1 +1,272 @@
-"""Registered queries."""
+"""Registered queries: segmentation and churn models (G*, M*)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stayline import config as C
+from stayline.operators import evaluate as E
+from stayline.operators import features, model as M, segments
+from stayline.plans.oracle import dbl, sstr, with_views
+from stayline.plans.queries_business import CM, SCORED_SPLIT, f1_sql, metrics_sql
+from stayline.plans.registry import query
+from stayline.plans.score import features_view, processed_view, scored_view
+
+# ---------------------------------------------------------------------------
+# G: segmentation
+# ---------------------------------------------------------------------------
+
+
+@query("kprototypes_assign", with_views("SELECT customerID, segment, round(segment_cost, 6) AS segment_cost FROM scored"))
+def q_kprototypes_assign(spark, sf_dir):
+    s = segments.assign_segments(features_view(spark, sf_dir))
+    return s.select("customerID", "segment", F.round("segment_cost", 6).alias("segment_cost"))
+
+
+@query("cluster_cost", with_views("SELECT round(sum(segment_cost), 4) AS cost FROM scored"))
+def q_cluster_cost(spark, sf_dir):
+    return segments.cluster_cost(segments.assign_segments(features_view(spark, sf_dir))) \
+        .select(F.round("cost", 4).alias("cost"))
+
+
+@query("segment_confidence", with_views("SELECT customerID, segment_confidence FROM scored"))
+def q_segment_confidence(spark, sf_dir):
+    return segments.assign_segments(features_view(spark, sf_dir)).select("customerID", "segment_confidence")
+
+
+@query("segment_sizes", with_views(
+    "SELECT segment, segment_label, count(*) AS customers FROM scored GROUP BY segment, segment_label"))
+def q_segment_sizes(spark, sf_dir):
+    return segments.segment_sizes(segments.assign_segments(features_view(spark, sf_dir)))
+
+
+@query("segment_summary", with_views(
+    "SELECT segment, segment_label, count(*) AS customers, avg(CAST(Churn AS DOUBLE)) AS churn_rate, "
+    "quantile_cont(CAST(tenure AS DOUBLE), 0.5) AS median_tenure, quantile_cont(MonthlyCharges, 0.5) AS median_monthly, "
+    "quantile_cont(TotalCharges, 0.5) AS median_total FROM scored GROUP BY segment, segment_label"))
+def q_segment_summary(spark, sf_dir):
+    return segments.segment_summary(segments.assign_segments(features_view(spark, sf_dir)))
+
+
+@query("segment_naming", with_views("""
+SELECT segment, segment_name FROM (
+  SELECT segment, 'Low Engagement' AS segment_name FROM prof WHERE segment = (SELECT segment FROM prof ORDER BY m, segment LIMIT 1)
+  UNION ALL
+  SELECT segment, 'Loyal High-Value' FROM prof WHERE segment = (
+     SELECT segment FROM prof WHERE segment <> (SELECT segment FROM prof ORDER BY m, segment LIMIT 1)
+     ORDER BY t DESC, segment LIMIT 1)
+  UNION ALL
+  SELECT segment, 'At risk High-value' FROM prof WHERE segment = (
+     SELECT segment FROM prof WHERE segment NOT IN ((SELECT segment FROM prof ORDER BY m, segment LIMIT 1),
+        (SELECT segment FROM prof WHERE segment <> (SELECT segment FROM prof ORDER BY m, segment LIMIT 1) ORDER BY t DESC, segment LIMIT 1))
+     ORDER BY c DESC, segment LIMIT 1)
+  UNION ALL
+  SELECT segment, 'Stable Mid-Value' FROM prof WHERE segment NOT IN (
+     (SELECT segment FROM prof ORDER BY m, segment LIMIT 1),
+     (SELECT segment FROM prof WHERE segment <> (SELECT segment FROM prof ORDER BY m, segment LIMIT 1) ORDER BY t DESC, segment LIMIT 1),
+     (SELECT segment FROM prof WHERE segment NOT IN ((SELECT segment FROM prof ORDER BY m, segment LIMIT 1),
+        (SELECT segment FROM prof WHERE segment <> (SELECT segment FROM prof ORDER BY m, segment LIMIT 1) ORDER BY t DESC, segment LIMIT 1))
+      ORDER BY c DESC, segment LIMIT 1))) x""",
+    extra="prof AS (SELECT segment, avg(MonthlyCharges) AS m, avg(CAST(tenure AS DOUBLE)) AS t, "
+          "avg(CAST(Churn AS DOUBLE)) AS c FROM scored GROUP BY segment)"))
+def q_segment_naming(spark, sf_dir):
+    """Name the clusters of an assignment by the profile rule."""
+    return segments.segment_naming(segments.assign_segments(features_view(spark, sf_dir)))
+
+
+PROFILE_YES = ["Partner", "Dependents", "PhoneService", "OnlineSecurity", "TechSupport", "StreamingTV"]
+
+
+@query("segment_profile", with_views(
+    "SELECT segment, segment_label, count(*) AS customers, "
+    "avg(CASE WHEN gender = 'Female' THEN 1.0 ELSE 0.0 END) AS share_female, "
+    "avg(CASE WHEN SeniorCitizen = 'yes' THEN 1.0 ELSE 0.0 END) AS share_senior, "
+    "avg(CASE WHEN Partner = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_partner, "
+    "avg(CASE WHEN Dependents = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_dependents, "
+    "avg(CASE WHEN PhoneService = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_phone, "
+    "avg(CASE WHEN InternetService = 'Fiber optic' THEN 1.0 ELSE 0.0 END) AS share_fiber, "
+    "avg(CASE WHEN InternetService = 'No' THEN 1.0 ELSE 0.0 END) AS share_no_internet, "
+    "avg(CASE WHEN OnlineSecurity = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_security, "
+    "avg(CASE WHEN TechSupport = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_support, "
+    "avg(CASE WHEN StreamingTV = 'Yes' THEN 1.0 ELSE 0.0 END) AS share_streaming_tv, "
+    "avg(CASE WHEN Contract = 'Month-to-month' THEN 1.0 ELSE 0.0 END) AS share_month_to_month, "
+    "avg(CASE WHEN Contract = 'Two year' THEN 1.0 ELSE 0.0 END) AS share_two_year, "
+    "avg(CASE WHEN PaymentMethod = 'Electronic check' THEN 1.0 ELSE 0.0 END) AS share_electronic_check, "
+    "min(MonthlyCharges) AS min_monthly, quantile_cont(MonthlyCharges, 0.25) AS q1_monthly, "
+    "quantile_cont(MonthlyCharges, 0.5) AS median_monthly, quantile_cont(MonthlyCharges, 0.75) AS q3_monthly, "
+    "max(MonthlyCharges) AS max_monthly FROM scored GROUP BY segment, segment_label"))
+def q_segment_profile(spark, sf_dir):
+    return segments.segment_profile(segments.assign_segments(features_view(spark, sf_dir)))
+
+
+@query("kprototypes_fit")
+def q_kprototypes_fit(spark, sf_dir):
+    """G1 (+ G2 Cao initialisation): fit k-prototypes on the engineered
+    table and assign every customer to the fitted prototypes (rows-only
+    check; cost monotonicity and determinism are tested)."""
+    feat = features_view(spark, sf_dir)
+    m = segments.kprototypes_fit(feat, n_init=2, max_iter=10)
+    return segments.assign_segments(feat, m).select("customerID", "segment", "segment_cost")
+
+
+@query("cao_init")
+def q_cao_init(spark, sf_dir):
+    """The k Cao seeds of the engineered table as (seed, kind, value)."""
+    feat = features_view(spark, sf_dir)
+    from stayline.operators.features import fit_scaler
+    scaler = fit_scaler(feat, C.SEG_NUMERIC)
+    prep = segments._prepare(feat, C.SEG_NUMERIC, C.SEG_CATEGORICAL, scaler)
+    seeds = segments.cao_init(prep, C.N_CLUSTERS, len(C.SEG_NUMERIC), len(C.SEG_CATEGORICAL), C.SEED)
+    rows = [(i, c, str(round(v, 6))) for i, (num, _) in enumerate(seeds) for c, v in zip(C.SEG_NUMERIC, num)] + \
+           [(i, c, str(v)) for i, (_, modes) in enumerate(seeds) for c, v in zip(C.SEG_CATEGORICAL, modes)]
+    return spark.createDataFrame(rows, "seed int, feature string, value string")
+
+
+@query("elbow")
+def q_elbow(spark, sf_dir):
+    """Final cost for k = 2..6 (one start each)."""
+    return segments.elbow(features_view(spark, sf_dir), ks=range(2, 7), n_init=1, max_iter=6)
+
+
+# ---------------------------------------------------------------------------
+# M: churn models
+# ---------------------------------------------------------------------------
+
+def _model_input(spark, sf_dir):
+    feat = features_view(spark, sf_dir)
+    return segments.assign_segments(feat).withColumn("segment", F.col("segment").cast("string"))
+
+
+@query("linear_score", with_views("SELECT customerID, churn_prob FROM scored"))
+def q_linear_score(spark, sf_dir):
+    return M.linear_score(features_view(spark, sf_dir)).select("customerID", "churn_prob")
+
+
+@query("train_churn")
+def q_train_churn(spark, sf_dir):
+    """M1: GBT trained on train + validation, threshold tuned on validation;
+    returns the per-split evaluation at the tuned threshold (E9)."""
+    _, _, tau, scored = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
+    return E.evaluate_splits(scored, tau)
+
+
+@query("predict_proba")
+def q_predict_proba(spark, sf_dir):
+    """M2: probability of churn for every customer from the trained GBT."""
+    _, _, _, scored = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
+    return scored
+
+
+@query("logistic_baseline")
+def q_logistic_baseline(spark, sf_dir):
+    """M3: logistic regression on scaled numerics + one-hot categoricals,
+    80/20 split; per-split metrics at 0.5."""
+    _, scored = M.logistic_baseline(_model_input(spark, sf_dir))
+    return E.evaluate_splits(scored, 0.5)
+
+
+@query("model_leaderboard")
+def q_model_leaderboard(spark, sf_dir):
+    return M.model_leaderboard(_model_input(spark, sf_dir))
+
+
+@query("random_search_cv")
+def q_random_search_cv(spark, sf_dir):
+    return M.random_search_cv(_model_input(spark, sf_dir), n_iter=3, k=3,
+                              space={"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10],
+                                     "subsamplingRate": [0.8, 1.0]})
+
+
+@query("refine_search")
+def q_refine_search(spark, sf_dir):
+    return M.refine_search(_model_input(spark, sf_dir), {"maxDepth": 3, "stepSize": 0.1, "maxIter": 10}, n_iter=3)
+
+
+@query("early_stopping")
+def q_early_stopping(spark, sf_dir):
+    m, n_trees = M.early_stopping_fit(_model_input(spark, sf_dir), max_iter=40)
+    return spark.createDataFrame([(int(n_trees), 40)], "trees_kept int, max_iter int")
+
+
+@query("model_feature_importance")
+def q_model_feature_importance(spark, sf_dir):
+    enc, gbt, _, _ = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
+    data = enc.transform(M.prepare_model_input(_model_input(spark, sf_dir)))
+    return M.model_feature_importance(gbt, M.vector_slot_names(data), top=20, spark=spark)
+
+
+def _threshold_trials(spark, sf_dir) -> DataFrame:
+    """Trials = thresholds 0.30..0.70 in order, value = F1 at the threshold."""
+    lab = scored_view(spark, sf_dir).select(F.col("Churn").alias("label"), "churn_prob")
+    ct = E.compare_thresholds(lab)
+    return ct.select(F.col("threshold"), F.col("f1").alias("value"))
+
+
+@query("best_so_far", with_views(
+    "SELECT threshold, f1 AS value, max(f1) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) AS best_so_far FROM ("
+    + f1_sql(metrics_sql("tcm")) + ") z",
+    extra="tcm AS (SELECT threshold, " + ", ".join(
+        f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+        for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
+    + " FROM scored CROSS JOIN (VALUES " + ", ".join(f"({dbl(t)})" for t in C.COMPARE_THRESHOLDS)
+    + ") th(threshold) GROUP BY threshold)"))
+def q_best_so_far(spark, sf_dir):
+    """M10 over a trial table (one trial per threshold of the sweep)."""
+    return M.best_so_far(_threshold_trials(spark, sf_dir), order="threshold")
+
+
+def _two_scores(spark, sf_dir):
+    s = scored_view(spark, sf_dir)
+    a = s.select(F.lit("linear").alias("model"), "customerID", F.col("Churn").alias("label"), "churn_prob")
+    b = s.select(F.lit("rule_priority").alias("model"), "customerID", F.col("Churn").alias("label"),
+                 F.col("priority").alias("churn_prob"))
+    return a.unionByName(b)
+
+
+@query("ensemble_average", with_views(
+    "SELECT customerID, CAST(CAST(round(churn_prob * 1000000) AS BIGINT) + CAST(round(priority * 1000000) AS BIGINT) AS DOUBLE)"
+    " / (CAST(2 AS DOUBLE) * 1000000.0) AS ensemble_prob FROM scored"))
+def q_ensemble_average(spark, sf_dir):
+    return M.ensemble_average(_two_scores(spark, sf_dir))
+
+
+@query("ensemble_weighted", with_views(
+    "SELECT customerID, round((churn_prob * wa + priority * wb) / (wa + wb), 6) AS ensemble_prob FROM scored CROSS JOIN "
+    "(SELECT max(CASE WHEN model = 'linear' THEN roc_auc END) AS wa, max(CASE WHEN model = 'rule_priority' THEN roc_auc END) AS wb FROM tauc) w",
+    extra=__import__("stayline.plans.queries_business", fromlist=["TWO_MODELS_SQL"]).TWO_MODELS_SQL))
+def q_ensemble_weighted(spark, sf_dir):
+    """weights = exact AUC of each model on the same data."""
+    sc = _two_scores(spark, sf_dir)
+    w = E.roc_auc_grouped(sc, ["model"], "label", "churn_prob").select("model", F.col("roc_auc").alias("weight"))
+    return M.ensemble_weighted(sc, w).select("customerID", F.round("ensemble_prob", 6).alias("ensemble_prob"))
+
+
+@query("stacking")
+def q_stacking(spark, sf_dir):
+    """Out-of-fold base probabilities (3 folds) + logistic meta-learner;
+    returns the OOF table with the meta probability."""
+    meta, oof = M.stacking(_model_input(spark, sf_dir), k=3)
+    from pyspark.ml.feature import VectorAssembler
+    mi = VectorAssembler(inputCols=[c for c in oof.columns if c.startswith("p_")], outputCol="meta_features").transform(oof)
+    return M.positive_probability(meta.transform(mi), "meta_prob").drop("meta_features", "rawPrediction",
+                                                                         "probability", "prediction")
+
+
+@query("overfit_gap", with_views(
+    "SELECT metric, max(CASE WHEN split = 'train' THEN value END) AS train, "
+    "max(CASE WHEN split = 'validation' THEN value END) AS validation, max(CASE WHEN split = 'test' THEN value END) AS test, "
+    "max(CASE WHEN split = 'train' THEN value END) - max(CASE WHEN split = 'test' THEN value END) AS train_test_gap, "
+    "max(CASE WHEN split = 'train' THEN value END) - max(CASE WHEN split = 'validation' THEN value END) AS train_val_gap, "
+    "abs(max(CASE WHEN split = 'train' THEN value END) - max(CASE WHEN split = 'test' THEN value END)) < 0.05 AS within_tolerance "
+    "FROM (" + " UNION ALL ".join(f"SELECT split, '{m}' AS metric, {m} AS value FROM sm" for m in
+                                  ("accuracy", "precision", "recall", "f1")) + ") t GROUP BY metric",
+    extra=SCORED_SPLIT + ", sm AS (" + f1_sql(metrics_sql(f"(SELECT split, {CM(0.5)} FROM ssplit GROUP BY split) q")) + ")"))
+def q_overfit_gap(spark, sf_dir):
+    sp = features.stratified_split(scored_view(spark, sf_dir))
+    d = sp.select("split", F.col("Churn").alias("label"), "churn_prob")
+    met = E.evaluate_splits(d, 0.5)
+    long = E.metrics_long(met, names=("accuracy", "precision", "recall", "f1"))
+    return M.overfit_gap(long)
