@@ -1 +1,179 @@
-"""Registered queries."""
+"""Registered queries: persisted tables, metrics history, streaming and the
+end-to-end training job (I9-I12, E15, S1, S2, B7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stayline import config as C
+from stayline.operators import evaluate as E
+from stayline.operators import features
+from stayline.plans.oracle import with_views
+from stayline.plans.queries_business import CM, PLAN_SQL, SCORED_SPLIT, _split_auc_sql, f1_sql, metrics_sql, plan_view
+from stayline.plans.registry import query
+from stayline.plans.score import features_view, processed_view, scored_view
+from stayline.session import scratch_path
+from stayline.sources import io
+from stayline.sources.tables import customer_view
+from stayline.streaming import scoring as S
+
+RUNS = [(1, "2024-01-01 00:00:00", 0.5), (2, "2024-01-02 00:00:00", 0.4)]
+METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+def _split_metrics(spark, sf_dir, tau):
+    sp = features.stratified_split(scored_view(spark, sf_dir))
+    d = sp.select("split", F.col("Churn").alias("label"), "churn_prob")
+    return E.metrics_long(E.evaluate_splits(d, tau), names=METRICS)
+
+
+def _history(spark, sf_dir):
+    path = scratch_path(spark, "metrics_history")
+    for run_id, ts, tau in RUNS:
+        io.metrics_history_append(_split_metrics(spark, sf_dir, tau).withColumn("run_id", F.lit(run_id)),
+                                  path, ts, model_config=f"linear tau={tau}")
+    return io.read_history(spark, path)
+
+
+def _hist_sql() -> str:
+    parts = []
+    for run_id, ts, tau in RUNS:
+        cm = (f"(SELECT split, " + ", ".join(
+            f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} {tau} THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+            for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
+            + " FROM ssplit GROUP BY split) q")
+        m = f"SELECT m.*, a.roc_auc FROM ({f1_sql(metrics_sql(cm))}) m JOIN sauc a ON m.split = a.split"
+        parts += [f"SELECT {run_id} AS run_id, TIMESTAMP '{ts}' AS ts, 'linear tau={tau}' AS model_config, split, "
+                  f"'{k}' AS metric, CAST({k} AS DOUBLE) AS value FROM ({m}) r{run_id}{k}" for k in METRICS]
+    return "hist AS (" + " UNION ALL ".join(parts) + ")"
+
+
+HIST = SCORED_SPLIT + "," + _split_auc_sql() + "," + _hist_sql()
+
+
+@query("metrics_history_append", with_views(
+    "SELECT run_id, split, metric, value, model_config FROM hist", extra=HIST))
+def q_metrics_history_append(spark, sf_dir):
+    """Two runs appended to a Parquet history table, read back."""
+    return _history(spark, sf_dir).select("run_id", "split", "metric", "value", "model_config")
+
+
+@query("metrics_diff", with_views(
+    "SELECT run_id, split, metric, value, lag(value) OVER (PARTITION BY split, metric ORDER BY ts) AS previous, "
+    "value - lag(value) OVER (PARTITION BY split, metric ORDER BY ts) AS delta FROM hist", extra=HIST))
+def q_metrics_diff(spark, sf_dir):
+    """Change of every metric against the previous run."""
+    return io.metrics_diff(_history(spark, sf_dir)).select("run_id", "split", "metric", "value", "previous", "delta")
+
+
+@query("latest_metrics", with_views(
+    "SELECT run_id, split, metric, value FROM hist QUALIFY row_number() OVER (PARTITION BY split, metric ORDER BY ts DESC) = 1",
+    extra=HIST))
+def q_latest_metrics(spark, sf_dir):
+    """Latest value per (split, metric)."""
+    return E.latest_metrics(_history(spark, sf_dir)).select("run_id", "split", "metric", "value")
+
+
+def _exp_sql() -> str:
+    rows = []
+    n = 0
+    for tau in (0.5, 0.4):
+        for i, (model, col) in enumerate((("linear", "churn_prob"), ("rule_priority", "priority"))):
+            n += 1
+            cm = ("(SELECT " + ", ".join(
+                f"CAST(sum(CASE WHEN Churn = {y} AND {col} {op} {tau} THEN 1 ELSE 0 END) AS BIGINT) AS {k}"
+                for y, op, k in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp"))) + " FROM scored) q")
+            rows.append(f"SELECT printf('exp_%03d', {n}) AS experiment_id, CAST({n} AS INTEGER) AS exp_no, '{model}' AS model, "
+                        f"CAST({tau} AS DOUBLE) AS threshold, accuracy, precision, recall, f1 FROM ({f1_sql(metrics_sql(cm))}) e{n}")
+    return " UNION ALL ".join(rows)
+
+
+@query("experiment_log", with_views(_exp_sql()))
+def q_experiment_log(spark, sf_dir):
+    """Two experiment runs (two models each) appended to a log with
+    sequential ids exp_001.. ."""
+    s = scored_view(spark, sf_dir)
+    path = scratch_path(spark, "experiment_log")
+    log = None
+    for tau in (0.5, 0.4):
+        parts = []
+        for order, (model, col) in enumerate((("linear", "churn_prob"), ("rule_priority", "priority"))):
+            d = s.select(F.col("Churn").alias("label"), (F.col(col) >= tau).cast("int").alias("pred"))
+            parts.append(E.binary_metrics(d).select(
+                F.lit(order).alias("run_order"), F.lit(model).alias("model"), F.lit(float(tau)).alias("threshold"),
+                "accuracy", "precision", "recall", "f1"))
+        log = io.experiment_log(spark, path, parts[0].unionByName(parts[1]))
+    return log.select("experiment_id", "exp_no", "model", "threshold", "accuracy", "precision", "recall", "f1")
+
+
+EXPORT_COLS = ["customerID", "segment_name", "priority_pct", "priority_level", "risk_level", "churn_prob",
+               "is_churner", "action_label", "MonthlyCharges", "mrr_at_risk", "tenure", "Contract"]
+
+
+@query("export_views", with_views(
+    "SELECT " + ", ".join(EXPORT_COLS) + " FROM plan WHERE priority_level = 'High'", extra=PLAN_SQL))
+def q_export_views(spark, sf_dir):
+    """High-priority rows of the action plan exported as CSV."""
+    view = plan_view(spark, sf_dir).filter("priority_level = 'High'").select(*EXPORT_COLS)
+    return io.export_view(view, scratch_path(spark, "export_high_priority"))
+
+
+SCORE_SQL = ("SELECT customerID, segment, segment_label, segment_confidence, churn_prob, is_churner, action_key, "
+             "action_label, priority, reason FROM scored")
+
+
+def _drop_files(spark, sf_dir, n_files: int = 4) -> str:
+    """Write the raw subscriber view as a few Parquet files, as batches would
+    arrive from upstream."""
+    path = scratch_path(spark, "incoming")
+    customer_view(spark, sf_dir).repartition(n_files).write.mode("overwrite").parquet(path)
+    return path
+
+
+@query("stream_score", with_views(SCORE_SQL))
+def q_stream_score(spark, sf_dir):
+    """The streaming scorer over dropped files equals the batch scorer
+    (same fitted threshold), so it shares the batch oracle."""
+    thr = features.high_value_threshold(processed_view(spark, sf_dir))
+    src = _drop_files(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "stream_sink"), scratch_path(spark, "stream_ckpt")
+    q = S.stream_score(spark, src, sink, ckpt, thr, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(*S.SCORE_COLS)
+
+
+@query("stream_file_batches")
+def q_stream_file_batches(spark, sf_dir):
+    """One micro-batch per dropped file; predictions tagged with the
+    batch id (rows-only check: batch ids depend on file discovery order)."""
+    thr = features.high_value_threshold(processed_view(spark, sf_dir))
+    src = _drop_files(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "batches_out"), scratch_path(spark, "batches_ckpt")
+    q = S.stream_file_batches(spark, src, out, ckpt, thr)
+    q.awaitTermination()
+    status = spark.read.parquet(f"{out}/status")
+    return spark.read.parquet(f"{out}/predictions").join(status, "batch_id")
+
+
+@query("train_job")
+def q_train_job(spark, sf_dir):
+    """Clean -> features -> fit segments -> assign -> train churn ->
+    evaluate, with every stage's table written to the job's folder;
+    returns the per-split evaluation (rows-only check)."""
+    from stayline.operators import model as M, segments
+    base = scratch_path(spark, "train_job")
+    proc = processed_view(spark, sf_dir)
+    proc.write.mode("overwrite").parquet(f"{base}/processed")
+    feat = features.engineer_features(spark.read.parquet(f"{base}/processed"))
+    feat.write.mode("overwrite").parquet(f"{base}/features")
+    feat = spark.read.parquet(f"{base}/features")
+    seg_model = segments.kprototypes_fit(feat, n_init=1, max_iter=6)
+    io.save_segment_model(spark, seg_model, f"{base}/segment_model")
+    assigned = segments.assign_segments(feat, io.load_segment_model(spark, f"{base}/segment_model"))
+    assigned = assigned.withColumn("segment", F.col("segment").cast("string"))
+    enc, gbt, tau, scored = M.train_churn(assigned, max_iter=15, max_depth=3)
+    io.save_pipeline(enc, f"{base}/encoder")
+    io.save_pipeline(gbt, f"{base}/classifier")
+    metrics = E.evaluate_splits(scored, tau)
+    metrics.write.mode("overwrite").parquet(f"{base}/metrics")
+    return spark.read.parquet(f"{base}/metrics")
