@@ -52,8 +52,8 @@ def engineer_features(df: DataFrame, high_value_threshold: float | None = None,
     out = df
     has_billing = {"TotalCharges", "tenure", "MonthlyCharges"} <= cols
     if has_billing and high_value_threshold is None:
-        out = out.crossJoin(F.broadcast(median_of(df, "MonthlyCharges")))
-        thr = F.col("__median")
+        # scalar subquery: computed once, used as a literal by every row
+        thr = median_of(df, "MonthlyCharges").scalar()
     else:
         thr = F.lit(high_value_threshold)
     new = {}

@@ -160,12 +160,15 @@ def batch_risk_join(scored: DataFrame) -> DataFrame:
 
 
 def minmax_value(scored: DataFrame) -> DataFrame:
-    """(charge - min) / (max - min), range 0 -> divisor 1."""
-    j = scored.crossJoin(F.broadcast(batch_stats(scored)))
-    rng = F.col("__mc_max") - F.col("__mc_min")
-    return (j.withColumn("value_norm", (F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)) - F.col("__mc_min")) /
-                         F.when(rng == 0, F.lit(1.0)).otherwise(rng))
-             .drop("__mc_min", "__mc_max"))
+    """(charge - min) / (max - min), range 0 -> divisor 1.  The batch
+    min and max are scalar subqueries (evaluated once, then literals), so
+    no join is added to the row pipeline."""
+    stats = batch_stats(scored)
+    lo = stats.select("__mc_min").scalar()
+    hi = stats.select("__mc_max").scalar()
+    rng = hi - lo
+    return scored.withColumn("value_norm", (F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)) - lo) /
+                             F.when(rng == 0, F.lit(1.0)).otherwise(rng))
 
 
 def composite_priority(df: DataFrame) -> DataFrame:
@@ -186,7 +189,14 @@ def priority_band(c: str = "plan_priority") -> F.Column:
 
 
 def action_plan(scored: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """The ranked action plan (one row per customer)."""
+    """The ranked action plan (one row per customer).  Only the plan's
+    input columns travel through the two broadcast joins."""
+    need = ["customerID", "segment", "segment_label", "churn_prob", "is_churner", "action_label", "reason",
+            "MonthlyCharges", "tenure", "Contract", "PaymentMethod", "InternetService", "segment_confidence"]
+    # the plan reads the scored rows three times (segment means, min/max,
+    # rows): materialise the pruned, customer-sized frame once
+    from stayline.session import cut_lineage
+    scored = cut_lineage(scored.select(*need))
     d = composite_priority(minmax_value(batch_risk_join(scored)))
     if top is not None:
         d = d.join(top.select("customerID", "driver_1", "driver_2", "driver_3"), "customerID", "left")

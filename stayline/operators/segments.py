@@ -68,27 +68,26 @@ def distance_exprs(model: dict) -> list:
 
 def assign_segments(df: DataFrame, model: dict | None = None,
                     labels: dict = C.SEGMENT_LABELS, keep_distances: bool = False) -> DataFrame:
-    """G3 + G6 + J2: nearest prototype, its cost, confidence and label."""
+    """G3 + G6 + J2: nearest prototype, its cost, confidence and label.
+
+    The k distances are computed once into an array; the nearest id is the
+    first position of the minimum (ties -> lowest id) and the runner-up
+    comes from the sorted array, so each distance expression appears once
+    in the generated code."""
     model = model or reference_model()
     d = distance_exprs(model)
-    k = len(d)
-    tmp = df.withColumns({f"__d{i}": e for i, e in enumerate(d)})
-    dcols = [F.col(f"__d{i}") for i in range(k)]
-    dmin = F.least(*dcols)
-    seg = None
-    for i in range(k):
-        seg = F.when(dcols[i] == dmin, F.lit(i)) if seg is None else seg.when(dcols[i] == dmin, F.lit(i))
-    second = F.sort_array(F.array(*dcols))[1] if k > 1 else dmin
+    tmp = df.withColumn("__d", F.array(*d))
+    tmp = tmp.withColumns({"segment_cost": F.array_min("__d"), "__ds": F.sort_array("__d")})
+    second = F.col("__ds")[1] if len(d) > 1 else F.col("segment_cost")
     tmp = tmp.withColumns({
-        "segment": seg.cast("int"),
-        "segment_cost": dmin,
-        "segment_confidence": F.round(F.when(second > 0, F.lit(1.0) - dmin / second)
+        "segment": (F.array_position("__d", F.col("segment_cost")) - 1).cast("int"),
+        "segment_confidence": F.round(F.when(second > 0, F.lit(1.0) - F.col("segment_cost") / second)
                                       .otherwise(F.lit(0.0)), 6),
     })
     tmp = tmp.withColumn("segment_label", segment_label(F.col("segment"), labels))
-    if not keep_distances:
-        tmp = tmp.drop(*[f"__d{i}" for i in range(k)])
-    return tmp
+    if keep_distances:
+        tmp = tmp.withColumns({f"__d{i}": F.col("__d")[i] for i in range(len(d))})
+    return tmp.drop("__d", "__ds")
 
 
 def segment_label(seg: F.Column, labels: dict = C.SEGMENT_LABELS) -> F.Column:

@@ -32,7 +32,7 @@ latest AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY odate DESC, o_orderkey DESC) AS rn
         FROM ord) t
   WHERE rn = 1),
-lastday AS (SELECT max(CAST(o_orderdate AS DATE)) AS last_day FROM orders),
+lastday AS (SELECT max(odate) AS last_day FROM ord WHERE o_custkey IS NOT NULL),
 rawb AS (
   SELECT c.c_custkey AS k, c.c_nationkey, c.c_acctbal,
          CASE WHEN c.c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'Fiber optic'

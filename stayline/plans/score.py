@@ -24,8 +24,18 @@ def processed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_view(spark: SparkSession, sf_dir: str, high_value_threshold: float | None = None) -> DataFrame:
-    """C7 -> F14."""
-    return features.engineer_features(processed_view(spark, sf_dir), high_value_threshold)
+    """C7 -> F14.
+
+    The processed table is read twice (the MonthlyCharges median and the
+    feature projection), so it is written once to the shared checkpoint
+    folder: the expensive orders aggregation runs exactly once and the
+    lineage is cut at a customer-sized table (survives executor loss).
+    """
+    from stayline.session import cut_lineage
+    proc = processed_view(spark, sf_dir)
+    if high_value_threshold is None:
+        proc = cut_lineage(proc)
+    return features.engineer_features(proc, high_value_threshold)
 
 
 def score_frame(feat: DataFrame, tau: float = C.DEFAULT_THRESHOLD, inclusive: bool = True,
