@@ -143,7 +143,7 @@ def risk_level(p, high: float = 0.6, medium: float = 0.4) -> Column:
 
 def pct1_text(p) -> Column:
     """p in [0, 1] -> 'xx.x%' rounded half-up on micro-units."""
-    tenths = idiv(micro(p) + 50, 100)
+    tenths = idiv(micro(p) + 500, 1000)
     return F.concat(idiv(tenths, 10).cast("string"), F.lit("."),
                     (tenths % 10).cast("string"), F.lit("%"))
 

@@ -184,7 +184,7 @@ def _seg_risk(c: str) -> str:
 
 
 def _pct1(p: str) -> str:
-    t = f"((CAST(round({p} * 1000000) AS BIGINT) + 50) // 100)"
+    t = f"((CAST(round({p} * 1000000) AS BIGINT) + 500) // 1000)"
     return f"(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%')"
 
 

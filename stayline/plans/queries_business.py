@@ -28,7 +28,7 @@ def mean_micro(c: str, n: str = "count(*)") -> str:
 
 
 def pct1(x: str) -> str:
-    t = f"((CAST(round(({x}) * 1000000) AS BIGINT) + 50) // 100)"
+    t = f"((CAST(round(({x}) * 1000000) AS BIGINT) + 500) // 1000)"
     return f"(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%')"
 
 
