@@ -942,3 +942,12 @@ FROM (SELECT scenario, count(*) AS customers, CAST(sum(CASE WHEN churn_outcome =
     extra=WHATIF_SQL))
 def q_scenario_ranking(spark, sf_dir):
     return whatif.scenario_ranking(_delta(spark, sf_dir))
+
+
+@query("scenario_cross", with_views(
+    "SELECT c.customerID, s.scenario FROM clean c CROSS JOIN scen s", extra=_scen_sql()))
+def q_scenario_cross(spark, sf_dir):
+    """Every customer x every scenario (scenario table broadcast)."""
+    proc = processed_view(spark, sf_dir).select("customerID")
+    scen = whatif.policy_scenarios(spark, include_empty=True)
+    return proc.crossJoin(F.broadcast(scen.select("scenario")))

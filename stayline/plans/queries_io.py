@@ -177,3 +177,17 @@ def q_train_job(spark, sf_dir):
     metrics = E.evaluate_splits(scored, tau)
     metrics.write.mode("overwrite").parquet(f"{base}/metrics")
     return spark.read.parquet(f"{base}/metrics")
+
+
+@query("validate_metrics", with_views(
+    "SELECT s.split, r.metric, CAST(NULL AS DOUBLE) AS value, 'missing' AS problem FROM (SELECT DISTINCT split FROM hist) s "
+    "CROSS JOIN (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc'), ('log_loss')) r(metric) "
+    "WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.split = s.split AND h.metric = r.metric) "
+    "UNION ALL SELECT split, metric, value, 'out_of_range' FROM hist WHERE NOT coalesce(value BETWEEN 0 AND 1, false)",
+    extra=HIST))
+def q_validate_metrics(spark, sf_dir):
+    """C12 on the metrics history: required metrics per split (log_loss is
+    required but never produced, so it is reported) and values in [0, 1]."""
+    from stayline.operators import clean
+    hist = _history(spark, sf_dir).select("split", "metric", "value")
+    return clean.validate_metrics(hist, required=("accuracy", "precision", "recall", "f1", "roc_auc", "log_loss"))
