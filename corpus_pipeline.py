@@ -8,9 +8,12 @@ and reread as the next stage's ``docs``.
 from __future__ import annotations
 
 from stayline.llm.common import saved
-from stayline.llm.stages import mixing_stage, sharding_stage
+from stayline.llm.stages import decontamination_stage, jaccard_stage, language_stage, mixing_stage, sharding_stage
 
 STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("benchmark_decontamination", decontamination_stage),
     ("source_mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]

@@ -3,7 +3,23 @@ their input, whatever they are."""
 
 from __future__ import annotations
 
-from stayline.llm import mixing, sharding
+from stayline.llm import decontaminate, jaccard_join, language_id, mixing, sharding
+from stayline.llm.common import table
+
+
+def language_stage(spark, docs, sf_dir):
+    """Documents in an identified language; ``und`` and undecided ones go."""
+    return language_id.accepted(docs)
+
+
+def jaccard_stage(spark, docs, sf_dir):
+    """One document of every group of similar ones."""
+    return jaccard_join.keep_first(docs)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def mixing_stage(spark, docs, sf_dir):
