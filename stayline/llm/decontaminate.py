@@ -72,13 +72,19 @@ def _hashed(words_: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, words, width, at, hash) of every item."""
+    """(item_id, words, width, at, hash) of every item.  Its capitalised first
+    word is a name or not depending on what stands before it in a document: both
+    forms are searched."""
     rows = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
-    rows = rows.select("item_id", "words", _hashed(F.col("words")).alias("h"), F.least(F.size("words"), F.lit(window)).alias("width"))
+    first = F.get("words", 0)
+    inside = F.concat(F.array(F.concat(F.lit("@"), first)), F.slice("words", 2, 1_000_000))
+    forms = F.array("words", F.when(first.rlike(r"^\p{Lu}"), inside).otherwise(F.col("words")))
+    rows = rows.select("item_id", "words", F.explode(F.array_distinct(forms)).alias("form"))
+    rows = rows.select("item_id", "words", _hashed(F.col("form")).alias("h"), F.least(F.size("words"), F.lit(window)).alias("width"))
     every = F.when(F.col("width") == window, _windows(F.col("h"), window))
     for k in range(SHORTEST, window):
         every = every.when(F.col("width") == k, _windows(F.col("h"), k))
-    return rows.select("item_id", "words", "width", F.posexplode(every).alias("at", "hash"))
+    return rows.select("item_id", "words", "width", F.posexplode(every).alias("at", "hash")).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST,
@@ -87,12 +93,15 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
     (hash of the text), ``item_id``, ``doc_at`` and ``item_at`` (first matched
     words), ``windows``, ``item_windows``, ``n_slots`` and ``n_agree``."""
     inner = saved(item_windows(items, window), "item-windows")
-    facts = inner.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.first("words").alias("item_words"), F.first("width").alias("width"))
+    facts = inner.groupBy("item_id").agg((F.max("at") + 1).cast("long").alias("item_windows"), F.first("words").alias("item_words"), F.first("width").alias("width"))
     short = [r.width for r in inner.select("width").distinct().collect()]       # at most WINDOW values
     key = F.xxhash64("text")
     rows = docs.select("doc_id", key.alias("key"), _hashed(words(F.col("text"))).alias("h"))
-    every = F.concat(*[F.transform(_windows(F.col("h"), k), lambda x, i, k=k: F.struct(i.alias("at"), F.lit(k).alias("width"), x.alias("hash")))
-                       for k in short]) if len(short) > 1 else None
+    every = None
+    if len(short) > 1:
+        def named(k: int):
+            return F.transform(_windows(F.col("h"), k), lambda x, i: F.struct(i.alias("at"), F.lit(k).alias("width"), x.alias("hash")))
+        every = F.concat(*[named(k) for k in short])
     if every is None:
         k = short[0] if short else window
         every = rows.select("doc_id", "key", F.posexplode(_windows(F.col("h"), k)).alias("doc_at", "hash")).withColumn("width", F.lit(k))
@@ -148,8 +157,10 @@ def oracle(window: int = WINDOW, least: int = LEAST, consistent: float = CONSIST
     return f"""
 WITH b AS (SELECT item_id, {token('text')} AS words FROM benchmark),
 bt AS (SELECT item_id, words, {canon} AS t, least(len(words), {window}) AS width FROM b WHERE len(words) >= {SHORTEST}),
-bw AS (SELECT item_id, width, i AS item_at, array_to_string(t[i + 1:i + width], ' ') AS run
-  FROM (SELECT *, unnest(range(len(t) - width + 1)) AS i FROM bt)),
+bv AS (SELECT item_id, t, width FROM bt UNION ALL
+  SELECT item_id, list_concat(['@'], t[2:]), width FROM bt WHERE regexp_matches(words[1], '^\p{{Lu}}')),
+bw AS (SELECT DISTINCT item_id, width, i AS item_at, array_to_string(t[i + 1:i + width], ' ') AS run
+  FROM (SELECT *, unnest(range(len(t) - width + 1)) AS i FROM bv)),
 f AS (SELECT item_id, width, words AS item_words, len(t) - width + 1 AS item_windows FROM bt),
 d AS (SELECT DISTINCT doc_id, text FROM documents),
 dt AS (SELECT doc_id, text, words, {canon} AS t FROM (SELECT doc_id, text, {token('text')} AS words FROM d)),
