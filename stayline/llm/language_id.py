@@ -20,6 +20,8 @@ an output column are replaced.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
@@ -27,9 +29,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayline.llm.common import saved
+
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 400
-DIMS = 4096
+DIMS = 2048
+FIT_PARTS = 4
 MIN_SCORE = 0.5
 OUT = ("held_out", "lang_pred", "score")
 # ISO 639-1 codes by family; a language of no family listed is a family of its own.
@@ -113,28 +118,26 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, dims: int = DIMS) -
     limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, per_language / counts[lang]) * scale))])
     vector = F.pandas_udf(lambda t: pd.Series([x.astype(float) for part in _chunks(t) for x in features(part, dims)]), "array<double>")
     sample = (rows.where(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(scale)) < limit[F.col("lang")])
-              .select("lang", array_to_vector(vector("text")).alias("features")).cache())
-    steps, weights, bias = [], [], []
-
-    def fit(step: tuple, plus: list, minus: list | None) -> None:
-        part = sample if minus is None else sample.where(F.col("lang").isin(plus + minus))
-        svm = LinearSVC(regParam=1e-4, maxIter=40, tol=1e-4, standardization=False, aggregationDepth=2)
-        m = svm.fit(part.withColumn("label", F.col("lang").isin(plus).cast("double")))
-        steps.append(step)
-        weights.append(m.coefficients.toArray())
-        bias.append(m.intercept)
-
-    families = sorted(model["families"])
+              .select("lang", vector("text").alias("features")))
+    # the bounded sample, featurised once; the machines' many short passes read it from a few cached partitions
+    sample = saved(sample, "language-sample").select("lang", array_to_vector("features").alias("features")).coalesce(FIT_PARTS).cache()
+    families, todo = sorted(model["families"]), []
     if len(families) > 1:
-        for f in families[1:] if len(families) == 2 else families:
-            fit(("family", f), model["families"][f], None)
+        todo += [(("family", f), model["families"][f], None) for f in (families[1:] if len(families) == 2 else families)]
     for f in families:
         own = model["families"][f]
-        for i, a in enumerate(own):
-            for c in own[i + 1:]:
-                fit((f, a, c), [a], [c])
+        todo += [((f, a, c), [a], [c]) for i, a in enumerate(own) for c in own[i + 1:]]
+
+    def fit(step: tuple, plus: list, minus: list | None):
+        part = sample if minus is None else sample.where(F.col("lang").isin(plus + minus))
+        svm = LinearSVC(regParam=1e-4, maxIter=15, tol=1e-3, standardization=False)
+        return svm.fit(part.withColumn("label", F.col("lang").isin(plus).cast("double")))
+
+    with ThreadPoolExecutor(FIT_PARTS) as pool:            # the fits are independent jobs of many short passes
+        machines = list(pool.map(lambda x: fit(*x), todo))
     sample.unpersist()
-    return model | {"steps": steps, "w": np.array(weights, np.float32).T.copy(), "b": np.array(bias, np.float32)}
+    return model | {"steps": [x[0] for x in todo], "w": np.array([m.coefficients.toArray() for m in machines], np.float32).T.copy(),
+                    "b": np.array([m.intercept for m in machines], np.float32)}
 
 
 def decide(margins: np.ndarray, model: dict) -> tuple[list[str], np.ndarray]:
