@@ -3,6 +3,8 @@ their input, whatever they are."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stayline.llm import decontaminate, jaccard_join, language_id, mixing, sharding
 from stayline.llm.common import table
 
@@ -24,7 +26,9 @@ def decontamination_stage(spark, docs, sf_dir):
 
 def mixing_stage(spark, docs, sf_dir):
     """The mix: a document is returned as often as its source's target asks."""
-    return mixing.mixed_rows(docs).select(*[f"`{c}`" for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mixed = mixing.mixed_rows(docs.select(whole, "doc_id", "source", "text"))
+    return mixed.select(*[F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def sharding_stage(spark, docs, sf_dir):

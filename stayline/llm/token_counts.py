@@ -63,7 +63,7 @@ class TokenTree:
 
     def __init__(self, text: str, count, leaf: int = LEAF, chars=None, tokens=None):
         self.count, self.leaf, self.again = count, leaf, 0
-        if chars is not None and sum(chars) == len(text):
+        if chars is not None and len(chars) and sum(chars) == len(text):
             ends = np.concatenate([[0], np.cumsum(chars)]).tolist()
             self.text, own = [text[a:b] for a, b in zip(ends, ends[1:])], list(tokens)
         else:
