@@ -128,7 +128,6 @@ def roc_auc(df: DataFrame, y: str = "label", p: str = "churn_prob") -> DataFrame
 def roc_curve(df: DataFrame, y: str = "label", p: str = "churn_prob", groups: Sequence[str] = ()) -> DataFrame:
     """E5: (threshold, fpr, tpr) per distinct score, no point dropped."""
     cum = _desc_cum(df, y, p, groups)
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy()
     tot = cum.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(F.broadcast(tot), list(groups)) if groups else cum.crossJoin(F.broadcast(tot))
     return j.select(*groups, F.col("score").alias("threshold"),
@@ -179,28 +178,40 @@ def evaluate_grouped(df: DataFrame, groups: Sequence[str], y: str = "label", pre
 
 
 def evaluate_model(df: DataFrame, tau: float = C.DEFAULT_THRESHOLD, y: str = "label",
-                   p: str = "churn_prob", inclusive: bool = True) -> DataFrame:
+                   p: str = "churn_prob", inclusive: bool = True, rank: str | None = None) -> DataFrame:
     """Metrics of one labelled score set at threshold tau."""
     pred = (F.col(p) >= tau) if inclusive else (F.col(p) > tau)
-    return evaluate_grouped(df.withColumn("pred", pred.cast("int")), [], y, "pred", p) \
+    return evaluate_grouped(df.withColumn("pred", pred.cast("int")), [], y, "pred", rank or p) \
         .withColumn("threshold", F.lit(float(tau)))
 
 
 def evaluate_splits(df: DataFrame, tau: float = C.DEFAULT_THRESHOLD, split: str = "split",
-                    y: str = "label", p: str = "churn_prob") -> DataFrame:
+                    y: str = "label", p: str = "churn_prob", rank: str | None = None) -> DataFrame:
     """E8 per split (splits that are absent simply do not appear)."""
     d = df.withColumn("pred", (F.col(p) >= tau).cast("int"))
-    return evaluate_grouped(d, [split], y, "pred", p).withColumn("threshold", F.lit(float(tau)))
+    return evaluate_grouped(d, [split], y, "pred", rank or p).withColumn("threshold", F.lit(float(tau)))
+
+
+def _per_threshold(df: DataFrame, thresholds: Sequence[float], y: str, p: str, extra=()) -> DataFrame:
+    """One row per threshold from a single aggregation: conditional sums for
+    every threshold, so rows are never multiplied by the thresholds.
+    ``extra`` maps a name to a function of the flag column."""
+    yc, pc = F.col(y), F.col(p)
+    cells = []
+    for t in thresholds:
+        flag = pc >= F.lit(float(t))
+        one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+        cells.append(F.struct(F.lit(float(t)).alias("threshold"), one((yc == 0) & ~flag).alias("tn"), one((yc == 0) & flag).alias("fp"),
+                              one((yc == 1) & ~flag).alias("fn"), one((yc == 1) & flag).alias("tp"),
+                              *[f(flag).alias(n) for n, f in extra]))
+    return df.agg(F.array(*cells).alias("__t")).select(F.inline("__t"))
 
 
 def compare_thresholds(df: DataFrame, thresholds: Sequence[float] = C.COMPARE_THRESHOLDS,
-                       y: str = "label", p: str = "churn_prob") -> DataFrame:
-    """Metrics at each threshold: broadcast the threshold list and
-    aggregate per threshold in one pass."""
-    th = df.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    d = df.crossJoin(F.broadcast(th)).withColumn("pred", (F.col(p) >= F.col("threshold")).cast("int"))
-    m = binary_metrics(d, y, "pred", ["threshold"])
-    return m.crossJoin(roc_auc(df, y, p))
+                       y: str = "label", p: str = "churn_prob", rank: str | None = None) -> DataFrame:
+    """Metrics at each threshold; ``rank`` is the column whose order
+    the AUC uses (the score unless given)."""
+    return with_binary_metrics(_per_threshold(df, thresholds, y, p)).crossJoin(roc_auc(df, y, rank or p))
 
 
 def threshold_tuning_summary(df: DataFrame, model: str = "model", y: str = "label",
@@ -234,27 +245,29 @@ def cm_delta(df: DataFrame, tau: float, y: str = "label", p: str = "churn_prob",
 
 def model_ranking(metrics: DataFrame, model: str = "model") -> DataFrame:
     """Average rank (pandas 'average' method, 1 = best, truncated to
-    int) of AUC and F1 per model.  Model tables hold one row per model."""
+    int) of AUC and F1 per model, and which model is best by either (ties to
+    the first name).  Model tables hold one row per model."""
     def avg_rank(c):
         w = Window.orderBy(F.desc(c))
         ties = Window.partitionBy(c)
         return (F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+
+    def best(c):
+        return F.row_number().over(Window.orderBy(F.desc(c), model)) == 1
     return (metrics.select(model, "roc_auc", "f1")
             .withColumn("auc_rank", avg_rank("roc_auc").cast("int"))
-            .withColumn("f1_rank", avg_rank("f1").cast("int")))
+            .withColumn("f1_rank", avg_rank("f1").cast("int"))
+            .withColumn("best_by_auc", best("roc_auc")).withColumn("best_by_f1", best("f1")))
 
 
 def threshold_scenario(scored: DataFrame, thresholds: Sequence[float] = C.COMPARE_THRESHOLDS,
                        p: str = "churn_prob", y: str = "Churn") -> DataFrame:
     """Per threshold: customers flagged, their MRR (exact cents), and
     the confusion counts against the label."""
-    th = scored.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     cents = F.round(F.col("MonthlyCharges") * 100).cast("long")
-    d = scored.crossJoin(F.broadcast(th)).withColumn("pred", (F.col(p) >= F.col("threshold")).cast("int"))
-    return d.groupBy("threshold").agg(
-        F.sum("pred").cast("long").alias("flagged"),
-        (F.sum(F.when(F.col("pred") == 1, cents).otherwise(F.lit(0))) / 100.0).alias("flagged_mrr"),
-        *confusion_counts(y, "pred"))
+    return _per_threshold(scored, thresholds, y, p, [
+        ("flagged", lambda f: F.sum(f.cast("long"))),
+        ("flagged_mrr", lambda f: F.sum(F.when(f, cents).otherwise(F.lit(0))) / 100.0)])
 
 
 def latest_metrics(history: DataFrame) -> DataFrame:

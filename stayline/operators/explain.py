@@ -71,16 +71,19 @@ def top_features_per_row(wide: DataFrame, n: int = C.TOP_N_DRIVERS, key: str = "
     """X3 + X4 (array form): the row's top-n drivers by |phi| (ties by
     feature name) as ``top_features`` array<struct<feature, contribution,
     feature_value, direction>>, computed inside the row."""
+    return wide.select(key, _top_array(n, eps).alias("top_features"))
+
+
+def _top_array(n: int, eps: float) -> F.Column:
     items = F.array(*[F.struct(F.abs(F.col(f"phi_{f}")).alias("a"), F.lit(f).alias("feature"),
                                F.col(f"phi_{f}").alias("contribution"), F.col(f"x_{f}").alias("feature_value"))
                       for f in FEATURES])
     ordered = F.array_sort(items, lambda l, r: F.when(l["a"] > r["a"], -1).when(l["a"] < r["a"], 1)
                            .when(l["feature"] < r["feature"], -1).when(l["feature"] > r["feature"], 1).otherwise(0))
-    top = F.transform(F.slice(ordered, 1, n), lambda s: F.struct(
+    return F.transform(F.slice(ordered, 1, n), lambda s: F.struct(
         s["feature"].alias("feature"), s["contribution"].alias("contribution"),
         s["feature_value"].alias("feature_value"),
         X.impact_direction(s["contribution"], eps).alias("direction")))
-    return wide.select(key, top.alias("top_features"))
 
 
 def top_features_long(top: DataFrame, key: str = "customerID") -> DataFrame:
@@ -139,6 +142,15 @@ def additivity_check(wide: DataFrame, tol: float = 1e-4, key: str = "customerID"
     return wide.select(key, (total - F.col("margin")).alias("gap")).filter(F.abs("gap") > tol)
 
 
+def with_drivers(scored: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """X11 in place: the scored rows with their first three drivers, computed
+    inside the row (no join by customer)."""
+    wide = linear_shap(scored, background=background)
+    top = wide.withColumn("top_features", _top_array(C.TOP_N_DRIVERS, C.NEUTRAL_EPS))
+    names = {f"driver_{i}": F.coalesce(F.try_element_at("top_features", F.lit(i))["feature"], F.lit("")) for i in (1, 2, 3)}
+    return top.withColumns(names).drop("top_features", "base_margin", "margin", *[f"{k}_{f}" for f in FEATURES for k in ("x", "phi")])
+
+
 def driver_columns(top: DataFrame, key: str = "customerID") -> DataFrame:
     """X11: first three drivers as columns ('' when absent)."""
     return top.select(key, *[F.coalesce(F.try_element_at("top_features", F.lit(i))["feature"], F.lit(""))

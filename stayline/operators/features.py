@@ -88,7 +88,7 @@ def engineer_features(df: DataFrame, high_value_threshold: float | None = None,
 
 def num_services(cols: Sequence[str] = C.ALL_SERVICES) -> F.Column:
     """number of services equal to 'Yes'."""
-    return sum((F.col(c) == "Yes").cast("int") for c in cols)
+    return sum(X.flag(F.col(c) == "Yes") for c in cols)
 
 
 # -- scaling and encoding ------------------------------------------------------
@@ -124,15 +124,17 @@ def standard_scale_batch(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.drop(*[x for c in cols for x in (f"__m_{c}", f"__s_{c}")])
 
 
-def one_hot_drop_first(df: DataFrame, cols: Sequence[str], levels: dict | None = None) -> DataFrame:
+def one_hot_drop_first(df: DataFrame, cols: Sequence[str], levels: dict | None = None, max_levels: int = 1000) -> DataFrame:
     """F17 (plain-column variant): 0/1 column per level except the
     alphabetically first.  ``levels`` (feature -> sorted list) comes from
-    training; when absent the distinct levels are read once (small)."""
+    training; when absent the distinct levels of all columns are read in one
+    job, and more than ``max_levels`` per column is an error."""
     if levels is None:
-        levels = {}
-        for c in cols:
-            levels[c] = sorted(r[0] for r in df.select(F.col(c).cast("string")).distinct().collect()
-                               if r[0] is not None)
+        r = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])))
+             .where("v is not null").distinct().limit(max_levels * len(cols) + 1).collect())
+        if len(r) > max_levels * len(cols):
+            raise ValueError(f"more than {max_levels} levels per column; pass levels=")
+        levels = {c: sorted(x.v for x in r if x.c == c) for c in cols}
     new = {}
     for c in cols:
         for lv in sorted(levels[c])[1:]:
@@ -143,23 +145,22 @@ def one_hot_drop_first(df: DataFrame, cols: Sequence[str], levels: dict | None =
 def label_encode(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
     """code by sorted order of distinct values (0-based).
 
-    The distinct values are ranked in their own small frame (one row per
-    level) and joined back by broadcast, so no window runs over the table.
+    Distinct values are positioned by a distributed sort and joined back;
+    the planner broadcasts them only if they are small.
     """
+    from stayline.operators.positions import group_positions
     name = name or f"{c}_code"
-    codes = (df.select(F.col(c)).distinct()
-             .withColumn(name, (F.dense_rank().over(Window.orderBy(F.col(c).asc_nulls_last())) - 1)
-                         .cast("int")))
-    return df.join(F.broadcast(codes), on=c, how="left")
+    codes = group_positions(df.select(F.col(c)).distinct(), [], [F.col(c).asc_nulls_last()], name)
+    return df.join(codes.withColumn(name, F.col(name).cast("int")), on=c, how="left")
 
 
 def factorize(df: DataFrame, c: str, order_key: str = "customerID", name: str | None = None) -> DataFrame:
     """code by first appearance (first = smallest ``order_key``)."""
+    from stayline.operators.positions import group_positions
     name = name or f"{c}_code"
-    first = df.groupBy(c).agg(F.min(order_key).alias("__first"))
-    codes = first.withColumn(name, (F.dense_rank().over(Window.orderBy("__first")) - 1).cast("int")) \
-                 .drop("__first")
-    return df.join(F.broadcast(codes), on=c, how="left")
+    first = df.groupBy(c).agg(F.min(order_key).alias("__min"))
+    codes = group_positions(first, [], ["__min", c], name).drop("__min")
+    return df.join(codes.withColumn(name, F.col(name).cast("int")), on=c, how="left")
 
 
 def class_weight(df: DataFrame, label: str = "Churn", weight: float | None = None,
@@ -194,31 +195,63 @@ def stratified_split(df: DataFrame, label: str = "Churn", key: str = "customerID
     order in any engine); the row's position decides its part: as in a
     two-stage split, ``test`` gets ceil(n * test share), ``validation``
     ceil(rest * val / (train + val)) of the rest, ``train`` the remainder.
-    Positions come from a distributed prefix sum, so a class holding most
-    rows is still spread over all tasks.
+    The cut points are found by counting hash buckets, so nothing is sorted
+    and rows are only compared with their label's two cut points (one broadcast row per label).
     """
-    from stayline.operators.positions import group_positions
-    n_per = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = group_positions(df.withColumn("__h", hash_order(key, seed)), [label],
-                             ["__h", key], "__pos").drop("__h") \
-        .join(F.broadcast(n_per), label)
+    cuts = _split_cuts(df.select(F.col(label), F.col(key)), label, key, fractions, seed)
+    place = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    part = (F.when(F.col("__val").isNull() | (place < F.col("__val")), names[0])
+            .when(F.col("__test").isNull() | (place < F.col("__test")), names[1]).otherwise(names[2]))
+    return (df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__label")))
+            .withColumn("split", part).drop("__label", "__val", "__test"))
+
+
+BUCKET_DIGITS = 4      # hex digits of the hash: 65,536 buckets per label, whatever the table's size
+
+
+def _bucket_offsets(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """(label, bucket, n, rows of the label before the bucket, rows of the
+    label): at most 65,536 rows per label."""
+    b = F.substring(hash_order(key, seed), 1, BUCKET_DIGITS).alias("__b")
+    n = df.groupBy(F.col(label).alias("__label"), b).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__label")
+    before = F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    return n.select("__label", "__b", "__n", F.coalesce(before, F.lit(0)).alias("__off"), F.sum("__n").over(w).alias("__all"))
+
+
+def _split_cuts(df: DataFrame, label: str, key: str, fractions, seed: int) -> DataFrame:
+    """One row per label: the (hash, key) where validation and test begin.
+    Counting hash buckets finds the two buckets that hold a cut; only their
+    rows are ranked."""
     f_train, f_val, f_test = fractions
-    n = F.col("__n")
-    n_test = F.ceil(n * F.lit(f_test) - F.lit(1e-9))
-    n_rest = n - n_test
+    off = _bucket_offsets(df, label, key, seed)
+    n_rest = F.col("__all") - F.ceil(F.col("__all") * F.lit(f_test) - F.lit(1e-9))
     n_val = F.ceil(n_rest * F.lit(f_val / (f_train + f_val)) - F.lit(1e-9))
-    pos = F.col("__pos")
-    part = (F.when(pos < n_rest - n_val, names[0])
-            .when(pos < n_rest, names[1]).otherwise(names[2]))
-    return ranked.withColumn("split", part).drop("__pos", "__n")
+    cuts = off.select("__label", "__b", "__n", "__off", F.inline(F.array(
+        F.struct(F.lit("__val").alias("cut"), (n_rest - n_val).alias("at")), F.struct(F.lit("__test").alias("cut"), n_rest.alias("at")))))
+    here = cuts.where((F.col("at") >= F.col("__off")) & (F.col("at") < F.col("__off") + F.col("__n")))
+    h = hash_order(key, seed)
+    rows = df.select(F.col(label).alias("__l"), h.alias("h"), F.col(key).alias("k"))
+    rows = rows.join(F.broadcast(here), F.col("__l").eqNullSafe(F.col("__label")) & (F.substring("h", 1, BUCKET_DIGITS) == F.col("__b")))
+    w = Window.partitionBy("__label", "cut").orderBy("h", "k")
+    hit = rows.withColumn("__r", F.row_number().over(w) - 1 + F.col("__off")).where(F.col("__r") == F.col("at"))
+    pick = lambda c: F.max(F.when(F.col("cut") == c, F.struct("h", "k"))).alias(c)
+    return (off.select("__label").distinct().withColumnRenamed("__label", "__l2")
+            .join(hit.groupBy("__label").agg(pick("__val"), pick("__test")), F.col("__l2").eqNullSafe(F.col("__label")), "left")
+            .select(F.col("__l2").alias("__label"), "__val", "__test"))
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, label: str = "Churn", key: str = "customerID",
                      seed: int = C.SEED, name: str = "fold") -> DataFrame:
-    """fold = position within label (seeded md5 order) mod k."""
-    from stayline.operators.positions import group_positions
-    out = group_positions(df.withColumn("__h", hash_order(key, seed)), [label], ["__h", key], "__pos")
-    return out.withColumn(name, (F.col("__pos") % k).cast("int")).drop("__pos", "__h")
+    """fold = position within label (seeded md5 order) mod k.  The
+    position is the rank in a hash bucket plus the bucket's offset (65,536
+    buckets per label), so a hot label is spread over its buckets."""
+    off = _bucket_offsets(df.select(F.col(label), F.col(key)), label, key, seed).select("__label", "__b", "__off")
+    d = df.withColumn("__h", hash_order(key, seed)).withColumn("__b0", F.substring("__h", 1, BUCKET_DIGITS))
+    w = Window.partitionBy(label, "__b0").orderBy("__h", key)
+    d = d.withColumn("__r", F.row_number().over(w) - 1)
+    out = d.join(F.broadcast(off), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b0") == F.col("__b")))
+    return out.withColumn(name, ((F.col("__off") + F.col("__r")) % k).cast("int")).drop("__h", "__b0", "__r", "__label", "__b", "__off")
 
 
 def trainval_union(train: DataFrame, val: DataFrame) -> DataFrame:

@@ -56,10 +56,17 @@ def linear_margin(intercept: float = C.LINEAR_INTERCEPT, weights=C.LINEAR_WEIGHT
 
 def linear_score(df: DataFrame, intercept: float = C.LINEAR_INTERCEPT, weights=C.LINEAR_WEIGHTS,
                  name: str = "churn_prob") -> DataFrame:
-    """M4: p = 1 / (1 + exp(-z)), reported to 6 decimals (the model's
-    output resolution; it also bounds the number of distinct scores)."""
+    """M4: ``churn_margin`` (z) and ``churn_score`` = 1 / (1 + exp(-z)) at
+    full precision, which all decisions use, and ``churn_prob``, the score
+    as reported (6 decimals)."""
     z = linear_margin(intercept, weights)
-    return df.withColumn(name, F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6))
+    out = df.withColumn("churn_margin", z)
+    out = out.withColumn("churn_score", probability(F.col("churn_margin")))
+    return out.withColumn(name, F.round("churn_score", 6))
+
+
+def probability(margin: F.Column) -> F.Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
 def design_columns(df: DataFrame, prefix: str = "x_") -> DataFrame:

@@ -117,10 +117,12 @@ def segment_intelligence(scored: DataFrame) -> DataFrame:
         F.sum(F.col("is_churner").cast("long")).alias("ch"),
         F.sum(_cents()).alias("mrr"),
         F.sum(F.when(F.col("is_churner"), _cents()).otherwise(F.lit(0))).alias("risk"),
-        F.sum(X.micro("churn_prob")).alias("p"))
+        F.sum(X.micro("churn_prob")).alias("p"),
+        F.sum(F.col("tenure").cast("long")).alias("t"), F.sum(X.micro("priority")).alias("pr"))
     lvl2 = lvl1.groupBy(F.col("segment_label").alias("segment")).agg(
         F.sum("n").alias("customers"), F.sum("ch").alias("churners"),
         F.sum("mrr").alias("mrr_cents"), F.sum("risk").alias("risk_cents"), F.sum("p").alias("p_micro"),
+        F.sum("t").alias("months"), F.sum("pr").alias("priority_micro"),
         F.min_by("action_label", F.struct(-F.col("n"), F.col("action_label"))).alias("top_action"))
     tot = F.sum("risk_cents").over(Window.partitionBy())
     n = F.col("customers")
@@ -135,6 +137,10 @@ def segment_intelligence(scored: DataFrame) -> DataFrame:
         X.pct1_text(F.when(tot == 0, F.lit(0.0)).otherwise(F.col("risk_cents") / tot)).alias("risk_share_text"),
         F.coalesce(F.col("top_action"), F.lit("—")).alias("top_action"),
         F.when(churn_rate > hi, "danger").when(churn_rate > mid, "warn").otherwise("ok").alias("tone"),
+        (F.col("months") / n).alias("avg_tenure"),
+        X.money2_text(F.round(F.col("mrr_cents") / n).cast("long")).alias("avg_mrr_text"),
+        X.money0_text(F.col("risk_cents") * 12).alias("arr_at_risk_text"),
+        X.mean_from_micro(F.col("priority_micro"), n).alias("avg_priority"),
         (F.col("risk_cents") / 100.0).alias("mrr_at_risk")).orderBy(F.desc("mrr_at_risk"), "segment")
 
 
@@ -188,20 +194,21 @@ def priority_band(c: str = "plan_priority") -> F.Column:
     return X.band(c, C.PLAN_PRIORITY_BANDS)
 
 
-def action_plan(scored: DataFrame, top: DataFrame | None = None) -> DataFrame:
+def action_plan(scored: DataFrame) -> DataFrame:
     """The ranked action plan (one row per customer).  Only the plan's
-    input columns travel through the two broadcast joins."""
+    input columns travel; the drivers are taken from ``scored`` if it has
+    them (``explain.with_drivers``)."""
     need = ["customerID", "segment", "segment_label", "churn_prob", "is_churner", "action_label", "reason",
             "MonthlyCharges", "tenure", "Contract", "PaymentMethod", "InternetService", "segment_confidence"]
     # the plan reads the scored rows three times (segment means, min/max,
-    # rows): materialise the pruned, customer-sized frame once
+    # rows): the pruned, customer-sized frame is written once
     from stayline.session import cut_lineage
-    scored = cut_lineage(scored.select(*need))
-    d = composite_priority(minmax_value(batch_risk_join(scored)))
-    if top is not None:
-        d = d.join(top.select("customerID", "driver_1", "driver_2", "driver_3"), "customerID", "left")
+    drivers = ["driver_1", "driver_2", "driver_3"]
+    if set(drivers) <= set(scored.columns):
+        scored = scored.select(*need, *drivers)
     else:
-        d = d.withColumns({"driver_1": F.lit(""), "driver_2": F.lit(""), "driver_3": F.lit("")})
+        scored = scored.select(*need, *[F.lit("").alias(c) for c in drivers])
+    d = composite_priority(minmax_value(batch_risk_join(cut_lineage(scored))))
     p = F.col("plan_priority")
     cents = _cents()
     return d.select(
@@ -226,11 +233,12 @@ def action_plan(scored: DataFrame, top: DataFrame | None = None) -> DataFrame:
         p.alias("plan_priority"))
 
 
-def plan_filters(plan: DataFrame, segments: Sequence[str] | None = None, priority: Sequence[str] | None = None,
+def plan_conditions(segments: Sequence[str] | None = None, priority: Sequence[str] | None = None,
                  risk: Sequence[str] | None = None, actions: Sequence[str] | None = None,
                  contract: Sequence[str] | None = None, min_prob: float = 0.0, min_monthly: float = 0.0,
-                 churner_only: bool = False, customer_ids: Sequence[int] | None = None) -> DataFrame:
-    """Composed predicates (isin / >=) - all pushed into one Filter."""
+                 churner_only: bool = False, numbers: Sequence[int] | None = None) -> F.Column:
+    """Composed predicates (isin / >=) as one condition; ``numbers`` are
+    display numbers (``#``) of a numbered plan."""
     conds = []
     if segments:
         conds.append(F.col("segment_name").isin(list(segments)))
@@ -248,17 +256,34 @@ def plan_filters(plan: DataFrame, segments: Sequence[str] | None = None, priorit
         conds.append(F.col("MonthlyCharges") >= min_monthly)
     if churner_only:
         conds.append(F.col("is_churner"))
-    if customer_ids:
-        conds.append(F.col("customerID").isin(list(customer_ids)))
-    return plan.filter(X.and_all(conds))
+    if numbers:
+        conds.append(F.col("number").isin(list(numbers)))
+    return X.and_all(conds)
+
+
+def plan_filters(plan: DataFrame, **filters) -> DataFrame:
+    """The rows of the plan that meet all given filters (one Filter)."""
+    return plan.filter(plan_conditions(**filters))
+
+
+def numbered_plan(plan: DataFrame) -> DataFrame:
+    """The plan with its display number (1 = highest priority, ties by
+    customer), as the view shows it."""
+    from stayline.operators.positions import group_positions
+    rows = plan.select((-F.col("plan_priority")).alias("__v"), F.col("customerID").alias("__id"))
+    at = group_positions(rows, [], ["__v", "__id"], "__pos").select("__id", (F.col("__pos") + 1).alias("number"))
+    return plan.join(at, F.col("customerID") == F.col("__id")).drop("__id")
+
+
+def preset_condition(name: str) -> F.Column:
+    spec = C.FOCUS_PRESETS[name]
+    return plan_conditions(priority=spec.get("priority"), risk=spec.get("risk"), contract=spec.get("contract"),
+                           min_monthly=spec.get("min_monthly", 0.0), churner_only=spec.get("churner_only", False))
 
 
 def focus_preset(plan: DataFrame, name: str) -> DataFrame:
     """One of the named filter sets."""
-    spec = C.FOCUS_PRESETS[name]
-    return plan_filters(plan, priority=spec.get("priority"), risk=spec.get("risk"),
-                        contract=spec.get("contract"), min_monthly=spec.get("min_monthly", 0.0),
-                        churner_only=spec.get("churner_only", False))
+    return plan.filter(preset_condition(name))
 
 
 SORT_KEYS = {
@@ -268,7 +293,7 @@ SORT_KEYS = {
     "expected_loss": ("expected_loss", False),
     "monthly": ("MonthlyCharges", False),
     "tenure": ("tenure", True),
-    "segment_risk": ("seg_risk", False),
+    "segment_confidence": ("segment_confidence", False),
 }
 
 
@@ -278,6 +303,27 @@ def plan_sort(plan: DataFrame, key: str = "priority") -> DataFrame:
     return plan.orderBy(F.col(c).asc() if asc else F.col(c).desc(), "customerID")
 
 
+def plan_positions(plan: DataFrame, keys: Sequence[str] = tuple(SORT_KEYS)) -> DataFrame:
+    """P15 for several keys at once: (sort_key, customerID, position), by one
+    distributed sort of the keyed rows."""
+    from stayline.operators.positions import group_positions
+    signed = [F.struct(F.lit(k).alias("sort_key"), (F.col(SORT_KEYS[k][0]).cast("double") * (1 if SORT_KEYS[k][1] else -1)).alias("__v"))
+              for k in keys]
+    rows = plan.select("customerID", F.inline(F.array(*signed)))
+    return group_positions(rows, ["sort_key"], ["__v", "customerID"], "position").select("sort_key", "customerID", "position")
+
+
+def preset_summary(plan: DataFrame) -> DataFrame:
+    """Customers and MRR of every named filter set, in one pass."""
+    cents = F.round(F.col("MonthlyCharges") * 100).cast("long")
+    cells = []
+    for name in C.FOCUS_PRESETS:
+        hit = preset_condition(name)
+        cells.append(F.struct(F.lit(name).alias("preset"), F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("customers"),
+                              (F.sum(F.when(hit, cents)) / 100.0).alias("mrr")))
+    return plan.agg(F.array(*cells).alias("__p")).select(F.inline("__p"))
+
+
 def view_kpis(plan: DataFrame) -> DataFrame:
     """In view, high priority, churners, MRR, at-risk MRR, expected loss."""
     cents = F.round(F.col("MonthlyCharges") * 100).cast("long")

@@ -12,7 +12,7 @@ two-level prefix sum:
    cut,
 2. count rows per ``(partition, group)`` - one row per pair, tiny,
 3. prefix-sum those counts per group (window over the tiny table) and
-   broadcast the offsets back.
+   join the offsets back.
 
 Ties in ``o`` must be broken by the caller (include the key) for a
 deterministic result.
@@ -42,8 +42,8 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
               .agg(F.count(F.lit(1)).alias("__n"), F.min(local).alias("__first")))
     w = Window.partitionBy(*group_cols).orderBy("__pid") if group_cols else Window.orderBy("__pid")
     offsets = counts.withColumn("__off", F.sum("__n").over(w) - F.col("__n")).drop("__n")
-    joined = stamped.withColumn("__pid", pid).join(
-        F.broadcast(offsets), ["__pid", *group_cols], "inner")
+    # one row per (partition, group): the planner broadcasts it if it is small
+    joined = stamped.withColumn("__pid", pid).join(offsets, ["__pid", *group_cols], "inner")
     return (joined.withColumn(name, (F.col("__off") + local - F.col("__first")).cast("long"))
             .drop("__pid", "__off", "__first", "__mid"))
 
@@ -53,7 +53,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     """Running sums (rows unbounded preceding .. current row) of ``sum_cols``
     within each group in ``order_cols`` order, as a two-level prefix sum:
     per-(partition, group) totals are prefix-summed on a tiny table and
-    broadcast back; the in-partition running sum is a window over one
+    joined back; the in-partition running sum is a window over one
     range partition at most.  ``order_cols`` must be unique within a group.
     """
     group_cols = list(group_cols)
@@ -72,6 +72,6 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                               for c in sum_cols])
     wl = (Window.partitionBy("__pid", *group_cols).orderBy("__mid")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = stamped.join(F.broadcast(offsets), ["__pid", *group_cols], "inner")
+    out = stamped.join(offsets, ["__pid", *group_cols], "inner")
     out = out.withColumns({f"{c}{suffix}": F.col(f"__o_{c}") + F.sum(c).over(wl) for c in sum_cols})
     return out.drop("__pid", "__mid", *[f"__o_{c}" for c in sum_cols])

@@ -76,7 +76,7 @@ def decide_action(df: DataFrame, p: str = "churn_prob", label: str = "segment_la
     if override:
         key = F.coalesce(segment_override_expr(F.col(label), F.col(p)), key)
     out = out.withColumns({
-        "priority": X.rule_priority(p, "segment_risk", "value_score"),
+        "priority": F.round(X.rule_priority(p, "segment_risk", "value_score"), 6),
         "action_key": key,
     })
     return out.withColumns({

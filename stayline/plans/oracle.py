@@ -41,8 +41,8 @@ rawb AS (
          CAST(greatest(0, 4 * (p.n_orders - 3)) AS INTEGER) AS ten,
          p.n_orders, p.sum_cents, l.latest_cents, l.latest_status, l.latest_prio, l.latest_date, d.last_day
   FROM customer c
-  JOIN per_cust p ON c.c_custkey = p.o_custkey
-  JOIN latest l ON l.o_custkey = c.c_custkey
+  LEFT JOIN per_cust p ON c.c_custkey = p.o_custkey
+  LEFT JOIN latest l ON l.o_custkey = c.c_custkey
   CROSS JOIN lastday d),
 rawc AS (
   SELECT *, (sum_cents * ten) // (n_orders * 4000) AS tc FROM rawb),
@@ -197,10 +197,10 @@ def _select_action() -> str:
     th = C.RULE_THRESHOLDS
     monthly = "contains(coalesce(Contract, 'Month-to-month'), 'Month')"
     return f"""CASE
-      WHEN churn_prob >= {dbl(th['high_churn_prob'])} THEN
+      WHEN churn_score >= {dbl(th['high_churn_prob'])} THEN
         CASE WHEN value_tier = 'high' THEN CASE WHEN {monthly} THEN 'early_exit_waiver' ELSE 'vip_support' END
              WHEN value_tier = 'medium' THEN 'retention_call' ELSE 'discount_offer' END
-      WHEN churn_prob >= {dbl(th['medium_churn_prob'])} THEN
+      WHEN churn_score >= {dbl(th['medium_churn_prob'])} THEN
         CASE WHEN value_tier = 'high' THEN 'discount_offer'
              WHEN value_tier = 'medium' THEN 'retention_call' ELSE 'do_nothing' END
       ELSE CASE WHEN value_tier = 'high' THEN 'loyalty_program' ELSE 'do_nothing' END END"""
@@ -222,11 +222,12 @@ def scored_sql(tau: float = C.DEFAULT_THRESHOLD, src: str = "feat", dst: str = "
       AS segment_confidence
   FROM {p}segd),
 {p}lin AS (
-  SELECT {p}seg.*, {_seg_label('segment')} AS segment_label,
+  SELECT {p}seg.*, {_seg_label('segment')} AS segment_label, {_linear()} AS churn_margin,
+    1.0 / (1.0 + exp(-({_linear()}))) AS churn_score,
     round(1.0 / (1.0 + exp(-({_linear()}))), 6) AS churn_prob
   FROM {p}seg),
 {p}tier AS (
-  SELECT {p}lin.*, churn_prob >= {dbl(tau)} AS is_churner,
+  SELECT {p}lin.*, churn_score >= {dbl(tau)} AS is_churner,
     CASE WHEN coalesce(tenure, 0) >= {th['high_value_tenure_months']}
               AND coalesce(MonthlyCharges, 0.0) >= {dbl(th['high_value_monthly_charges'])} THEN 'high'
          WHEN coalesce(MonthlyCharges, 0.0) < {dbl(th['low_value_monthly_charges'])} THEN 'low'
@@ -240,14 +241,14 @@ def scored_sql(tau: float = C.DEFAULT_THRESHOLD, src: str = "feat", dst: str = "
   FROM {p}tier),
 {p}act AS (
   SELECT {p}tier2.*,
-    least(greatest(churn_prob * {dbl(w['churn_probability'])} + segment_risk * {dbl(w['segment_risk'])}
-                   + (1.0 - value_score) * {dbl(w['customer_value'])}, 0.0), 1.0) AS priority,
+    round(least(greatest(churn_score * {dbl(w['churn_probability'])} + segment_risk * {dbl(w['segment_risk'])}
+                   + (1.0 - value_score) * {dbl(w['customer_value'])}, 0.0), 1.0), 6) AS priority,
     {_select_action()} AS action_key
   FROM {p}tier2),
 {dst} AS (
   SELECT {p}act.* EXCLUDE ({dl}), {_action_label('action_key')} AS action_label,
     'Segment: ' || coalesce(segment_label, '') || ' | ' ||
-    (CASE WHEN churn_prob >= 0.6 THEN 'High' WHEN churn_prob >= 0.4 THEN 'Medium' ELSE 'Low' END)
+    (CASE WHEN churn_score >= 0.6 THEN 'High' WHEN churn_score >= 0.4 THEN 'Medium' ELSE 'Low' END)
     || ' churn risk (' || {_pct1('churn_prob')} || ') | Customer value: '
     || upper(substr(value_tier, 1, 1)) || substr(value_tier, 2) AS reason
   FROM {p}act)"""
@@ -263,3 +264,29 @@ def with_views(final_sql: str, upto: str = "scored", extra: str = "") -> str:
     if extra:
         ctes += "," + extra.strip("\n")
     return f"WITH {ctes}\n{final_sql}"
+
+
+LINEAR_W = dict(C.LINEAR_WEIGHTS)
+LINEAR_DESIGN = linear_design_sql()
+
+
+def _shap_sql() -> str:
+    mu = ", ".join(f"avg({LINEAR_DESIGN[f]}) AS mu_{f}" for f in LINEAR_W)
+    cols = ", ".join(f"{LINEAR_DESIGN[f]} AS x_{f}, round({dbl(LINEAR_W[f])} * ({LINEAR_DESIGN[f]} - mu_{f}), 6) AS phi_{f}" for f in LINEAR_W)
+    base = dbl(C.LINEAR_INTERCEPT) + "".join(f" + mu_{f} * {dbl(LINEAR_W[f])}" for f in LINEAR_W)
+    margin = dbl(C.LINEAR_INTERCEPT) + "".join(f" + {LINEAR_DESIGN[f]} * {dbl(LINEAR_W[f])}" for f in LINEAR_W)
+    long = " UNION ALL ".join(
+        f"SELECT customerID, '{f}' AS feature, x_{f} AS feature_value, phi_{f} AS contribution FROM shapw" for f in LINEAR_W)
+    return f"""
+mu AS (SELECT {mu} FROM scored),
+shapw AS (SELECT customerID, {cols}, round({base}, 6) AS base_margin, round({margin}, 6) AS margin
+          FROM scored CROSS JOIN mu),
+shapl AS ({long}),
+topl AS (SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank,
+                feature, contribution, feature_value,
+                CASE WHEN abs(contribution) < 1e-6 THEN 'neutral' WHEN contribution > 0 THEN 'increases_churn'
+                     ELSE 'decreases_churn' END AS direction
+         FROM shapl QUALIFY rank <= {C.TOP_N_DRIVERS})"""
+
+
+SHAP = _shap_sql()

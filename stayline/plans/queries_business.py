@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from stayline import config as C
 from stayline.operators import evaluate as E
 from stayline.operators import explore as D
-from stayline.operators import features, portfolio as P, rules, segments, whatif
+from stayline.operators import explain, features, model as M, portfolio as P, rules, segments, whatif
 from stayline.plans import score as B
-from stayline.plans.oracle import dbl, feat_sql, scored_sql, sstr, with_views
+from stayline.plans.oracle import SHAP, dbl, feat_sql, scored_sql, sstr, with_views
 from stayline.plans.queries_core import SPLIT_SQL
 from stayline.plans.registry import query
 from stayline.plans.score import processed_view, scored_view
@@ -228,7 +228,8 @@ SELECT r.segment, r.customers, r.churners, {pct1('r.churn_rate')} AS churn_rate_
   {pct1('r.risk_share')} AS risk_share_text,
   coalesce(t.top_action, '—') AS top_action,
   CASE WHEN r.churn_rate > 0.4 THEN 'danger' WHEN r.churn_rate > 0.2 THEN 'warn' ELSE 'ok' END AS tone,
-  r.mrr_at_risk
+  r.avg_tenure, {money2('CAST(round(r.mrr * 100 / r.customers) AS BIGINT)')} AS avg_mrr_text,
+  {money0('CAST(round(r.mrr_at_risk * 100) AS BIGINT) * 12')} AS arr_at_risk_text, r.avg_priority, r.mrr_at_risk
 FROM segrat r LEFT JOIN topact t ON r.segment = t.segment""", extra=SEG_REV_SQL + "," + TOP_ACTION_SQL))
 def q_segment_intelligence(spark, sf_dir):
     return P.segment_intelligence(scored_view(spark, sf_dir))
@@ -257,7 +258,11 @@ def q_minmax_value(spark, sf_dir):
     return P.minmax_value(scored_view(spark, sf_dir)).select("customerID", "value_norm")
 
 
-PLAN_SQL = SEG_MEAN_SQL + "," + MINMAX_SQL + f""",
+DRIVER_SQL = SHAP + ", drivers AS (SELECT customerID, " + ", ".join(
+    f"max(CASE WHEN rank = {i} THEN feature END) AS driver_{i}" for i in (1, 2, 3)) + " FROM topl GROUP BY customerID)"
+
+
+PLAN_SQL = SEG_MEAN_SQL + "," + MINMAX_SQL + "," + DRIVER_SQL + f""",
 plan0 AS (
   SELECT s.*, m.seg_risk, {VNORM} AS value_norm FROM scored s LEFT JOIN segmean m ON s.segment = m.segment CROSS JOIN mm),
 plan1 AS (
@@ -274,12 +279,12 @@ plan AS (
     round(churn_prob * MonthlyCharges, 2) AS expected_loss,
     coalesce(tenure, 0) AS tenure, Contract, PaymentMethod, InternetService,
     round(segment_confidence, 3) AS segment_confidence,
-    '' AS driver_1, '' AS driver_2, '' AS driver_3, plan_priority
-  FROM plan1)"""
+    coalesce(driver_1, '') AS driver_1, coalesce(driver_2, '') AS driver_2, coalesce(driver_3, '') AS driver_3, plan_priority
+  FROM plan1 LEFT JOIN drivers USING (customerID))"""
 
 
 def plan_view(spark, sf_dir):
-    return P.action_plan(scored_view(spark, sf_dir))
+    return P.action_plan(explain.with_drivers(scored_view(spark, sf_dir)))
 
 
 @query("composite_priority", with_views("SELECT customerID, plan_priority FROM plan1", extra=PLAN_SQL))
@@ -302,13 +307,19 @@ def q_action_plan(spark, sf_dir):
     return plan_view(spark, sf_dir)
 
 
+SEGS = sorted(C.SEGMENT_RISK)[:3]
+
+
 @query("plan_filters", with_views(
-    "SELECT * FROM plan WHERE risk_level IN ('High', 'Medium') AND action_label IN ('Retention Call', 'Discount Offer', "
-    "'Early Exit Waiver') AND churn_prob >= 0.3 AND MonthlyCharges >= 40.0 AND is_churner", extra=PLAN_SQL))
+    "SELECT plan.*, row_number() OVER (ORDER BY plan_priority DESC, customerID) AS number FROM plan "
+    "QUALIFY risk_level IN ('High', 'Medium') AND priority_level IN ('High', 'Medium') AND action_label IN ('Retention Call', 'Discount Offer', "
+    f"'Early Exit Waiver') AND segment_name IN ({', '.join(map(sstr, SEGS))}) AND Contract IN ('Month-to-month', 'One year') "
+    "AND churn_prob >= 0.3 AND MonthlyCharges >= 40.0 AND is_churner "
+    "AND number IN (" + ", ".join(str(n) for n in range(1, 200, 2)) + ")", extra=PLAN_SQL))
 def q_plan_filters(spark, sf_dir):
-    return P.plan_filters(plan_view(spark, sf_dir), risk=["High", "Medium"],
-                          actions=["Retention Call", "Discount Offer", "Early Exit Waiver"],
-                          min_prob=0.3, min_monthly=40.0, churner_only=True)
+    return P.plan_filters(P.numbered_plan(plan_view(spark, sf_dir)), segments=SEGS, priority=["High", "Medium"], risk=["High", "Medium"],
+                          actions=["Retention Call", "Discount Offer", "Early Exit Waiver"], contract=["Month-to-month", "One year"],
+                          min_prob=0.3, min_monthly=40.0, churner_only=True, numbers=list(range(1, 200, 2)))
 
 
 def _preset_sql() -> str:
@@ -332,22 +343,19 @@ def _preset_sql() -> str:
 
 @query("focus_presets", with_views(_preset_sql(), extra=PLAN_SQL))
 def q_focus_presets(spark, sf_dir):
-    plan = plan_view(spark, sf_dir)
-    out = None
-    for name in C.FOCUS_PRESETS:
-        v = P.focus_preset(plan, name).agg(
-            F.lit(name).alias("preset"), F.count(F.lit(1)).alias("customers"),
-            (F.sum(F.round(F.col("MonthlyCharges") * 100).cast("long")) / 100.0).alias("mrr"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    return P.preset_summary(plan_view(spark, sf_dir))
+
 
+def _sort_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{k}' AS sort_key, customerID, row_number() OVER (ORDER BY {c} {'ASC' if asc else 'DESC'}, customerID) - 1 AS position FROM plan"
+        for k, (c, asc) in P.SORT_KEYS.items())
 
-@query("plan_sort", with_views(
-    "SELECT customerID, tenure, plan_priority FROM plan ORDER BY tenure ASC, customerID LIMIT 50", extra=PLAN_SQL))
+
+@query("plan_sort", with_views(_sort_sql(), extra=PLAN_SQL))
 def q_plan_sort(spark, sf_dir):
-    """P15 (sorted by tenure, the one ascending key); the first 50 rows of
-    the sorted plan are the page a user sees."""
-    return P.plan_sort(plan_view(spark, sf_dir), "tenure").select("customerID", "tenure", "plan_priority").limit(50)
+    """The place of every customer under each of the seven sort keys."""
+    return P.plan_positions(plan_view(spark, sf_dir))
 
 
 @query("view_kpis", with_views(f"""
@@ -491,18 +499,33 @@ def q_batch_summary(spark, sf_dir):
 
 
 @query("batch_status", with_views(
-    "SELECT s.*, rows_input - rows_processed AS failed FROM (" + SUMMARY_SQL + ") s"))
+    "SELECT s.*, rows_input - rows_processed AS failed, kind, name, customers FROM (" + SUMMARY_SQL + ") s CROSS JOIN ("
+    "SELECT 'action' AS kind, action_label AS name, count(*) AS customers FROM scored GROUP BY ALL UNION ALL "
+    "SELECT 'segment', CAST(segment AS VARCHAR), count(*) FROM scored GROUP BY ALL) m"))
 def q_batch_status(spark, sf_dir):
-    """B5 (the map-valued action / segment counts are checked through
-    ``distribution``; this row holds the scalar status)."""
+    """B5 with both count maps, one row per entry."""
     st = B.batch_status(customer_view(spark, sf_dir), scored_view(spark, sf_dir))
-    return st.drop("action_counts", "segment_counts")
+    scalars = [c for c in st.columns if c not in ("action_counts", "segment_counts")]
+    maps = [st.select(*scalars, F.lit(kind).alias("kind"), F.explode(F.col(f"{kind}_counts")).alias("name", "customers"))
+            .withColumn("name", F.col("name").cast("string")) for kind in ("action", "segment")]
+    return maps[0].unionByName(maps[1])
+
+
+ECHO = ["gender", "tenure", "Contract", "MonthlyCharges"]
 
 
-@query("prediction_record")
+@query("prediction_record", with_views(
+    "SELECT customerID, segment, segment_label, churn_prob, is_churner, segment_confidence, CAST(0.5 AS DOUBLE) AS threshold, "
+    "action_key, action_label, priority AS priority_score, reason, rank, feature, contribution, direction, "
+    + ", ".join(f"CAST({c} AS VARCHAR) AS in_{c}" for c in ECHO) + " FROM scored JOIN topl USING (customerID)", extra=SHAP))
 def q_prediction_record(spark, sf_dir):
-    """Nested records (struct + map); rows-only check."""
-    return B.prediction_record(scored_view(spark, sf_dir))
+    """B6, flattened: one row per record and driver."""
+    scored = scored_view(spark, sf_dir)
+    rec = B.prediction_record(scored, explain.top_features_per_row(explain.linear_shap(scored)))
+    return rec.select("customerID", "segment", "segment_label", "churn_prob", "is_churner", "segment_confidence", "threshold",
+                      "recommended_action.*", F.posexplode("top_features").alias("pos", "t"),
+                      *[F.col("input_features")[c].alias(f"in_{c}") for c in ECHO]) \
+        .select("*", (F.col("pos") + 1).cast("int").alias("rank"), "t.feature", "t.contribution", "t.direction").drop("pos", "t")
 
 
 # ---------------------------------------------------------------------------
@@ -623,14 +646,19 @@ def q_box_stats(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def labelled(spark, sf_dir):
-    return scored_view(spark, sf_dir).select("customerID", F.col("Churn").alias("label"), "churn_prob", "priority",
-                                             "MonthlyCharges")
+    return scored_view(spark, sf_dir).select("customerID", F.col("Churn").alias("label"), "churn_prob", "churn_score",
+                                             "churn_margin", "priority", "MonthlyCharges")
+
+
+def shown(margin) -> F.Column:
+    """A threshold on the margin as the probability that is reported."""
+    return F.round(M.probability(F.col(margin)), 6)
 
 
-CM = lambda tau: (f"CAST(sum(CASE WHEN Churn = 0 AND churn_prob < {tau} THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
-                  f"CAST(sum(CASE WHEN Churn = 0 AND churn_prob >= {tau} THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
-                  f"CAST(sum(CASE WHEN Churn = 1 AND churn_prob < {tau} THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
-                  f"CAST(sum(CASE WHEN Churn = 1 AND churn_prob >= {tau} THEN 1 ELSE 0 END) AS BIGINT) AS tp")
+CM = lambda tau: (f"CAST(sum(CASE WHEN Churn = 0 AND churn_score < {tau} THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+                  f"CAST(sum(CASE WHEN Churn = 0 AND churn_score >= {tau} THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+                  f"CAST(sum(CASE WHEN Churn = 1 AND churn_score < {tau} THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+                  f"CAST(sum(CASE WHEN Churn = 1 AND churn_score >= {tau} THEN 1 ELSE 0 END) AS BIGINT) AS tp")
 
 
 def metrics_sql(src: str) -> str:
@@ -648,13 +676,13 @@ def f1_sql(src: str) -> str:
 
 @query("confusion_matrix", with_views(f"SELECT {CM(0.5)} FROM scored"))
 def q_confusion_matrix(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_prob") >= 0.5).cast("int"))
+    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_score") >= 0.5).cast("int"))
     return E.confusion_matrix(d)
 
 
 @query("binary_metrics", with_views(f1_sql(metrics_sql("cm")), extra=f"cm AS (SELECT {CM(0.5)} FROM scored)"))
 def q_binary_metrics(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_prob") >= 0.5).cast("int"))
+    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_score") >= 0.5).cast("int"))
     return E.binary_metrics(d)
 
 
@@ -680,23 +708,23 @@ pc0 AS (SELECT tn + fp + fn + tp AS n, tn + fp AS s0, tp + fn AS s1,
 pc AS (SELECT *, CASE WHEN p0 + r0 = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p0 * r0 / (p0 + r0) END AS f0,
   CASE WHEN p1 + r1 = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * p1 * r1 / (p1 + r1) END AS f1 FROM pc0)"""))
 def q_classification_report(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_prob") >= 0.5).cast("int"))
+    d = labelled(spark, sf_dir).withColumn("pred", (F.col("churn_score") >= 0.5).cast("int"))
     return E.classification_report(d)
 
 
-def curve_sql(score: str = "churn_prob", src: str = "scored", label: str = "Churn") -> str:
+def curve_sql(score: str = "churn_margin", src: str = "scored", label: str = "Churn") -> str:
     return f"""
 sc AS (SELECT {score} AS score, CAST(sum(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
               CAST(sum(CASE WHEN {label} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM {src} GROUP BY {score}),
 cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS pos_cum,
                sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS neg_cum FROM sc),
 tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM sc),
-prc AS (SELECT score AS threshold,
+prc AS (SELECT score AS margin, round(1.0 / (1.0 + exp(-score)), 6) AS threshold,
           CASE WHEN pos_cum + neg_cum = 0 THEN 0.0 ELSE CAST(pos_cum AS DOUBLE) / CAST(pos_cum + neg_cum AS DOUBLE) END AS precision,
           CASE WHEN P = 0 THEN 1.0 ELSE CAST(pos_cum AS DOUBLE) / CAST(P AS DOUBLE) END AS recall
         FROM cum CROSS JOIN tot),
 prf AS (SELECT *, {dbl(2.0)} * (precision * recall) / (precision + recall + {dbl(1e-8)}) AS f1 FROM prc),
-best AS (SELECT threshold, precision, recall, f1 FROM prf ORDER BY f1 DESC, threshold ASC LIMIT 1),
+best AS (SELECT margin, threshold, precision, recall, f1 FROM prf ORDER BY f1 DESC, margin ASC LIMIT 1),
 auc AS (SELECT CASE WHEN max(P) = 0 OR max(N) = 0 THEN NULL ELSE
           CAST(sum(pos * (2 * (N - neg_cum) + neg)) AS DOUBLE) / ({dbl(2.0)} * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) END AS roc_auc
         FROM cum CROSS JOIN tot)"""
@@ -704,38 +732,38 @@ auc AS (SELECT CASE WHEN max(P) = 0 OR max(N) = 0 THEN NULL ELSE
 
 @query("roc_auc", with_views("SELECT roc_auc FROM auc", extra=curve_sql()))
 def q_roc_auc(spark, sf_dir):
-    return E.roc_auc(labelled(spark, sf_dir))
+    return E.roc_auc(labelled(spark, sf_dir), p="churn_margin")
 
 
 @query("roc_curve", with_views(
-    "SELECT score AS threshold, CASE WHEN N = 0 THEN 0.0 ELSE CAST(neg_cum AS DOUBLE) / CAST(N AS DOUBLE) END AS fpr, "
+    "SELECT round(1.0 / (1.0 + exp(-score)), 6) AS threshold, CASE WHEN N = 0 THEN 0.0 ELSE CAST(neg_cum AS DOUBLE) / CAST(N AS DOUBLE) END AS fpr, "
     "CASE WHEN P = 0 THEN 0.0 ELSE CAST(pos_cum AS DOUBLE) / CAST(P AS DOUBLE) END AS tpr FROM cum CROSS JOIN tot",
     extra=curve_sql()))
 def q_roc_curve(spark, sf_dir):
-    return E.roc_curve(labelled(spark, sf_dir))
+    return E.roc_curve(labelled(spark, sf_dir), p="churn_margin").withColumn("threshold", shown("threshold"))
 
 
-@query("pr_curve", with_views("SELECT * FROM prf", extra=curve_sql()))
+@query("pr_curve", with_views("SELECT * EXCLUDE (margin) FROM prf", extra=curve_sql()))
 def q_pr_curve(spark, sf_dir):
-    return E.pr_curve(labelled(spark, sf_dir))
+    return E.pr_curve(labelled(spark, sf_dir), p="churn_margin").withColumn("threshold", shown("threshold"))
 
 
-@query("best_f1_threshold", with_views("SELECT * FROM best", extra=curve_sql()))
+@query("best_f1_threshold", with_views("SELECT * EXCLUDE (margin) FROM best", extra=curve_sql()))
 def q_best_f1_threshold(spark, sf_dir):
-    return E.best_f1_threshold(labelled(spark, sf_dir))
+    return E.best_f1_threshold(labelled(spark, sf_dir), p="churn_margin").withColumn("threshold", shown("threshold"))
 
 
 @query("evaluate_model", with_views(
     "SELECT m.*, auc.roc_auc, CAST(0.5 AS DOUBLE) AS threshold FROM (" + f1_sql(metrics_sql("cm")) + ") m CROSS JOIN auc",
     extra=f"cm AS (SELECT {CM(0.5)} FROM scored)," + curve_sql()))
 def q_evaluate_model(spark, sf_dir):
-    return E.evaluate_model(labelled(spark, sf_dir), 0.5)
+    return E.evaluate_model(labelled(spark, sf_dir), 0.5, p="churn_score", rank="churn_margin")
 
 
 def _split_auc_sql() -> str:
     return """
-ssc AS (SELECT split, churn_prob AS score, CAST(sum(CASE WHEN Churn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
-               CAST(sum(CASE WHEN Churn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM ssplit GROUP BY split, churn_prob),
+ssc AS (SELECT split, churn_margin AS score, CAST(sum(CASE WHEN Churn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+               CAST(sum(CASE WHEN Churn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM ssplit GROUP BY split, churn_margin),
 scum AS (SELECT *, sum(neg) OVER (PARTITION BY split ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS neg_cum FROM ssc),
 stot AS (SELECT split, sum(pos) AS P, sum(neg) AS N FROM ssc GROUP BY split),
 sauc AS (SELECT s.split, CAST(sum(pos * (2 * (N - neg_cum) + neg)) AS DOUBLE) / (CAST(2.0 AS DOUBLE) * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) AS roc_auc
@@ -751,19 +779,19 @@ SCORED_SPLIT = (SPLIT_SQL.replace("SELECT clean.*,", "SELECT scored.*,", 1).repl
     extra=SCORED_SPLIT + f", scm AS (SELECT split, {CM(0.5)} FROM ssplit GROUP BY split)," + _split_auc_sql()))
 def q_evaluate_splits(spark, sf_dir):
     sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_prob")
-    return E.evaluate_splits(d, 0.5)
+    d = sp.select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
+    return E.evaluate_splits(d, 0.5, p="churn_score", rank="churn_margin")
 
 
 @query("compare_thresholds", with_views(
     "SELECT m.*, auc.roc_auc FROM (" + f1_sql(metrics_sql("tcm")) + ") m CROSS JOIN auc",
     extra="tcm AS (SELECT threshold, " + ", ".join(
-        f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+        f"CAST(sum(CASE WHEN Churn = {y} AND churn_score {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
         for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
     + " FROM scored CROSS JOIN (VALUES " + ", ".join(f"({dbl(t)})" for t in C.COMPARE_THRESHOLDS)
     + ") th(threshold) GROUP BY threshold)," + curve_sql()))
 def q_compare_thresholds(spark, sf_dir):
-    return E.compare_thresholds(labelled(spark, sf_dir))
+    return E.compare_thresholds(labelled(spark, sf_dir), p="churn_score", rank="churn_margin")
 
 
 def two_models(spark, sf_dir):
@@ -815,19 +843,21 @@ def q_threshold_tuning_summary(spark, sf_dir):
     "t.tn AS tn_tuned, t.fp AS fp_tuned, t.fn AS fn_tuned, t.tp AS tp_tuned, "
     "t.tp - d.tp AS tp_delta, t.fn - d.fn AS fn_delta, t.fp - d.fp AS fp_delta FROM "
     f"(SELECT {CM(0.5)} FROM scored) d CROSS JOIN (SELECT "
-    + ", ".join(f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} (SELECT threshold FROM best) THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+    + ", ".join(f"CAST(sum(CASE WHEN Churn = {y} AND churn_margin {op} (SELECT margin FROM best) THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
                 for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
     + " FROM scored) t", extra=curve_sql()))
 def q_cm_delta(spark, sf_dir):
+    """E12, on the margin: the default probability 0.5 is margin 0."""
     lab = labelled(spark, sf_dir)
-    tau = E.best_f1_threshold_value(lab)
-    return E.cm_delta(lab, tau)
+    tau = E.best_f1_threshold_value(lab, p="churn_margin")
+    return E.cm_delta(lab, tau, p="churn_margin", default=0.0)
 
 
 @query("model_ranking", with_views("""
 SELECT model, roc_auc, f1,
   CAST(rank() OVER (ORDER BY roc_auc DESC) + (count(*) OVER (PARTITION BY roc_auc) - 1) / 2.0 AS INTEGER) AS auc_rank,
-  CAST(rank() OVER (ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY f1) - 1) / 2.0 AS INTEGER) AS f1_rank
+  CAST(rank() OVER (ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY f1) - 1) / 2.0 AS INTEGER) AS f1_rank,
+  row_number() OVER (ORDER BY roc_auc DESC, model) = 1 AS best_by_auc, row_number() OVER (ORDER BY f1 DESC, model) = 1 AS best_by_f1
 FROM (SELECT a.model, a.roc_auc, m.f1 FROM tauc a JOIN (""" + f1_sql(metrics_sql(
     "(SELECT model, " + ", ".join(
         f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
@@ -840,14 +870,14 @@ def q_model_ranking(spark, sf_dir):
 
 
 @query("threshold_scenario", with_views(
-    "SELECT threshold, CAST(sum(CASE WHEN churn_prob >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS flagged, "
-    f"CAST(sum(CASE WHEN churn_prob >= threshold THEN {CENTS} ELSE 0 END) AS DOUBLE) / 100 AS flagged_mrr, "
-    + ", ".join(f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+    "SELECT threshold, CAST(sum(CASE WHEN churn_score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS flagged, "
+    f"CAST(sum(CASE WHEN churn_score >= threshold THEN {CENTS} ELSE 0 END) AS DOUBLE) / 100 AS flagged_mrr, "
+    + ", ".join(f"CAST(sum(CASE WHEN Churn = {y} AND churn_score {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
                 for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
     + " FROM scored CROSS JOIN (VALUES " + ", ".join(f"({dbl(t)})" for t in C.COMPARE_THRESHOLDS)
     + ") th(threshold) GROUP BY threshold"))
 def q_threshold_scenario(spark, sf_dir):
-    return E.threshold_scenario(scored_view(spark, sf_dir))
+    return E.threshold_scenario(scored_view(spark, sf_dir), p="churn_score")
 
 
 # ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stayline import config as C
 from stayline.operators import explain as X
 from stayline.operators import model as M
-from stayline.plans.oracle import dbl, linear_design_sql, with_views
+from stayline.plans.oracle import SHAP, dbl, linear_design_sql, with_views
 from stayline.plans.registry import query
 from stayline.plans.score import processed_view, scored_view
 from stayline.session import scratch_path
@@ -17,28 +17,6 @@ W = dict(C.LINEAR_WEIGHTS)
 D = linear_design_sql()
 
 
-def _shap_sql() -> str:
-    mu = ", ".join(f"avg({D[f]}) AS mu_{f}" for f in FEATS)
-    cols = ", ".join(f"{D[f]} AS x_{f}, round({dbl(W[f])} * ({D[f]} - mu_{f}), 6) AS phi_{f}" for f in FEATS)
-    base = dbl(C.LINEAR_INTERCEPT) + "".join(f" + mu_{f} * {dbl(W[f])}" for f in FEATS)
-    margin = dbl(C.LINEAR_INTERCEPT) + "".join(f" + {D[f]} * {dbl(W[f])}" for f in FEATS)
-    long = " UNION ALL ".join(
-        f"SELECT customerID, '{f}' AS feature, x_{f} AS feature_value, phi_{f} AS contribution FROM shapw" for f in FEATS)
-    return f"""
-mu AS (SELECT {mu} FROM scored),
-shapw AS (SELECT customerID, {cols}, round({base}, 6) AS base_margin, round({margin}, 6) AS margin
-          FROM scored CROSS JOIN mu),
-shapl AS ({long}),
-topl AS (SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank,
-                feature, contribution, feature_value,
-                CASE WHEN abs(contribution) < 1e-6 THEN 'neutral' WHEN contribution > 0 THEN 'increases_churn'
-                     ELSE 'decreases_churn' END AS direction
-         FROM shapl QUALIFY rank <= {C.TOP_N_DRIVERS})"""
-
-
-SHAP = _shap_sql()
-
-
 def _wide(spark, sf_dir):
     return X.linear_shap(scored_view(spark, sf_dir))
 
@@ -87,12 +65,12 @@ SELECT t.customerID, s.churn_prob, round(1.0 / (1.0 + exp(-w.base_margin)), 6) A
        t.contribution, t.direction
 FROM topl t JOIN keys k ON t.customerID = k.customerID JOIN scored s ON s.customerID = t.customerID
 JOIN shapw w ON w.customerID = t.customerID WHERE t.rank <= 3""",
-    extra=SHAP + ", keys AS (SELECT customerID FROM scored WHERE is_churner ORDER BY churn_prob DESC, customerID LIMIT 10)"))
+    extra=SHAP + ", keys AS (SELECT customerID FROM scored WHERE is_churner)"))
 def q_explain_customers(spark, sf_dir):
-    """X7 for the ten most likely churners (the key list is read from the
-    scored data)."""
+    """X7 for every predicted churner (the key list is read from the scored
+    data)."""
     scored = scored_view(spark, sf_dir)
-    keys = scored.filter("is_churner").orderBy(F.desc("churn_prob"), "customerID").limit(10).select("customerID")
+    keys = scored.filter("is_churner").select("customerID")
     ex = X.explain_customers(X.linear_shap(scored), keys, scored, n=3)
     return ex.select("customerID", "churn_prob", "base_value", F.posexplode("top_features").alias("pos", "t")) \
              .select("customerID", "churn_prob", "base_value", (F.col("pos") + 1).cast("int").alias("rank"),

@@ -23,8 +23,8 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 def _split_metrics(spark, sf_dir, tau):
     sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_prob")
-    return E.metrics_long(E.evaluate_splits(d, tau), names=METRICS)
+    d = sp.select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
+    return E.metrics_long(E.evaluate_splits(d, tau, p="churn_score", rank="churn_margin"), names=METRICS)
 
 
 def _history(spark, sf_dir):
@@ -39,7 +39,7 @@ def _hist_sql() -> str:
     parts = []
     for run_id, ts, tau in RUNS:
         cm = (f"(SELECT split, " + ", ".join(
-            f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} {tau} THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+            f"CAST(sum(CASE WHEN Churn = {y} AND churn_score {op} {tau} THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
             for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
             + " FROM ssplit GROUP BY split) q")
         m = f"SELECT m.*, a.roc_auc FROM ({f1_sql(metrics_sql(cm))}) m JOIN sauc a ON m.split = a.split"

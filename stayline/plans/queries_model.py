@@ -200,8 +200,8 @@ def q_model_feature_importance(spark, sf_dir):
 
 def _threshold_trials(spark, sf_dir) -> DataFrame:
     """Trials = thresholds 0.30..0.70 in order, value = F1 at the threshold."""
-    lab = scored_view(spark, sf_dir).select(F.col("Churn").alias("label"), "churn_prob")
-    ct = E.compare_thresholds(lab)
+    lab = scored_view(spark, sf_dir).select(F.col("Churn").alias("label"), "churn_score")
+    ct = E.compare_thresholds(lab, p="churn_score")
     return ct.select(F.col("threshold"), F.col("f1").alias("value"))
 
 
@@ -209,7 +209,7 @@ def _threshold_trials(spark, sf_dir) -> DataFrame:
     "SELECT threshold, f1 AS value, max(f1) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) AS best_so_far FROM ("
     + f1_sql(metrics_sql("tcm")) + ") z",
     extra="tcm AS (SELECT threshold, " + ", ".join(
-        f"CAST(sum(CASE WHEN Churn = {y} AND churn_prob {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
+        f"CAST(sum(CASE WHEN Churn = {y} AND churn_score {op} threshold THEN 1 ELSE 0 END) AS BIGINT) AS {n}"
         for y, op, n in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp")))
     + " FROM scored CROSS JOIN (VALUES " + ", ".join(f"({dbl(t)})" for t in C.COMPARE_THRESHOLDS)
     + ") th(threshold) GROUP BY threshold)"))
@@ -266,7 +266,7 @@ def q_stacking(spark, sf_dir):
     extra=SCORED_SPLIT + ", sm AS (" + f1_sql(metrics_sql(f"(SELECT split, {CM(0.5)} FROM ssplit GROUP BY split) q")) + ")"))
 def q_overfit_gap(spark, sf_dir):
     sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_prob")
-    met = E.evaluate_splits(d, 0.5)
+    d = sp.select("split", F.col("Churn").alias("label"), "churn_score")
+    met = E.evaluate_splits(d, 0.5, p="churn_score")
     long = E.metrics_long(met, names=("accuracy", "precision", "recall", "f1"))
     return M.overfit_gap(long)

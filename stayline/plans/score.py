@@ -24,18 +24,9 @@ def processed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_view(spark: SparkSession, sf_dir: str, high_value_threshold: float | None = None) -> DataFrame:
-    """C7 -> F14.
-
-    The processed table is read twice (the MonthlyCharges median and the
-    feature projection), so it is written once to the shared checkpoint
-    folder: the expensive orders aggregation runs exactly once and the
-    lineage is cut at a customer-sized table (survives executor loss).
-    """
-    from stayline.session import cut_lineage
-    proc = processed_view(spark, sf_dir)
-    if high_value_threshold is None:
-        proc = cut_lineage(proc)
-    return features.engineer_features(proc, high_value_threshold)
+    """C7 -> F14, lazily.  The MonthlyCharges median is a scalar subquery over
+    its own pruned plan, so a query that needs two columns reads two."""
+    return features.engineer_features(processed_view(spark, sf_dir), high_value_threshold)
 
 
 def score_frame(feat: DataFrame, tau: float = C.DEFAULT_THRESHOLD, inclusive: bool = True,
@@ -44,8 +35,8 @@ def score_frame(feat: DataFrame, tau: float = C.DEFAULT_THRESHOLD, inclusive: bo
     -> rule action.  One projection chain, no shuffle."""
     s = segments.assign_segments(feat, seg_model)
     s = model.linear_score(s)
-    s = s.withColumn("is_churner", X.decide("churn_prob", tau, inclusive))
-    return rules.decide_action(s)
+    s = s.withColumn("is_churner", X.decide("churn_score", tau, inclusive))
+    return rules.decide_action(s, p="churn_score")
 
 
 def scored_view(spark: SparkSession, sf_dir: str, tau: float = C.DEFAULT_THRESHOLD) -> DataFrame:
@@ -104,13 +95,14 @@ def batch_status(raw: DataFrame, scored: DataFrame) -> DataFrame:
             .crossJoin(acts).crossJoin(segs))
 
 
-def prediction_record(scored: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """Nested per-customer record: drivers array, action struct, input
-    echo map."""
+def prediction_record(scored: DataFrame, top: DataFrame | None = None,
+                      tau: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """Nested per-customer record: drivers array, action struct, the
+    threshold it was decided at, input echo map."""
     echo = F.create_map(*[x for c in C.INPUT_COLUMNS for x in (F.lit(c), F.col(c).cast("string"))])
     rec = scored.select(
         "customerID", "segment", "segment_label", "churn_prob", "is_churner",
-        "segment_confidence",
+        "segment_confidence", F.lit(float(tau)).alias("threshold"),
         F.struct(F.col("action_key"), F.col("action_label"), F.col("priority").alias("priority_score"),
                  F.col("reason")).alias("recommended_action"),
         echo.alias("input_features"))

@@ -9,9 +9,10 @@ integer arithmetic only (so any SQL engine reproduces it bit for bit):
 * the "latest order" is picked with ``max_by`` over a packed
   ``(order day, order key)`` long, so the aggregation keeps fixed-width
   buffers and stays a ``HashAggregate`` (no sort),
-* the global last order day is the max over the per-customer latest days
-  (a one-row aggregate of the same exchange, broadcast to all rows), so
-  ``orders`` is scanned exactly once (the aggregate is checkpointed),
+* the global last order day is a scalar subquery over the one date column,
+* customers without orders are kept: tenure 0, a blank total, no contract
+  or payment method, and the label "No" - cleaning drops them and the
+  failed-row report lists them,
 * one join with ``customer`` on the key the aggregate is already
   partitioned by.
 """
@@ -60,7 +61,7 @@ def customer_view_from(orders: DataFrame, cust: DataFrame) -> DataFrame:
     o = orders.select(
         F.col("o_custkey"), packed.alias("packed"), cents.alias("cents"),
         status_code.alias("status_code"), prio_code.alias("prio_code"))
-    per_cust_agg = o.groupBy("o_custkey").agg(
+    per_cust = o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.sum("cents").alias("sum_cents"),
         F.max("packed").alias("latest_packed"),
@@ -68,17 +69,10 @@ def customer_view_from(orders: DataFrame, cust: DataFrame) -> DataFrame:
         F.max_by("status_code", "packed").alias("latest_status"),
         F.max_by("prio_code", "packed").alias("latest_prio"),
     )
-    # The per-customer aggregate feeds the join and the global last day; it
-    # is written once to the shared checkpoint folder so the orders table
-    # (the large one) is scanned exactly once and lineage stops here.
-    from stayline.session import cut_lineage
-    per_cust = cut_lineage(per_cust_agg)
-    # global last order day from the per-customer aggregate (orders are
-    # scanned once; the exchange below is reused for this one-row max)
-    last_day = per_cust.agg(F.max(idiv(F.col("latest_packed"), DAY_SHIFT)).alias("last_day"))
-
-    c = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "inner") \
-        .crossJoin(F.broadcast(last_day))
+    # one pruned column, evaluated once, then a literal
+    last_day = (orders.where("o_custkey is not null")
+                .agg(F.max(F.unix_date(F.to_date("o_orderdate")))).scalar())
+    c = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
 
     key = F.col("c_custkey")
     n = F.col("n_orders")
@@ -125,5 +119,5 @@ def customer_view_from(orders: DataFrame, cust: DataFrame) -> DataFrame:
          .when(F.col("latest_prio").isin(4, 5), "Credit card (automatic)").alias("PaymentMethod"),
         (idiv(F.col("latest_cents"), CENTS_PER_MONTH_UNIT) / 100.0).alias("MonthlyCharges"),
         total_str.alias("TotalCharges"),
-        F.when(F.col("last_day") - latest_day > CHURN_GAP_DAYS, "Yes").otherwise("No").alias("Churn"),
+        F.when(last_day - latest_day > CHURN_GAP_DAYS, "Yes").otherwise("No").alias("Churn"),
     )
