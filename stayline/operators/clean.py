@@ -117,7 +117,7 @@ def validate_features(df: DataFrame, numeric: Sequence[str], categorical: Sequen
         return out.withColumn("unseen", F.lit(0).cast("long")).select(
             "feature", "kind", "rows", "nulls", "uncastable", "unseen")
     levels = long_levels(df, categorical)
-    unseen = (levels.join(F.broadcast(trained_levels), ["feature", "level"], "left_anti")
+    unseen = (levels.join(trained_levels, ["feature", "level"], "left_anti")
               .groupBy("feature").agg(F.sum("n").alias("unseen")))
     return (out.join(unseen, "feature", "left")
             .select("feature", "kind", "rows", "nulls", "uncastable",
@@ -209,7 +209,8 @@ def missing_row_inspection(raw: DataFrame) -> DataFrame:
 
 def background_sample(df: DataFrame, n: int = 200, seed: int = C.SEED, cap: int = 500,
                       key: str = KEY, target: str = "Churn") -> DataFrame:
-    """C17: reproducible sample of n rows (capped), target dropped.
+    """C17: reproducible sample of n rows, target dropped.  ``cap`` is the
+    largest sample allowed (the explainer's bound); asking for more is an error.
 
     Rows are ordered by a seeded md5 of the key, so the sample does not
     depend on partitioning (unlike ``sample``) and any engine draws the same
@@ -217,7 +218,8 @@ def background_sample(df: DataFrame, n: int = 200, seed: int = C.SEED, cap: int
     top-n, then a merge of n rows per partition), not a global sort.
     """
     from stayline.operators.features import hash_order
-    n = min(n, cap)
+    if n > cap:
+        raise ValueError(f"a background sample has {cap} rows at most")
     out = df.withColumn("__h", hash_order(key, seed)).orderBy("__h", key).limit(n).drop("__h")
     return out.drop(target) if target in out.columns else out
 

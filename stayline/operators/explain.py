@@ -7,21 +7,22 @@
 * Batch aggregates (X5/X6) are one ``groupBy(feature)`` over the long form
   with exact micro-unit sums.
 * TreeSHAP (X1) for Spark GBT models: the fitted trees are read from the
-  saved model (a few thousand nodes), broadcast, and the path-dependent
-  algorithm of Lundberg et al. (2018) runs per Arrow batch in
-  ``mapInPandas``.  Contributions are reported on the log-odds scale (2F
+  saved model (a few thousand nodes), their leaf paths are listed once, and
+  every path is evaluated for a whole Arrow batch in ``mapInPandas``.  Contributions are reported on the log-odds scale (2F
   for Spark's GBT margin F), so base + sum(phi) = logit(p).
-* Sampled Shapley (X10) runs seeded permutations against a small background
-  sample, again per Arrow batch.
+* Sampled Shapley (X10) crosses rows with a bounded background and predicts
+  all hybrids in one pass of the model.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,60 +200,53 @@ def _expected_value(t: dict, node: int = 0) -> float:
     return (t["cover"][l] * _expected_value(t, l) + t["cover"][r] * _expected_value(t, r)) / c
 
 
-def _unwound_sum(zf, of, pw, d, k):
-    one, zero, nxt, total = of[k], zf[k], pw[d], 0.0
-    for i in range(d - 1, -1, -1):
-        if one != 0:
-            tmp = nxt * (d + 1) / ((i + 1) * one)
-            total += tmp
-            nxt = pw[i] - tmp * zero * ((d - i) / (d + 1))
-        else:
-            total += (pw[i] / zero) / ((d - i) / (d + 1))
-    return total
-
-
-def _unwind(fi, zf, of, pw, d, k):
-    one, zero, nxt = of[k], zf[k], pw[d]
-    pw = list(pw)
-    for i in range(d - 1, -1, -1):
-        if one != 0:
-            tmp = pw[i]
-            pw[i] = nxt * (d + 1) / ((i + 1) * one)
-            nxt = tmp - pw[i] * zero * (d - i) / (d + 1)
-        else:
-            pw[i] = pw[i] * (d + 1) / (zero * (d - i))
-    return fi[:k] + fi[k + 1:], zf[:k] + zf[k + 1:], of[:k] + of[k + 1:], pw[:d]
-
-
-def tree_shap_row(x: np.ndarray, t: dict, phi: np.ndarray, scale: float) -> None:
-    """Path-dependent TreeSHAP of one tree for one row (adds into phi)."""
-    left, right, feat, thr, cats, val, cover = (t["left"], t["right"], t["feat"], t["thr"], t["cats"],
-                                                t["val"], t["cover"])
-
-    def recurse(n, d, fi, zf, of, pw, pz, po, pfi):
-        fi, zf, of = fi[:d] + [pfi], zf[:d] + [pz], of[:d] + [po]
-        pw = pw[:d] + [1.0 if d == 0 else 0.0]
-        for i in range(d - 1, -1, -1):
-            pw[i + 1] += po * pw[i] * (i + 1) / (d + 1)
-            pw[i] = pz * pw[i] * (d - i) / (d + 1)
-        if left[n] < 0:
-            for i in range(1, d + 1):
-                w = _unwound_sum(zf, of, pw, d, i)
-                phi[fi[i]] += w * (of[i] - zf[i]) * val[n] * scale
-            return
-        f = feat[n]
-        goes_left = (x[f] in cats[n]) if cats[n] is not None else (x[f] <= thr[n])
-        h, c = (left[n], right[n]) if goes_left else (right[n], left[n])
-        iz = io = 1.0
-        k = next((i for i in range(1, d + 1) if fi[i] == f), None)
-        if k is not None:
-            iz, io = zf[k], of[k]
-            fi, zf, of, pw = _unwind(fi, zf, of, pw, d, k)
-            d -= 1
-        recurse(h, d + 1, fi, zf, of, pw, cover[h] / cover[n] * iz, io, f)
-        recurse(c, d + 1, fi, zf, of, pw, cover[c] / cover[n] * iz, 0.0, f)
+def leaf_paths(t: dict) -> list[tuple]:
+    """Every leaf as (value, {feature: (share of training rows kept, tests)}):
+    the tests (node, goes left) of the splits on a feature along the path,
+    and the product of the cover ratios at those splits."""
+    out = []
 
-    recurse(0, 0, [], [], [], [], 1.0, 1.0, -1)
+    def down(n: int, path: dict) -> None:
+        if t["left"][n] < 0:
+            out.append((t["val"][n], path))
+            return
+        f = int(t["feat"][n])
+        for child, to_left in ((t["left"][n], True), (t["right"][n], False)):
+            share, tests = path.get(f, (1.0, ()))
+            down(child, {**path, f: (share * t["cover"][child] / t["cover"][n], (*tests, (n, to_left)))})
+
+    down(0, {})
+    return out
+
+
+def tree_shap_batch(x: np.ndarray, t: dict, paths: list[tuple]) -> np.ndarray:
+    """Path-dependent Shapley values of one tree for all rows of ``x``.
+
+    For a leaf of value v with features 1..m on its path, a row that passes
+    the tests of feature j has o_j = 1, else 0; z_j is the share of training
+    rows that pass.  The leaf gives feature i the value v (o_i - z_i) times the
+    sum over subsets S of the other features of |S|! (m-1-|S|)! / m! * prod_S o
+    * prod_rest z, whose sums by size are the coefficients of prod (z_j + o_j u)."""
+    phi = np.zeros_like(x)
+    passes = {}
+    for n in np.flatnonzero(t["left"] >= 0):
+        v = x[:, t["feat"][n]]
+        passes[int(n)] = np.isin(v, list(t["cats"][n])) if t["cats"][n] is not None else v <= t["thr"][n]
+    for value, path in paths:
+        m = len(path)
+        if not m or not value:
+            continue
+        feats = list(path)
+        z = [path[f][0] for f in feats]
+        o = [np.logical_and.reduce([passes[n] if left else ~passes[n] for n, left in path[f][1]]).astype(float) for f in feats]
+        weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+        for i, f in enumerate(feats):
+            poly = [np.ones(len(x))]
+            for j in range(m):
+                if j != i:
+                    poly = [(poly[k] * z[j] if k < len(poly) else 0.0) + (poly[k - 1] * o[j] if k else 0.0) for k in range(len(poly) + 1)]
+            phi[:, f] += value * (o[i] - z[i]) * sum(w * c for w, c in zip(weight, poly))
+    return phi
 
 
 def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: str = "customerID",
@@ -265,17 +259,15 @@ def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: s
     base = 2.0 * sum(w * _expected_value(t) for t, w in zip(trees, weights))
     inp = df.select(F.col(key), vector_to_array(vec).alias("__x"))
 
+    paths = [leaf_paths(t) for t in trees]
+
     def run(batches):
         for pdf in batches:
-            contribs, margins = [], []
-            for x in pdf["__x"]:
-                x = np.asarray(x, dtype=float)
-                phi = np.zeros(n_features)
-                for t, w in zip(trees, weights):
-                    tree_shap_row(x, t, phi, 2.0 * w)
-                contribs.append(phi.tolist())
-                margins.append(base + float(phi.sum()))
-            yield pd.DataFrame({key: pdf[key], "base_value": base, "margin": margins, "contributions": contribs})
+            if not len(pdf):
+                continue
+            x = np.array(pdf["__x"].tolist(), dtype=float)
+            phi = sum(2.0 * w * tree_shap_batch(x, t, p) for t, w, p in zip(trees, weights, paths))
+            yield pd.DataFrame({key: pdf[key], "base_value": base, "margin": base + phi.sum(1), "contributions": phi.tolist()})
 
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("base_value", T.DoubleType()),
                            T.StructField("margin", T.DoubleType()),
@@ -290,47 +282,46 @@ def tree_shap_long(shap: DataFrame, names: Sequence[str], key: str = "customerID
 
 
 # ---------------------------------------------------------------------------
-# Sampled Shapley (model-agnostic) for the deployed linear score
+# Sampled Shapley (model-agnostic)
 # ---------------------------------------------------------------------------
 
-def sampled_shapley(df: DataFrame, background: DataFrame, n_perm: int = 16, seed: int = C.SEED,
-                    key: str = "customerID") -> DataFrame:
-    """Monte-Carlo Shapley values with seeded feature permutations.
-
-    For each row and permutation, features switch from a background row to
-    the row's value in permutation order; the margin change is credited to
-    the switched feature.  The background (<= 100 rows) is collected once and
-    shipped with the function; rows stream through ``mapInPandas``.
-    """
-    d = linear_design()
-    bg = background.select(*[F.coalesce(d[f], F.lit(0.0)).alias(f) for f in FEATURES]).limit(100).toPandas()
-    bgm = bg.to_numpy(dtype=float)
-    w = np.array([WEIGHTS[f] for f in FEATURES])
-    b0 = float(C.LINEAR_INTERCEPT)
-    rng = np.random.default_rng(seed)
-    perms = [rng.permutation(len(FEATURES)) for _ in range(n_perm)]
-    picks = rng.integers(0, max(len(bgm), 1), size=n_perm)
-    inp = df.select(F.col(key), *[F.coalesce(d[f], F.lit(0.0)).alias(f) for f in FEATURES])
-
-    def margin(v):
-        return b0 + float(v @ w)
-
-    def run(batches):
-        for pdf in batches:
-            xs = pdf[FEATURES].to_numpy(dtype=float)
-            out = np.zeros_like(xs)
-            for r, x in enumerate(xs):
-                for perm, pick in zip(perms, picks):
-                    z = bgm[pick].copy()
-                    prev = margin(z)
-                    for j in perm:
-                        z[j] = x[j]
-                        cur = margin(z)
-                        out[r, j] += cur - prev
-                        prev = cur
-            out /= len(perms)
-            yield pd.DataFrame({key: pdf[key], **{f"phi_{f}": out[:, i] for i, f in enumerate(FEATURES)}})
-
-    schema = T.StructType([T.StructField(key, T.LongType())] +
-                          [T.StructField(f"phi_{f}", T.DoubleType()) for f in FEATURES])
-    return inp.mapInPandas(run, schema)
+def linear_predict(df: DataFrame) -> DataFrame:
+    """The deployed linear score as a ``predict`` for X10: adds ``value`` (the margin)."""
+    margin = F.lit(float(C.LINEAR_INTERCEPT))
+    for f in FEATURES:
+        margin = margin + F.col(f) * F.lit(float(WEIGHTS[f]))
+    return df.withColumn("value", margin)
+
+
+def sampled_shapley(df: DataFrame, background: DataFrame, features: Sequence[str], predict, n_perm: int = 1,
+                    seed: int = C.SEED, key: str = "customerID", max_background: int = 500) -> DataFrame:
+    """Monte-Carlo Shapley values of any model, (key, feature, contribution).
+
+    ``predict`` takes a frame with ``features`` and adds ``value``.  Each row is
+    crossed with every background row (``max_background`` at most, checked) in
+    ``n_perm`` seeded feature orders of its own; along an order the
+    features switch from the background row's values to the row's, one by one.
+    All these hybrids are predicted in one pass, and the change of the value
+    at a switch is credited to the feature."""
+    features, spark = list(features), df.sparkSession
+    size = background.limit(max_background + 1).count()
+    if size > max_background:
+        raise ValueError(f"the background has more than {max_background} rows")
+    rng = random.Random(seed)
+    orders = []
+    for b in range(size * n_perm):
+        order = list(range(len(features)))
+        rng.shuffle(order)
+        place = {f: i + 1 for i, f in enumerate(order)}
+        orders.append((b // n_perm, b % n_perm, [place[i] for i in range(len(features))], [features[i] for i in order]))
+    plan = spark.createDataFrame(orders, "__b int, __p int, __place array<int>, __order array<string>")
+    bg = background.select(*[F.col(f).alias(f"__bg_{f}") for f in features])
+    bg = bg.withColumn("__b", F.row_number().over(Window.orderBy(*bg.columns)) - 1).join(plan, "__b")     # max_background rows
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("__step")
+    rows = (df.select(key, *features).crossJoin(F.broadcast(bg)).select("*", steps))
+    rows = rows.withColumns({f: F.when(F.col("__place")[i] <= F.col("__step"), F.col(f)).otherwise(F.col(f"__bg_{f}"))
+                             for i, f in enumerate(features)}).drop(*[f"__bg_{f}" for f in features])
+    got = predict(rows).groupBy(key, "__b", "__p").agg(
+        F.sort_array(F.collect_list(F.struct("__step", "value"))).alias("v"), F.first("__order").alias("__order"))
+    diff = F.transform("__order", lambda f, i: F.struct(f.alias("feature"), (F.get(F.col("v"), i + 1)["value"] - F.get(F.col("v"), i)["value"]).alias("d")))
+    return got.select(key, F.inline(diff)).groupBy(key, "feature").agg(F.avg("d").alias("contribution"))

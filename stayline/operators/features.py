@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline import config as C
@@ -44,7 +44,7 @@ def high_value_threshold(df: DataFrame) -> float:
     return float(median_of(df, "MonthlyCharges").first()[0])
 
 
-def engineer_features(df: DataFrame, high_value_threshold: float | None = None,
+def engineer_features(df: DataFrame, high_value_threshold: float | Column | None = None,
                       bins: Sequence[float] = C.TENURE_BINS,
                       labels: Sequence[str] = C.TENURE_LABELS) -> DataFrame:
     """all engineered features, each guarded by column presence."""
@@ -55,7 +55,7 @@ def engineer_features(df: DataFrame, high_value_threshold: float | None = None,
         # scalar subquery: computed once, used as a literal by every row
         thr = median_of(df, "MonthlyCharges").scalar()
     else:
-        thr = F.lit(high_value_threshold)
+        thr = high_value_threshold if isinstance(high_value_threshold, Column) else F.lit(high_value_threshold)
     new = {}
     if has_billing:
         new["avg_monthly_spend"] = avg_monthly_spend()

@@ -11,14 +11,17 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +136,7 @@ def train_churn(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATE
     from stayline.operators.features import stratified_split
     data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
     data = data.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data.filter("split = 'train'"))
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     enc_all = enc.transform(data)
     gbt = gbt_estimator(**gbt_kw).fit(enc_all.filter("split IN ('train', 'validation')"))
     scored = positive_probability(gbt.transform(enc_all)).select(
@@ -142,6 +145,14 @@ def train_churn(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATE
     return enc, gbt, tau, scored
 
 
+def predict(df: DataFrame, model: dict) -> DataFrame:
+    """M2 with a stored model (``sources.io.load_churn_model``): probability
+    and decision of every row."""
+    data = model["classifier"].transform(model["encoder"].transform(prepare_model_input(df)))
+    out = positive_probability(data).withColumn("is_churner", F.col("churn_prob") >= model["tau"])
+    return out.select("customerID", "churn_prob", "is_churner")
+
+
 def logistic_baseline(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
                       label: str = "Churn", reg: float = 0.0):
     """M3: population-scaled numerics + drop-first one-hot -> logistic regression.
@@ -151,7 +162,7 @@ def logistic_baseline(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
                                numeric, categorical, label)
     stats = fit_scaler(data.filter("split = 'train'"), numeric)
     data = standard_scale(data, stats)
-    pipe = Pipeline(stages=encoder_stages(numeric, categorical, "keep") +
+    pipe = Pipeline(stages=encoder_stages(numeric, categorical) +
                     [LogisticRegression(labelCol="label", featuresCol="features", regParam=reg, maxIter=100)])
     model = pipe.fit(data.filter("split = 'train'"))
     scored = positive_probability(model.transform(data)).select(
@@ -171,14 +182,14 @@ def model_families(seed: int = C.SEED) -> dict:
 
 def model_leaderboard(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
                       label: str = "Churn", families: dict | None = None) -> DataFrame:
-    """M5: fit each family on train, evaluate train and test, sort by test
-    recall then AUC.  Scored frames of all families are unioned and
+    """M5: fit each family on train; one row per family with its train and
+    test metrics, by test recall, then AUC.  Scored frames of all families are unioned and
     evaluated in one grouped aggregation."""
     from stayline.operators.evaluate import evaluate_grouped
     from stayline.operators.features import stratified_split
     data = prepare_model_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
                                numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data.filter("split = 'train'"))
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     data = enc.transform(data).select("customerID", "split", "label", "features").cache()
     scored = []
     for name, est in (families or model_families()).items():
@@ -188,68 +199,68 @@ def model_leaderboard(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
     allsc = reduce(DataFrame.unionByName, scored)
     metrics = evaluate_grouped(allsc.withColumn("pred", (F.col("churn_prob") >= 0.5).cast("int")),
                                ["model", "split"], "label", "pred", "churn_prob")
-    return metrics.orderBy(F.desc(F.when(F.col("split") == "test", F.col("recall"))), F.desc("roc_auc"))
+    names = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    side = lambda s: metrics.where(F.col("split") == s).select("model", *[F.col(c).alias(f"{s}_{c}") for c in names])
+    return side("train").join(side("test"), "model").orderBy(F.desc("test_recall"), F.desc("test_roc_auc"), "model")
+
 
+SPACE = {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "maxIter": [10, 20, 30], "subsamplingRate": [0.6, 0.8, 1.0]}
 
-def random_search_cv(df: DataFrame, n_iter: int = 6, k: int = 3, seed: int = C.SEED,
+
+def random_search_cv(df: DataFrame, n_iter: int = 60, k: int = 5, seed: int = C.SEED,
                      numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn",
-                     space: dict | None = None) -> DataFrame:
+                     space: dict | None = None, parallelism: int = 4) -> DataFrame:
     """M6: seeded random parameter draws x stratified k folds -> mean AUC.
 
-    Each (draw, fold) fit is a distributed GBT fit; fold scores are unioned
-    and the AUC per (draw, fold) comes from one grouped exact-AUC job.
-    Returns one row per draw with its parameters and mean AUC, best first.
+    ``CrossValidator`` fits ``parallelism`` models at a time on the folds of
+    F23.  Returns one row per draw with its parameters and mean AUC, best first.
     """
-    from stayline.operators.evaluate import roc_auc_grouped
     from stayline.operators.features import stratified_kfold
-    space = space or {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.2],
-                      "maxIter": [10, 20, 30], "subsamplingRate": [0.6, 0.8, 1.0]}
+    space = space or SPACE
     rng = random.Random(seed)
     draws = [{p: rng.choice(v) for p, v in space.items()} for _ in range(n_iter)]
     data = prepare_model_input(stratified_kfold(df, k=k, label=label), numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data)
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data)
     data = enc.transform(data).select("fold", "label", "features").cache()
-    parts = []
-    for i, params in enumerate(draws):
-        for f in range(k):
-            est = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **params)
-            m = est.fit(data.filter(F.col("fold") != f))
-            parts.append(positive_probability(m.transform(data.filter(F.col("fold") == f)))
-                         .select(F.lit(i).alias("draw"), F.lit(f).alias("fold"), "label", "churn_prob"))
-    aucs = roc_auc_grouped(reduce(DataFrame.unionByName, parts), ["draw", "fold"], "label", "churn_prob")
-    res = aucs.groupBy("draw").agg(F.avg("roc_auc").alias("mean_auc"), F.stddev_pop("roc_auc").alias("std_auc"))
-    pdf = df.sparkSession.createDataFrame(
-        [(i, *[float(d[p]) for p in space]) for i, d in enumerate(draws)],
-        "draw int, " + ", ".join(f"{p} double" for p in space))
-    return res.join(pdf, "draw").orderBy(F.desc("mean_auc"), "draw")
-
-
-def refine_search(df: DataFrame, best: dict, n_iter: int = 4, seed: int = C.SEED,
-                  numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn") -> DataFrame:
-    """M7: seeded draws inside a narrowed range around ``best``, scored on
-    the validation split; delta vs the phase-1 score is left to the caller."""
-    from stayline.operators.evaluate import roc_auc_grouped
+    est = GBTClassifier(labelCol="label", featuresCol="features", seed=seed)
+    maps = [{est.getParam(p): v for p, v in d.items()} for d in draws]
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="label"),
+                        numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed).fit(data)
+    data.unpersist()
+    rows = sorted(((i, float(m), float(s), *[float(d[p]) for p in space])
+                   for i, (m, s, d) in enumerate(zip(cv.avgMetrics, cv.stdMetrics, draws))), key=lambda r: (-r[1], r[0]))
+    return df.sparkSession.createDataFrame(rows, "draw int, mean_auc double, std_auc double, " + ", ".join(f"{p} double" for p in space))
+
+
+def refine_search(df: DataFrame, phase1: DataFrame, n_iter: int = 30, seed: int = C.SEED,
+                  numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn", parallelism: int = 4) -> DataFrame:
+    """M7: seeded draws in a narrowed range around the winner of phase 1
+    (``random_search_cv``'s table), scored on the validation split next to the
+    winner itself; ``delta`` is the gain over the winner's score."""
     from stayline.operators.features import stratified_split
+    best = phase1.orderBy(F.desc("mean_auc"), "draw").first().asDict()
+    best = {"maxDepth": int(best.get("maxDepth", 4)), "stepSize": float(best.get("stepSize", 0.1)), "maxIter": int(best.get("maxIter", 20))}
     rng = random.Random(seed + 1)
-    draws = []
-    for _ in range(n_iter):
-        draws.append({
-            "maxDepth": max(2, int(best.get("maxDepth", 4)) + rng.choice([-1, 0, 1])),
-            "stepSize": float(best.get("stepSize", 0.1)) * rng.choice([0.5, 0.75, 1.0, 1.5]),
-            "maxIter": max(5, int(best.get("maxIter", 20)) + rng.choice([-10, 0, 10])),
-        })
+    draws = [best] + [{
+        "maxDepth": max(2, best["maxDepth"] + rng.choice([-1, 0, 1])),
+        "stepSize": best["stepSize"] * rng.choice([0.5, 0.75, 1.0, 1.5]),
+        "maxIter": max(5, best["maxIter"] + rng.choice([-10, 0, 10])),
+    } for _ in range(n_iter)]
     data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data.filter("split = 'train'"))
-    data = enc.transform(data).select("split", "label", "features").cache()
-    parts = []
-    for i, p in enumerate(draws):
-        m = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **p).fit(data.filter("split = 'train'"))
-        parts.append(positive_probability(m.transform(data.filter("split = 'validation'")))
-                     .select(F.lit(i).alias("draw"), "label", "churn_prob"))
-    aucs = roc_auc_grouped(reduce(DataFrame.unionByName, parts), ["draw"], "label", "churn_prob")
-    pdf = df.sparkSession.createDataFrame([(i, d["maxDepth"], d["stepSize"], d["maxIter"]) for i, d in enumerate(draws)],
-                                          "draw int, maxDepth int, stepSize double, maxIter int")
-    return aucs.join(pdf, "draw").orderBy(F.desc("roc_auc"), "draw")
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
+    data = enc.transform(data).where("split <> 'test'").select((F.col("split") == "validation").cast("int").alias("fold"), "label", "features").cache()
+    train, val = data.where("fold = 0"), data.where("fold = 1")
+    judge = BinaryClassificationEvaluator(labelCol="label")
+
+    def auc(p: dict) -> float:
+        return judge.evaluate(GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **p).fit(train).transform(val))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        got = list(pool.map(auc, draws))
+    data.unpersist()
+    rows = [(i, float(a), float(a - got[0]), d["maxDepth"], d["stepSize"], d["maxIter"]) for i, (a, d) in enumerate(zip(got, draws))]
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])),
+                                           "draw int, roc_auc double, delta double, maxDepth int, stepSize double, maxIter int")
 
 
 def early_stopping_fit(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
@@ -259,7 +270,7 @@ def early_stopping_fit(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHU
     from stayline.operators.features import stratified_split
     data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
     data = data.withColumn("is_val", F.col("split") == "validation")
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data.filter("split = 'train'"))
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     data = enc.transform(data).filter("split IN ('train', 'validation')")
     m = gbt_estimator(max_iter=max_iter, weight_col=None, validation_col="is_val").fit(data)
     return m, m.getNumTrees
@@ -273,22 +284,6 @@ def model_feature_importance(model, feature_names: Sequence[str], top: int = 20,
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def encoded_feature_names(enc: PipelineModel, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL):
-    """Names of the assembled vector slots: numerics, then one slot per
-    one-hot level kept.  With handleInvalid='error' the last index (the
-    alphabetically first level) is dropped; with 'keep' the dropped slot is
-    the invalid bucket, so every real level keeps a slot."""
-    from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
-    names = list(numeric)
-    indexers = [s for s in enc.stages if isinstance(s, StringIndexerModel)]
-    ohe = next(s for s in enc.stages if isinstance(s, OneHotEncoderModel))
-    keep = ohe.getHandleInvalid() == "keep"
-    for c, si in zip(categorical, indexers):
-        labels = si.labels if keep else si.labels[:-1]
-        names += [f"{c}_{lv}" for lv in labels]
-    return names
-
-
 def best_so_far(trials: DataFrame, order: str = "trial", value: str = "value") -> DataFrame:
     """Running maximum over trials (trial tables are small: one row
     per fitted model)."""
@@ -313,28 +308,35 @@ def ensemble_weighted(scores: DataFrame, weights: DataFrame, key: str = "custome
 
 
 def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
-             label: str = "Churn", reg: float = 0.01, seed: int = C.SEED):
-    """Out-of-fold base probabilities (k folds) -> logistic meta-learner.
-    Returns (meta model, OOF frame with one column per base model)."""
-    from stayline.operators.features import stratified_kfold
-    data = prepare_model_input(stratified_kfold(df, k=k, label=label), numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical, "keep")).fit(data)
-    data = enc.transform(data).select("customerID", "fold", "label", "features").cache()
-    bases = {"gbt": GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=3, seed=seed),
-             "rf": RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=30, maxDepth=5, seed=seed),
-             "lr": LogisticRegression(labelCol="label", featuresCol="features", maxIter=50)}
-    oof = None
+             label: str = "Churn", reg: float = 0.01, seed: int = C.SEED, bases: dict | None = None):
+    """Out-of-fold base probabilities on train + validation (k folds) ->
+    logistic meta-learner; the base models, fitted again on all of it, and
+    the meta-learner score the test split.  Returns (meta model, scored frame
+    with ``split`` ('oof' or 'test'), label, p_<base> and meta_prob)."""
+    from stayline.operators.features import stratified_kfold, stratified_split
+    data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.where("split <> 'test'"))
+    data = enc.transform(data).select("customerID", "split", F.col(label).alias("__y"), "label", "features")
+    rest = stratified_kfold(data.where("split <> 'test'"), k=k, label="__y").cache()
+    test = data.where("split = 'test'").cache()
+    bases = bases or {
+        "gbt": GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=3, seed=seed),
+        "rf": RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=30, maxDepth=5, seed=seed),
+        "lr": LogisticRegression(labelCol="label", featuresCol="features", maxIter=50)}
+
+    def scores(est, train: DataFrame, on: DataFrame, name: str) -> DataFrame:
+        return positive_probability(est.fit(train).transform(on), f"p_{name}").select("customerID", "label", f"p_{name}")
+
+    sides = {}
     for name, est in bases.items():
-        parts = []
-        for f in range(k):
-            m = est.fit(data.filter(F.col("fold") != f))
-            parts.append(positive_probability(m.transform(data.filter(F.col("fold") == f)), f"p_{name}")
-                         .select("customerID", "label", f"p_{name}"))
-        u = reduce(DataFrame.unionByName, parts)
-        oof = u if oof is None else oof.join(u.drop("label"), "customerID")
-    meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_features").transform(oof)
-    meta = LogisticRegression(labelCol="label", featuresCol="meta_features", regParam=reg).fit(meta_in)
-    return meta, oof
+        oof = reduce(DataFrame.unionByName, [scores(est, rest.where(F.col("fold") != f), rest.where(F.col("fold") == f), name) for f in range(k)])
+        for split, part in (("oof", oof), ("test", scores(est, rest, test, name))):
+            sides[split] = part if split not in sides else sides[split].join(part.drop("label"), "customerID")
+    both = reduce(DataFrame.unionByName, [d.withColumn("split", F.lit(s)) for s, d in sides.items()])
+    both = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_features").transform(both)
+    meta = LogisticRegression(labelCol="label", featuresCol="meta_features", regParam=reg).fit(both.where("split = 'oof'"))
+    out = positive_probability(meta.transform(both), "meta_prob").drop("meta_features", "rawPrediction", "probability", "prediction")
+    return meta, out
 
 
 def overfit_gap(metrics: DataFrame, metric_col: str = "value", tolerance: float = 0.05) -> DataFrame:

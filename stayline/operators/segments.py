@@ -9,22 +9,24 @@ A model is a plain dict::
   ``sum((z - c)^2) + gamma * sum(cat != mode)`` as native expressions over
   literal prototypes, then the nearest id (ties -> lowest id), the cost and
   the confidence ``1 - d1/d2``.  No shuffle.
-* **fit** (G1) is Lloyd's algorithm as a short loop of Spark jobs: every
-  iteration is *one* aggregation that returns, per cluster, the numeric
-  sums and the (feature, level) counts - the driver only ever sees
-  k x (features + levels) numbers.  The prototypes travel back to the
-  executors as literals inside the next plan.  Initialisation follows Cao
-  et al. (2009) density/distance selection on the categorical part; it
-  needs per-(feature, level) frequencies (one aggregation) and k passes
-  that each pick the row with the largest score (``max_by``, a partial
-  aggregate).
+* **fit** (G1) is Lloyd's algorithm as a short loop of Spark jobs: one job
+  per iteration assigns every row for all starts at once (NumPy over Arrow
+  batches) and adds up, per start and cluster, the numeric sums and the level
+  counts - the driver only ever sees starts x k x (features + levels)
+  numbers.  Initialisation follows Cao et al. (2009) density/distance selection
+  on the categorical part: the level counts (one aggregation) and k
+  passes that each pick the row with the largest score (``max_by``, a
+  partial aggregate).
 """
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,6 +202,9 @@ def segment_mix(assigned: DataFrame, feature: str) -> DataFrame:
 # Fitting (G1, G2, G5)
 # ---------------------------------------------------------------------------
 
+MAX_LEVELS = 1000
+
+
 def _prepare(df: DataFrame, numeric, categorical, scaler) -> DataFrame:
     cols = [F.col(SEG_KEY)] if SEG_KEY in df.columns else []
     return df.select(*cols,
@@ -207,118 +212,176 @@ def _prepare(df: DataFrame, numeric, categorical, scaler) -> DataFrame:
                      *[_cat(c).alias(f"c{j}") for j, c in enumerate(categorical)])
 
 
-def cao_init(prep: DataFrame, k: int, n_num: int, n_cat: int, seed: int) -> list:
+def level_counts(prep: DataFrame, n_cat: int) -> list[dict]:
+    """Per categorical column its levels with their numbers of rows; more than
+    ``MAX_LEVELS`` levels in all columns together is an error."""
+    stack = ", ".join(f"{j}, c{j}" for j in range(n_cat))
+    rows = (prep.selectExpr(f"stack({n_cat}, {stack}) AS (j, level)").groupBy("j", "level").agg(F.count(F.lit(1)).alias("n"))
+            .limit(MAX_LEVELS + 1).collect())
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} categorical levels")
+    out: list[dict] = [{} for _ in range(n_cat)]
+    for r in rows:
+        out[r["j"]][r["level"]] = r["n"]
+    return out
+
+
+def cao_init(prep: DataFrame, k: int, n_num: int, n_cat: int, seed: int, levels: list[dict] | None = None) -> list:
     """Cao density/distance initialisation for the categorical modes.
 
     density(x) = mean over features of freq(x_j)/n.  The first seed is the
     densest row; each next seed maximises min over chosen seeds of
     (mismatch distance * density).  Numeric seeds are the z-values of the
-    chosen rows (a seeded tie-break by hash of the key).
+    chosen rows; ties go to the largest md5 of "seed:key", then key.
     """
-    n = prep.count()
-    stack = ", ".join(f"{j}, c{j}" for j in range(n_cat))
-    freq = (prep.selectExpr(f"stack({n_cat}, {stack}) AS (j, level)")
-            .groupBy("j", "level").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("f")))
-    # density as a sum of joined frequencies; freq has (features x levels) rows
-    dens = prep
+    levels = levels or level_counts(prep, n_cat)
+    count = F.lit(0)
     for j in range(n_cat):
-        fj = F.broadcast(freq.filter(F.col("j") == j).select(F.col("level").alias(f"c{j}"),
-                                                             F.col("f").alias(f"__f{j}")))
-        dens = dens.join(fj, f"c{j}", "left")
-    dens = dens.withColumn("__dens", reduce(lambda a, b: a + b,
-                                            [F.col(f"__f{j}") for j in range(n_cat)]) / F.lit(float(n_cat)))
-    tie = F.xxhash64(F.col(SEG_KEY), F.lit(seed)) if SEG_KEY in prep.columns else F.lit(0)
-    dens = dens.withColumn("__tie", tie)
+        known = F.create_map(*[F.lit(x) for lv, c in sorted(levels[j].items()) for x in (lv, c)])
+        count = count + known[F.col(f"c{j}")]
+    dens = prep.withColumn("__count", count)
+    tie = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(SEG_KEY).cast("string"))), F.col(SEG_KEY)] if SEG_KEY in prep.columns else []
     payload = F.struct(*[F.col(f"z{i}") for i in range(n_num)], *[F.col(f"c{j}") for j in range(n_cat)])
-    first = dens.agg(F.max_by(payload, F.struct(F.col("__dens"), F.col("__tie"))).alias("p")).first()["p"]
-    seeds = [first]
+    seeds: list = []
     while len(seeds) < k:
-        dists = []
-        for s in seeds:
-            mism = reduce(lambda a, b: a + b, [(F.col(f"c{j}") != F.lit(s[n_num + j])).cast("int")
-                                               for j in range(n_cat)])
-            dists.append(mism.cast("double") * F.col("__dens"))
-        score = F.least(*dists) if len(dists) > 1 else dists[0]
-        nxt = dens.agg(F.max_by(payload, F.struct(score, F.col("__tie"))).alias("p")).first()["p"]
-        seeds.append(nxt)
+        # mismatches * level counts: an integer in the order of distance * density
+        score = F.col("__count")
+        if seeds:
+            dists = [reduce(lambda a, b: a + b, [(F.col(f"c{j}") != F.lit(s[n_num + j])).cast("long") for j in range(n_cat)]) * F.col("__count")
+                     for s in seeds]
+            score = F.least(*dists) if len(dists) > 1 else dists[0]
+        seeds.append(dens.agg(F.max_by(payload, F.struct(score, *tie)).alias("p")).first()["p"])
     return [([float(s[i]) for i in range(n_num)], [s[n_num + j] for j in range(n_cat)]) for s in seeds]
 
 
-def _lloyd_step(prep: DataFrame, protos: list, gamma: float, n_num: int, n_cat: int):
-    """One assignment + update pass as a single aggregation."""
-    d = []
-    for num, modes in protos:
-        sq = [(F.col(f"z{i}") - F.lit(v)) * (F.col(f"z{i}") - F.lit(v)) for i, v in enumerate(num)]
-        mm = [(F.col(f"c{j}") != F.lit(m)).cast("int") for j, m in enumerate(modes)]
-        d.append(reduce(lambda a, b: a + b, sq) + F.lit(gamma) * reduce(lambda a, b: a + b, mm).cast("double"))
-    dmin = F.least(*d)
-    seg = None
-    for i, e in enumerate(d):
-        seg = F.when(e == dmin, F.lit(i)) if seg is None else seg.when(e == dmin, F.lit(i))
-    a = prep.withColumn("__seg", seg).withColumn("__cost", dmin)
-    # numeric means and costs per cluster
-    num_stats = a.groupBy("__seg").agg(F.count(F.lit(1)).alias("n"), F.sum("__cost").alias("cost"),
-                                       *[F.avg(f"z{i}").alias(f"m{i}") for i in range(n_num)]).collect()
-    # categorical counts per (cluster, feature, level); rows = k x levels
-    stack = ", ".join(f"{j}, c{j}" for j in range(n_cat))
-    cat_counts = (a.selectExpr("__seg", f"stack({n_cat}, {stack}) AS (j, level)")
-                  .groupBy("__seg", "j", "level").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("__seg", "j").orderBy(F.desc("cnt"), F.asc("level"))
-    modes = cat_counts.withColumn("__r", F.row_number().over(w)).filter("__r = 1").collect()
-    return num_stats, modes
+def _partial_sums(prep: DataFrame, models: list, gamma: float, n_num: int, levels: list[dict]) -> list:
+    """Assign every row to its nearest prototype in each of ``models`` and
+    return, per model and cluster, rows, cost, sums, level counts and the
+    farthest row.  One pass over the data whatever the number of models; a
+    batch contributes one row per (model, cluster)."""
+    n_cat = len(levels)
+    names = [sorted(lv) for lv in levels]
+    index = [{v: i for i, v in enumerate(ns)} for ns in names]
+    start = np.cumsum([0] + [len(ns) for ns in names])
+    protos = [(np.array([p[0] for p in m], float), np.array([[index[j].get(v, -1) for j, v in enumerate(p[1])] for p in m])) for m in models]
+    sums = [f"s{i}" for i in range(n_num)] + [f"l{i}" for i in range(int(start[-1]))]
+    schema = "model int, seg int, n long, cost double, " + ", ".join(f"{c} double" for c in sums) + ", far double, far_z array<double>, far_c array<string>"
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            z = b[[f"z{i}" for i in range(n_num)]].to_numpy(float)
+            c = np.column_stack([b[f"c{j}"].map(index[j]).to_numpy() for j in range(n_cat)]).astype(int)
+            out = []
+            for m, (num, modes) in enumerate(protos):
+                d = np.stack([((z - num[k]) ** 2).sum(1) + gamma * (c != modes[k]).sum(1) for k in range(len(num))], 1)
+                seg, cost = d.argmin(1), d.min(1)
+                for k in np.unique(seg):
+                    at = np.flatnonzero(seg == k)
+                    far = at[cost[at].argmax()]
+                    counts = np.concatenate([np.bincount(c[at, j], minlength=len(names[j])) for j in range(n_cat)])
+                    out.append((m, int(k), len(at), float(cost[at].sum()), *z[at].sum(0).tolist(), *counts.astype(float).tolist(),
+                                float(cost[far]), z[far].tolist(), [names[j][c[far, j]] for j in range(n_cat)]))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+    part = prep.mapInPandas(run, schema)
+    far = F.max_by(F.struct("far", "far_z", "far_c"), F.struct("far", "far_z"))
+    return part.groupBy("model", "seg").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(x).alias(x) for x in sums],
+                                            far.alias("far")).collect()
+
+
+def _updated(rows: list, protos: list, n_num: int, levels: list[dict]) -> list:
+    """New prototypes: means and commonest levels; an empty cluster is
+    re-seeded with the row farthest from its prototype."""
+    names = [sorted(lv) for lv in levels]
+    new, by = [], {r["seg"]: r for r in rows}
+    far = sorted((r["far"] for r in rows), key=lambda f: (-f["far"], f["far_z"]))
+    for k in range(len(protos)):
+        if k not in by:
+            f = far.pop(0)
+            new.append((list(f["far_z"]), list(f["far_c"])))
+            continue
+        r, modes, i = by[k], [], 0
+        for ns in names:
+            counts = [r[f"l{i + x}"] for x in range(len(ns))]
+            modes.append(ns[counts.index(max(counts))])
+            i += len(ns)
+        new.append(([r[f"s{x}"] / r["n"] for x in range(n_num)], modes))
+    return new
+
+
+def fit_starts(prep: DataFrame, starts: list, gamma: float, n_num: int, levels: list[dict], max_iter: int) -> list[dict]:
+    """Lloyd's iterations of all starts at once, one pass over the data per
+    iteration, until every start has converged (or ``max_iter``).  Per start:
+    prototypes, their cost, and the cost of every iteration."""
+    runs = [{"prototypes": p, "history": [], "done": False} for p in starts]
+    for _ in range(max_iter + 1):
+        live = [r for r in runs if not r["done"]]
+        if not live:
+            break
+        rows = _partial_sums(prep, [r["prototypes"] for r in live], gamma, n_num, levels)
+        for m, r in enumerate(live):
+            own = [x for x in rows if x["model"] == m]
+            r["cost"] = sum(x["cost"] for x in sorted(own, key=lambda x: x["seg"]))     # of the prototypes as they are now
+            r["history"].append(r["cost"])
+            new = _updated(own, r["prototypes"], n_num, levels)
+            if new == r["prototypes"] or len(r["history"]) > max_iter or (len(r["history"]) > 1 and r["history"][-2] - r["cost"] <= 1e-9 * r["cost"]):
+                r["done"] = True
+            else:
+                r["prototypes"] = new
+    return runs
+
+
+def seeded_starts(first: list, n_init: int, seed: int) -> list:
+    """Cao's modes with the chosen rows' numerics first, then with numerics
+    drawn from the standard normal (the numerics are standardised)."""
+    out = [first]
+    for i in range(1, n_init):
+        rng = random.Random(seed * 1000 + i)
+        out.append([([rng.gauss(0.0, 1.0) for _ in num], list(modes)) for num, modes in first])
+    return out
 
 
-def kprototypes_fit(df: DataFrame, k: int = C.N_CLUSTERS, numeric=C.SEG_NUMERIC,
-                    categorical=C.SEG_CATEGORICAL, n_init: int = C.N_INIT, max_iter: int = 20,
-                    seed: int = C.SEED, gamma: float | None = None, scaler: dict | None = None) -> dict:
-    """G1: fit k-prototypes; returns the best model over ``n_init`` starts.
-
-    The first start uses Cao initialisation; further starts perturb the
-    choice with other hash seeds.  ``history`` records the cost per
-    iteration (it never rises).  The prepared input is checkpointed once
-    to the shared folder (lineage cut; survives executor loss).
-    """
+def _fit_input(df: DataFrame, numeric, categorical, scaler):
     from stayline.operators.features import fit_scaler
     from stayline.session import cut_lineage
-    numeric, categorical = list(numeric), list(categorical)
+    missing = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in numeric]).first().asDict()
+    bad = sorted(c for c, n in missing.items() if n)
+    if bad:
+        raise ValueError(f"null values in {bad}: drop or fill these rows before fitting")
     scaler = scaler or fit_scaler(df, numeric)
-    if gamma is None:
-        gamma = 0.5  # half the mean std of the numerics, which is 1 after scaling
     prep = cut_lineage(_prepare(df, numeric, categorical, scaler))
-    n_num, n_cat = len(numeric), len(categorical)
-    best = None
-    for start in range(n_init):
-        protos = cao_init(prep, k, n_num, n_cat, seed + start)
-        history = []
-        for _ in range(max_iter):
-            num_stats, modes = _lloyd_step(prep, protos, gamma, n_num, n_cat)
-            cost = sum(r["cost"] for r in num_stats)
-            history.append(cost)
-            new = [list(p) for p in protos]
-            present = set()
-            for r in num_stats:
-                present.add(r["__seg"])
-                new[r["__seg"]][0] = [float(r[f"m{i}"]) for i in range(n_num)]
-            for r in modes:
-                new[r["__seg"]][1] = list(new[r["__seg"]][1])
-                new[r["__seg"]][1][r["j"]] = r["level"]
-            new = [(p[0], p[1]) for p in new]
-            if new == protos:
-                break
-            protos = new
-        cost = history[-1]
-        if best is None or cost < best["cost"]:
-            best = {"scaler": scaler, "numeric": numeric, "categorical": categorical,
-                    "gamma": gamma, "prototypes": protos, "cost": cost, "history": history,
-                    "start": start}
-    return best
-
-
-def elbow(df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 1, max_iter: int = 10,
-          seed: int = C.SEED) -> DataFrame:
-    """Final cost per k."""
-    rows = []
-    for k in ks:
-        m = kprototypes_fit(df, k=k, n_init=n_init, max_iter=max_iter, seed=seed)
-        rows.append((int(k), float(m["cost"])))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double")
+    return scaler, prep, level_counts(prep, len(categorical))
+
+
+def kprototypes_fit(df: DataFrame, k: int = C.N_CLUSTERS, numeric=C.SEG_NUMERIC,
+                    categorical=C.SEG_CATEGORICAL, n_init: int = C.N_INIT, max_iter: int = 100,
+                    seed: int = C.SEED, gamma: float | None = None, scaler: dict | None = None) -> dict:
+    """G1: fit k-prototypes to convergence; the best of ``n_init`` distinct
+    starts.  ``cost`` belongs to the returned prototypes and ``history`` is its
+    course (it never rises, but where an empty cluster was re-seeded).  A null
+    numeric is an error.  The prepared input is checkpointed once."""
+    numeric, categorical = list(numeric), list(categorical)
+    scaler, prep, levels = _fit_input(df, numeric, categorical, scaler)
+    gamma = 0.5 if gamma is None else gamma      # half the mean std of the numerics, which is 1 after scaling
+    starts = seeded_starts(cao_init(prep, k, len(numeric), len(categorical), seed, levels), n_init, seed)
+    runs = fit_starts(prep, starts, gamma, len(numeric), levels, max_iter)
+    at = min(range(len(runs)), key=lambda i: (runs[i]["cost"], i))
+    best = runs[at]
+    return {"scaler": scaler, "numeric": numeric, "categorical": categorical, "gamma": gamma, "prototypes": best["prototypes"],
+            "cost": best["cost"], "history": best["history"], "start": at}
+
+
+def elbow(df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 5, max_iter: int = 100,
+          seed: int = C.SEED, numeric=C.SEG_NUMERIC, categorical=C.SEG_CATEGORICAL) -> DataFrame:
+    """Final cost per k, the best of ``n_init`` starts.  All starts of all
+    k run in the same passes over the data."""
+    _, prep, levels = _fit_input(df, list(numeric), list(categorical), None)
+    first = cao_init(prep, max(ks), len(numeric), len(categorical), seed, levels)       # the seeds of a smaller k are a prefix
+    starts = [(k, s) for k in ks for s in seeded_starts(first[:k], n_init, seed)]
+    runs = fit_starts(prep, [s for _, s in starts], 0.5, len(numeric), levels, max_iter)
+    best: dict = {}
+    for (k, _), r in zip(starts, runs):
+        best[k] = min(best.get(k, float("inf")), r["cost"])
+    return df.sparkSession.createDataFrame([(int(k), float(c)) for k, c in best.items()], "k int, cost double")

@@ -10,7 +10,7 @@ from stayline.operators import model as M
 from stayline.plans.oracle import SHAP, dbl, linear_design_sql, with_views
 from stayline.plans.registry import query
 from stayline.plans.score import processed_view, scored_view
-from stayline.session import scratch_path
+from stayline.session import cut_lineage, scratch_path
 
 FEATS = X.FEATURES
 W = dict(C.LINEAR_WEIGHTS)
@@ -104,22 +104,27 @@ def q_driver_columns(spark, sf_dir):
     return X.driver_columns(X.top_features_per_row(_wide(spark, sf_dir)))
 
 
-@query("tree_shap")
+@query("tree_shap", with_views(
+    "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS not_additive FROM clean", "clean"))
 def q_tree_shap(spark, sf_dir):
-    """X1 + X8 on a GBT churn model trained on the processed table:
-    per customer base value, margin, |base + sum(phi) - logit(p)| and the
-    contributions in long form (rows-only check; additivity is tested)."""
+    """X1 + X8 on a GBT churn model trained on the processed table, as a
+    check table over every customer: contributions that are null, and
+    customers whose base + sum(phi) is not the model's log-odds."""
     from pyspark.ml.functions import vector_to_array
-    enc, gbt, _, _ = M.train_churn(_with_segment(spark, sf_dir), max_iter=15, max_depth=3)
-    data = enc.transform(M.prepare_model_input(_with_segment(spark, sf_dir)))
+    data = _with_segment(spark, sf_dir)
+    enc, gbt, _, _ = M.train_churn(data, max_iter=15, max_depth=3)
+    data = enc.transform(M.prepare_model_input(data))
     trees, weights = X.read_gbt_trees(spark, gbt, scratch_path(spark, "gbt_model"))
     names = M.vector_slot_names(data)
     shap = X.tree_shap(data, trees, weights, len(names))
     scored = gbt.transform(data).select("customerID", vector_to_array("probability")[1].alias("p"))
     j = shap.join(scored, "customerID")
-    j = j.withColumn("gap", F.abs(F.col("margin") - F.log(F.col("p") / (1 - F.col("p")))))
-    return X.tree_shap_long(j.select("customerID", "contributions"), names) \
-        .join(j.select("customerID", "base_value", "margin", "gap"), "customerID")
+    gap = F.abs(F.col("margin") - F.log(F.col("p") / (1 - F.col("p"))))
+    long = X.tree_shap_long(j.select("customerID", "contributions"), names).groupBy("customerID").agg(
+        F.sum("contribution").alias("total"), F.sum(F.col("contribution").isNull().cast("long")).alias("nulls"))
+    both = long.join(j.select("customerID", "base_value", "margin", gap.alias("gap")), "customerID")
+    bad = (F.col("gap") > 1e-6) | (F.abs(F.col("base_value") + F.col("total") - F.col("margin")) > 1e-6)
+    return both.agg(F.count(F.lit(1)).alias("customers"), F.sum("nulls").alias("nulls"), F.sum(bad.cast("long")).alias("not_additive"))
 
 
 def _with_segment(spark, sf_dir):
@@ -128,11 +133,23 @@ def _with_segment(spark, sf_dir):
     return segments.assign_segments(feat).withColumn("segment", F.col("segment").cast("string"))
 
 
-@query("sampled_shapley")
+@query("sampled_shapley", with_views(
+    "SELECT feature, count(*) AS customers, CAST(0 AS BIGINT) AS off FROM scored CROSS JOIN (VALUES "
+    + ", ".join(f"('{f}')" for f in FEATS) + ") f(feature) GROUP BY feature"))
 def q_sampled_shapley(spark, sf_dir):
-    """X10 against a 100-row seeded background sample (rows-only check; the
-    test compares it with the exact linear SHAP for the same background)."""
+    """X10 of the deployed score against a seeded background of 20 rows, held
+    against the exact values for that background: customers by feature, and
+    how many are off by more than 1e-9."""
     from stayline.operators import clean
+    d = M.linear_design()
     scored = scored_view(spark, sf_dir)
-    bg = clean.background_sample(scored, n=100)
-    return X.sampled_shapley(scored, bg)
+    design = [F.coalesce(d[f], F.lit(0.0)).alias(f) for f in FEATS]
+    bg = cut_lineage(clean.background_sample(scored, n=20).select(*design))
+    rows = cut_lineage(scored.select("customerID", *design))
+    got = X.sampled_shapley(rows, bg, FEATS, X.linear_predict)
+    mean = bg.agg(*[F.avg(f).alias(f"__mu_{f}") for f in FEATS])
+    exact = rows.crossJoin(F.broadcast(mean)).select("customerID", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.lit(W[f]) * (F.col(f) - F.col(f"__mu_{f}"))).alias("exact")) for f in FEATS])))
+    both = got.join(exact, ["customerID", "feature"])
+    return both.groupBy("feature").agg(F.count(F.lit(1)).alias("customers"),
+                                       F.sum((F.abs(F.col("contribution") - F.col("exact")) > 1e-9).cast("long")).alias("off"))

@@ -74,36 +74,65 @@ def q_latest_metrics(spark, sf_dir):
     return E.latest_metrics(_history(spark, sf_dir)).select("run_id", "split", "metric", "value")
 
 
+EXP_CLASS = {"0": ("tn", "fn", "fp"), "1": ("tp", "fp", "fn")}
+
+
 def _exp_sql() -> str:
     rows = []
     n = 0
     for tau in (0.5, 0.4):
-        for i, (model, col) in enumerate((("linear", "churn_prob"), ("rule_priority", "priority"))):
+        for i, (model, col) in enumerate((("linear", "churn_score"), ("rule_priority", "priority"))):
             n += 1
             cm = ("(SELECT " + ", ".join(
                 f"CAST(sum(CASE WHEN Churn = {y} AND {col} {op} {tau} THEN 1 ELSE 0 END) AS BIGINT) AS {k}"
                 for y, op, k in ((0, "<", "tn"), (0, ">=", "fp"), (1, "<", "fn"), (1, ">=", "tp"))) + " FROM scored) q")
+            per = ", ".join(
+                f"CASE WHEN {hit} + {wrong} = 0 THEN 0.0 ELSE CAST({hit} AS DOUBLE) / ({hit} + {wrong}) END AS precision_{c}, "
+                f"CASE WHEN {hit} + {lost} = 0 THEN 0.0 ELSE CAST({hit} AS DOUBLE) / ({hit} + {lost}) END AS recall_{c}"
+                for c, (hit, wrong, lost) in EXP_CLASS.items())
+            f1 = ", ".join(f"CASE WHEN precision_{c} + recall_{c} = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * precision_{c} * recall_{c} / "
+                           f"(precision_{c} + recall_{c}) END AS f1_{c}" for c in EXP_CLASS)
             rows.append(f"SELECT printf('exp_%03d', {n}) AS experiment_id, CAST({n} AS INTEGER) AS exp_no, '{model}' AS model, "
-                        f"CAST({tau} AS DOUBLE) AS threshold, accuracy, precision, recall, f1 FROM ({f1_sql(metrics_sql(cm))}) e{n}")
+                        f"TIMESTAMP '2024-01-0{n} 00:00:00' AS ts, CAST({tau} AS DOUBLE) AS threshold, accuracy, precision, recall, f1, roc_auc, "
+                        f"precision_0, recall_0, f1_0, precision_1, recall_1, f1_1, CAST({len(C.LINEAR_WEIGHTS)} AS INTEGER) AS feature_count, "
+                        f"'none' AS imbalance, 'tau={tau}' AS hyperparameters, 'fixed {model}' AS notes "
+                        f"FROM (SELECT *, {f1} FROM (SELECT *, {per} FROM ({f1_sql(metrics_sql(cm))}) a{n}) b{n}) e{n} "
+                        f"CROSS JOIN (SELECT roc_auc FROM xauc WHERE model = '{model}') x{n}")
     return " UNION ALL ".join(rows)
 
 
-@query("experiment_log", with_views(_exp_sql()))
+EXP_AUC = """
+xm AS (SELECT 'linear' AS model, Churn, churn_margin AS score FROM scored UNION ALL SELECT 'rule_priority', Churn, priority FROM scored),
+xs AS (SELECT model, score, sum(CASE WHEN Churn = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN Churn = 0 THEN 1 ELSE 0 END) AS neg FROM xm GROUP BY ALL),
+xc AS (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS neg_cum,
+  sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N FROM xs),
+xauc AS (SELECT model, CAST(sum(pos * (2 * (N - neg_cum) + neg)) AS DOUBLE) / (CAST(2.0 AS DOUBLE) * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) AS roc_auc
+  FROM xc GROUP BY model)"""
+
+
+@query("experiment_log", with_views(_exp_sql(), extra=EXP_AUC))
 def q_experiment_log(spark, sf_dir):
     """Two experiment runs (two models each) appended to a log with
     sequential ids exp_001.. ."""
-    s = scored_view(spark, sf_dir)
+    s = scored_view(spark, sf_dir).select(F.col("Churn").alias("label"), "churn_score", "churn_margin", "priority")
     path = scratch_path(spark, "experiment_log")
-    log = None
+    log, n = None, 0
     for tau in (0.5, 0.4):
         parts = []
-        for order, (model, col) in enumerate((("linear", "churn_prob"), ("rule_priority", "priority"))):
-            d = s.select(F.col("Churn").alias("label"), (F.col(col) >= tau).cast("int").alias("pred"))
-            parts.append(E.binary_metrics(d).select(
-                F.lit(order).alias("run_order"), F.lit(model).alias("model"), F.lit(float(tau)).alias("threshold"),
-                "accuracy", "precision", "recall", "f1"))
+        for order, (model, col, rank) in enumerate((("linear", "churn_score", "churn_margin"), ("rule_priority", "priority", "priority"))):
+            n += 1
+            m = E.evaluate_model(s, tau, p=col, rank=rank)
+            for c, (hit, wrong, lost) in EXP_CLASS.items():
+                m = m.withColumns({f"precision_{c}": E._div0(F.col(hit), F.col(hit) + F.col(wrong)),
+                                   f"recall_{c}": E._div0(F.col(hit), F.col(hit) + F.col(lost))})
+                p, r = F.col(f"precision_{c}"), F.col(f"recall_{c}")
+                m = m.withColumn(f"f1_{c}", F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r)))
+            parts.append(m.withColumns({
+                "run_order": F.lit(order), "model": F.lit(model), "ts": F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp"),
+                "feature_count": F.lit(len(C.LINEAR_WEIGHTS)), "imbalance": F.lit("none"), "hyperparameters": F.lit(f"tau={tau}"),
+                "notes": F.lit(f"fixed {model}")}).drop("tn", "fp", "fn", "tp"))
         log = io.experiment_log(spark, path, parts[0].unionByName(parts[1]))
-    return log.select("experiment_id", "exp_no", "model", "threshold", "accuracy", "precision", "recall", "f1")
+    return log.select(*io.LOG_FIELDS)
 
 
 EXPORT_COLS = ["customerID", "segment_name", "priority_pct", "priority_level", "risk_level", "churn_prob",
@@ -142,17 +171,26 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(sink).select(*S.SCORE_COLS)
 
 
-@query("stream_file_batches")
+@query("stream_file_batches", with_views(
+    SCORE_SQL.replace(" FROM scored", ", rows_input, rows_processed, failed, churners, action_customers FROM scored") + """ CROSS JOIN (
+  SELECT (SELECT count(*) FROM raw) AS rows_input, count(*) AS rows_processed, (SELECT count(*) FROM raw) - count(*) AS failed,
+    CAST(sum(CAST(is_churner AS INTEGER)) AS BIGINT) AS churners FROM scored) t
+JOIN (SELECT action_label, count(*) AS action_customers FROM scored GROUP BY ALL) c USING (action_label)"""))
 def q_stream_file_batches(spark, sf_dir):
-    """One micro-batch per dropped file; predictions tagged with the
-    batch id (rows-only check: batch ids depend on file discovery order)."""
+    """One micro-batch per dropped file; predictions next to the totals of
+    the status rows and of their action counts (batch ids depend on the order
+    in which files are found, so they are summed away)."""
     thr = features.high_value_threshold(processed_view(spark, sf_dir))
     src = _drop_files(spark, sf_dir)
     out, ckpt = scratch_path(spark, "batches_out"), scratch_path(spark, "batches_ckpt")
     q = S.stream_file_batches(spark, src, out, ckpt, thr)
     q.awaitTermination()
     status = spark.read.parquet(f"{out}/status")
-    return spark.read.parquet(f"{out}/predictions").join(status, "batch_id")
+    total = status.agg(*[F.sum(c).alias(c) for c in ("rows_input", "rows_processed", "failed", "churners")])
+    acts = (status.select(F.explode("action_counts").alias("action_label", "n"))
+            .groupBy("action_label").agg(F.sum("n").alias("action_customers")))
+    return (spark.read.parquet(f"{out}/predictions").select(*S.SCORE_COLS).crossJoin(F.broadcast(total))
+            .join(F.broadcast(acts), "action_label"))
 
 
 @query("train_job")
@@ -167,13 +205,12 @@ def q_train_job(spark, sf_dir):
     feat = features.engineer_features(spark.read.parquet(f"{base}/processed"))
     feat.write.mode("overwrite").parquet(f"{base}/features")
     feat = spark.read.parquet(f"{base}/features")
-    seg_model = segments.kprototypes_fit(feat, n_init=1, max_iter=6)
+    seg_model = segments.kprototypes_fit(feat)
     io.save_segment_model(spark, seg_model, f"{base}/segment_model")
     assigned = segments.assign_segments(feat, io.load_segment_model(spark, f"{base}/segment_model"))
     assigned = assigned.withColumn("segment", F.col("segment").cast("string"))
     enc, gbt, tau, scored = M.train_churn(assigned, max_iter=15, max_depth=3)
-    io.save_pipeline(enc, f"{base}/encoder")
-    io.save_pipeline(gbt, f"{base}/classifier")
+    io.save_churn_model(spark, enc, gbt, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], f"{base}/churn_model")
     metrics = E.evaluate_splits(scored, tau)
     metrics.write.mode("overwrite").parquet(f"{base}/metrics")
     return spark.read.parquet(f"{base}/metrics")

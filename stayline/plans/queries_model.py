@@ -11,9 +11,11 @@ from stayline import config as C
 from stayline.operators import evaluate as E
 from stayline.operators import features, model as M, segments
 from stayline.plans.oracle import dbl, sstr, with_views
+from stayline.plans.queries_core import SPLIT_SQL
 from stayline.plans.queries_business import CM, SCORED_SPLIT, f1_sql, metrics_sql
 from stayline.plans.registry import query
 from stayline.plans.score import features_view, processed_view, scored_view
+from stayline.session import cut_lineage, scratch_path
 
 # ---------------------------------------------------------------------------
 # G: segmentation
@@ -102,33 +104,59 @@ def q_segment_profile(spark, sf_dir):
     return segments.segment_profile(segments.assign_segments(features_view(spark, sf_dir)))
 
 
-@query("kprototypes_fit")
+@query("kprototypes_fit", with_views(
+    f"SELECT count(*) AS customers, CAST({C.N_CLUSTERS} AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS unassigned, "
+    "CAST(0 AS BIGINT) AS cost_rises, true AS cost_matches FROM feat", "feat"))
 def q_kprototypes_fit(spark, sf_dir):
-    """G1 (+ G2 Cao initialisation): fit k-prototypes on the engineered
-    table and assign every customer to the fitted prototypes (rows-only
-    check; cost monotonicity and determinism are tested)."""
+    """G1 (+ G2): fit k-prototypes on the engineered table, assign every
+    customer, and check: clusters used, unassigned rows, rises of the
+    cost, and whether the reported cost is that of the assignment."""
     feat = features_view(spark, sf_dir)
-    m = segments.kprototypes_fit(feat, n_init=2, max_iter=10)
-    return segments.assign_segments(feat, m).select("customerID", "segment", "segment_cost")
-
-
-@query("cao_init")
+    m = segments.kprototypes_fit(feat)
+    got = segments.assign_segments(feat, m)
+    rises = sum(b > a * (1 + 1e-9) for a, b in zip(m["history"], m["history"][1:]))
+    return got.agg(F.count(F.lit(1)).alias("customers"), F.countDistinct("segment").alias("clusters"),
+                   F.sum(F.col("segment").isNull().cast("long")).alias("unassigned"), F.lit(rises).cast("long").alias("cost_rises"),
+                   (F.abs(F.sum("segment_cost") - F.lit(m["cost"])) <= F.lit(1e-6 * m["cost"])).alias("cost_matches"))
+
+
+def _cao_sql() -> str:
+    """Greedy choice of the modes, one CTE per seed."""
+    cats = {c: f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in C.SEG_CATEGORICAL}
+    dens = " + ".join(f"(count(*) OVER (PARTITION BY {e}))" for e in cats.values())
+    ctes = [f"dens AS (SELECT customerID, {', '.join(f'{e} AS c_{c}' for c, e in cats.items())}, {dens} AS dens, "
+            f"md5('{C.SEED}:' || CAST(customerID AS VARCHAR)) AS tie FROM feat)"]
+    for i in range(C.N_CLUSTERS):
+        far = [f"dens * ({' + '.join(f'CAST(d.c_{c} <> s{j}.c_{c} AS BIGINT)' for c in cats)})" for j in range(i)]
+        score = "dens" if not i else far[0] if i == 1 else f"least({', '.join(far)})"
+        if not i:
+            ctes.append(f"s0 AS (SELECT * FROM dens ORDER BY dens DESC, tie DESC, customerID DESC LIMIT 1)")
+        else:
+            score = score.replace("dens *", "d.dens *")
+            ctes.append(f"s{i} AS (SELECT d.* FROM dens d, {', '.join(f's{j}' for j in range(i))} ORDER BY {score} DESC, d.tie DESC, d.customerID DESC LIMIT 1)")
+    return ",".join(ctes)
+
+
+@query("cao_init", with_views(" UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS seed, '{c}' AS feature, c_{c} AS value FROM s{i}" for i in range(C.N_CLUSTERS) for c in C.SEG_CATEGORICAL),
+    "feat", _cao_sql()))
 def q_cao_init(spark, sf_dir):
-    """The k Cao seeds of the engineered table as (seed, kind, value)."""
-    feat = features_view(spark, sf_dir)
+    """The modes of the k Cao seeds as (seed, feature, value)."""
     from stayline.operators.features import fit_scaler
-    scaler = fit_scaler(feat, C.SEG_NUMERIC)
-    prep = segments._prepare(feat, C.SEG_NUMERIC, C.SEG_CATEGORICAL, scaler)
-    seeds = segments.cao_init(prep, C.N_CLUSTERS, len(C.SEG_NUMERIC), len(C.SEG_CATEGORICAL), C.SEED)
-    rows = [(i, c, str(round(v, 6))) for i, (num, _) in enumerate(seeds) for c, v in zip(C.SEG_NUMERIC, num)] + \
-           [(i, c, str(v)) for i, (_, modes) in enumerate(seeds) for c, v in zip(C.SEG_CATEGORICAL, modes)]
+    feat = features_view(spark, sf_dir)
+    prep = segments._prepare(feat, C.SEG_NUMERIC, C.SEG_CATEGORICAL, fit_scaler(feat, C.SEG_NUMERIC))
+    seeds = segments.cao_init(cut_lineage(prep), C.N_CLUSTERS, len(C.SEG_NUMERIC), len(C.SEG_CATEGORICAL), C.SEED)
+    rows = [(i, c, str(v)) for i, (_, modes) in enumerate(seeds) for c, v in zip(C.SEG_CATEGORICAL, modes)]
     return spark.createDataFrame(rows, "seed int, feature string, value string")
 
 
-@query("elbow")
+@query("elbow", "SELECT CAST(k AS INTEGER) AS k, true AS positive, true AS below_k2 FROM range(2, 11) t(k)")
 def q_elbow(spark, sf_dir):
-    """Final cost for k = 2..6 (one start each)."""
-    return segments.elbow(features_view(spark, sf_dir), ks=range(2, 7), n_init=1, max_iter=6)
+    """G5 for k = 2..10, five starts each, as a check table: costs are
+    positive, and none is above that of k = 2."""
+    e = segments.elbow(features_view(spark, sf_dir))
+    top = e.where("k = 2").select(F.col("cost").alias("c2"))
+    return e.crossJoin(F.broadcast(top)).select("k", (F.col("cost") > 0).alias("positive"), (F.col("cost") <= F.col("c2")).alias("below_k2"))
 
 
 # ---------------------------------------------------------------------------
@@ -153,11 +181,21 @@ def q_train_churn(spark, sf_dir):
     return E.evaluate_splits(scored, tau)
 
 
-@query("predict_proba")
+@query("predict_proba", with_views(
+    "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS moved FROM clean", "clean"))
 def q_predict_proba(spark, sf_dir):
-    """M2: probability of churn for every customer from the trained GBT."""
-    _, _, _, scored = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
-    return scored
+    """M2: probability of churn for every customer from a stored model
+    (encoder, classifier, threshold and feature order are saved and loaded
+    again), as a check table; ``moved`` counts scores that changed by the reload."""
+    from stayline.sources import io
+    data = _model_input(spark, sf_dir)
+    enc, gbt, tau, scored = M.train_churn(data, max_iter=20, max_depth=4)
+    path = scratch_path(spark, "churn_model")
+    io.save_churn_model(spark, enc, gbt, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], path)
+    got = M.predict(data, io.load_churn_model(spark, path)).join(scored.select("customerID", F.col("churn_prob").alias("before")), "customerID")
+    p = F.col("churn_prob")
+    return got.agg(F.count(F.lit(1)).alias("customers"), F.sum(p.isNull().cast("long")).alias("nulls"),
+                   F.sum((~p.between(0, 1)).cast("long")).alias("out_of_range"), F.sum((F.abs(p - F.col("before")) > 1e-9).cast("long")).alias("moved"))
 
 
 @query("logistic_baseline")
@@ -173,16 +211,21 @@ def q_model_leaderboard(spark, sf_dir):
     return M.model_leaderboard(_model_input(spark, sf_dir))
 
 
+# The searches' draws are parameters (60 and 30 by default); the registered
+# queries make fewer, over the whole table and all five folds.
+DRAWS = 3
+SMALL_SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10], "subsamplingRate": [0.8, 1.0]}
+
+
 @query("random_search_cv")
 def q_random_search_cv(spark, sf_dir):
-    return M.random_search_cv(_model_input(spark, sf_dir), n_iter=3, k=3,
-                              space={"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10],
-                                     "subsamplingRate": [0.8, 1.0]})
+    return M.random_search_cv(_model_input(spark, sf_dir), n_iter=DRAWS, space=SMALL_SPACE)
 
 
 @query("refine_search")
 def q_refine_search(spark, sf_dir):
-    return M.refine_search(_model_input(spark, sf_dir), {"maxDepth": 3, "stepSize": 0.1, "maxIter": 10}, n_iter=3)
+    data = _model_input(spark, sf_dir)
+    return M.refine_search(data, M.random_search_cv(data, n_iter=2, space=SMALL_SPACE), n_iter=DRAWS)
 
 
 @query("early_stopping")
@@ -244,15 +287,15 @@ def q_ensemble_weighted(spark, sf_dir):
     return M.ensemble_weighted(sc, w).select("customerID", F.round("ensemble_prob", 6).alias("ensemble_prob"))
 
 
-@query("stacking")
+@query("stacking", with_views(
+    "SELECT CASE WHEN split = 'test' THEN 'test' ELSE 'oof' END AS split, count(*) AS customers, CAST(0 AS BIGINT) AS nulls, "
+    "CAST(0 AS BIGINT) AS out_of_range FROM split GROUP BY 1", "clean", SPLIT_SQL))
 def q_stacking(spark, sf_dir):
-    """Out-of-fold base probabilities (3 folds) + logistic meta-learner;
-    returns the OOF table with the meta probability."""
-    meta, oof = M.stacking(_model_input(spark, sf_dir), k=3)
-    from pyspark.ml.feature import VectorAssembler
-    mi = VectorAssembler(inputCols=[c for c in oof.columns if c.startswith("p_")], outputCol="meta_features").transform(oof)
-    return M.positive_probability(meta.transform(mi), "meta_prob").drop("meta_features", "rawPrediction",
-                                                                         "probability", "prediction")
+    """Out-of-fold and test scores of the stacked model, as a check table per split."""
+    _, scored = M.stacking(_model_input(spark, sf_dir))
+    p = F.col("meta_prob")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("customers"), F.sum(p.isNull().cast("long")).alias("nulls"),
+                                       F.sum((~p.between(0, 1)).cast("long")).alias("out_of_range"))
 
 
 @query("overfit_gap", with_views(

@@ -108,15 +108,27 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+LOG_FIELDS = ("experiment_id", "exp_no", "model", "ts", "threshold", "accuracy", "precision", "recall", "f1", "roc_auc",
+              "precision_0", "recall_0", "f1_0", "precision_1", "recall_1", "f1_1",
+              "feature_count", "imbalance", "hyperparameters", "notes")
+
+
 def experiment_log(spark: SparkSession, path: str, run: DataFrame) -> DataFrame:
     """Append a run with the next sequential id ``exp_%03d``.
 
-    The next id is max(existing) + row position within the new run; the
-    existing log is read once (a tiny table: one row per experiment)."""
-    try:
-        existing = spark.read.parquet(path)
-        start = existing.agg(F.coalesce(F.max("exp_no"), F.lit(0)).alias("s"))
-    except Exception:  # first run: no log yet
+    The next id is max(existing) + row position within the new run; the log
+    is one row per experiment.  Only a missing log starts at 1: a log that
+    can't be read is an error."""
+    if path_exists(spark, path):
+        start = spark.read.parquet(path).agg(F.coalesce(F.max("exp_no"), F.lit(0)).alias("s"))
+    else:
         start = spark.createDataFrame([(0,)], "s int")
     w = Window.orderBy("run_order")
     new = (run.crossJoin(F.broadcast(start))
@@ -168,3 +180,20 @@ def load_segment_model(spark: SparkSession, path: str) -> dict:
 def save_pipeline(model, path: str) -> None:
     """I7 for Spark ML models (encoder, classifier)."""
     model.write().overwrite().save(path)
+
+
+def save_churn_model(spark: SparkSession, encoder, classifier, tau: float, features, path: str) -> None:
+    """Encoder, classifier, decision threshold and feature order as one stored model."""
+    save_pipeline(encoder, f"{path}/encoder")
+    save_pipeline(classifier, f"{path}/classifier")
+    spark.createDataFrame([(float(tau), list(features))], "tau double, features array<string>") \
+        .write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_churn_model(spark: SparkSession, path: str) -> dict:
+    """``encoder``, ``classifier``, ``tau`` and ``features``."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return {"encoder": PipelineModel.load(f"{path}/encoder"), "classifier": GBTClassificationModel.load(f"{path}/classifier"),
+            "tau": meta["tau"], "features": list(meta["features"])}

@@ -5,9 +5,9 @@ jobs.  Scoring is stateless - every record is scored by the same
 projection as the batch path, with the *fitted* is_high_value threshold
 (a constant), so a record scores identically alone, in a micro-batch or in
 a batch.  No watermark or state is needed because nothing is aggregated
-across records; the per-batch status rows of S2 are written from
-``foreachBatch`` keyed by the batch id, which Spark replays exactly once on
-restart thanks to the checkpoint.
+across records.  ``foreachBatch`` of S2 may see a batch again after a
+restart, so a batch owns the folders ``batch_id=<id>`` of its outputs and
+overwrites them: a replay leaves the same rows.
 """
 
 from __future__ import annotations
@@ -43,21 +43,22 @@ def stream_file_batches(spark: SparkSession, source_dir: str, out_dir: str, chec
                         high_value_threshold: float, tau: float = C.DEFAULT_THRESHOLD,
                         max_files_per_trigger: int = 1):
     """Every dropped batch file is scored in its own micro-batch; the
-    predictions and one status row (input, processed, failed, churners)
-    are appended, both tagged with the batch id."""
+    predictions and one status row (input, processed, failed, churners,
+    customers by action) are written below the batch's own ``batch_id=`` folder."""
     raw = (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         scored = score_batch(batch, tau, high_value_threshold=high_value_threshold).persist()
-        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_dir}/predictions")
+        scored.write.mode("overwrite").parquet(f"{out_dir}/predictions/batch_id={batch_id}")
+        acts = (scored.groupBy("action_label").agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.map_from_entries(F.collect_list(F.struct("action_label", "n"))).alias("action_counts")))
         status = (batch.agg(F.count(F.lit(1)).alias("rows_input"))
                   .crossJoin(scored.agg(F.count(F.lit(1)).alias("rows_processed"),
                                         F.sum(F.col("is_churner").cast("long")).alias("churners")))
-                  .withColumn("failed", F.col("rows_input") - F.col("rows_processed"))
-                  .withColumn("batch_id", F.lit(batch_id)))
-        status.write.mode("append").parquet(f"{out_dir}/status")
+                  .withColumn("failed", F.col("rows_input") - F.col("rows_processed")).crossJoin(acts))
+        status.write.mode("overwrite").parquet(f"{out_dir}/status/batch_id={batch_id}")
         scored.unpersist()
         batch.unpersist()
 
