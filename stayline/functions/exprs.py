@@ -61,21 +61,12 @@ def tenure_band(c="tenure", bins: Sequence[float] = C.TENURE_BINS,
     return expr.otherwise(F.lit("nan"))
 
 
-def safe_div(a, b, default: float = 0.0) -> Column:
-    a, b = col(a), col(b)
-    return F.when(b == 0, F.lit(default)).otherwise(a / b)
-
-
 def decide(p, tau, inclusive: bool = True) -> Column:
     p = col(p)
     tau = F.lit(tau) if isinstance(tau, (int, float)) else col(tau)
     return (p >= tau) if inclusive else (p > tau)
 
 
-def round6(c) -> Column:
-    return F.round(col(c), 6)
-
-
 def micro(c) -> Column:
     """Probability-like double -> exact integer micro-units."""
     return F.round(col(c) * 1_000_000).cast("long")

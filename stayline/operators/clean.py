@@ -158,6 +158,18 @@ def validation_report(train: DataFrame, score: DataFrame, numeric: Sequence[str]
             .withColumn("mean_shift", F.col("score_mean") - F.col("train_mean")))
 
 
+def validation_levels(train: DataFrame, score: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """C11, level part: the share of every level in the train and in the
+    scoring table, and the shift (a level that is missing on a side has share 0)."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        levels = long_levels(df, categorical)
+        total = levels.groupBy("feature").agg(F.sum("n").alias("all"))
+        return (levels.join(F.broadcast(total), "feature")              # one row per column
+                .select("feature", F.coalesce("level", F.lit("nan")).alias("level"), (F.col("n") / F.col("all")).alias(name)))
+    both = side(train, "train_share").join(side(score, "score_share"), ["feature", "level"], "full_outer")
+    return both.na.fill(0.0).withColumn("share_shift", F.col("score_share") - F.col("train_share"))
+
+
 def validate_metrics(metrics: DataFrame, required=("accuracy", "precision", "recall", "f1")) -> DataFrame:
     """On a long (split, metric, value) table: one row per violation."""
     present = metrics.select("split", "metric").distinct()

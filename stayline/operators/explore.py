@@ -5,6 +5,7 @@ a single ``agg`` pass."""
 from __future__ import annotations
 
 from itertools import combinations
+import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -90,6 +91,25 @@ def density_by_class(df: DataFrame, c: str = "MonthlyCharges", label: str = "Chu
                     (F.col("n") / (F.col("__n") * width)).alias("density")))
 
 
+def kernel_density(df: DataFrame, cols: Sequence[str] = ("MonthlyCharges", "TotalCharges"), label: str = "Churn",
+                   points: int = 50) -> DataFrame:
+    """Gaussian kernel density per class on ``points`` grid points from
+    the column's minimum to its maximum, with Scott's bandwidth (sample
+    deviation * n^-1/5).  Kernels are summed over distinct values with their
+    counts, so the work is distinct values x points."""
+    x = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols]))
+    vals = df.select(label, x).where("x is not null").groupBy(label, "feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    ends = vals.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    sums = df.select(label, x).where("x is not null").groupBy(label, "feature").agg(
+        F.count(F.lit(1)).alias("rows"), (F.stddev_samp("x") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("bw"))
+    grid = ends.select("feature", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "lo", "hi").select(
+        "feature", "point", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / float(points - 1)).alias("at"))
+    z = (F.col("at") - F.col("x")) / F.col("bw")
+    return (vals.join(F.broadcast(sums.where("bw > 0")), [label, "feature"]).join(F.broadcast(grid), "feature")
+            .groupBy(label, "feature", "point", "at", "rows", "bw").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("k"))
+            .select(label, "feature", "point", "at", (F.col("k") / (F.col("rows") * F.col("bw") * F.sqrt(F.lit(2 * math.pi)))).alias("density")))
+
+
 def box_stats(df: DataFrame, c: str = "tenure", label: str = "Churn") -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside the
     fences) and outlier counts per class.  Class stats (2 rows) are joined

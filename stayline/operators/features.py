@@ -174,13 +174,6 @@ def class_weight(df: DataFrame, label: str = "Churn", weight: float | None = Non
     return df.withColumn(name, F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
-def class_ratio(df: DataFrame, label: str = "Churn") -> DataFrame:
-    """F21 report: counts and neg/pos ratio."""
-    return df.agg(F.sum((F.col(label) == 0).cast("long")).alias("negatives"),
-                  F.sum((F.col(label) == 1).cast("long")).alias("positives")) \
-             .withColumn("neg_pos_ratio", F.col("negatives") / F.col("positives"))
-
-
 def hash_order(key: str = "customerID", seed: int = C.SEED) -> F.Column:
     """Pseudo-random but engine-independent order: md5 of 'seed:key'."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -373,8 +373,8 @@ def format_display(plan: DataFrame) -> DataFrame:
         F.when(F.col("is_churner"), "●").otherwise("○").alias("churner_mark"))
 
 
-def customer_lookup(plan: DataFrame, customer_id: int) -> DataFrame:
-    """One profile as (field, value) rows."""
+def customer_lookup(plan: DataFrame, customer_id) -> DataFrame:
+    """One profile as (field, value) rows; the id is a value or a scalar subquery."""
     fields = ["segment_name", "priority_level", "risk_level", "churn_prob", "action_label", "MonthlyCharges",
               "tenure", "Contract", "PaymentMethod", "InternetService"]
     row = plan.filter(F.col("customerID") == customer_id)

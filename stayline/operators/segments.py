@@ -189,13 +189,15 @@ def segment_profile(assigned: DataFrame) -> DataFrame:
         F.max("MonthlyCharges").alias("max_monthly")))
 
 
-def segment_mix(assigned: DataFrame, feature: str) -> DataFrame:
-    """G10 long form: share of each level of ``feature`` within a segment."""
-    counts = assigned.groupBy("segment", F.col(feature).cast("string").alias("level")) \
-                     .agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("segment")
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(w)) \
-                 .withColumn("feature", F.lit(feature))
+def segment_mix(assigned: DataFrame, features: Sequence[str], k: int = C.N_CLUSTERS) -> DataFrame:
+    """G10, comparison: share of each level within every segment, the
+    segments side by side (``segment_0`` ...)."""
+    long = assigned.select("segment", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("level")) for f in features])))
+    counts = long.groupBy("feature", "level", "segment").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("feature", "segment").agg(F.sum("n").alias("all"))
+    shares = counts.join(F.broadcast(total), ["feature", "segment"])      # features x k rows
+    return shares.groupBy("feature", "level").agg(*[
+        F.coalesce(F.max(F.when(F.col("segment") == i, F.col("n") / F.col("all"))), F.lit(0.0)).alias(f"segment_{i}") for i in range(k)])
 
 
 # ---------------------------------------------------------------------------

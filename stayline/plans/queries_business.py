@@ -412,10 +412,7 @@ def q_customer_lookup(spark, sf_dir):
     """P21 for the highest-id predicted churner (the lookup key itself is
     read from the data)."""
     plan = plan_view(spark, sf_dir)
-    key = plan.filter("is_churner").agg(F.max("customerID").alias("k"))
-    row = plan.join(F.broadcast(key), plan.customerID == key.k).drop("k")
-    stack = ", ".join(f"'{f}', CAST(`{f}` AS STRING)" for f in LOOKUP_FIELDS)
-    return row.selectExpr("customerID", f"stack({len(LOOKUP_FIELDS)}, {stack}) AS (field, value)")
+    return P.customer_lookup(plan, plan.filter("is_churner").agg(F.max("customerID")).scalar())
 
 
 @query("risk_histogram", with_views(
@@ -622,6 +619,20 @@ def q_density_by_class(spark, sf_dir):
     return D.density_by_class(processed_view(spark, sf_dir))
 
 
+@query("kernel_density", with_views("""
+SELECT v.Churn, v.feature, point, round(g.at, 6) AS at, round(sum(v.n * exp(-((g.at - x) / bw) * ((g.at - x) / bw) / 2)) / (max(s.cnt) * max(bw) * sqrt(2 * pi())), 9) AS density
+FROM (SELECT Churn, feature, x, count(*) AS n FROM kd GROUP BY ALL) v
+JOIN (SELECT Churn, feature, count(*) AS cnt, stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw FROM kd GROUP BY ALL) s USING (Churn, feature)
+JOIN (SELECT feature, point, lo + (hi - lo) * point / 49.0 AS at FROM (SELECT feature, min(x) AS lo, max(x) AS hi FROM kd GROUP BY ALL), range(50) r(point)) g USING (feature)
+GROUP BY v.Churn, v.feature, point, g.at""", "clean", """
+kd AS (SELECT Churn, 'MonthlyCharges' AS feature, CAST(MonthlyCharges AS DOUBLE) AS x FROM clean WHERE MonthlyCharges IS NOT NULL
+  UNION ALL SELECT Churn, 'TotalCharges', CAST(TotalCharges AS DOUBLE) FROM clean WHERE TotalCharges IS NOT NULL)"""))
+def q_kernel_density(spark, sf_dir):
+    """Kernel density of both charges by class."""
+    d = D.kernel_density(processed_view(spark, sf_dir))
+    return d.select("Churn", "feature", F.col("point").cast("long").alias("point"), F.round("at", 6).alias("at"), F.round("density", 9).alias("density"))
+
+
 @query("box_stats", with_views("""
 SELECT q.Churn, q.q1, q.median, q.q3, q.iqr, w.whisker_low, w.whisker_high, w.outliers FROM
  (SELECT Churn, quantile_cont(CAST(tenure AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(tenure AS DOUBLE), 0.5) AS median,

@@ -229,6 +229,19 @@ def q_validation_report(spark, sf_dir):
                       F.round("mean_shift", 6).alias("mean_shift"))
 
 
+@query("validation_levels", with_views(
+    "SELECT feature, level, coalesce(a.s, 0.0) AS train_share, coalesce(b.s, 0.0) AS score_share, coalesce(b.s, 0.0) - coalesce(a.s, 0.0) AS share_shift FROM "
+    + " FULL OUTER JOIN ".join(
+        "(SELECT feature, level, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY feature) AS s FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'nan') AS level, count(*) AS n FROM split WHERE split = '{part}' GROUP BY ALL"
+            for c in VAL_CATEGORICAL) + f")) {alias}" for part, alias in (("train", "a"), ("test", "b")))
+    + " USING (feature, level)", "clean", SPLIT_SQL))
+def q_validation_levels(spark, sf_dir):
+    """C11: level shares of the train split against the test split."""
+    sp = features.stratified_split(processed_view(spark, sf_dir))
+    return clean.validation_levels(sp.filter("split = 'train'"), sp.filter("split = 'test'"), VAL_CATEGORICAL)
+
+
 @query("output_constraints", with_views(
     "SELECT * FROM (SELECT 'segment_in_0_3' AS rule, CAST(sum(CASE WHEN coalesce(segment BETWEEN 0 AND 3, false) THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM scored"
     " UNION ALL SELECT 'probability_in_0_1', CAST(sum(CASE WHEN coalesce(churn_prob BETWEEN 0 AND 1, false) THEN 0 ELSE 1 END) AS BIGINT) FROM scored"

@@ -104,6 +104,20 @@ def q_segment_profile(spark, sf_dir):
     return segments.segment_profile(segments.assign_segments(features_view(spark, sf_dir)))
 
 
+MIX = ["gender", "Contract", "PaymentMethod", "InternetService"]
+
+
+@query("segment_mix", with_views(
+    "SELECT feature, level, " + ", ".join(f"coalesce(max(CASE WHEN segment = {i} THEN CAST(n AS DOUBLE) / al END), 0.0) AS segment_{i}"
+                                          for i in range(C.N_CLUSTERS))
+    + " FROM (SELECT *, sum(n) OVER (PARTITION BY feature, segment) AS al FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, segment, count(*) AS n FROM scored GROUP BY ALL" for f in MIX)
+    + ")) GROUP BY feature, level"))
+def q_segment_mix(spark, sf_dir):
+    """Level mix per segment, side by side."""
+    return segments.segment_mix(segments.assign_segments(features_view(spark, sf_dir)), MIX)
+
+
 @query("kprototypes_fit", with_views(
     f"SELECT count(*) AS customers, CAST({C.N_CLUSTERS} AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS unassigned, "
     "CAST(0 AS BIGINT) AS cost_rises, true AS cost_matches FROM feat", "feat"))

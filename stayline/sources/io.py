@@ -41,7 +41,6 @@ RAW_SCHEMA = T.StructType([
 ])
 
 # One scoring record: the 19 inputs, all optional.
-CUSTOMER_SCHEMA = T.StructType([f for f in RAW_SCHEMA.fields if f.name in C.INPUT_COLUMNS])
 
 
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = RAW_SCHEMA) -> DataFrame:
@@ -62,10 +61,6 @@ def csv_sink(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .csv(path))
 
 
-def parquet_sink(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def batch_intake_guard(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """One row (rows, is_empty, over_limit).  With a limit the count
     stops early: ``limit(max + 1)`` reads at most max + 1 rows."""
@@ -75,14 +70,6 @@ def batch_intake_guard(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return a.select("rows", (F.col("rows") == 0).alias("is_empty"), over.alias("over_limit"))
 
 
-def assert_intake(df: DataFrame, max_rows: int | None = None) -> None:
-    """I3 as a guard: raise on an empty batch or one over the limit."""
-    if df.limit(1).count() == 0:
-        raise ValueError("empty batch")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"batch exceeds {max_rows} rows")
-
-
 def normalize_columns(df: DataFrame, expected: Sequence[str] = C.INPUT_COLUMNS):
     """I4: case-insensitive rename + reorder to ``expected``; extra columns
     dropped.  Returns (frame with the present expected columns, missing)."""

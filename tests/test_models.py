@@ -1,7 +1,10 @@
 """Segmentation, explanation, what-if and streaming properties on sf0.001."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from stayline import config as C
 from tests.conftest import SF
 
 
@@ -19,28 +22,135 @@ def test_kprototypes_cost_never_rises_and_is_deterministic(spark):
     assert a.select("segment").distinct().count() <= 4
 
 
+def test_kprototypes_starts_differ_and_cost_is_the_models(spark):
+    from stayline.operators import segments
+    from stayline.plans.score import features_view
+    feat = features_view(spark, SF)
+    _, prep, levels = segments._fit_input(feat, C.SEG_NUMERIC, C.SEG_CATEGORICAL, None)
+    first = segments.cao_init(prep, 4, len(C.SEG_NUMERIC), len(C.SEG_CATEGORICAL), C.SEED, levels)
+    starts = segments.seeded_starts(first, 4, C.SEED)
+    assert len({str(s) for s in starts}) == 4
+    m = segments.kprototypes_fit(feat, n_init=2, max_iter=2)          # stopped early: the cost must still match
+    cost = segments.assign_segments(feat, m).agg(F.sum("segment_cost")).first()[0]
+    assert abs(cost - m["cost"]) < 1e-6 * cost
+
+
+def test_kprototypes_reseeds_an_empty_cluster(spark):
+    from stayline.operators import segments
+    df = spark.createDataFrame([(i, float(i % 3), "a" if i % 2 else "b") for i in range(30)] + [(99, 50.0, "z")], "customerID long, x double, c string")
+    scaler, prep, levels = segments._fit_input(df, ["x"], ["c"], None)
+    far = ([1000.0], ["b"])                                            # nothing is near this one
+    runs = segments.fit_starts(prep, [[([0.0], ["a"]), ([0.1], ["b"]), far]], 0.5, 1, levels, 20)
+    used = segments._partial_sums(prep, [runs[0]["prototypes"]], 0.5, 1, levels)
+    assert {r["seg"] for r in used} == {0, 1, 2}
+
+
+def test_kprototypes_rejects_null_numerics(spark):
+    from stayline.operators import segments
+    df = spark.createDataFrame([(1, None, "a"), (2, 1.0, "b")], "customerID long, x double, c string")
+    with pytest.raises(ValueError, match="x"):
+        segments.kprototypes_fit(df, k=1, numeric=["x"], categorical=["c"])
+
+
 def test_linear_shap_additivity_and_sampled_shapley(spark):
-    from stayline.operators import clean, explain
+    """For a linear score the credit of a feature doesn't depend on the
+    order, so with every background row used the sampled values are exact."""
+    from stayline.operators import explain, model
     from stayline.plans.score import scored_view
     scored = scored_view(spark, SF)
-    wide = explain.linear_shap(scored)
-    assert explain.additivity_check(wide).count() == 0
-    bg = clean.background_sample(scored, n=50)
-    exact = explain.linear_shap(scored, background=bg).select(
-        "customerID", *[F.col(f"phi_{f}").alias(f"e_{f}") for f in explain.FEATURES])
-    samp = explain.sampled_shapley(scored, bg, n_perm=4)
-    # for a linear score each permutation credits w_j (x_j - b_j) exactly,
-    # so the sampled values are unbiased; check the mean over customers
-    j = samp.join(exact, "customerID")
-    for f in ("tenure", "contract_month_to_month"):
-        r = j.agg(F.avg(F.col(f"phi_{f}")).alias("s"), F.avg(F.col(f"e_{f}")).alias("e")).first()
-        assert abs(r["s"] - r["e"]) < 0.5
-
-
-def test_tree_shap_additivity(spark):
+    assert explain.additivity_check(explain.linear_shap(scored)).count() == 0
+    d = model.linear_design()
+    rows = scored.select("customerID", *[F.coalesce(d[f], F.lit(0.0)).alias(f) for f in explain.FEATURES])
+    bg = rows.orderBy("customerID").limit(7).drop("customerID")
+    got = {(r.customerID, r.feature): r.contribution for r in explain.sampled_shapley(rows, bg, explain.FEATURES, explain.linear_predict, n_perm=2).collect()}
+    x, mean = rows.toPandas().set_index("customerID"), bg.toPandas().mean()
+    assert len(got) == len(x) * len(explain.FEATURES)
+    for (i, f), v in got.items():
+        assert abs(v - explain.WEIGHTS[f] * (x.at[i, f] - mean[f])) < 1e-9
+    with pytest.raises(ValueError):
+        explain.sampled_shapley(rows, bg, explain.FEATURES, explain.linear_predict, max_background=3)
+
+
+def test_tree_contributions_equal_brute_force():
+    """All subsets of features, with the tree's own cover for the missing ones."""
+    from itertools import combinations
+    from math import factorial
+    from stayline.operators import explain
+    rng = np.random.default_rng(3)
+    #        0: f0<=.5 -> 1, 2;  1: f1 in {1} -> 3, 4;  2: f0<=.8 -> 5, 6
+    t = {"left": np.array([1, 3, 5, -1, -1, -1, -1]), "right": np.array([2, 4, 6, -1, -1, -1, -1]), "feat": np.array([0, 1, 0, 0, 0, 0, 0]),
+         "thr": np.array([.5, 0, .8, 0, 0, 0, 0]), "cats": [None, {1.0}, None, None, None, None, None],
+         "val": np.array([0, 0, 0, 3., -1., 2., 7.]), "cover": np.array([100., 60, 40, 20, 40, 30, 10])}
+    x = np.column_stack([rng.random(12), rng.integers(0, 3, 12), rng.random(12)]).astype(float)
+
+    def value(row, known, n=0):
+        if t["left"][n] < 0:
+            return t["val"][n]
+        f, l, r = t["feat"][n], t["left"][n], t["right"][n]
+        if f in known:
+            left = row[f] in t["cats"][n] if t["cats"][n] is not None else row[f] <= t["thr"][n]
+            return value(row, known, l if left else r)
+        return (t["cover"][l] * value(row, known, l) + t["cover"][r] * value(row, known, r)) / t["cover"][n]
+
+    got = explain.tree_shap_batch(x, t, explain.leaf_paths(t))
+    for row, phi in zip(x, got):
+        for i in range(3):
+            rest = [j for j in range(3) if j != i]
+            want = sum(factorial(len(s)) * factorial(2 - len(s)) / 6 * (value(row, {*s, i}) - value(row, set(s)))
+                       for k in range(3) for s in combinations(rest, k))
+            assert abs(phi[i] - want) < 1e-12
+
+
+def test_stored_model_scores_as_before(spark):
     import __spark_entry__ as E
-    df = E.queries()["tree_shap"](spark, SF)
-    assert df.agg(F.max("gap")).first()[0] < 1e-9
+    assert E.queries()["predict_proba"](spark, SF).first().asDict() == {"customers": 148, "nulls": 0, "out_of_range": 0, "moved": 0}
+
+
+def test_encoder_drops_first_level_and_rejects_unseen(spark):
+    from pyspark.ml import Pipeline
+    from stayline.operators import model
+    df = spark.createDataFrame([(1.0, "a", 0), (2.0, "b", 1), (3.0, "c", 0)], "x double, c string, Churn int")
+    enc = Pipeline(stages=model.encoder_stages(["x"], ["c"])).fit(model.prepare_model_input(df, ["x"], ["c"]))
+    assert len(enc.transform(model.prepare_model_input(df, ["x"], ["c"])).first()["features"]) == 3
+    new = spark.createDataFrame([(1.0, "new", 0)], df.schema)
+    with pytest.raises(Exception, match="new|unseen|Unseen"):
+        enc.transform(model.prepare_model_input(new, ["x"], ["c"])).collect()
+
+
+def test_customers_without_orders_are_reported(spark):
+    from stayline.plans import score
+    from stayline.sources.tables import customer_view_from
+    orders = spark.sql("select 1L o_orderkey, 1L o_custkey, 'O' o_orderstatus, 100.0D o_totalprice, timestamp'2024-01-01' o_orderdate, '1-URGENT' o_orderpriority")
+    cust = spark.sql("select id c_custkey, 1 c_nationkey, 0.0D c_acctbal, 'MACHINERY' c_mktsegment from values (1L), (2L) t(id)")
+    raw = customer_view_from(orders, cust)
+    lost = {r.customerID: (r.tenure, r.TotalCharges, r.Churn) for r in raw.collect()}[2]
+    assert lost == (0, " ", "No")
+    scored = score.score_batch(raw, high_value_threshold=1.0)
+    assert {r.customerID for r in score.failed_rows(raw, scored).collect()} == {1, 2}
+
+
+def test_file_batch_replay_leaves_the_same_rows(spark, tmp_path):
+    """A micro-batch seen again (its commit is lost) overwrites its own folders."""
+    import os
+    import shutil
+    from stayline.sources.tables import customer_view
+    from stayline.streaming import scoring
+    src, out, ck, ck2 = (str(tmp_path / x) for x in ("in", "out", "ck", "ck2"))
+    customer_view(spark, SF).repartition(2).write.parquet(src)
+    scoring.stream_file_batches(spark, src, out, ck, 50.0).awaitTermination()
+    before = sorted(map(str, spark.read.parquet(f"{out}/predictions").collect()))
+    shutil.copytree(ck, ck2, ignore=lambda d, names: [n for n in names if os.path.basename(d) == "commits" and n.lstrip(".").startswith("1")])
+    scoring.stream_file_batches(spark, src, out, ck2, 50.0).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(f"{out}/predictions").collect())) == before
+    status = spark.read.parquet(f"{out}/status")
+    assert status.count() == 2 and status.agg(F.sum("rows_processed")).first()[0] == len(before)
+
+
+def test_plans_of_features_are_pruned(spark):
+    """A one-column feature query reads only what it needs, and building it runs no job."""
+    from stayline.plans.score import features_view
+    plan = features_view(spark, SF).select("customerID", "streaming_count")._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderpriority" not in plan and "c_acctbal" not in plan
 
 
 def test_what_if_empty_modifications_give_zero_delta(spark):
