@@ -158,7 +158,7 @@ def oracle(window: int = WINDOW, least: int = LEAST, consistent: float = CONSIST
 WITH b AS (SELECT item_id, {token('text')} AS words FROM benchmark),
 bt AS (SELECT item_id, words, {canon} AS t, least(len(words), {window}) AS width FROM b WHERE len(words) >= {SHORTEST}),
 bv AS (SELECT item_id, t, width FROM bt UNION ALL
-  SELECT item_id, list_concat(['@'], t[2:]), width FROM bt WHERE regexp_matches(words[1], '^\p{{Lu}}')),
+  SELECT item_id, list_concat(['@'], t[2:]), width FROM bt WHERE regexp_matches(words[1], '^\\p{{Lu}}')),
 bw AS (SELECT DISTINCT item_id, width, i AS item_at, array_to_string(t[i + 1:i + width], ' ') AS run
   FROM (SELECT *, unnest(range(len(t) - width + 1)) AS i FROM bv)),
 f AS (SELECT item_id, width, words AS item_words, len(t) - width + 1 AS item_windows FROM bt),
