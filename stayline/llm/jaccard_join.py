@@ -19,7 +19,7 @@ linked when the Jaccard similarity of their sets is ``THRESHOLD`` at least.
 4. The components of that forest are small groups of likely copies.  Their
    whole sets are compared exactly, again by pairs of blocks: every pair
    counts towards its two classes' numbers of links, and a spanning forest
-   of the exact links gives the final classes.  Pairs are never written out.
+   of the exact links, as stars around the smallest set id, gives the final classes.  Pairs are never written out.
 
 So the links found are exact; a pair is missed only if no run kept it
 together and no chain of likely pairs does.
@@ -148,7 +148,7 @@ def blocked(rows: DataFrame, group: str, size: str, item: str, block: int = BLOC
 
 
 class _Forest:
-    """Union-find over the rows of one cell."""
+    """Union-find over the rows of one cell; a component's root is its first row."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -158,16 +158,26 @@ class _Forest:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
-        return i != j
+
+    def star(self) -> list[tuple[int, int]]:
+        """(row, root) of every row that isn't a root itself.  The cells of a
+        group mostly agree on the root, so their edges are the same ones."""
+        return [(i, r) for i in range(len(self.up)) if (r := self.root(i)) != i]
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    """Whole cells, as arrays by column, out of batches sorted by cell."""
+    """Whole cells, as arrays by column in the order of the set ids, out of
+    batches sorted by cell."""
     rest: list[dict] = []
-    whole = lambda: rest[0] if len(rest) == 1 else {k: np.concatenate([r[k] for r in rest]) for k in rest[0]}
+
+    def whole() -> dict:
+        cell = rest[0] if len(rest) == 1 else {k: np.concatenate([r[k] for r in rest]) for k in rest[0]}
+        order = np.argsort(cell["set_id"])
+        return {k: v[order] for k, v in cell.items()}
+
     for b in batches:
         cols = {k: b[k].to_numpy() for k in b.columns}
         ends = [*(np.flatnonzero(np.diff(cols["cell"])) + 1).tolist(), len(b)]
@@ -204,7 +214,9 @@ def likely(cells: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
                 same += sig[:, k][:, None] == sig[:, k][None, :]
             i, j = _links(same >= at_least * MINHASHES, c["side"], bool(c["alone"][0]))
             tree, ids = _Forest(n), list(c["set_id"])
-            edges = [(ids[a], ids[b]) for a, b in zip(i.tolist(), j.tolist()) if tree.join(a, b)]
+            for a, b in zip(i.tolist(), j.tolist()):
+                tree.join(a, b)
+            edges = [(ids[a], ids[b]) for a, b in tree.star()]
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
@@ -261,7 +273,9 @@ def exact(cells: DataFrame, threshold: float) -> DataFrame:
             linked = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
             tree = _Forest(len(ids))
             got = [(ids[k], None, int(n)) for k, n in enumerate(linked) if n]
-            got += [(ids[x], ids[y], None) for x, y in zip(i.tolist(), j.tolist()) if tree.join(x, y)]
+            for x, y in zip(i.tolist(), j.tolist()):
+                tree.join(x, y)
+            got += [(ids[x], ids[y], None) for x, y in tree.star()]
             if got:
                 out = pd.DataFrame(got, columns=["a", "b", "linked"])
                 out["linked"] = out["linked"].astype("Int64")
