@@ -32,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.llm.common import saved
+
 # The rules of the registered query.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
          ("net/es/", "block"), ("net/fr/", "block"))
@@ -70,7 +72,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
             .withColumns({"s1": F.coalesce(F.get(parts, 1), F.lit("")), "s2": F.coalesce(F.get(parts, 2), F.lit("")),
                           "s3": F.array_join(F.slice(parts, 4, 1_000_000), "/")}))
-    t = leaf
+    t = saved(leaf, "url-shapes")                       # each level reads the one above twice: lineage is cut there
     above = ["host"]
     for k in (1, 2, 3):
         # variable segments
@@ -91,7 +93,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
             group = look.groupBy(*above, "rest", "quarter").agg(F.min(f"t{k}").alias("a"), F.count("*").alias("branches"))
             name = F.when(F.col("branches") > 1, F.concat(F.lit("{"), "a", F.lit(",..}"))).otherwise(F.col("a"))
             look = look.join(group, [*above, "rest", "quarter"]).select(*above, f"t{k}", name.alias(f"m{k}"))
-            t = t.join(look, [*above, f"t{k}"])
+            t = saved(t.join(look, [*above, f"t{k}"]), f"url-level-{k}")
         else:
             t = t.withColumn("m3", F.col("t3"))
         above = [*above, f"m{k}"]
