@@ -223,11 +223,20 @@ def likely(cells: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a binary, b binary").distinct()
 
 
+def _is_star(e: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root hangs on another."""
+    roles = e.select("u", F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        e.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(set_id, comp) of every set with an edge, by alternating star
     contraction: neighbours move to the smallest id that one of them knows."""
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
     for _ in range(60):
+        if _is_star(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -236,13 +245,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         small = large.join(low, "u")
         nxt = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
                .where("u <> v").distinct())
-        nxt = saved(nxt, f"{name}-star")
-        # a star forest is a fixed point: every node hangs on one root, and no root hangs on another
-        deep = nxt.select("u").intersect(nxt.select("v"))
-        twice = nxt.groupBy("u").count().where("count > 1")
-        e = nxt
-        if twice.isEmpty() and deep.isEmpty():
-            break
+        e = saved(nxt, f"{name}-star")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("set_id"), F.col("v").alias("comp")).unionByName(
