@@ -104,6 +104,13 @@ def prepare_model_input(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CH
     return df.withColumns(cols)
 
 
+def training_input(*args) -> DataFrame:
+    """``prepare_model_input`` written once: indexers, fits and scoring read it
+    many times, so the split and the features must not be computed again."""
+    from stayline.session import cut_lineage
+    return cut_lineage(prepare_model_input(*args))
+
+
 def gbt_estimator(max_iter: int = 40, max_depth: int = 4, step_size: float = 0.1,
                   subsampling_rate: float = 0.76, feature_subset: str = "0.6",
                   min_instances: int = 21, min_info_gain: float = 0.0, weight_col: str | None = "weight",
@@ -134,7 +141,7 @@ def train_churn(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATE
     """
     from stayline.operators.evaluate import best_f1_threshold_value
     from stayline.operators.features import stratified_split
-    data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
     data = data.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     enc_all = enc.transform(data)
@@ -158,7 +165,7 @@ def logistic_baseline(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
     """M3: population-scaled numerics + drop-first one-hot -> logistic regression.
     Returns (pipeline model, scored frame)."""
     from stayline.operators.features import fit_scaler, standard_scale, stratified_split
-    data = prepare_model_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
+    data = training_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
                                numeric, categorical, label)
     stats = fit_scaler(data.filter("split = 'train'"), numeric)
     data = standard_scale(data, stats)
@@ -187,7 +194,7 @@ def model_leaderboard(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
     evaluated in one grouped aggregation."""
     from stayline.operators.evaluate import evaluate_grouped
     from stayline.operators.features import stratified_split
-    data = prepare_model_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
+    data = training_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
                                numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     data = enc.transform(data).select("customerID", "split", "label", "features").cache()
@@ -219,7 +226,7 @@ def random_search_cv(df: DataFrame, n_iter: int = 60, k: int = 5, seed: int = C.
     space = space or SPACE
     rng = random.Random(seed)
     draws = [{p: rng.choice(v) for p, v in space.items()} for _ in range(n_iter)]
-    data = prepare_model_input(stratified_kfold(df, k=k, label=label), numeric, categorical, label)
+    data = training_input(stratified_kfold(df, k=k, label=label), numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data)
     data = enc.transform(data).select("fold", "label", "features").cache()
     est = GBTClassifier(labelCol="label", featuresCol="features", seed=seed)
@@ -246,7 +253,7 @@ def refine_search(df: DataFrame, phase1: DataFrame, n_iter: int = 30, seed: int
         "stepSize": best["stepSize"] * rng.choice([0.5, 0.75, 1.0, 1.5]),
         "maxIter": max(5, best["maxIter"] + rng.choice([-10, 0, 10])),
     } for _ in range(n_iter)]
-    data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     data = enc.transform(data).where("split <> 'test'").select((F.col("split") == "validation").cast("int").alias("fold"), "label", "features").cache()
     train, val = data.where("fold = 0"), data.where("fold = 1")
@@ -268,7 +275,7 @@ def early_stopping_fit(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHU
     """M8: GBT with a validation indicator column (stops when the validation
     loss stops improving).  Returns (model, number of trees kept)."""
     from stayline.operators.features import stratified_split
-    data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
     data = data.withColumn("is_val", F.col("split") == "validation")
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
     data = enc.transform(data).filter("split IN ('train', 'validation')")
@@ -314,7 +321,7 @@ def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.C
     the meta-learner score the test split.  Returns (meta model, scored frame
     with ``split`` ('oof' or 'test'), label, p_<base> and meta_prob)."""
     from stayline.operators.features import stratified_kfold, stratified_split
-    data = prepare_model_input(stratified_split(df, label=label), numeric, categorical, label)
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.where("split <> 'test'"))
     data = enc.transform(data).select("customerID", "split", F.col(label).alias("__y"), "label", "features")
     rest = stratified_kfold(data.where("split <> 'test'"), k=k, label="__y").cache()
