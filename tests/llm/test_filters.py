@@ -157,6 +157,16 @@ def test_decontamination_by_shuffle_and_sql(spark, monkeypatch):
     assert key(got) == key(want)
 
 
+def test_decontamination_checks_every_alignment(spark):
+    item = "What is 3 plus 4 minus 3?"
+    rows = [(1, f"What is 5 plus 6 minus 7? {item}"), (2, f"{item} What is 5 plus 6 minus 7?"), (3, "What is 5 plus 6 minus 7? What is 1 plus 2 minus 4?"),
+            (4, "What is 5 plus 6 minus 7? " * 3 + "What is 8 plus 2 minus 8?")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.doc_at, r.n_slots, r.n_agree) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: (7, 3, 3), 2: (0, 3, 3), 4: (21, 3, 3)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 @pytest.mark.parametrize("text,want", [("He paid 12.50 dollars, to Mr Smith", ["he", "paid", "#", "~", "to", "mr", "@"]), ("", []), ("ÉTÉ 1,000 km", ["été", "#", "~"])])
 def test_template_words(spark, text, want):
     row = spark.createDataFrame([(text,)], "text string").select(
