@@ -14,6 +14,13 @@ each typed placeholder of the item must always be replaced by the same value of
 the document; ``CONSISTENT`` of the slots at least have to agree with the
 commonest replacement.  Templates that only share their form fail here.
 
+Renamed items.  A second search takes every run of capitalised words, wherever
+it stands, for one ``@``, on both sides; so names that open a sentence, follow a
+quote or newline, or have more words than the item's are found too.  Windows of
+alignments up to ``SLIP`` apart count together, each word of the item with its
+nearest one.  Names and numbers have to agree by ``CONSISTENT`` each; names that
+nowhere change don't count.  It adds the pairs that the first search lacks.
+
 The windows of the benchmark are broadcast only if their counted size is
 below ``BROADCAST_BYTES``; else they are joined by a shuffle.
 
@@ -36,6 +43,7 @@ WINDOW = 8
 SHORTEST = 5
 LEAST = 5
 CONSISTENT = 0.8
+SLIP = 2
 BROADCAST_BYTES = 64_000_000
 # Units that are typed after a number.
 UNITS = ("kg g mg lb oz km m cm mm mi ft in l ml mph kmh s sec min h hr hours hour minutes minute seconds second days day weeks "
@@ -45,6 +53,7 @@ UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 NAME = r"([\p{Ll}\p{N},;:] )(\p{Lu})"
 AFTER = rf"(\p{{N}} ?)((?:{UNIT})(?:[^\p{{L}}]|$))"
 TOKEN = r"[@~]?\p{L}+|\p{N}+(?:[.,]\p{N}+)*"
+RUN = r"\p{Lu}\p{L}*+(?:[ .'’-]{1,2}\p{Lu}\p{L}*+)*+"          # possessive: a loop, not a recursion as deep as the run
 
 
 def words(text: Column) -> Column:
@@ -53,6 +62,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 
+def name_runs(text: Column) -> Column:
+    """The words of a text, with a run of capitalised words as one."""
+    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), AFTER, "$1~$2"), F.lit(f"{RUN}|{TOKEN}"), F.lit(0))
+
+
+def name_template_word(word: Column) -> Column:
+    return F.when(word.rlike(r"^\p{Lu}"), "@").otherwise(template_word(word))
+
+
 def template_word(word: Column) -> Column:
     head = F.substring(word, 1, 1)
     return F.when(head.isin("@", "~"), head).when(word.rlike(r"^\p{N}"), "#").otherwise(F.lower(word))
@@ -67,8 +85,8 @@ def _windows(tokens: Column, width: int) -> Column:
     return F.get(F.transform(F.array(tokens), inside), 0)
 
 
-def _hashed(words_: Column) -> Column:
-    return F.transform(words_, lambda w: F.xxhash64(template_word(w)))
+def _hashed(words_: Column, template=template_word) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(template(w)))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -80,23 +98,21 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     inside = F.concat(F.array(F.concat(F.lit("@"), first)), F.slice("words", 2, 1_000_000))
     forms = F.array("words", F.when(first.rlike(r"^\p{Lu}"), inside).otherwise(F.col("words")))
     rows = rows.select("item_id", "words", F.explode(F.array_distinct(forms)).alias("form"))
-    rows = rows.select("item_id", "words", _hashed(F.col("form")).alias("h"), F.least(F.size("words"), F.lit(window)).alias("width"))
+    return _item_runs(rows.select("item_id", "words", _hashed(F.col("form")).alias("h")), window)
+
+
+def _item_runs(rows: DataFrame, window: int) -> DataFrame:
+    rows = rows.withColumn("width", F.least(F.size("words"), F.lit(window)))
     every = F.when(F.col("width") == window, _windows(F.col("h"), window))
     for k in range(SHORTEST, window):
         every = every.when(F.col("width") == k, _windows(F.col("h"), k))
     return rows.select("item_id", "words", "width", F.posexplode(every).alias("at", "hash")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST,
-                 consistent: float = CONSISTENT) -> DataFrame:
-    """One row per document and item that it contains: ``doc_id``, ``key``
-    (hash of the text), ``item_id``, ``doc_at`` and ``item_at`` (first matched
-    words), ``windows``, ``item_windows``, ``n_slots`` and ``n_agree``."""
-    inner = saved(item_windows(items, window), "item-windows")
-    facts = inner.groupBy("item_id").agg((F.max("at") + 1).cast("long").alias("item_windows"), F.first("words").alias("item_words"), F.first("width").alias("width"))
+def _matches(docs: DataFrame, inner: DataFrame, hashes: Column, window: int) -> DataFrame:
+    """(doc_id, key, item_id, doc_at, item_at) of every window of an item in a document."""
     short = [r.width for r in inner.select("width").distinct().collect()]       # at most WINDOW values
-    key = F.xxhash64("text")
-    rows = docs.select("doc_id", key.alias("key"), _hashed(words(F.col("text"))).alias("h"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), hashes.alias("h"))
     every = None
     if len(short) > 1:
         def named(k: int):
@@ -111,18 +127,91 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
     probe = inner.select("hash", "width", "item_id", F.col("at").alias("item_at"))
     if probe.count() * 64 <= BROADCAST_BYTES:
         probe = F.broadcast(probe)
+    return (every.join(probe, ["hash", "width"]).select("doc_id", "key", "item_id", "doc_at", "item_at")
+            .dropDuplicates(["doc_id", "key", "item_id", "doc_at", "item_at"]))
+
+
+def _facts(inner: DataFrame) -> DataFrame:
+    return inner.groupBy("item_id").agg((F.max("at") + 1).cast("long").alias("item_windows"), F.first("words").alias("item_words"), F.first("width").alias("width"))
+
+
+def _raw(docs: DataFrame, hits: DataFrame, words_: Column) -> DataFrame:
+    """(__id, __key, words) of the documents in ``hits``."""
+    raw = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), "text")
+    raw = raw.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
+    return raw.dropDuplicates(["__id", "__key"]).select("__id", "__key", words_.alias("words"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST,
+                 consistent: float = CONSISTENT) -> DataFrame:
+    """One row per document and item that it contains: ``doc_id``, ``key``
+    (hash of the text), ``item_id``, ``doc_at`` and ``item_at`` (first matched
+    words), ``windows``, ``item_windows``, ``n_slots`` and ``n_agree``."""
+    ids = ["doc_id", "key", "item_id"]
+    rest = ["doc_at", "item_at", "windows", "item_windows", "n_slots", "n_agree"]
+    plain = _same_names(docs, items, window, least, consistent).select(F.lit(1).alias("search"), *ids, *rest)
+    both = plain.unionByName(_renamed(docs, items, window, least, consistent).select(F.lit(2).alias("search"), *ids, *rest))
+    return both.groupBy(*ids).agg(F.min(F.struct("search", *rest)).alias("b")).select(*ids, *[f"b.{c}" for c in rest])
+
+
+def _renamed(docs: DataFrame, items: DataFrame, window: int, least: int, consistent: float) -> DataFrame:
+    """The same columns, for templates with every run of names as one word."""
+    rows = items.select("item_id", name_runs(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
+    inner = saved(_item_runs(rows.select("item_id", "words", _hashed(F.col("words"), name_template_word).alias("h")), window), "item-name-windows")
+    hits = _matches(docs, inner, _hashed(name_runs(F.col("text")), name_template_word), window)
+    hits = saved(hits.withColumn("shift", F.col("doc_at") - F.col("item_at")), "name-matches")
+    # every shift takes the windows of its neighbours
+    ids = ["doc_id", "key", "item_id", "base"]
+    own = hits.select("doc_id", "key", "item_id", F.col("shift").alias("base")).distinct().withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key")
+    near = hits.withColumn("base", F.explode(F.sequence(F.col("shift") - SLIP, F.col("shift") + SLIP)))
+    near = near.join(own.withColumnRenamed("item_id", "__item").withColumnRenamed("base", "__base"),
+                     F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")) & F.col("item_id").eqNullSafe(F.col("__item"))
+                     & (F.col("base") == F.col("__base")), "left_semi")
+    nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("base")).alias("off"), "shift")).alias("s")
+    near = near.groupBy(*ids, "item_at").agg(nearest).select(*ids, "item_at", "s.*")
+    lines = near.groupBy(*ids).agg(F.count("*").alias("windows"), F.min(F.struct("item_at", "shift")).alias("start"),
+                                   F.sort_array(F.collect_list(F.struct("item_at", "shift", "off"))).alias("at"))
+    lines = lines.join(_facts(inner), "item_id")
+    lines = lines.where((F.col("windows") >= least) | (F.col("windows") * 2 >= F.col("item_windows")))
+    # each word of the item once, by its nearest window
+    spans = F.sort_array(F.flatten(F.transform("at", lambda w: F.transform(
+        F.sequence(w["item_at"], w["item_at"] + F.col("width") - 1), lambda i: F.struct(i.alias("i"), w["off"].alias("off"), w["shift"].alias("shift"))))))
+    first = lambda t: F.filter(t, lambda x, k: (k == 0) | (F.get(t, k - 1)["i"] != x["i"]))
+    lines = saved(lines.withColumn("at", F.get(F.transform(F.array(spans), first), 0)), "name-alignments")
+    both = lines.join(_raw(docs, lines, name_runs(F.col("text"))), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    before = F.slice("words", F.lit(1), F.col("start.item_at") + F.col("start.shift"))
+    item_before = F.slice("item_words", F.lit(1), F.col("start.item_at"))
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, w: n + F.size(F.regexp_extract_all(w, F.lit(TOKEN), F.lit(0))))
+    ids += ["windows", "item_windows", "doc_at", "item_at"]
+    both = both.withColumn("doc_at", size(before)).withColumn("item_at", size(item_before))
+    pairs = F.transform("at", lambda x: F.struct(F.get("item_words", x["i"]).alias("item"), F.get("words", x["i"] + x["shift"]).alias("doc")))
+    slots = both.select(*ids, F.explode_outer(F.filter(pairs, lambda p: p["item"].rlike(r"^[~\p{Lu}\p{N}]"))).alias("p"))
+    count = (slots.select(*ids, F.col("p.item").alias("item"), F.col("p.doc").alias("doc"), F.col("p.item").rlike(r"^\p{Lu}").alias("name"))
+             .groupBy(*ids, "item", "doc", "name").agg(F.count("item").alias("n")))
+    agree = count.groupBy(*ids, "item", "name").agg(F.max("n").alias("agree"), F.sum("n").alias("n"), F.max(F.col("item") != F.col("doc")).alias("changed"))
+    counted = F.col("item").isNotNull() & (~F.col("name") | F.col("changed"))
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    out = agree.groupBy(*ids).agg(total("n", counted).alias("n_slots"), total("agree", counted).alias("n_agree"),
+                                  total("n", counted & F.col("name")).alias("n_names"), total("agree", counted & F.col("name")).alias("names"))
+    numbers, fits = F.col("n_slots") - F.col("n_names"), F.col("n_agree") - F.col("names")
+    out = out.where((F.col("names") >= F.lit(consistent) * F.col("n_names")) & (fits >= F.lit(consistent) * numbers))
+    best = F.max(F.struct("windows", (-F.col("base")).alias("back"), "doc_at", "item_at", "item_windows", "n_slots", "n_agree"))
+    return out.groupBy("doc_id", "key", "item_id").agg(best.alias("b")).select("doc_id", "key", "item_id", "b.*")
+
+
+def _same_names(docs: DataFrame, items: DataFrame, window: int, least: int, consistent: float) -> DataFrame:
+    """The pairs found by the words' own forms."""
+    inner = saved(item_windows(items, window), "item-windows")
+    facts = _facts(inner)
     shift = F.col("doc_at") - F.col("item_at")
-    hits = (every.join(probe, ["hash", "width"]).dropDuplicates(["doc_id", "key", "item_id", "doc_at", "item_at"])
+    hits = (_matches(docs, inner, _hashed(words(F.col("text"))), window)
             .groupBy("doc_id", "key", "item_id", shift.alias("shift"))
             .agg(F.count("*").alias("windows"), F.min("item_at").alias("first"), F.max("item_at").alias("last")))
     hits = hits.join(facts.select("item_id", "item_windows", "width", "item_words"), "item_id")
     hits = hits.where((F.col("windows") >= least) | (F.col("windows") * 2 >= F.col("item_windows")))
     hits = saved(hits, "alignments")
     # the slots of every alignment's matched stretch, on the raw words
-    raw = docs.select(F.col("doc_id").alias("__id"), key.alias("__key"), "text")
-    raw = raw.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
-    raw = raw.dropDuplicates(["__id", "__key"]).select("__id", "__key", words(F.col("text")).alias("words"))
-    both = hits.join(raw, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    both = hits.join(_raw(docs, hits, words(F.col("text"))), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
     n = F.col("last") - F.col("first") + F.col("width")
     pairs = F.arrays_zip(F.slice("item_words", F.col("first") + 1, n).alias("item"),
                          F.slice("words", F.col("first") + F.col("shift") + 1, n).alias("doc"))
@@ -152,7 +241,7 @@ def oracle(window: int = WINDOW, least: int = LEAST, consistent: float = CONSIST
     """The same in DuckDB's SQL; items of ``window`` words at least are told
     from shorter ones by their own width, as above.  It checks the slots of one
     alignment of a document and an item only, so it lacks the pairs whose best
-    alignment fails while another one passes."""
+    alignment fails while another one passes, and it has no second search."""
     token = lambda c: (f"regexp_extract_all(regexp_replace(regexp_replace(coalesce({c}, ''), '{NAME}', '\\1@\\2', 'g'), "
                        f"'{AFTER}', '\\1~\\2', 'g'), '{TOKEN}')")
     canon = (r"list_transform(words, lambda w: CASE WHEN w[1] IN ('@', '~') THEN w[1] WHEN regexp_matches(w, '^\p{N}') THEN '#' ELSE lower(w) END)")

@@ -167,6 +167,22 @@ def test_decontamination_checks_every_alignment(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
 
 
+def test_decontamination_finds_renamed_sentences(spark):
+    item = "Anna has 3 apples. Anna buys 4 more apples. Anna gives 2 to Tom. How many apples does Anna have?"
+    city = "The train from Boston to Berlin takes 5 hours. Boston is colder than Berlin by 7 degrees, so which of the two towns is warmer?"
+    mary, york = item.replace("Anna", "Mary").replace("Tom", "Otto").replace("4", "9"), city.replace("Boston", "New York")
+    rows = [(1, "some words before. " + mary), (2, mary.replace(". ", '.\n"')), (3, york), (4, york.replace("Berlin", "Rio de la Plata")),
+            (5, item.replace("Anna buys", "Mary buys").replace("Anna gives", "Rosa gives").replace("does Anna", "does Otto")),
+            (6, "Mary had a little lamb. Its fleece was white as snow. Otto gives 2 to Rosa."),
+            (7, "AB CDE " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, city)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert sorted(got) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    assert got[1, 1].doc_at == 3 and got[1, 1].item_at == 0
+    assert [r.doc_id for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [5, 6, 7]
+
+
 @pytest.mark.parametrize("text,want", [("He paid 12.50 dollars, to Mr Smith", ["he", "paid", "#", "~", "to", "mr", "@"]), ("", []), ("ÉTÉ 1,000 km", ["été", "#", "~"])])
 def test_template_words(spark, text, want):
     row = spark.createDataFrame([(text,)], "text string").select(
