@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stayline.llm import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter
+from stayline.llm import decontaminate, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter
 from stayline.llm.common import table
 
 
@@ -59,8 +59,16 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(docs.withColumn("edits", token_counts.revision()))
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = fill_in_middle.fill_in_middle(docs)
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filters, op4_fingerprints, op5_mixing, op6_decontamination, op7_jaccard_join, op8_line_dedup, op9_sharding, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filters, op4_fingerprints, op5_mixing, op6_decontamination, op7_jaccard_join, op8_line_dedup, op9_sharding, op10_token_counts,
+                                    op13_fill_in_middle)}
 
 
 def oracles():
