@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stayline.llm import decontaminate, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, mixing, quality, sharding, suffix_dedup, token_counts, url_filter
+from stayline.llm import decontaminate, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, mixing, phrases, quality, sharding, suffix_dedup, token_counts, url_filter
 from stayline.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(docs.withColumn("edits", token_counts.revision()))
 
 
+def op11_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     return quality.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
@@ -73,7 +77,7 @@ def op13_fill_in_middle(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filters, op4_fingerprints, op5_mixing, op6_decontamination, op7_jaccard_join, op8_line_dedup, op9_sharding, op10_token_counts,
-                                    op12_quality, op13_fill_in_middle)}
+                                    op11_collocations, op12_quality, op13_fill_in_middle)}
 
 
 def oracles():
