@@ -6,22 +6,28 @@
   each row: no window, no shuffle.
 * Batch aggregates (X5/X6) are one ``groupBy(feature)`` over the long form
   with exact micro-unit sums.
-* TreeSHAP (X1) for Spark GBT models: the fitted trees are read from the
-  saved model (a few thousand nodes), their leaf paths are listed once, and
-  every path is evaluated for a whole Arrow batch in ``mapInPandas``.  Contributions are reported on the log-odds scale (2F
-  for Spark's GBT margin F), so base + sum(phi) = logit(p).
-* Sampled Shapley (X10) crosses rows with a bounded background and predicts
-  all hybrids in one pass of the model.
+* TreeSHAP (X1) for boosted trees: the leaf paths of the fitted trees are listed
+  once, and every path is evaluated for a whole Arrow batch in
+  ``mapInPandas``.  Contributions are on the log-odds scale, so base + sum(phi)
+  = logit(p); the slots of an encoded column can be added up to the column.
+* Kernel Shapley values (X10) of any model: coalitions with Shapley kernel
+  weights, one prediction pass over all hybrids of a row, a bounded background
+  and the coalitions, then a least-squares fit per row.  Sampled
+  Shapley values walk along random feature orders instead.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable, Iterator
+from itertools import combinations
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,39 +165,9 @@ def driver_columns(top: DataFrame, key: str = "customerID") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# TreeSHAP for Spark GBT models
+# Contributions of boosted trees
 # ---------------------------------------------------------------------------
 
-def read_gbt_trees(spark, model, path: str) -> tuple[list, list]:
-    """Save the GBT model to ``path`` and read its node table back.  Returns
-    (trees, weights); each tree is a dict of node arrays (small: trees x
-    nodes rows, held on the driver and broadcast)."""
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        "nodeData.split.numCategories").toPandas()
-    meta = spark.read.parquet(f"{path}/treesMetadata").toPandas()  # (_1 tree id, _2 json, _3 weight)
-    weights = dict(zip(meta["_1"], meta["_3"]))
-    trees = []
-    for tid in sorted(nodes["treeID"].unique()):
-        t = nodes[nodes["treeID"] == tid].sort_values("id")
-        n = int(t["id"].max()) + 1
-        tree = {"left": np.full(n, -1), "right": np.full(n, -1), "feat": np.zeros(n, dtype=int),
-                "thr": np.zeros(n), "cats": [None] * n, "val": np.zeros(n), "cover": np.zeros(n)}
-        for r in t.itertuples(index=False):
-            i = int(r.id)
-            tree["left"][i], tree["right"][i] = int(r.leftChild), int(r.rightChild)
-            tree["val"][i], tree["cover"][i] = float(r.prediction), float(r.rawCount)
-            tree["feat"][i] = int(r.featureIndex)
-            if int(r.numCategories) >= 0 and r.leftChild >= 0:
-                tree["cats"][i] = set(float(v) for v in r.leftCategoriesOrThreshold)
-            elif r.leftChild >= 0:
-                tree["thr"][i] = float(r.leftCategoriesOrThreshold[0])
-        trees.append(tree)
-    return trees, [float(weights[t]) for t in sorted(weights)]
-
-
 def _expected_value(t: dict, node: int = 0) -> float:
     if t["left"][node] < 0:
         return t["val"][node]
@@ -250,13 +226,12 @@ def tree_shap_batch(x: np.ndarray, t: dict, paths: list[tuple]) -> np.ndarray:
 
 
 def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: str = "customerID",
-              vec: str = "features") -> DataFrame:
+              vec: str = "features", model_prior: float = 0.0) -> DataFrame:
     """X1 + X8: per row base value, margin (log-odds) and contribution array.
 
     Trees and weights are closed over by the Python function, so Spark
     ships them once per task (broadcast through the closure)."""
-    from pyspark.ml.functions import vector_to_array
-    base = 2.0 * sum(w * _expected_value(t) for t, w in zip(trees, weights))
+    base = model_prior + 2.0 * sum(w * _expected_value(t) for t, w in zip(trees, weights))
     inp = df.select(F.col(key), vector_to_array(vec).alias("__x"))
 
     paths = [leaf_paths(t) for t in trees]
@@ -275,12 +250,44 @@ def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: s
     return inp.mapInPandas(run, schema)
 
 
+def fold_slots(shap: DataFrame, names: Sequence[str], source: Callable[[str], str]) -> tuple[DataFrame, list[str]]:
+    """Contributions with the slots of every source feature added up, and the
+    source features in order."""
+    groups = {}
+    for i, n in enumerate(names):
+        groups.setdefault(source(n), []).append(i)
+    item = lambda i: F.get("contributions", F.lit(i))
+    folded = F.array(*[sum((item(i) for i in at[1:]), item(at[0])) for at in groups.values()])
+    return shap.withColumn("contributions", folded), list(groups)
+
+
 def tree_shap_long(shap: DataFrame, names: Sequence[str], key: str = "customerID") -> DataFrame:
     arr = F.array(*[F.lit(n) for n in names])
     return shap.select(key, F.posexplode("contributions").alias("i", "contribution")) \
                .select(key, F.element_at(arr, F.col("i") + 1).alias("feature"), "contribution")
 
 
+def model_drivers(shap: DataFrame, names: Sequence[str], n: int = C.TOP_N_DRIVERS, key: str = "customerID", eps: float = C.NEUTRAL_EPS) -> DataFrame:
+    """X3 + X4 of a trained model: per row its first ``n`` drivers by size of the
+    contribution (equal ones by name) as ``top_features``, inside the row."""
+    items = F.array(*[F.struct(-F.abs(F.get("contributions", F.lit(i))).alias("a"), F.lit(f).alias("feature"), F.get("contributions", F.lit(i)).alias("contribution"))
+                      for i, f in enumerate(names)])
+    top = F.transform(F.slice(F.sort_array(items), 1, n), lambda s: F.struct(
+        s["feature"].alias("feature"), s["contribution"].alias("contribution"), X.impact_direction(s["contribution"], eps).alias("direction")))
+    return shap.select(key, "base_value", "margin", top.alias("top_features"))
+
+
+def model_importance(shap: DataFrame, names: Sequence[str]) -> DataFrame:
+    """X5 of a trained model: mean size and mean of every feature's
+    contributions, and their sign, in one aggregation of arrays' entries."""
+    at = lambda i: F.get("contributions", F.lit(i))
+    sums = shap.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.abs(at(i))).alias(f"a{i}") for i in range(len(names))], *[F.sum(at(i)).alias(f"s{i}") for i in range(len(names))])
+    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"a{i}") / F.col("n")).alias("mean_abs_shap"), (F.col(f"s{i}") / F.col("n")).alias("mean_shap"))
+                                          for i, f in enumerate(names)])))
+    sign = F.when(F.col("mean_shap") > 0, "increases_churn").when(F.col("mean_shap") < 0, "decreases_churn").otherwise("neutral")
+    return rows.withColumn("direction", sign).orderBy(F.desc("mean_abs_shap"), "feature")
+
+
 # ---------------------------------------------------------------------------
 # Sampled Shapley (model-agnostic)
 # ---------------------------------------------------------------------------
@@ -325,3 +332,88 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: Sequence[str
         F.sort_array(F.collect_list(F.struct("__step", "value"))).alias("v"), F.first("__order").alias("__order"))
     diff = F.transform("__order", lambda f, i: F.struct(f.alias("feature"), (F.get(F.col("v"), i + 1)["value"] - F.get(F.col("v"), i)["value"]).alias("d")))
     return got.select(key, F.inline(diff)).groupBy(key, "feature").agg(F.avg("d").alias("contribution"))
+
+
+def kernel_coalitions(m: int, samples: int, seed: int = C.SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions of ``m`` features (without the empty and the full one) and
+    their weights.  Sizes are listed whole, from the outside in and each with
+    its complement, while they fit into ``samples``; the weight of the other
+    sizes is shared by coalitions drawn from them in complementary pairs."""
+    weight = [0.0] + [(m - 1) / (k * (m - k)) for k in range(1, m)]          # of a size in all
+    rows, weights, left = [], [], samples
+    inner = []
+    for k in range(1, m // 2 + 1):
+        pair = {k, m - k}
+        n = sum(math.comb(m, j) for j in pair)
+        if not inner and n <= left:
+            for j in pair:
+                rows += [[int(i in c) for i in range(m)] for c in map(set, combinations(range(m), j))]
+                weights += [weight[j] / math.comb(m, j)] * math.comb(m, j)
+            left -= n
+        else:
+            inner += sorted(pair)
+    if inner and left >= 2:
+        rng, seen = random.Random(seed), {}
+        share = [weight[j] for j in inner]
+        for _ in range(left // 2):
+            chosen = set(rng.sample(range(m), rng.choices(inner, share)[0]))
+            z = tuple(int(i in chosen) for i in range(m))
+            for c in (z, tuple(1 - i for i in z)):
+                seen[c] = seen.get(c, 0) + 1
+        total = sum(seen.values())
+        rows += [list(c) for c in seen]
+        weights += [sum(share) * n / total for n in seen.values()]
+    return np.array(rows, float).reshape(-1, m), np.array(weights)
+
+
+def kernel_solution(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices (A, c) with ``phi = A v + c d``: the weighted least squares of
+    coalition values ``v`` under ``sum(phi) = d``.  The normal equations are
+    the same for every row, so they are solved once."""
+    m = z.shape[1]
+    if m == 1:
+        return np.zeros((1, len(z))), np.ones(1)
+    x, last = z[:, :-1] - z[:, -1:], z[:, -1]
+    solve = np.linalg.pinv(x.T @ (w[:, None] * x)) @ (x.T * w)
+    a, c = np.vstack([solve, -solve.sum(0)]), np.append(-solve @ last, 1 + (solve @ last).sum())
+    return a, c
+
+
+def kernel_shapley(df: DataFrame, background: DataFrame, features: dict, predict: Callable[[np.ndarray], np.ndarray], samples: int = 256,
+                   seed: int = C.SEED, key: str = "customerID", vec: str = "x", max_background: int = 500) -> DataFrame:
+    """Shapley values of any model by kernel-weighted least squares, as
+    (key, base_value, margin, contributions).
+
+    ``vec`` is an array of doubles; ``features`` maps every feature to the
+    slots that it owns, which switch together.  ``predict`` takes rows x slots
+    and returns one value a row; it is sent to the tasks.  For each row
+    all hybrids of the coalitions with the ``background`` rows (``max_background``
+    at most, checked) are predicted in one pass; a coalition's value is their
+    mean.  Exact if ``samples`` holds all ``2**features - 2`` coalitions."""
+    bg = background.select(vec).limit(max_background + 1).toArrow().column(0).combine_chunks()
+    if len(bg) > max_background:
+        raise ValueError(f"the background has more than {max_background} rows")
+    bg = bg.flatten().to_numpy().reshape(len(bg), -1)
+    names, owners = list(features), np.full(bg.shape[1], -1)
+    for i, f in enumerate(names):
+        owners[list(features[f])] = i
+    z, w = kernel_coalitions(len(names), samples, seed)
+    a, c = kernel_solution(z, w)
+    mask = np.hstack([z, np.zeros((len(z), 1))])[:, owners].astype(bool)          # slots of no feature stay the background's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = predict(bg).mean() if len(bg) else 0.0
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            values = np.empty((len(x), len(z)))
+            for i, row in enumerate(x):                                           # one row's hybrids at a time
+                hybrids = np.where(mask[:, None, :], row, bg[None])
+                values[i] = predict(hybrids.reshape(-1, x.shape[1])).reshape(len(z), len(bg)).mean(1)
+            margin = predict(x) if len(x) else np.zeros(0)
+            phi = (values - base) @ a.T + (margin - base)[:, None] * c
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), base)), pa.array(margin), pa.array(phi.tolist(), pa.list_(pa.float64()))],
+                                             names=[key, "base_value", "margin", "contributions"])
+
+    kind, sc = df.schema[key].dataType.simpleString(), df.sparkSession.sparkContext
+    tasks = max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))      # much work per row
+    return df.select(key, vec).repartition(tasks).mapInArrow(run, f"`{key}` {kind}, base_value double, margin double, contributions array<double>")

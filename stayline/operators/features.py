@@ -2,8 +2,7 @@
 
 ``engineer_features`` adds the 12 engineered columns in one projection.
 The only data-dependent piece is the MonthlyCharges median behind
-``is_high_value``: an exact one-row aggregate joined back by broadcast
-(``mode='batch'`` reproduces the per-frame median), or a fitted constant
+``is_high_value``: fitted on the batch when the plan is built, or a fitted constant
 (``high_value_threshold=...``) so that scoring one row gives the same
 answer as scoring it inside a batch.
 """
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stayline import config as C
 from stayline.functions import exprs as X
+from stayline.operators.selection import quantiles
 
 
 def avg_monthly_spend() -> F.Column:
@@ -30,18 +30,15 @@ def charge_gap() -> F.Column:
     return F.col("MonthlyCharges") - avg_monthly_spend()
 
 
-def median_of(df: DataFrame, c: str) -> DataFrame:
-    """Exact median (average of the two middle values) as a 1-row frame.
-
-    ``percentile`` keeps a value->count map per partition, so its memory
-    is bounded by the number of distinct values (cents for money), not rows.
-    """
-    return df.agg(F.percentile(F.col(c), 0.5).alias("__median"))
+def median_of(df: DataFrame, c: str) -> float | None:
+    """Exact median (average of the two middle values) by distributed
+    selection; None without values."""
+    return quantiles(df, [c], [0.5]).get(((), c), [None])[0]
 
 
-def high_value_threshold(df: DataFrame) -> float:
+def high_value_threshold(df: DataFrame) -> float | None:
     """Fit the is_high_value threshold (median MonthlyCharges) once."""
-    return float(median_of(df, "MonthlyCharges").first()[0])
+    return median_of(df, "MonthlyCharges")
 
 
 def engineer_features(df: DataFrame, high_value_threshold: float | Column | None = None,
@@ -52,8 +49,7 @@ def engineer_features(df: DataFrame, high_value_threshold: float | Column | None
     out = df
     has_billing = {"TotalCharges", "tenure", "MonthlyCharges"} <= cols
     if has_billing and high_value_threshold is None:
-        # scalar subquery: computed once, used as a literal by every row
-        thr = median_of(df, "MonthlyCharges").scalar()
+        thr = F.lit(median_of(df, "MonthlyCharges")).cast("double")       # fitted now, a literal in the plan
     else:
         thr = high_value_threshold if isinstance(high_value_threshold, Column) else F.lit(high_value_threshold)
     new = {}
@@ -83,7 +79,7 @@ def engineer_features(df: DataFrame, high_value_threshold: float | Column | None
     if "InternetService" in cols:
         new["no_internet_services"] = X.flag(F.col("InternetService") == "No")
     out = out.withColumns(new)
-    return out.drop("__median") if "__median" in out.columns else out
+    return out
 
 
 def num_services(cols: Sequence[str] = C.ALL_SERVICES) -> F.Column:

@@ -1,31 +1,35 @@
 """Churn models.
 
 * ``linear_score`` (M4) is column arithmetic over literal coefficients.
-* ``train_churn`` (M1) is a Spark ML pipeline (StringIndexer ->
-  OneHotEncoder -> VectorAssembler -> GBTClassifier) fitted on train +
-  validation with the preprocessing fitted on train only.
-* Search, leaderboards and stacking loop over Spark ML estimators; every fit
-  is a distributed job, the driver only holds parameters and metrics.
+* ``train_churn`` (M1) encodes with Spark ML (StringIndexer -> OneHotEncoder ->
+  VectorAssembler, fitted on train only) and boosts trees on train +
+  validation in stages (``operators.boosting``); a run that was lost goes on
+  from its last stage, and equal runs find the finished model.
+* The searches (M6, M7) bin the training table once and fit all draws and folds
+  over the same blocks.
+* Leaderboard and stacking fit Spark ML estimators side by side over one
+  written table; the driver only holds parameters and metrics.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 from typing import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline import config as C
+from stayline.operators import boosting as B
 
 
 # ---------------------------------------------------------------------------
@@ -111,52 +115,68 @@ def training_input(*args) -> DataFrame:
     return cut_lineage(prepare_model_input(*args))
 
 
-def gbt_estimator(max_iter: int = 40, max_depth: int = 4, step_size: float = 0.1,
-                  subsampling_rate: float = 0.76, feature_subset: str = "0.6",
-                  min_instances: int = 21, min_info_gain: float = 0.0, weight_col: str | None = "weight",
-                  seed: int = C.SEED, validation_col: str | None = None) -> GBTClassifier:
-    kw = dict(labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
-              stepSize=step_size, subsamplingRate=subsampling_rate, featureSubsetStrategy=feature_subset,
-              minInstancesPerNode=min_instances, minInfoGain=min_info_gain, seed=seed)
-    if weight_col:
-        kw["weightCol"] = weight_col
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-        kw["validationTol"] = 0.001
-    return GBTClassifier(**kw)
-
-
 def positive_probability(df: DataFrame, name: str = "churn_prob") -> DataFrame:
     """M2: P(class 1) from the probability vector."""
     return df.withColumn(name, vector_to_array("probability")[1])
 
 
+def model_path(spark, blocks: DataFrame, specs: Sequence[B.Spec]) -> str:
+    """The folder of the runs over these rows with these parameters."""
+    from stayline.session import ensure_checkpoint_dir
+    key = hashlib.sha256((B.fingerprint(blocks) + repr(list(specs))).encode()).hexdigest()[:32]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stayline-models/{key}"
+
+
+def boosting_input(data: DataFrame, fit_on: str, part: str, numeric: Sequence[str], categorical: Sequence[str], weight: str | None = None):
+    """Encoder fitted on the rows where ``fit_on`` holds, feature names, cut
+    points of the rows that are learnt from, and the training blocks."""
+    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.where(fit_on))
+    encoded = enc.transform(data)
+    names = vector_slot_names(encoded)
+    cuts = B.cut_points(data.where(fit_on), names, numeric)
+    return enc, names, cuts, B.training_blocks(encoded, part, weight=weight, cuts=cuts)
+
+
 def train_churn(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
-                label: str = "Churn", pos_weight: float = 1.710339753731322, tune_on: str = "validation",
-                **gbt_kw):
-    """M1: split -> encode (fit on train) -> GBT on train+val -> tau -> metrics.
+                label: str = "Churn", pos_weight: float = C.POS_WEIGHT, tune_on: str = "validation",
+                path: str | None = None, **params):
+    """M1: split -> encode (fit on train) -> boosted trees on train+val -> tau -> metrics.
 
-    Returns (encoder PipelineModel, GBT model, tau, scored frame with
+    Returns (encoder PipelineModel, ``Boosted`` model, tau, scored frame with
     ``split``, ``label``, ``churn_prob``) - the scored frame feeds E9.
+    ``params`` override the configured ones (``C.BOOSTING``).
     """
     from stayline.operators.evaluate import best_f1_threshold_value
     from stayline.operators.features import stratified_split
     data = training_input(stratified_split(df, label=label), numeric, categorical, label)
-    data = data.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
-    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
-    enc_all = enc.transform(data)
-    gbt = gbt_estimator(**gbt_kw).fit(enc_all.filter("split IN ('train', 'validation')"))
-    scored = positive_probability(gbt.transform(enc_all)).select(
-        *[c for c in ("customerID",) if c in df.columns], "split", "label", "churn_prob")
+    data = data.withColumns({"weight": F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)),
+                             "part": F.expr(_part_code(C.SPLIT_NAMES))})
+    enc, names, cuts, blocks = boosting_input(data, "split = 'train'", "part", numeric, categorical, "weight")
+    spec = B.Spec(train=(0, 1), **{**C.BOOSTING, **params})
+    model, = B.boost(blocks, names, cuts, [spec], path or model_path(df.sparkSession, blocks, [spec]))
+    scored = B.block_scores(blocks, [model]).select("customerID", F.element_at(F.array(*[F.lit(n) for n in C.SPLIT_NAMES]), F.col("part") + 1).alias("split"), "label", "churn_prob")
     tau = best_f1_threshold_value(scored.filter(F.col("split") == tune_on), "label", "churn_prob")
-    return enc, gbt, tau, scored
+    return enc, model, tau, scored
+
+
+def _part_code(names: Sequence[str], c: str = "split") -> str:
+    return "CASE " + " ".join(f"WHEN {c} = '{n}' THEN {i}" for i, n in enumerate(names)) + " END"
+
+
+def score_with_model(df: DataFrame, model: dict, name: str = "churn_score") -> DataFrame:
+    """Engineered rows (with ``segment``) with a stored model's probability in
+    ``name``, its log-odds in ``churn_margin`` and the reported ``churn_prob``."""
+    kept = df.columns
+    data = model["encoder"].transform(prepare_model_input(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *model["features"])))
+    data = B.with_margin(data, model["classifier"], name="__margin")
+    out = data.select(*[F.col(f"__row.`{c}`") for c in kept if c not in (name, "churn_margin", "churn_prob")], F.col("__margin").alias("churn_margin"))
+    return out.withColumn(name, probability(F.col("churn_margin"))).withColumn("churn_prob", F.round(name, 6) if name != "churn_prob" else F.col(name))
 
 
 def predict(df: DataFrame, model: dict) -> DataFrame:
     """M2 with a stored model (``sources.io.load_churn_model``): probability
     and decision of every row."""
-    data = model["classifier"].transform(model["encoder"].transform(prepare_model_input(df)))
-    out = positive_probability(data).withColumn("is_churner", F.col("churn_prob") >= model["tau"])
+    out = score_with_model(df, model, "churn_prob").withColumn("is_churner", F.col("churn_prob") >= model["tau"])
     return out.select("customerID", "churn_prob", "is_churner")
 
 
@@ -189,105 +209,116 @@ def model_families(seed: int = C.SEED) -> dict:
 
 def model_leaderboard(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
                       label: str = "Churn", families: dict | None = None) -> DataFrame:
-    """M5: fit each family on train; one row per family with its train and
-    test metrics, by test recall, then AUC.  Scored frames of all families are unioned and
-    evaluated in one grouped aggregation."""
+    """M5: fit each family on train, side by side; one row per family with its
+    train and test metrics, by test recall, then AUC.  Scored frames of all
+    families are unioned and evaluated in one grouped aggregation."""
+    from stayline.session import cut_lineage
     from stayline.operators.evaluate import evaluate_grouped
     from stayline.operators.features import stratified_split
     data = training_input(stratified_split(df, label=label, fractions=(0.8, 0.0, 0.2)),
                                numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
-    data = enc.transform(data).select("customerID", "split", "label", "features").cache()
-    scored = []
-    for name, est in (families or model_families()).items():
-        m = est.fit(data.filter("split = 'train'"))
-        scored.append(positive_probability(m.transform(data)).select(
-            F.lit(name).alias("model"), "split", "label", "churn_prob"))
+    data = cut_lineage(enc.transform(data).select("customerID", "split", "label", "features"))
+    families = families or model_families()
+
+    def score(name: str) -> DataFrame:
+        return positive_probability(families[name].fit(data.filter("split = 'train'")).transform(data)).select(F.lit(name).alias("model"), "split", "label", "churn_prob")
+
+    with ThreadPoolExecutor(len(families)) as pool:
+        scored = list(pool.map(score, families))
     allsc = reduce(DataFrame.unionByName, scored)
     metrics = evaluate_grouped(allsc.withColumn("pred", (F.col("churn_prob") >= 0.5).cast("int")),
                                ["model", "split"], "label", "pred", "churn_prob")
-    names = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    metrics = metrics.withColumns({"customers": F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), "churners": F.col("fn") + F.col("tp")})
+    names = ("accuracy", "precision", "recall", "f1", "roc_auc", "customers", "churners")
     side = lambda s: metrics.where(F.col("split") == s).select("model", *[F.col(c).alias(f"{s}_{c}") for c in names])
     return side("train").join(side("test"), "model").orderBy(F.desc("test_recall"), F.desc("test_roc_auc"), "model")
 
 
-SPACE = {"maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "maxIter": [10, 20, 30], "subsamplingRate": [0.6, 0.8, 1.0]}
+SPACE = {"depth": [2, 3, 4, 5], "rate": [0.05, 0.1, 0.2], "rounds": [10, 20, 30], "rows": [0.6, 0.8, 1.0]}
 
 
 def random_search_cv(df: DataFrame, n_iter: int = 60, k: int = 5, seed: int = C.SEED,
                      numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn",
-                     space: dict | None = None, parallelism: int = 4) -> DataFrame:
+                     space: dict | None = None, parallelism: int = 8) -> DataFrame:
     """M6: seeded random parameter draws x stratified k folds -> mean AUC.
 
-    ``CrossValidator`` fits ``parallelism`` models at a time on the folds of
-    F23.  Returns one row per draw with its parameters and mean AUC, best first.
+    The table is encoded and binned once; all draws x folds are fitted over
+    the same blocks, in batches side by side.  Returns one row per draw with its
+    parameters, mean and deviation of the fold AUCs and held-out rows, best first.
     """
+    from stayline.operators.evaluate import roc_auc_grouped
     from stayline.operators.features import stratified_kfold
     space = space or SPACE
     rng = random.Random(seed)
     draws = [{p: rng.choice(v) for p, v in space.items()} for _ in range(n_iter)]
     data = training_input(stratified_kfold(df, k=k, label=label), numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data)
-    data = enc.transform(data).select("fold", "label", "features").cache()
-    est = GBTClassifier(labelCol="label", featuresCol="features", seed=seed)
-    maps = [{est.getParam(p): v for p, v in d.items()} for d in draws]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="label"),
-                        numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed).fit(data)
-    data.unpersist()
-    rows = sorted(((i, float(m), float(s), *[float(d[p]) for p in space])
-                   for i, (m, s, d) in enumerate(zip(cv.avgMetrics, cv.stdMetrics, draws))), key=lambda r: (-r[1], r[0]))
-    return df.sparkSession.createDataFrame(rows, "draw int, mean_auc double, std_auc double, " + ", ".join(f"{p} double" for p in space))
+    _, names, cuts, blocks = boosting_input(data, "true", "fold", numeric, categorical)
+    pairs = [(i, f) for i in range(n_iter) for f in range(k)]
+    specs = [B.Spec(train=tuple(x for x in range(k) if x != f), seed=seed, **draws[i]) for i, f in pairs]
+    models = B.boost_batches(blocks, names, cuts, specs, parallelism=parallelism)
+    scored = B.block_scores(blocks, models, [(f,) for _, f in pairs])
+    by_model = roc_auc_grouped(scored, ["model"], "label", "churn_prob").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("held_out")), "model")
+    table = df.sparkSession.createDataFrame([(m, i, *[float(draws[i][p]) for p in space]) for m, (i, _) in enumerate(pairs)], "model int, draw int, " + ", ".join(f"{p} double" for p in space))
+    return (by_model.join(F.broadcast(table), "model").groupBy("draw", *space)
+            .agg(F.avg("roc_auc").alias("mean_auc"), F.coalesce(F.stddev_samp("roc_auc"), F.lit(0.0)).alias("std_auc"), F.count(F.lit(1)).alias("folds"), F.sum("held_out").alias("held_out"))
+            .select("draw", "mean_auc", "std_auc", "folds", "held_out", *space).orderBy(F.desc("mean_auc"), "draw"))
 
 
 def refine_search(df: DataFrame, phase1: DataFrame, n_iter: int = 30, seed: int = C.SEED,
-                  numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn", parallelism: int = 4) -> DataFrame:
+                  numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL, label: str = "Churn", parallelism: int = 8) -> DataFrame:
     """M7: seeded draws in a narrowed range around the winner of phase 1
     (``random_search_cv``'s table), scored on the validation split next to the
-    winner itself; ``delta`` is the gain over the winner's score."""
+    winner itself (draw 0); ``delta`` is the gain over the winner's score.  All
+    draws are fitted side by side over the same blocks."""
+    from stayline.operators.evaluate import roc_auc_grouped
     from stayline.operators.features import stratified_split
     best = phase1.orderBy(F.desc("mean_auc"), "draw").first().asDict()
-    best = {"maxDepth": int(best.get("maxDepth", 4)), "stepSize": float(best.get("stepSize", 0.1)), "maxIter": int(best.get("maxIter", 20))}
+    best = {"depth": int(best.get("depth", 4)), "rate": float(best.get("rate", 0.1)), "rounds": int(best.get("rounds", 20))}
     rng = random.Random(seed + 1)
     draws = [best] + [{
-        "maxDepth": max(2, best["maxDepth"] + rng.choice([-1, 0, 1])),
-        "stepSize": best["stepSize"] * rng.choice([0.5, 0.75, 1.0, 1.5]),
-        "maxIter": max(5, best["maxIter"] + rng.choice([-10, 0, 10])),
+        "depth": max(2, best["depth"] + rng.choice([-1, 0, 1])),
+        "rate": best["rate"] * rng.choice([0.5, 0.75, 1.0, 1.5]),
+        "rounds": max(5, best["rounds"] + rng.choice([-10, 0, 10])),
     } for _ in range(n_iter)]
-    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
-    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
-    data = enc.transform(data).where("split <> 'test'").select((F.col("split") == "validation").cast("int").alias("fold"), "label", "features").cache()
-    train, val = data.where("fold = 0"), data.where("fold = 1")
-    judge = BinaryClassificationEvaluator(labelCol="label")
-
-    def auc(p: dict) -> float:
-        return judge.evaluate(GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **p).fit(train).transform(val))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        got = list(pool.map(auc, draws))
-    data.unpersist()
-    rows = [(i, float(a), float(a - got[0]), d["maxDepth"], d["stepSize"], d["maxIter"]) for i, (a, d) in enumerate(zip(got, draws))]
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])),
-                                           "draw int, roc_auc double, delta double, maxDepth int, stepSize double, maxIter int")
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label).withColumn("part", F.expr(_part_code(C.SPLIT_NAMES)))
+    _, names, cuts, blocks = boosting_input(data, "split = 'train'", "part", numeric, categorical)
+    specs = [B.Spec(train=(0,), valid=(1,), seed=seed, **d) for d in draws]
+    models = B.boost_batches(blocks, names, cuts, specs, batch=max(1, -(-len(specs) // parallelism)), parallelism=parallelism)
+    scored = B.block_scores(blocks, models, [(1,)] * len(models))
+    auc = roc_auc_grouped(scored, ["model"], "label", "churn_prob").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("held_out")), "model")
+    table = df.sparkSession.createDataFrame([(i, d["depth"], d["rate"], d["rounds"]) for i, d in enumerate(draws)], "draw int, depth int, rate double, rounds int")
+    out = auc.join(F.broadcast(table), auc["model"] == table["draw"])
+    first = F.max(F.when(F.col("draw") == 0, F.col("roc_auc"))).over(Window.partitionBy())        # one row per draw
+    return out.withColumn("delta", F.col("roc_auc") - first).select("draw", "roc_auc", "delta", "held_out", "depth", "rate", "rounds").orderBy(F.desc("roc_auc"), "draw")
 
 
 def early_stopping_fit(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
-                       label: str = "Churn", max_iter: int = 60):
-    """M8: GBT with a validation indicator column (stops when the validation
-    loss stops improving).  Returns (model, number of trees kept)."""
+                       label: str = "Churn", patience: int = 50, **params):
+    """M8: boosted trees on train, watched on the validation split: stopped
+    ``patience`` rounds after the least validation loss, trees after it dropped.
+    Returns (model, number of trees kept); ``model.curve[t]`` is the loss after t trees."""
     from stayline.operators.features import stratified_split
-    data = training_input(stratified_split(df, label=label), numeric, categorical, label)
-    data = data.withColumn("is_val", F.col("split") == "validation")
-    enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.filter("split = 'train'"))
-    data = enc.transform(data).filter("split IN ('train', 'validation')")
-    m = gbt_estimator(max_iter=max_iter, weight_col=None, validation_col="is_val").fit(data)
-    return m, m.getNumTrees
-
-
-def model_feature_importance(model, feature_names: Sequence[str], top: int = 20, spark=None) -> DataFrame:
-    """M9: native importances, top n (the vector has one entry per feature)."""
-    imp = model.featureImportances.toArray()
-    rows = sorted(((feature_names[i] if i < len(feature_names) else f"f{i}", float(v))
-                   for i, v in enumerate(imp)), key=lambda r: (-r[1], r[0]))[:top]
+    data = training_input(stratified_split(df, label=label), numeric, categorical, label).withColumn("part", F.expr(_part_code(C.SPLIT_NAMES)))
+    _, names, cuts, blocks = boosting_input(data, "split = 'train'", "part", numeric, categorical)
+    spec = B.Spec(train=(0,), valid=(1,), patience=patience, **{**C.BOOSTING, **params})
+    model, = B.boost(blocks, names, cuts, [spec], model_path(df.sparkSession, blocks, [spec]))
+    return model, len(model.trees)
+
+
+def source_feature(slot: str, categorical: Sequence[str]) -> str:
+    """The table column behind an encoded slot (``Contract__ohe_One year``)."""
+    return next((c for c in categorical if slot.startswith(f"{c}__ohe_")), slot)
+
+
+def model_feature_importance(model: B.Boosted, top: int | None = 20, spark=None, by_source: Sequence[str] | None = None) -> DataFrame:
+    """M9: share of the model's total gain per feature, top n; ``by_source``
+    (the categorical columns) adds the slots of a column up."""
+    shares = {}
+    for name, v in model.importance().items():
+        name = source_feature(name, by_source) if by_source else name
+        shares[name] = shares.get(name, 0.0) + float(v)
+    rows = sorted(shares.items(), key=lambda r: (-r[1], r[0]))[:top]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -315,17 +346,18 @@ def ensemble_weighted(scores: DataFrame, weights: DataFrame, key: str = "custome
 
 
 def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.CHURN_CATEGORICAL,
-             label: str = "Churn", reg: float = 0.01, seed: int = C.SEED, bases: dict | None = None):
+             label: str = "Churn", reg: float = 0.01, seed: int = C.SEED, bases: dict | None = None, parallelism: int = 6):
     """Out-of-fold base probabilities on train + validation (k folds) ->
     logistic meta-learner; the base models, fitted again on all of it, and
     the meta-learner score the test split.  Returns (meta model, scored frame
     with ``split`` ('oof' or 'test'), label, p_<base> and meta_prob)."""
     from stayline.operators.features import stratified_kfold, stratified_split
+    from stayline.session import cut_lineage
     data = training_input(stratified_split(df, label=label), numeric, categorical, label)
     enc = Pipeline(stages=encoder_stages(numeric, categorical)).fit(data.where("split <> 'test'"))
     data = enc.transform(data).select("customerID", "split", F.col(label).alias("__y"), "label", "features")
-    rest = stratified_kfold(data.where("split <> 'test'"), k=k, label="__y").cache()
-    test = data.where("split = 'test'").cache()
+    rest = cut_lineage(stratified_kfold(data.where("split <> 'test'"), k=k, label="__y"))
+    test = cut_lineage(data.where("split = 'test'"))
     bases = bases or {
         "gbt": GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=3, seed=seed),
         "rf": RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=30, maxDepth=5, seed=seed),
@@ -334,10 +366,19 @@ def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.C
     def scores(est, train: DataFrame, on: DataFrame, name: str) -> DataFrame:
         return positive_probability(est.fit(train).transform(on), f"p_{name}").select("customerID", "label", f"p_{name}")
 
+    jobs = [(name, f) for name in bases for f in [*range(k), None]]      # all fits are independent
+
+    def fit_and_score(job: tuple) -> DataFrame:
+        name, f = job
+        if f is None:
+            return scores(bases[name], rest, test, name)
+        return scores(bases[name], rest.where(F.col("fold") != f), rest.where(F.col("fold") == f), name)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = dict(zip(jobs, pool.map(fit_and_score, jobs)))
     sides = {}
-    for name, est in bases.items():
-        oof = reduce(DataFrame.unionByName, [scores(est, rest.where(F.col("fold") != f), rest.where(F.col("fold") == f), name) for f in range(k)])
-        for split, part in (("oof", oof), ("test", scores(est, rest, test, name))):
+    for name in bases:
+        for split, part in (("oof", reduce(DataFrame.unionByName, [parts[name, f] for f in range(k)])), ("test", parts[name, None])):
             sides[split] = part if split not in sides else sides[split].join(part.drop("label"), "customerID")
     both = reduce(DataFrame.unionByName, [d.withColumn("split", F.lit(s)) for s, d in sides.items()])
     both = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_features").transform(both)

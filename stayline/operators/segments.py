@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline import config as C
+from stayline.operators.selection import order_statistics
 
 SEG_KEY = "customerID"
 
@@ -122,12 +123,11 @@ def segment_sizes(assigned: DataFrame) -> DataFrame:
 
 def segment_summary(assigned: DataFrame) -> DataFrame:
     """Size, churn rate and medians per segment (sorted by size)."""
-    return (assigned.groupBy("segment", "segment_label")
-            .agg(F.count(F.lit(1)).alias("customers"),
-                 F.avg(F.col("Churn").cast("double")).alias("churn_rate"),
-                 F.percentile("tenure", 0.5).alias("median_tenure"),
-                 F.percentile("MonthlyCharges", 0.5).alias("median_monthly"),
-                 F.percentile("TotalCharges", 0.5).alias("median_total"))
+    cols = {"tenure": "median_tenure", "MonthlyCharges": "median_monthly", "TotalCharges": "median_total"}
+    medians = order_statistics(assigned, list(cols), [0.5], ["segment"])
+    sizes = assigned.groupBy("segment", "segment_label").agg(F.count(F.lit(1)).alias("customers"), F.avg(F.col("Churn").cast("double")).alias("churn_rate"))
+    return (sizes.join(F.broadcast(medians), "segment", "left")       # one row per segment
+            .select("segment", "segment_label", "customers", "churn_rate", *[F.col(f"{c}__0").alias(n) for c, n in cols.items()])
             .orderBy(F.desc("customers"), "segment"))
 
 
@@ -167,7 +167,7 @@ def segment_profile(assigned: DataFrame) -> DataFrame:
     """Per segment demographic shares, service adoption, contract and
     payment mix and charge distribution."""
     yes = lambda c: F.avg((F.col(c) == "Yes").cast("double"))
-    return (assigned.groupBy("segment", "segment_label").agg(
+    shares = (assigned.groupBy("segment", "segment_label").agg(
         F.count(F.lit(1)).alias("customers"),
         F.avg((F.col("gender") == "Female").cast("double")).alias("share_female"),
         F.avg((F.col("SeniorCitizen") == "yes").cast("double")).alias("share_senior"),
@@ -183,10 +183,11 @@ def segment_profile(assigned: DataFrame) -> DataFrame:
         F.avg((F.col("Contract") == "Two year").cast("double")).alias("share_two_year"),
         F.avg((F.col("PaymentMethod") == "Electronic check").cast("double")).alias("share_electronic_check"),
         F.min("MonthlyCharges").alias("min_monthly"),
-        F.percentile("MonthlyCharges", 0.25).alias("q1_monthly"),
-        F.percentile("MonthlyCharges", 0.5).alias("median_monthly"),
-        F.percentile("MonthlyCharges", 0.75).alias("q3_monthly"),
         F.max("MonthlyCharges").alias("max_monthly")))
+    quartiles = order_statistics(assigned, ["MonthlyCharges"], [0.25, 0.5, 0.75], ["segment"])
+    own = [c for c in shares.columns if c != "max_monthly"]
+    return shares.join(F.broadcast(quartiles), "segment", "left").select(      # one row per segment
+        *own, *[F.col(f"MonthlyCharges__{i}").alias(n) for i, n in enumerate(("q1_monthly", "median_monthly", "q3_monthly"))], "max_monthly")
 
 
 def segment_mix(assigned: DataFrame, features: Sequence[str], k: int = C.N_CLUSTERS) -> DataFrame:

@@ -14,6 +14,7 @@ from stayline.plans.oracle import SHAP, dbl, feat_sql, scored_sql, sstr, with_vi
 from stayline.plans.queries_core import SPLIT_SQL
 from stayline.plans.registry import query
 from stayline.plans.score import processed_view, scored_view
+from stayline.session import cut_lineage
 from stayline.sources.tables import customer_view
 
 CENTS = "CAST(round(MonthlyCharges * 100) AS BIGINT)"
@@ -584,30 +585,49 @@ def q_churn_rate_by(spark, sf_dir):
 
 
 CORR_COLS = ["tenure", "MonthlyCharges", "TotalCharges", "avg_monthly_spend", "charge_gap"]
+TABLE_COLS = [c for c in C.RAW_COLUMNS if c != "customerID"]
+NUMERIC_COLS = ("tenure", "MonthlyCharges", "TotalCharges", "Churn")
 
 
-def _corr_sql() -> str:
+def _corr_sql(cols, src: str) -> str:
     from itertools import combinations
-    parts = []
-    for x, y in combinations(CORR_COLS, 2):
-        parts.append(f"SELECT '{x}' AS a, '{y}' AS b, round(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)), 6) AS corr FROM feat")
-        parts.append(f"SELECT '{y}' AS a, '{x}' AS b, round(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)), 6) AS corr FROM feat")
-    for c in CORR_COLS:
-        parts.append(f"SELECT '{c}' AS a, '{c}' AS b, 1.0 AS corr")
-    return " UNION ALL ".join(parts)
+    pairs = list(combinations(cols, 2))
+    one = "SELECT " + ", ".join(f"round(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)), 6) AS c{i}" for i, (x, y) in enumerate(pairs)) + f" FROM {src}"
+    parts = [f"SELECT '{a}' AS a, '{b}' AS b, c{i} AS corr FROM one" for i, (x, y) in enumerate(pairs) for a, b in ((x, y), (y, x))]
+    return f"WITH one AS ({one}) " + " UNION ALL ".join(parts + [f"SELECT '{c}', '{c}', 1.0 FROM one" for c in cols])
+
 
+def _coded_sql(cols, order: str) -> str:
+    """CTE ``coded``: ``cols`` as codes by first customer or by value."""
+    tables = [f"k_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {order.format(c=c)}) - 1 AS code FROM clean WHERE {c} IS NOT NULL GROUP BY {c})" for c in cols]
+    joins = " ".join(f"LEFT JOIN k_{c} ON clean.{c} = k_{c}.v" for c in cols)
+    rest = [c for c in TABLE_COLS if c not in cols]
+    return ",".join([*tables, "coded AS (SELECT " + ", ".join([*[f"coalesce(k_{c}.code, -1) AS {c}" for c in cols], *rest]) + f" FROM clean {joins})"])
 
-@query("corr_matrix", with_views(_corr_sql(), "feat"))
+
+@query("corr_matrix", with_views("SELECT * FROM (" + _corr_sql(TABLE_COLS, "coded") + ")", "clean", _coded_sql(TABLE_COLS, "min(customerID), CAST({c} AS VARCHAR)")))
 def q_corr_matrix(spark, sf_dir):
+    """D8 over all 20 columns of the table, coded by first appearance."""
+    coded = cut_lineage(D.coded_columns(processed_view(spark, sf_dir), TABLE_COLS))
+    got = D.corr_matrix(coded, [f"{c}_code" for c in TABLE_COLS])
+    return got.select(*[F.regexp_replace(c, "_code$", "").alias(c) for c in ("a", "b")], F.round("corr", 6).alias("corr"))
+
+
+@query("corr_numeric", with_views("SELECT * FROM (" + _corr_sql(CORR_COLS, "feat") + ")", "feat"))
+def q_corr_numeric(spark, sf_dir):
+    """D8 over the numeric features."""
     return D.corr_matrix(B.features_view(spark, sf_dir), CORR_COLS).withColumn("corr", F.round("corr", 6))
 
 
 @query("corr_with_target", with_views(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(Churn AS DOUBLE)), 6) AS corr FROM feat"
-    for c in CORR_COLS + ["streaming_count", "security_count"]), "feat"))
+    f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(Churn AS DOUBLE)), 6) AS corr FROM coded"
+    for c in TABLE_COLS if c != "Churn"), "clean", _coded_sql([c for c in TABLE_COLS if c not in NUMERIC_COLS], "CAST({c} AS VARCHAR)")))
 def q_corr_with_target(spark, sf_dir):
-    return D.corr_with_target(B.features_view(spark, sf_dir), CORR_COLS + ["streaming_count", "security_count"]) \
-        .withColumn("corr", F.round("corr", 6))
+    """D9 over all columns, text coded by sorted value, numbers as they are."""
+    text = [c for c in TABLE_COLS if c not in NUMERIC_COLS]
+    coded = cut_lineage(D.coded_columns(processed_view(spark, sf_dir), text, by="value"))
+    got = D.corr_with_target(coded, [f"{c}_code" if c in text else c for c in TABLE_COLS if c != "Churn"])
+    return got.select(F.regexp_replace("feature", "_code$", "").alias("feature"), F.round("corr", 6).alias("corr"))
 
 
 @query("density_by_class", with_views("""

@@ -23,22 +23,26 @@ FEAT_COLS = [
 ]
 
 # Split CTE (F22) in SQL: md5 order inside each label, count-based cuts.
-F_TRAIN, F_VAL, F_TEST = C.SPLIT_FRACTIONS
-SPLIT_SQL = f"""
+def split_sql(fractions=C.SPLIT_FRACTIONS) -> str:
+    f_train, f_val, f_test = fractions
+    return f"""
 sp0 AS (
   SELECT clean.*,
     row_number() OVER (PARTITION BY Churn ORDER BY md5('{C.SEED}:' || CAST(customerID AS VARCHAR)), customerID) - 1 AS pos,
     count(*) OVER (PARTITION BY Churn) AS n_lab
   FROM clean),
-sp1 AS (SELECT *, CAST(ceil(CAST(n_lab AS DOUBLE) * {dbl(F_TEST)} - {dbl(1e-9)}) AS BIGINT) AS n_test FROM sp0),
+sp1 AS (SELECT *, CAST(ceil(CAST(n_lab AS DOUBLE) * {dbl(f_test)} - {dbl(1e-9)}) AS BIGINT) AS n_test FROM sp0),
 sp2 AS (SELECT *, n_lab - n_test AS n_rest FROM sp1),
-sp3 AS (SELECT *, CAST(ceil(CAST(n_rest AS DOUBLE) * {dbl(F_VAL / (F_TRAIN + F_VAL))} - {dbl(1e-9)}) AS BIGINT) AS n_val FROM sp2),
+sp3 AS (SELECT *, CAST(ceil(CAST(n_rest AS DOUBLE) * {dbl(f_val / (f_train + f_val))} - {dbl(1e-9)}) AS BIGINT) AS n_val FROM sp2),
 split AS (
   SELECT * EXCLUDE (pos, n_lab, n_test, n_rest, n_val),
     CASE WHEN pos < n_rest - n_val THEN 'train' WHEN pos < n_rest THEN 'validation' ELSE 'test' END AS split
   FROM sp3)"""
 
 
+SPLIT_SQL = split_sql()
+
+
 def _one_hot_name(c: str, lv: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", f"{c}_{lv}").strip("_")
 

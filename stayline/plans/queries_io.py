@@ -10,6 +10,8 @@ from stayline.operators import evaluate as E
 from stayline.operators import features
 from stayline.plans.oracle import with_views
 from stayline.plans.queries_business import CM, PLAN_SQL, SCORED_SPLIT, _split_auc_sql, f1_sql, metrics_sql, plan_view
+from stayline.plans.queries_core import SPLIT_SQL
+from stayline.plans.queries_model import SPLIT_CHECK, split_check
 from stayline.plans.registry import query
 from stayline.plans.score import features_view, processed_view, scored_view
 from stayline.session import scratch_path
@@ -193,11 +195,11 @@ def q_stream_file_batches(spark, sf_dir):
             .join(F.broadcast(acts), "action_label"))
 
 
-@query("train_job")
+@query("train_job", with_views(SPLIT_CHECK, "clean", SPLIT_SQL))
 def q_train_job(spark, sf_dir):
     """Clean -> features -> fit segments -> assign -> train churn ->
-    evaluate, with every stage's table written to the job's folder;
-    returns the per-split evaluation (rows-only check)."""
+    evaluate, with every stage's table written to the job's folder; returns
+    the check table of the trained model per split."""
     from stayline.operators import model as M, segments
     base = scratch_path(spark, "train_job")
     proc = processed_view(spark, sf_dir)
@@ -209,11 +211,11 @@ def q_train_job(spark, sf_dir):
     io.save_segment_model(spark, seg_model, f"{base}/segment_model")
     assigned = segments.assign_segments(feat, io.load_segment_model(spark, f"{base}/segment_model"))
     assigned = assigned.withColumn("segment", F.col("segment").cast("string"))
-    enc, gbt, tau, scored = M.train_churn(assigned, max_iter=15, max_depth=3)
-    io.save_churn_model(spark, enc, gbt, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], f"{base}/churn_model")
-    metrics = E.evaluate_splits(scored, tau)
-    metrics.write.mode("overwrite").parquet(f"{base}/metrics")
-    return spark.read.parquet(f"{base}/metrics")
+    enc, model, tau, scored = M.train_churn(assigned, path=f"{base}/boosting")
+    io.save_churn_model(spark, enc, model, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], f"{base}/churn_model")
+    E.evaluate_splits(scored, tau).write.mode("overwrite").parquet(f"{base}/metrics")
+    split_check(scored, tau, len(model.trees)).write.mode("overwrite").parquet(f"{base}/check")
+    return spark.read.parquet(f"{base}/check")
 
 
 @query("validate_metrics", with_views(

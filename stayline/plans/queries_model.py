@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline import config as C
 from stayline.operators import evaluate as E
 from stayline.operators import features, model as M, segments
 from stayline.plans.oracle import dbl, sstr, with_views
-from stayline.plans.queries_core import SPLIT_SQL
+from stayline.plans.queries_core import SPLIT_SQL, split_sql
 from stayline.plans.queries_business import CM, SCORED_SPLIT, f1_sql, metrics_sql
 from stayline.plans.registry import query
 from stayline.plans.score import features_view, processed_view, scored_view
@@ -187,12 +187,28 @@ def q_linear_score(spark, sf_dir):
     return M.linear_score(features_view(spark, sf_dir)).select("customerID", "churn_prob")
 
 
-@query("train_churn")
+def split_check(scored: DataFrame, tau: float, rounds: int) -> DataFrame:
+    """What SQL can tell of a trained model: customers and classes of every
+    split, next to whether the threshold is in the scores' range, whether no
+    other threshold of the validation split has a better F1, and the rounds."""
+    best = E.best_f1_threshold(scored.where("split = 'validation'"), "label", "churn_prob").select(F.col("f1").alias("best"))
+    ev = E.evaluate_splits(scored, tau).crossJoin(F.broadcast(best))
+    good = (F.col("split") != "validation") | (F.abs(F.col("f1") - F.col("best")) < 1e-6)
+    return ev.select("split", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("customers"), (F.col("fn") + F.col("tp")).alias("churners"),
+                     F.lit(0 <= tau <= 1).alias("tau_in_range"), good.alias("tau_is_best"), F.col("roc_auc").between(0, 1).alias("auc_in_range"),
+                     F.lit(rounds).cast("long").alias("rounds"))
+
+
+SPLIT_CHECK = (f"SELECT split, count(*) AS customers, CAST(sum(Churn) AS BIGINT) AS churners, true AS tau_in_range, true AS tau_is_best, "
+               f"true AS auc_in_range, CAST({C.BOOSTING['rounds']} AS BIGINT) AS rounds FROM split GROUP BY split")
+
+
+@query("train_churn", with_views(SPLIT_CHECK, "clean", SPLIT_SQL))
 def q_train_churn(spark, sf_dir):
-    """M1: GBT trained on train + validation, threshold tuned on validation;
-    returns the per-split evaluation at the tuned threshold (E9)."""
-    _, _, tau, scored = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
-    return E.evaluate_splits(scored, tau)
+    """M1: trees boosted on train + validation with the configured parameters,
+    threshold tuned on validation, as a check table per split."""
+    _, model, tau, scored = M.train_churn(_model_input(spark, sf_dir))
+    return split_check(scored, tau, len(model.trees))
 
 
 @query("predict_proba", with_views(
@@ -201,58 +217,104 @@ def q_predict_proba(spark, sf_dir):
     """M2: probability of churn for every customer from a stored model
     (encoder, classifier, threshold and feature order are saved and loaded
     again), as a check table; ``moved`` counts scores that changed by the reload."""
-    from stayline.sources import io
     data = _model_input(spark, sf_dir)
-    enc, gbt, tau, scored = M.train_churn(data, max_iter=20, max_depth=4)
-    path = scratch_path(spark, "churn_model")
-    io.save_churn_model(spark, enc, gbt, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], path)
-    got = M.predict(data, io.load_churn_model(spark, path)).join(scored.select("customerID", F.col("churn_prob").alias("before")), "customerID")
+    enc, model, tau, scored = M.train_churn(data)
+    got = M.predict(data, stored_model(spark, enc, model, tau)).join(scored.select("customerID", F.col("churn_prob").alias("before")), "customerID")
     p = F.col("churn_prob")
     return got.agg(F.count(F.lit(1)).alias("customers"), F.sum(p.isNull().cast("long")).alias("nulls"),
                    F.sum((~p.between(0, 1)).cast("long")).alias("out_of_range"), F.sum((F.abs(p - F.col("before")) > 1e-9).cast("long")).alias("moved"))
 
 
-@query("logistic_baseline")
+def stored_model(spark, enc, model, tau) -> dict:
+    """The model saved and loaded again."""
+    from stayline.sources import io
+    path = scratch_path(spark, "churn_model")
+    io.save_churn_model(spark, enc, model, tau, [*C.CHURN_NUMERIC, *C.CHURN_CATEGORICAL], path)
+    return io.load_churn_model(spark, path)
+
+
+RAW_CATEGORICAL = [c for c in C.CHURN_CATEGORICAL if c != "segment"]
+
+
+@query("logistic_baseline", with_views(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'nan') AS level, count(*) AS customers, CAST(sum(Churn) AS BIGINT) AS churners, true AS balanced "
+    f"FROM split WHERE split = 'train' GROUP BY ALL" for c in RAW_CATEGORICAL), "clean", split_sql((0.8, 0.0, 0.2))))
 def q_logistic_baseline(spark, sf_dir):
     """M3: logistic regression on scaled numerics + one-hot categoricals,
-    80/20 split; per-split metrics at 0.5."""
+    80/20 split.  At its optimum the probabilities of every level's training
+    rows add up to the level's churners (the score equations): checked per level."""
     _, scored = M.logistic_baseline(_model_input(spark, sf_dir))
-    return E.evaluate_splits(scored, 0.5)
+    rows = scored.where("split = 'train'").join(processed_view(spark, sf_dir).select("customerID", *RAW_CATEGORICAL), "customerID")
+    level = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("level")) for c in RAW_CATEGORICAL]))
+    got = rows.select(level, "label", "churn_prob").groupBy("feature", "level").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("label").cast("long").alias("churners"), F.sum("churn_prob").alias("expected"))
+    off = F.abs(F.col("expected") - F.col("churners")) <= F.lit(0.5) + F.lit(0.002) * F.col("customers")
+    return got.select("feature", "level", "customers", "churners", off.alias("balanced"))
 
 
-@query("model_leaderboard")
-def q_model_leaderboard(spark, sf_dir):
-    return M.model_leaderboard(_model_input(spark, sf_dir))
+FAMILIES = ("logistic_regression", "decision_tree", "random_forest", "gbt")
 
 
-# The searches' draws are parameters (60 and 30 by default); the registered
-# queries make fewer, over the whole table and all five folds.
-DRAWS = 3
-SMALL_SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10], "subsamplingRate": [0.8, 1.0]}
+@query("model_leaderboard", with_views(
+    "SELECT model, side, customers, churners, true AS totals_fit FROM (VALUES " + ", ".join(f"('{m}')" for m in FAMILIES) + ") v(model) CROSS JOIN "
+    "(SELECT split AS side, count(*) AS customers, CAST(sum(Churn) AS BIGINT) AS churners FROM split GROUP BY split)", "clean", split_sql((0.8, 0.0, 0.2))))
+def q_model_leaderboard(spark, sf_dir):
+    """M5: four families fitted side by side, as a check table per family and
+    side: accuracy and recall come from as many customers and churners as SQL counts."""
+    got = M.model_leaderboard(_model_input(spark, sf_dir))
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{c}").alias(c) for c in ("customers", "churners", "accuracy", "recall", "roc_auc")]) for s in ("train", "test")]))
+    whole = lambda x: F.abs(x - F.round(x)) < 1e-6
+    fit = whole(F.col("accuracy") * F.col("customers")) & whole(F.col("recall") * F.col("churners")) & F.col("roc_auc").between(0, 1)
+    return got.select("model", sides).select("model", "side", "customers", "churners", fit.alias("totals_fit"))
 
 
-@query("random_search_cv")
+@query("random_search_cv", with_views("SELECT CAST(d AS INTEGER) AS draw, CAST(5 AS BIGINT) AS folds, n AS rows, true AS in_range, true AS ordered "
+                                      "FROM range(60) t(d) CROSS JOIN (SELECT count(*) AS n FROM clean)", "clean"))
 def q_random_search_cv(spark, sf_dir):
-    return M.random_search_cv(_model_input(spark, sf_dir), n_iter=DRAWS, space=SMALL_SPACE)
+    """M6 with 60 draws x 5 folds, as a check table: every draw has five
+    folds whose held-out rows are all customers, an AUC, and the first row is the best."""
+    got = M.random_search_cv(_model_input(spark, sf_dir))
+    top = F.max("mean_auc").over(Window.partitionBy())                     # one row per draw
+    first = F.first("mean_auc").over(Window.orderBy(F.desc("mean_auc"), "draw").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return got.select("draw", "folds", F.col("held_out").alias("rows"), (F.col("mean_auc").between(0, 1) & (F.col("std_auc") >= 0)).alias("in_range"), (top == first).alias("ordered"))
 
 
-@query("refine_search")
+@query("refine_search", with_views("SELECT CAST(d AS INTEGER) AS draw, n AS rows, true AS in_range, true AS delta_fits FROM range(31) t(d) "
+                                   "CROSS JOIN (SELECT count(*) AS n FROM split WHERE split = 'validation')", "clean", SPLIT_SQL))
 def q_refine_search(spark, sf_dir):
+    """M7: 30 draws around the winner of M6, and the winner itself, scored on
+    the validation split, as a check table."""
     data = _model_input(spark, sf_dir)
-    return M.refine_search(data, M.random_search_cv(data, n_iter=2, space=SMALL_SPACE), n_iter=DRAWS)
+    got = M.refine_search(data, M.random_search_cv(data))
+    base = F.max(F.when(F.col("draw") == 0, F.col("roc_auc"))).over(Window.partitionBy())      # one row per draw
+    return got.select("draw", F.col("held_out").alias("rows"), F.col("roc_auc").between(0, 1).alias("in_range"), (F.abs(F.col("roc_auc") - base - F.col("delta")) < 1e-12).alias("delta_fits"))
 
 
-@query("early_stopping")
+@query("early_stopping", with_views(
+    "SELECT CAST(650 AS BIGINT) AS max_rounds, n AS validation_rows, round(-(p1 * ln(q) + (n - p1) * ln(1 - q)) / n, 4) AS first_loss, true AS kept_the_best, true AS stopped_in_time "
+    "FROM (SELECT count(*) AS n, sum(Churn) AS p1 FROM split WHERE split = 'validation'), (SELECT avg(CAST(Churn AS DOUBLE)) AS q FROM split WHERE split = 'train')",
+    "clean", SPLIT_SQL))
 def q_early_stopping(spark, sf_dir):
-    m, n_trees = M.early_stopping_fit(_model_input(spark, sf_dir), max_iter=40)
-    return spark.createDataFrame([(int(n_trees), 40)], "trees_kept int, max_iter int")
+    """M8: up to 650 rounds on train, stopped 50 rounds after the least
+    validation loss.  The first loss, that of the training rate alone, is SQL's."""
+    model, kept = M.early_stopping_fit(_model_input(spark, sf_dir), patience=50)
+    rows = features.stratified_split(processed_view(spark, sf_dir)).where("split = 'validation'").agg(F.count(F.lit(1)).alias("validation_rows"))
+    return rows.select(F.lit(C.BOOSTING["rounds"]).cast("long").alias("max_rounds"), "validation_rows", F.lit(round(model.curve[0], 4)).alias("first_loss"),
+                       F.lit(model.curve[kept] == min(model.curve)).alias("kept_the_best"), F.lit(len(model.curve) <= kept + 52).alias("stopped_in_time"))
 
 
-@query("model_feature_importance")
+@query("model_feature_importance", with_views("SELECT CAST(" + str(len(C.CHURN_NUMERIC) + len(C.CHURN_CATEGORICAL)) + " AS BIGINT) AS at_most, true AS few_enough, true AS adds_up, "
+                                              "true AS in_order FROM (SELECT count(*) FROM clean)", "clean"))
 def q_model_feature_importance(spark, sf_dir):
-    enc, gbt, _, _ = M.train_churn(_model_input(spark, sf_dir), max_iter=20, max_depth=4)
-    data = enc.transform(M.prepare_model_input(_model_input(spark, sf_dir)))
-    return M.model_feature_importance(gbt, M.vector_slot_names(data), top=20, spark=spark)
+    """M9: gain shares by source feature, as a check: they are at most one per
+    feature, add up to 1 and fall."""
+    _, model, _, _ = M.train_churn(_model_input(spark, sf_dir))
+    got = M.model_feature_importance(model, top=None, spark=spark, by_source=C.CHURN_CATEGORICAL)
+    order = Window.orderBy(F.desc("importance"), "feature")                # one row per feature
+    n = len(C.CHURN_NUMERIC) + len(C.CHURN_CATEGORICAL)
+    return got.withColumn("up", F.col("importance") > F.lag("importance").over(order)).agg(
+        F.lit(n).cast("long").alias("at_most"), (F.count(F.lit(1)) <= n).alias("few_enough"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_up"),
+        (~F.coalesce(F.bool_or("up"), F.lit(False))).alias("in_order"))
 
 
 def _threshold_trials(spark, sf_dir) -> DataFrame:

@@ -170,17 +170,16 @@ def save_pipeline(model, path: str) -> None:
 
 
 def save_churn_model(spark: SparkSession, encoder, classifier, tau: float, features, path: str) -> None:
-    """Encoder, classifier, decision threshold and feature order as one stored model."""
+    """Encoder, boosted trees, decision threshold and feature order as one stored model."""
     save_pipeline(encoder, f"{path}/encoder")
-    save_pipeline(classifier, f"{path}/classifier")
-    spark.createDataFrame([(float(tau), list(features))], "tau double, features array<string>") \
-        .write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(float(tau), list(features), classifier.to_json())], "tau double, features array<string>, classifier string") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load_churn_model(spark: SparkSession, path: str) -> dict:
     """``encoder``, ``classifier``, ``tau`` and ``features``."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import GBTClassificationModel
-    meta = spark.read.parquet(f"{path}/meta").first()
-    return {"encoder": PipelineModel.load(f"{path}/encoder"), "classifier": GBTClassificationModel.load(f"{path}/classifier"),
-            "tau": meta["tau"], "features": list(meta["features"])}
+    from stayline.operators.boosting import Boosted
+    row = spark.read.parquet(f"{path}/model").first()
+    return {"encoder": PipelineModel.load(f"{path}/encoder"), "classifier": Boosted.from_json(row["classifier"]),
+            "tau": row["tau"], "features": list(row["features"])}

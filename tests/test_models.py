@@ -101,6 +101,69 @@ def test_tree_contributions_equal_brute_force():
             assert abs(phi[i] - want) < 1e-12
 
 
+def test_kernel_shapley_equals_brute_force(spark):
+    """All coalitions of a small model that isn't additive, one feature of two slots."""
+    from itertools import combinations
+    from math import factorial
+    from stayline.operators import explain
+    rng = np.random.default_rng(5)
+    x, bg = rng.normal(size=(7, 5)), rng.normal(size=(11, 5))
+    f = lambda a: a[:, 0] * a[:, 1] + np.maximum(a[:, 2], a[:, 3]) + a[:, 4] ** 2
+    groups = {"a": [0], "b": [1], "both": [2, 4], "d": [3]}
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "customerID long, x array<double>").repartition(2)
+    back = spark.createDataFrame([(r.tolist(),) for r in bg], "x array<double>")
+    got = {r.customerID: r for r in explain.kernel_shapley(rows, back, groups, f).collect()}
+    slots = list(groups.values())
+
+    def value(row, s):
+        h = bg.copy()
+        for g in s:
+            h[:, slots[g]] = row[slots[g]]
+        return f(h).mean()
+
+    for i, row in enumerate(x):
+        for j in range(4):
+            rest = [k for k in range(4) if k != j]
+            want = sum(factorial(len(s)) * factorial(3 - len(s)) / 24 * (value(row, [*s, j]) - value(row, s)) for k in range(4) for s in combinations(rest, k))
+            assert got[i].contributions[j] == pytest.approx(want, abs=1e-9)
+        assert got[i].base_value + sum(got[i].contributions) == pytest.approx(got[i].margin, abs=1e-9)
+    few = explain.kernel_shapley(rows, back, groups, f, samples=9).collect()          # sampled: still additive
+    assert all(r.base_value + sum(r.contributions) == pytest.approx(r.margin, abs=1e-9) for r in few)
+    with pytest.raises(ValueError):
+        explain.kernel_shapley(rows, back, groups, f, max_background=3)
+    assert explain.kernel_shapley(rows.limit(0), back, groups, f).count() == 0
+    one = explain.kernel_shapley(rows, back, {"all": [0, 1, 2, 3, 4]}, f).collect()
+    assert all(r.contributions[0] == pytest.approx(r.margin - r.base_value) for r in one)
+
+
+def test_sampled_coalitions_come_close():
+    from stayline.operators import explain
+    rng = np.random.default_rng(6)
+    m, w = 12, rng.normal(size=12)
+    f = lambda z: np.tanh(z @ w) + z[:, 0] * z[:, 1]
+    zero = float(f(np.zeros((1, m)))[0])
+    phi = {}
+    for samples in (4094, 400):
+        z, k = explain.kernel_coalitions(m, samples)
+        a, c = explain.kernel_solution(z, k)
+        phi[samples] = a @ (f(z) - zero) + c * (float(f(np.ones((1, m)))[0]) - zero)
+        assert len(np.unique(z, axis=0)) == len(z) and k.sum() == pytest.approx(sum((m - 1) / (j * (m - j)) for j in range(1, m)))
+    assert len(explain.kernel_coalitions(m, 4094)[0]) == 4094
+    assert np.abs(phi[400] - phi[4094]).max() < 0.1
+
+
+def test_slots_fold_to_source_features(spark):
+    from stayline.operators import explain, model
+    names = ["tenure", "Contract__ohe_One year", "Contract__ohe_Two year", "gender__ohe_Male"]
+    shap = spark.createDataFrame([(1, 0.5, 1.5, [0.5, -1.0, 0.25, 1.25])], "customerID long, base_value double, margin double, contributions array<double>")
+    folded, own = explain.fold_slots(shap, names, lambda n: model.source_feature(n, ["Contract", "gender"]))
+    assert own == ["tenure", "Contract", "gender"] and folded.first().contributions == [0.5, -0.75, 1.25]
+    top = explain.model_drivers(folded, own, n=2).first().top_features
+    assert [(t.feature, t.contribution, t.direction) for t in top] == [("gender", 1.25, "increases_churn"), ("Contract", -0.75, "decreases_churn")]
+    imp = explain.model_importance(folded, own).collect()
+    assert [r.feature for r in imp] == ["gender", "Contract", "tenure"]
+
+
 def test_stored_model_scores_as_before(spark):
     import __spark_entry__ as E
     assert E.queries()["predict_proba"](spark, SF).first().asDict() == {"customers": 148, "nulls": 0, "out_of_range": 0, "moved": 0}
@@ -147,7 +210,7 @@ def test_file_batch_replay_leaves_the_same_rows(spark, tmp_path):
 
 
 def test_plans_of_features_are_pruned(spark):
-    """A one-column feature query reads only what it needs, and building it runs no job."""
+    """A one-column feature query reads only what it needs."""
     from stayline.plans.score import features_view
     plan = features_view(spark, SF).select("customerID", "streaming_count")._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan and "c_acctbal" not in plan
