@@ -27,7 +27,10 @@ below ``BROADCAST_BYTES``; else they are joined by a shuffle.
 Cases.  An item with fewer than ``WINDOW`` template words is matched by one
 window of all its words; with fewer than ``SHORTEST`` it isn't searched.
 Null and empty texts match nothing.  Documents that agree in id and text are
-judged once.  The slots of every alignment that counts are checked; of those
+judged once.  Items are told apart by id and text, so an item without an id
+is searched too, and of several texts with one id the best match is reported.
+Other input columns, of whatever name, are ignored (``clean`` keeps them).
+Texts of any length are searched whole.  The slots of every alignment that counts are checked; of those
 that pass, the one with most windows is reported, then the smallest.  An empty
 documents or benchmark table gives an empty result.
 """
@@ -51,29 +54,36 @@ UNITS = ("kg g mg lb oz km m cm mm mi ft in l ml mph kmh s sec min h hr hours ho
          "degrees c f w kw v").split()
 UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 NAME = r"([\p{Ll}\p{N},;:] )(\p{Lu})"
+NAMED = r"(?<=[\p{Ll}\p{N},;:]) \p{Lu}\p{L}*+"                # the same as one word that keeps its blank
 AFTER = rf"(\p{{N}} ?)((?:{UNIT})(?:[^\p{{L}}]|$))"
 TOKEN = r"[@~]?\p{L}+|\p{N}+(?:[.,]\p{N}+)*"
 RUN = r"\p{Lu}\p{L}*+(?:[ .'’-]{1,2}\p{Lu}\p{L}*+)*+"          # possessive: a loop, not a recursion as deep as the run
 
 
+def _units(text: Column) -> Column:
+    """The text with ``~`` before units; most texts have none and stay as they are."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(AFTER), F.regexp_replace(text, AFTER, "$1~$2")).otherwise(text)
+
+
 def words(text: Column) -> Column:
-    """The words of a text, names marked by ``@`` and units by ``~``."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NAME, "$1@$2"), AFTER, "$1~$2")
-    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+    """The words of a text, names marked by a leading blank and units by ``~``."""
+    return F.regexp_extract_all(_units(text), F.lit(f"{NAMED}|{TOKEN}"), F.lit(0))
 
 
 def name_runs(text: Column) -> Column:
     """The words of a text, with a run of capitalised words as one."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), AFTER, "$1~$2"), F.lit(f"{RUN}|{TOKEN}"), F.lit(0))
+    return F.regexp_extract_all(_units(text), F.lit(f"{RUN}|{TOKEN}"), F.lit(0))
 
 
 def name_template_word(word: Column) -> Column:
-    return F.when(word.rlike(r"^\p{Lu}"), "@").otherwise(template_word(word))
+    head = F.substring(word, 1, 1)                   # plain letters first: most words need no pattern
+    return F.when(head.between("a", "z"), F.lower(word)).when(head.between("A", "Z") | word.rlike(r"^\p{Lu}"), "@").otherwise(template_word(word))
 
 
 def template_word(word: Column) -> Column:
     head = F.substring(word, 1, 1)
-    return F.when(head.isin("@", "~"), head).when(word.rlike(r"^\p{N}"), "#").otherwise(F.lower(word))
+    return F.when(head.between("A", "z"), F.lower(word)).when(head.isin(" ", "@"), "@").when(head == "~", "~").when(word.rlike(r"^\p{N}"), "#").otherwise(F.lower(word))
 
 
 def _windows(tokens: Column, width: int) -> Column:
@@ -95,7 +105,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     forms are searched."""
     rows = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
     first = F.get("words", 0)
-    inside = F.concat(F.array(F.concat(F.lit("@"), first)), F.slice("words", 2, 1_000_000))
+    inside = F.concat(F.array(F.concat(F.lit(" "), first)), F.slice("words", F.lit(2), F.size("words")))
     forms = F.array("words", F.when(first.rlike(r"^\p{Lu}"), inside).otherwise(F.col("words")))
     rows = rows.select("item_id", "words", F.explode(F.array_distinct(forms)).alias("form"))
     return _item_runs(rows.select("item_id", "words", _hashed(F.col("form")).alias("h")), window)
@@ -149,9 +159,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
     words), ``windows``, ``item_windows``, ``n_slots`` and ``n_agree``."""
     ids = ["doc_id", "key", "item_id"]
     rest = ["doc_at", "item_at", "windows", "item_windows", "n_slots", "n_agree"]
+    own = saved(items.select(F.col("item_id").alias("__id"), F.xxhash64(F.col("item_id").cast("string"), F.lit("item"), "text").alias("item_id"), "text").dropDuplicates(["item_id"]), "items")
+    items = own.select("item_id", "text")            # items by id and text: null and repeated ids stay apart
     plain = _same_names(docs, items, window, least, consistent).select(F.lit(1).alias("search"), *ids, *rest)
     both = plain.unionByName(_renamed(docs, items, window, least, consistent).select(F.lit(2).alias("search"), *ids, *rest))
-    return both.groupBy(*ids).agg(F.min(F.struct("search", *rest)).alias("b")).select(*ids, *[f"b.{c}" for c in rest])
+    both = both.join(own.drop("text"), "item_id").drop("item_id").withColumnRenamed("__id", "item_id")
+    best = F.min(F.struct("search", (-F.col("windows")).alias("fewer"), *rest))
+    return both.groupBy(*ids).agg(best.alias("b")).select(*ids, *[f"b.{c}" for c in rest])
 
 
 def _renamed(docs: DataFrame, items: DataFrame, window: int, least: int, consistent: float) -> DataFrame:
@@ -215,9 +229,10 @@ def _same_names(docs: DataFrame, items: DataFrame, window: int, least: int, cons
     n = F.col("last") - F.col("first") + F.col("width")
     pairs = F.arrays_zip(F.slice("item_words", F.col("first") + 1, n).alias("item"),
                          F.slice("words", F.col("first") + F.col("shift") + 1, n).alias("doc"))
-    slot = F.filter(pairs, lambda p: p["item"].rlike(r"^[@~\p{N}]"))
+    slot = F.filter(pairs, lambda p: p["item"].rlike(r"^[ @~\p{N}]"))
     ids = ["doc_id", "key", "item_id", "first", "shift", "windows", "item_windows"]
-    slots = both.select(*ids, F.explode_outer(slot).alias("p")).select(*ids, F.col("p.item").alias("item"), F.col("p.doc").alias("doc"))
+    mark = lambda c: F.translate(c, " ", "@").alias(c[2:])
+    slots = both.select(*ids, F.explode_outer(slot).alias("p")).select(*ids, mark("p.item"), mark("p.doc"))
     count = slots.groupBy(*ids, "item", "doc").agg(F.count("item").alias("n"))
     agree = count.groupBy(*ids, "item").agg(F.max("n").alias("agree"), F.sum("n").alias("n"))
     out = agree.groupBy(*ids).agg(F.sum("n").alias("n_slots"), F.sum("agree").alias("n_agree"))

@@ -126,7 +126,7 @@ def buckets(sets: DataFrame, threshold: float, runs: int, bucket: int = BUCKET,
             leaf = (F.col("n") <= bucket) | (F.col("like") >= stay)
         else:
             leaf = F.lit(True) if last else F.col("n") <= bucket
-        done = here.where(leaf).select("path", "set_id", "n")
+        done = saved(here.where(leaf).select("path", "set_id", "n"), f"leaves-{level}")      # small plans: one level each
         out = done if out is None else out.unionByName(done)
         if last or sizes.where(F.col("n") > bucket).isEmpty():
             break
@@ -310,7 +310,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sigs = sk.where("sig is not null").select("set_id", rep, "key", "sig").join(
         sets.drop("copies"), ["set_id", "first_id", "key"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "sig")
     sigs = saved(sigs, "signatures")
-    leaves = saved(buckets(sigs, threshold, runs_for(threshold, recall, DEPTH)), "leaves")
+    leaves = buckets(sigs, threshold, runs_for(threshold, recall, DEPTH))
     edges = likely(blocked(leaves, "path", "n", "set_id"), sigs, threshold - LIKELY)
     comp = saved(components(edges, "likely"), "likely")
     sized = comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp").join(sets, "set_id")
