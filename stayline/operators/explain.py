@@ -129,15 +129,11 @@ def batch_top_features(long: DataFrame, top_long: DataFrame, top_n: int = C.TOP_
             .orderBy(F.desc("avg_shap_value"), "feature").limit(top_n))
 
 
-def explain_customers(wide: DataFrame, keys: DataFrame, scored: DataFrame, n: int = 3,
-                      key: str = "customerID") -> DataFrame:
-    """For the requested keys (semi join): probability, base value and
-    the top-n drivers."""
-    sel = wide.join(keys.select(key), key, "left_semi")
-    top = top_features_per_row(sel, n)
-    return (top.join(sel.select(key, "base_margin"), key)
-            .join(scored.select(key, "churn_prob"), key)
-            .withColumn("base_value", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("base_margin"))), 6)))
+def explain_customers(wide: DataFrame, keys: DataFrame, n: int = 3, key: str = "customerID") -> DataFrame:
+    """For the requested keys (semi join): probability, base value and the
+    top-n drivers, all from one projection of the rows of ``linear_shap``."""
+    base = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("base_margin"))), 6)
+    return wide.join(keys.select(key), key, "left_semi").select(key, "churn_prob", base.alias("base_value"), _top_array(n, C.NEUTRAL_EPS).alias("top_features"))
 
 
 def additivity_check(wide: DataFrame, tol: float = 1e-4, key: str = "customerID") -> DataFrame:

@@ -124,13 +124,16 @@ def one_hot_drop_first(df: DataFrame, cols: Sequence[str], levels: dict | None =
     """F17 (plain-column variant): 0/1 column per level except the
     alphabetically first.  ``levels`` (feature -> sorted list) comes from
     training; when absent the distinct levels of all columns are read in one
-    job, and more than ``max_levels`` per column is an error."""
+    job, and a column of more than ``max_levels`` is an error."""
     if levels is None:
         r = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])))
              .where("v is not null").distinct().limit(max_levels * len(cols) + 1).collect())
         if len(r) > max_levels * len(cols):
             raise ValueError(f"more than {max_levels} levels per column; pass levels=")
         levels = {c: sorted(x.v for x in r if x.c == c) for c in cols}
+        many = [c for c in cols if len(levels[c]) > max_levels]
+        if many:
+            raise ValueError(f"more than {max_levels} levels in {many}; pass levels=")
     new = {}
     for c in cols:
         for lv in sorted(levels[c])[1:]:

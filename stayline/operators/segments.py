@@ -106,9 +106,14 @@ def segment_label_lookup(df: DataFrame, labels_df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(labels_df), "segment", "left")
 
 
-def attach_segments(processed: DataFrame, segs: DataFrame, key: str = SEG_KEY) -> DataFrame:
-    """Put segment + label on processed rows by key (never by position)."""
-    return processed.join(segs.select(key, "segment", "segment_label"), key, "left")
+def attach_segments(processed: DataFrame, segs: DataFrame | None = None, key: str = SEG_KEY, model: dict | None = None) -> DataFrame:
+    """Segment + label on processed rows.  Without ``segs`` they are
+    computed from the rows themselves, in one projection; segments from
+    elsewhere are joined by key (never by position)."""
+    if segs is not None:
+        return processed.join(segs.select(key, "segment", "segment_label"), key, "left")
+    from stayline.operators.features import engineer_features
+    return assign_segments(engineer_features(processed), model).select(*processed.columns, "segment", "segment_label")
 
 
 def cluster_cost(assigned: DataFrame) -> DataFrame:

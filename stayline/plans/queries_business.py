@@ -14,7 +14,7 @@ from stayline.plans.oracle import SHAP, dbl, feat_sql, scored_sql, sstr, with_vi
 from stayline.plans.queries_core import SPLIT_SQL
 from stayline.plans.registry import query
 from stayline.plans.score import processed_view, scored_view
-from stayline.session import cut_lineage
+from stayline.session import cut_lineage, scratch_path
 from stayline.sources.tables import customer_view
 
 CENTS = "CAST(round(MonthlyCharges * 100) AS BIGINT)"
@@ -105,9 +105,8 @@ def q_segment_action_override(spark, sf_dir):
 @query("attach_segments", with_views(
     "SELECT c.*, s.segment, s.segment_label FROM clean c LEFT JOIN scored s ON c.customerID = s.customerID"))
 def q_attach_segments(spark, sf_dir):
-    proc = processed_view(spark, sf_dir)
-    segs = segments.assign_segments(B.features_view(spark, sf_dir)).select("customerID", "segment", "segment_label")
-    return segments.attach_segments(proc, segs)
+    """J1 on the processed rows' own features: one projection, no join."""
+    return segments.attach_segments(processed_view(spark, sf_dir))
 
 
 @query("segment_label_lookup", with_views(
@@ -148,7 +147,7 @@ def q_batch_risk_join(spark, sf_dir):
     "SELECT r.customerID, r.tenure, r.TotalCharges FROM raw r ANTI JOIN scored s ON r.customerID = s.customerID"))
 def q_failed_rows(spark, sf_dir):
     raw = customer_view(spark, sf_dir)
-    return B.failed_rows(raw, scored_view(spark, sf_dir)).select("customerID", "tenure", "TotalCharges")
+    return B.failed_rows(raw).select("customerID", "tenure", "TotalCharges")
 
 
 # ---------------------------------------------------------------------------
@@ -473,6 +472,22 @@ def q_score_batch(spark, sf_dir):
     return B.score_batch(customer_view(spark, sf_dir))
 
 
+@query("score_trained", with_views(
+    "SELECT customerID, true AS in_range, true AS decided, true AS known_action, true AS segment_kept FROM scored"))
+def q_score_trained(spark, sf_dir):
+    """B1 with the stored trained model instead of the deployed score, as a
+    check per customer: probability in range, decision at the model's own
+    threshold, a known action, and the segment of the deployed scorer."""
+    from stayline.plans.queries_model import _model_input, stored_model
+    enc, trained, tau, _ = M.train_churn(_model_input(spark, sf_dir))
+    stored = stored_model(spark, enc, trained, tau)
+    got = B.score_frame(B.features_view(spark, sf_dir), churn_model=stored)
+    own = segments.assign_segments(B.features_view(spark, sf_dir)).select("customerID", F.col("segment").alias("own"))
+    return got.join(own, "customerID").select(
+        "customerID", F.col("churn_prob").between(0, 1).alias("in_range"), (F.col("is_churner") == (F.col("churn_score") >= stored["tau"])).alias("decided"),
+        F.col("action_key").isin(list(C.ACTIONS)).alias("known_action"), (F.col("segment") == F.col("own")).alias("segment_kept"))
+
+
 @query("decide_churner", with_views(
     "SELECT customerID, churn_prob, churn_prob >= 0.5 AS is_churner, churn_prob > 0.5 AS is_churner_strict FROM scored"))
 def q_decide_churner(spark, sf_dir):
@@ -493,7 +508,8 @@ FROM (SELECT count(*) AS rp, CAST(sum(CAST(is_churner AS INTEGER)) AS BIGINT) AS
 
 @query("batch_summary", with_views(SUMMARY_SQL))
 def q_batch_summary(spark, sf_dir):
-    return B.batch_summary(scored_view(spark, sf_dir), customer_view(spark, sf_dir))
+    st = B.status_frame(spark, B.score_and_account(customer_view(spark, sf_dir), scratch_path(spark, "scored_batch")))
+    return st.drop("failed", "action_counts", "segment_counts")
 
 
 @query("batch_status", with_views(
@@ -501,15 +517,16 @@ def q_batch_summary(spark, sf_dir):
     "SELECT 'action' AS kind, action_label AS name, count(*) AS customers FROM scored GROUP BY ALL UNION ALL "
     "SELECT 'segment', CAST(segment AS VARCHAR), count(*) FROM scored GROUP BY ALL) m"))
 def q_batch_status(spark, sf_dir):
-    """B5 with both count maps, one row per entry."""
-    st = B.batch_status(customer_view(spark, sf_dir), scored_view(spark, sf_dir))
+    """B5 with both count maps, one row per entry: the batch is scored and
+    written, its status is what the write observed."""
+    st = B.status_frame(spark, B.score_and_account(customer_view(spark, sf_dir), scratch_path(spark, "scored_batch")))
     scalars = [c for c in st.columns if c not in ("action_counts", "segment_counts")]
     maps = [st.select(*scalars, F.lit(kind).alias("kind"), F.explode(F.col(f"{kind}_counts")).alias("name", "customers"))
             .withColumn("name", F.col("name").cast("string")) for kind in ("action", "segment")]
     return maps[0].unionByName(maps[1])
 
 
-ECHO = ["gender", "tenure", "Contract", "MonthlyCharges"]
+ECHO = [c for c in C.INPUT_COLUMNS]
 
 
 @query("prediction_record", with_views(

@@ -72,7 +72,7 @@ def q_explain_customers(spark, sf_dir):
     data)."""
     scored = scored_view(spark, sf_dir)
     keys = scored.filter("is_churner").select("customerID")
-    ex = X.explain_customers(X.linear_shap(scored), keys, scored, n=3)
+    ex = X.explain_customers(X.linear_shap(scored), keys, n=3)
     return ex.select("customerID", "churn_prob", "base_value", F.posexplode("top_features").alias("pos", "t")) \
              .select("customerID", "churn_prob", "base_value", (F.col("pos") + 1).cast("int").alias("rank"),
                      "t.feature", "t.contribution", "t.direction")

@@ -1,8 +1,8 @@
 """Scans, sinks and persisted tables.
 
 Paths are whatever the caller passes (object store or shared file
-system).  Appends go through ``mode('append')`` Parquet, which is atomic per
-task commit, so a lost executor never leaves a half-written run.
+system).  Every append is a folder of its own with a claimed number, so neither
+parallel writers nor a lost executor leave a half-written run.
 """
 
 from __future__ import annotations
@@ -84,22 +84,56 @@ def normalize_columns(df: DataFrame, expected: Sequence[str] = C.INPUT_COLUMNS):
     return df.select(*present), missing
 
 
+def _created(spark: SparkSession, fs, path) -> bool:
+    """Create an empty file unless it exists; whether it was created.  The
+    local file system and HDFS do it in one step; a store that can't create
+    exclusively needs one writer at a time."""
+    if fs.getUri().getScheme() == "file":
+        return spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+        return True
+    except Exception:
+        if fs.exists(path):
+            return False
+        raise
+
+
+def claim_number(spark: SparkSession, path: str) -> int:
+    """The next free number below ``path``, taken for good: the claim is a file
+    that must not exist yet, so of two writers one gets the next number."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_claims")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    n = max((int(name) for name in names if name.isdigit()), default=0) + 1
+    while not _created(spark, fs, jvm.org.apache.hadoop.fs.Path(folder, f"{n:09d}")):
+        n += 1
+    return n
+
+
+def append_rows(df: DataFrame, path: str, number: int | None = None) -> None:
+    """Append ``df`` as a folder of its own number, so writers share no
+    temporary files and a lost one leaves nothing that is read."""
+    number = claim_number(df.sparkSession, path) if number is None else number
+    df.write.parquet(f"{path}/{APPEND}={number}")
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(APPEND)
+
+
+APPEND = "append"
+
+
 def metrics_history_append(metrics_long: DataFrame, path: str, run_ts, model_config: str = "") -> None:
     """Append one row per (split, metric) with the run timestamp."""
-    (metrics_long.withColumn("ts", F.lit(run_ts).cast("timestamp"))
-     .withColumn("model_config", F.lit(model_config))
-     .write.mode("append").parquet(path))
+    append_rows(metrics_long.withColumn("ts", F.lit(run_ts).cast("timestamp")).withColumn("model_config", F.lit(model_config)), path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in its own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return read_appended(spark, path)
 
 
 LOG_FIELDS = ("experiment_id", "exp_no", "model", "ts", "threshold", "accuracy", "precision", "recall", "f1", "roc_auc",
@@ -108,22 +142,14 @@ LOG_FIELDS = ("experiment_id", "exp_no", "model", "ts", "threshold", "accuracy",
 
 
 def experiment_log(spark: SparkSession, path: str, run: DataFrame) -> DataFrame:
-    """Append a run with the next sequential id ``exp_%03d``.
-
-    The next id is max(existing) + row position within the new run; the log
-    is one row per experiment.  Only a missing log starts at 1: a log that
-    can't be read is an error."""
-    if path_exists(spark, path):
-        start = spark.read.parquet(path).agg(F.coalesce(F.max("exp_no"), F.lit(0)).alias("s"))
-    else:
-        start = spark.createDataFrame([(0,)], "s int")
-    w = Window.orderBy("run_order")
-    new = (run.crossJoin(F.broadcast(start))
-           .withColumn("exp_no", (F.col("s") + F.row_number().over(w)).cast("int"))
-           .withColumn("experiment_id", F.format_string("exp_%03d", F.col("exp_no")))
-           .drop("s"))
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Append a run (one row per model) with the next sequential ids
+    ``exp_%03d``, each claimed, so parallel writers get different ones."""
+    numbers = [claim_number(spark, path) for _ in range(run.count())]
+    own = F.element_at(F.array(*[F.lit(n) for n in numbers]), F.row_number().over(Window.orderBy("run_order")))
+    new = run.withColumn("exp_no", own.cast("int")).withColumn("experiment_id", F.format_string("exp_%03d", F.col("exp_no")))
+    if numbers:
+        append_rows(new, path, numbers[0])
+    return read_appended(spark, path)
 
 
 def export_view(df: DataFrame, path: str) -> DataFrame:

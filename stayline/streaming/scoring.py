@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline import config as C
-from stayline.plans.score import score_batch
+from stayline.plans.score import score_and_account, score_batch, status_frame
 from stayline.sources.io import RAW_SCHEMA
 
 SCORE_COLS = ["customerID", "segment", "segment_label", "segment_confidence", "churn_prob", "is_churner",
@@ -49,18 +49,9 @@ def stream_file_batches(spark: SparkSession, source_dir: str, out_dir: str, chec
            .parquet(source_dir))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        scored = score_batch(batch, tau, high_value_threshold=high_value_threshold).persist()
-        scored.write.mode("overwrite").parquet(f"{out_dir}/predictions/batch_id={batch_id}")
-        acts = (scored.groupBy("action_label").agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.map_from_entries(F.collect_list(F.struct("action_label", "n"))).alias("action_counts")))
-        status = (batch.agg(F.count(F.lit(1)).alias("rows_input"))
-                  .crossJoin(scored.agg(F.count(F.lit(1)).alias("rows_processed"),
-                                        F.sum(F.col("is_churner").cast("long")).alias("churners")))
-                  .withColumn("failed", F.col("rows_input") - F.col("rows_processed")).crossJoin(acts))
-        status.write.mode("overwrite").parquet(f"{out_dir}/status/batch_id={batch_id}")
-        scored.unpersist()
-        batch.unpersist()
+        status = score_and_account(batch, f"{out_dir}/predictions/batch_id={batch_id}", tau, high_value_threshold)
+        (status_frame(batch.sparkSession, status).select("rows_input", "rows_processed", "churners", "failed", "action_counts")
+         .coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/status/batch_id={batch_id}"))
 
     return (raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
