@@ -57,15 +57,20 @@ def _cat(c: str) -> F.Column:
 
 
 def distance_exprs(model: dict) -> list:
-    """One distance column per prototype (numeric part + gamma * mismatches)."""
-    zs = [_z(c, model["scaler"]) for c in model["numeric"]]
-    cats = [_cat(c) for c in model["categorical"]]
+    """One distance column per prototype (numeric part + gamma * mismatches),
+    each parsed from one SQL expression."""
+    num = lambda x: f"double('{float(x)!r}')"
+    text = lambda x: "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    zs = []
+    for c in model["numeric"]:
+        m, s = model["scaler"][c]
+        zs.append(f"((CAST(`{c}` AS DOUBLE) - {num(m)}) / {num(s if s else 1.0)})")
+    cats = [f"coalesce(CAST(`{c}` AS STRING), 'nan')" for c in model["categorical"]]
     out = []
-    for num, modes in model["prototypes"]:
-        sq = [(z - F.lit(float(v))) * (z - F.lit(float(v))) for z, v in zip(zs, num)]
-        mm = [(c != F.lit(str(mv))).cast("int") for c, mv in zip(cats, modes)]
-        out.append(reduce(lambda a, b: a + b, sq) +
-                   F.lit(float(model["gamma"])) * reduce(lambda a, b: a + b, mm).cast("double"))
+    for values, modes in model["prototypes"]:
+        sq = " + ".join(f"({z} - {num(v)}) * ({z} - {num(v)})" for z, v in zip(zs, values))
+        mm = " + ".join(f"CAST({c} != {text(mv)} AS INT)" for c, mv in zip(cats, modes))
+        out.append(F.expr(f"({sq}) + {num(model['gamma'])} * CAST(({mm}) AS DOUBLE)"))
     return out
 
 

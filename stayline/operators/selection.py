@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,33 +80,57 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     Groups and columns without a value are left out."""
     groups, spark = [f"g{i}" for i in range(len(by))], df.sparkSession
     counted = _counted(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)      # recomputed if an executor goes
+    few = (lambda d: d.orderBy("c", "rank").limit(max_bins + 1)) if by else (lambda d: d)
     try:
         found = _first_bins(counted, groups, probs)
         schema = T.StructType([f for f in found.schema if f.name != "n"])
-        rows, up = found.limit(max_bins + 1).collect(), SHIFTS[0]
+        rows, up = few(found).collect(), SHIFTS[0]
         while up:
             if len(rows) > max_bins:
                 raise ValueError(f"more than {max_bins} ranks are wanted; select fewer groups, columns or quantiles")
             if not rows:
                 return {}
-            held = sum({(*[r[g] for g in groups], r.c, r.d): r.n for r in rows}.values())
-            shift = 0 if held <= direct else SHIFTS[SHIFTS.index(up) + 1]
-            bins = spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
-            rows, up = _inner_bins(counted, groups, bins, up, shift).limit(max_bins + 1).collect(), shift
+            held = {(*[r[g] for g in groups], r.c, r.d): r.n for r in rows}
+            if not by and sum(held.values()) <= direct and len(held) <= 100:
+                return _from_values(counted, rows, up, probs)
+            shift = 0 if sum(held.values()) <= direct else SHIFTS[SHIFTS.index(up) + 1]
+            bins = spark.createDataFrame(pa.Table.from_pylist([{f.name: r[f.name] for f in schema} for r in rows]), schema)
+            rows, up = few(_inner_bins(counted, groups, bins, up, shift)).collect(), shift
     finally:
         counted.unpersist()
-    value = {(*[r[g] for g in groups], r.c, r["rank"]): r.x for r in rows}
+    return _interpolated(rows, groups, probs)
+
+
+def _from_values(counted: DataFrame, rows: list, up: int, probs: Sequence[float]) -> dict:
+    """The quantiles from the values of the wanted bins, at most ``DIRECT`` rows
+    in all, which the driver ranks."""
+    here = " OR ".join(f"c = '{c}' AND shiftright(k, {up}) = {d}L" for c, d in {(r.c.replace("'", "\\'"), r.d) for r in rows})
+    values = sorted(counted.where(F.expr(here)).select("c", F.shiftright("k", up).alias("d"), "k", "x", "n").collect(), key=lambda v: v.k)
+    found = []
+    for r in rows:
+        run = r.off
+        for v in values:
+            if (v.c, v.d) == (r.c, r.d):
+                run += v.n
+                if r["rank"] < run:
+                    found.append({"c": r.c, "all": r["all"], "rank": r["rank"], "x": v.x})
+                    break
+    return _interpolated(found, [], probs)
+
+
+def _interpolated(rows: list, groups: list[str], probs: Sequence[float]) -> dict:
+    value = {(*[r[g] for g in groups], r["c"], r["rank"]): r["x"] for r in rows}
     out = {}
     for r in rows:
         key = tuple(r[g] for g in groups)
-        if (key, r.c) not in out:
+        if (key, r["c"]) not in out:
             got = []
             for p in probs:
                 h = (r["all"] - 1) * float(p)
                 lo, hi = math.floor(h), math.ceil(h)
-                a, b = value[(*key, r.c, lo)], value[(*key, r.c, hi)]
+                a, b = value[(*key, r["c"], lo)], value[(*key, r["c"], hi)]
                 got.append(a if a == b or lo == hi else (hi - h) * a + (h - lo) * b)
-            out[key, r.c] = got
+            out[key, r["c"]] = got
     return out
 
 

@@ -67,14 +67,13 @@ def apply_modifications(df: DataFrame, mods_col: str = "modifications") -> DataF
 def simulate(processed: DataFrame, scenarios: DataFrame, tau: float = C.DEFAULT_THRESHOLD) -> DataFrame:
     """J7 + W1 + W2: baseline and modified scoring for customers x scenarios.
 
-    The is_high_value threshold is fitted once on the baseline, as a scalar
-    subquery (so a modification cannot move it), and both passes use it.
-    Only the key and the modifiable columns travel.
+    The is_high_value threshold is fitted once on the baseline (so a
+    modification cannot move it), and both passes use it.  Only the key and the
+    modifiable columns travel.
     """
-    from stayline.session import cut_lineage
     keep = [c for c in processed.columns if c in MODIFIABLE or c == "customerID"]
-    processed = cut_lineage(processed.select(*keep))      # read twice: threshold and rows
-    thr = features.median_of(processed, "MonthlyCharges").scalar()
+    processed = processed.select(*keep)
+    thr = features.median_of(processed, "MonthlyCharges")
     base = score_frame(features.engineer_features(processed, thr), tau)
     base = base.select(*processed.columns, *[F.col(c).alias(f"orig_{c}") for c in CARRY])
     crossed = base.crossJoin(F.broadcast(scenarios.select("scenario", "modifications")))

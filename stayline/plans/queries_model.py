@@ -164,13 +164,24 @@ def q_cao_init(spark, sf_dir):
     return spark.createDataFrame(rows, "seed int, feature string, value string")
 
 
-@query("elbow", "SELECT CAST(k AS INTEGER) AS k, true AS positive, true AS below_k2 FROM range(2, 11) t(k)")
+def _one_cluster_sql() -> str:
+    """The cost of a single cluster: squared distances to the means in
+    deviations, and half the rows that miss each column's commonest level."""
+    num = " + ".join(f"(SELECT sum(((CAST({c} AS DOUBLE) - m) / s) * ((CAST({c} AS DOUBLE) - m) / s)) FROM feat, (SELECT avg(CAST({c} AS DOUBLE)) AS m, stddev_pop(CAST({c} AS DOUBLE)) AS s FROM feat))"
+                     for c in C.SEG_NUMERIC)
+    cat = " + ".join(f"(SELECT sum(n) - max(n) FROM (SELECT count(*) AS n FROM feat GROUP BY coalesce(CAST({c} AS VARCHAR), 'nan')))" for c in C.SEG_CATEGORICAL)
+    return f"one AS (SELECT {num} + 0.5 * ({cat}) AS cost)"
+
+
+@query("elbow", with_views("SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 1 THEN round(cost, 3) END AS one_cluster, true AS positive, true AS below_k1 FROM range(1, 11) t(k) CROSS JOIN one",
+                           "feat", _one_cluster_sql()))
 def q_elbow(spark, sf_dir):
-    """G5 for k = 2..10, five starts each, as a check table: costs are
-    positive, and none is above that of k = 2."""
-    e = segments.elbow(features_view(spark, sf_dir))
-    top = e.where("k = 2").select(F.col("cost").alias("c2"))
-    return e.crossJoin(F.broadcast(top)).select("k", (F.col("cost") > 0).alias("positive"), (F.col("cost") <= F.col("c2")).alias("below_k2"))
+    """G5 for k = 1..10, five starts each: the cost of one cluster, which SQL
+    computes from the data, and whether the others are positive and below it."""
+    e = segments.elbow(features_view(spark, sf_dir), ks=range(1, 11))
+    top = e.where("k = 1").select(F.col("cost").alias("c1"))
+    return e.crossJoin(F.broadcast(top)).select("k", F.when(F.col("k") == 1, F.round("cost", 3)).alias("one_cluster"), (F.col("cost") > 0).alias("positive"),
+                                                (F.col("cost") <= F.col("c1")).alias("below_k1"))
 
 
 # ---------------------------------------------------------------------------
