@@ -11,8 +11,10 @@ linked when the Jaccard similarity of their sets is ``THRESHOLD`` at least.
    child.  Sets that share the token go on together.  A bucket with
    ``BUCKET`` sets at most is a leaf; so is one whose sets agree on their next
    token as often as similar sets do (it would not shrink), and one at
-   ``DEPTH``.  Larger ones are split again.  Runs repeat until the expected
-   recall of a pair at the threshold is reached (``runs_for``).
+   ``DEPTH``.  Larger ones are split again.  Runs repeat until a pair at the
+   threshold is found with the chance ``RECALL``, over the number of sampled
+   tokens that it shares, all runs reading the same tokens, the bound of step
+   3 and the full depth included (``recall_of``, ``runs_for``).
 3. Leaves are brute-forced on the sampled tokens, a bucket larger than
    ``BLOCK`` in blocks and pairs of blocks, each a group of its own, and leave a
    spanning forest of the pairs that may be similar.
@@ -47,7 +49,7 @@ from stayline.llm.common import U64, as_bytes, mix64, saved, shingle_sets
 THRESHOLD = 0.8
 RECALL = 0.999
 WIDTH = 5
-MINHASHES = 64
+MINHASHES = 96
 BUCKET = 32          # sets that a leaf may have without more splitting
 BLOCK = 256          # sets that are compared at once
 DEPTH = 6
@@ -65,17 +67,32 @@ def signature(shingles: np.ndarray) -> bytes:
     return low.tobytes()
 
 
-def survival(threshold: float, depth: int) -> float:
-    """Chance that one run keeps a pair at ``threshold`` together down to ``depth``."""
+def survival(shared: float, threshold: float, depth: int) -> float:
+    """Chance that one run keeps a pair that shares this part of its sampled
+    tokens together down to ``depth``."""
     second, alive = 1 / threshold - 1, 1.0
     for _ in range(depth):
-        one = 1 - threshold * alive
+        one = 1 - shared * alive
         alive = 1 - ((1 - second) * one + second * one * one)
     return alive
 
 
-def runs_for(threshold: float, recall: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
+def recall_of(threshold: float, runs: int, depth: int, likely: float, minhashes: int = MINHASHES) -> float:
+    """Chance that a pair at the threshold, alone, is found by ``runs`` runs and
+    is likely enough for the exact check."""
+    total = 0.0
+    for k in range(math.ceil((threshold - likely) * minhashes - 1e-9), minhashes + 1):
+        p = math.comb(minhashes, k) * threshold ** k * (1 - threshold) ** (minhashes - k)
+        total += p * (1 - (1 - survival(k / minhashes, threshold, depth)) ** runs)
+    return total
+
+
+def runs_for(threshold: float, recall: float, depth: int, likely: float) -> int:
+    """The fewest runs that reach the recall; more than 200 is an error."""
+    for runs in range(1, 201):
+        if recall_of(threshold, runs, depth, likely) >= recall:
+            return runs
+    raise ValueError(f"a recall of {recall} needs more sampled tokens, less depth or a lower bound")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -298,7 +315,7 @@ def _shingles(rows: DataFrame, columns: str) -> DataFrame:
     return rows.mapInPandas(run, columns)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """One row per document: ``doc_id``, ``key`` (hash of its text), ``class_id``,
     ``n_links`` (documents at the threshold or above, itself excluded) and
     ``copies`` (documents with an equal set)."""
@@ -310,7 +327,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sigs = sk.where("sig is not null").select("set_id", rep, "key", "sig").join(
         sets.drop("copies"), ["set_id", "first_id", "key"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "sig")
     sigs = saved(sigs, "signatures")
-    leaves = buckets(sigs, threshold, runs_for(threshold, recall, DEPTH))
+    leaves = buckets(sigs, threshold, runs_for(threshold, recall, DEPTH, LIKELY), bucket)
     edges = likely(blocked(leaves, "path", "n", "set_id"), sigs, threshold - LIKELY)
     comp = saved(components(edges, "likely"), "likely")
     sized = comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp").join(sets, "set_id")

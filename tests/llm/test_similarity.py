@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -69,8 +70,35 @@ def test_jaccard_empty_table(empty):
 
 
 def test_runs_reach_the_recall():
-    p = jaccard_join.survival(0.8, jaccard_join.DEPTH)
-    assert 1 - (1 - p) ** jaccard_join.runs_for(0.8, 0.999, jaccard_join.DEPTH) >= 0.999
+    """The chance by its formula, against drawing pairs' shared tokens."""
+    runs = jaccard_join.runs_for(0.8, 0.999, jaccard_join.DEPTH, jaccard_join.LIKELY)
+    assert jaccard_join.recall_of(0.8, runs, jaccard_join.DEPTH, jaccard_join.LIKELY) >= 0.999
+    assert jaccard_join.recall_of(0.8, runs - 1, jaccard_join.DEPTH, jaccard_join.LIKELY) < 0.999
+    with pytest.raises(ValueError):
+        jaccard_join.runs_for(0.8, 1 - 1e-12, jaccard_join.DEPTH, 0.05)
+    rng, n = np.random.default_rng(3), 40_000
+    shared, found = rng.binomial(jaccard_join.MINHASHES, 0.8, n) / jaccard_join.MINHASHES, np.zeros(n, bool)
+    for _ in range(runs):
+        alive = np.ones(n, int)                                  # nodes that the pair shares
+        for _ in range(2):
+            alive = rng.binomial(alive + rng.binomial(alive, 0.25), shared)
+        found |= alive > 0
+    found &= shared >= 0.8 - jaccard_join.LIKELY
+    assert abs(found.mean() - jaccard_join.recall_of(0.8, runs, 2, jaccard_join.LIKELY)) < 0.001
+
+
+@pytest.mark.parametrize("bucket", [jaccard_join.BUCKET, 1])
+def test_lone_pairs_at_the_threshold_are_found(spark, bucket):
+    """Pairs with 8 of 10 shingles in common; with a bucket of 1 they are split
+    as deep as possible."""
+    rng, rows, n = random.Random(8), [], 3000
+    for i in range(n):
+        t = [f"{rng.randrange(10 ** 9):x}" for _ in range(13)]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join([*t[:-1], "other"]))]
+    got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    found = sum(got[2 * i + 1] == 2 * i for i in range(n))
+    assert found >= n * 0.999 - 3 * (n * 0.001) ** 0.5                    # three deviations below the stated recall
 
 
 def test_shingles_agree_with_plain_words():
@@ -106,6 +134,25 @@ def test_fingerprints_follow_the_contract(spark, docs):
             assert same.setdefault(by_text[r.doc_id], r.fingerprint) == r.fingerprint
 
 
+def test_likeness_is_that_of_the_sketches(spark, docs):
+    """The likeness columns against plain sets of the shingles' hashes."""
+    def low(text):
+        return {h for h in next(shingle_sets([text.encode()])).tolist() if h < 2 ** 64 // fingerprints.SCALE}
+
+    def like(a, b):
+        x, y = low(a), low(b)
+        return 1.0 if a == b else len(x & y) / len(x | y) if x | y else 0.0
+
+    rows = sorted((r for r in corpus() if r[0] is not None and r[0] != 7), key=lambda r: -r[0])
+    texts = [r[1] or "" for r in rows]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    for k, r in enumerate(rows):
+        t, n = texts[k], texts[(k + 1) % len(rows)]
+        edited = t[:len(t) - len(t) // 2] + n[:len(t) // 2]
+        assert got[r[0]].near_edited == pytest.approx(like(t, edited)), r[0]
+        assert got[r[0]].near_next == pytest.approx(like(t, n)), r[0]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64))
