@@ -244,10 +244,12 @@ def background_sample(df: DataFrame, n: int = 200, seed: int = C.SEED, cap: int
 
 
 def row_number_id(df: DataFrame, order_by: str = KEY, name: str = "row_no") -> DataFrame:
-    """1-based display number in ``order_by`` order, computed as a
-    distributed prefix sum (see ``operators.positions``), never in one task."""
-    from stayline.operators.positions import group_positions
-    return group_positions(df, [], [order_by], name).withColumn(name, F.col(name) + 1)
+    """1-based display number in the order of the numeric column
+    ``order_by``, which has no repeated values, by distributed positions, never
+    in one task."""
+    from stayline.operators.positions import positions_under
+    at = positions_under(df, {name: F.col(order_by)}, order_by).select(F.col(order_by).alias("__key"), (F.col("position") + 1).alias(name))
+    return df.join(at, df[order_by].eqNullSafe(at["__key"])).drop("__key")
 
 
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stayline import config as C
 from stayline.functions import exprs as X
+from stayline.operators.positions import positions_under
 
 def _cents() -> F.Column:
     return F.round(F.col("MonthlyCharges") * 100).cast("long")
@@ -269,9 +270,7 @@ def plan_filters(plan: DataFrame, **filters) -> DataFrame:
 def numbered_plan(plan: DataFrame) -> DataFrame:
     """The plan with its display number (1 = highest priority, ties by
     customer), as the view shows it."""
-    from stayline.operators.positions import group_positions
-    rows = plan.select((-F.col("plan_priority")).alias("__v"), F.col("customerID").alias("__id"))
-    at = group_positions(rows, [], ["__v", "__id"], "__pos").select("__id", (F.col("__pos") + 1).alias("number"))
+    at = positions_under(plan, {"number": -F.col("plan_priority")}, "customerID").select(F.col("customerID").alias("__id"), (F.col("position") + 1).alias("number"))
     return plan.join(at, F.col("customerID") == F.col("__id")).drop("__id")
 
 
@@ -304,13 +303,9 @@ def plan_sort(plan: DataFrame, key: str = "priority") -> DataFrame:
 
 
 def plan_positions(plan: DataFrame, keys: Sequence[str] = tuple(SORT_KEYS)) -> DataFrame:
-    """P15 for several keys at once: (sort_key, customerID, position), by one
-    distributed sort of the keyed rows."""
-    from stayline.operators.positions import group_positions
-    signed = [F.struct(F.lit(k).alias("sort_key"), (F.col(SORT_KEYS[k][0]).cast("double") * (1 if SORT_KEYS[k][1] else -1)).alias("__v"))
-              for k in keys]
-    rows = plan.select("customerID", F.inline(F.array(*signed)))
-    return group_positions(rows, ["sort_key"], ["__v", "customerID"], "position").select("sort_key", "customerID", "position")
+    """P15 for several keys at once: (sort_key, customerID, position)."""
+    signed = {k: F.col(SORT_KEYS[k][0]).cast("double") * (1 if SORT_KEYS[k][1] else -1) for k in keys}
+    return positions_under(plan, signed, "customerID")
 
 
 def preset_summary(plan: DataFrame) -> DataFrame:

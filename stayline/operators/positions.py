@@ -20,9 +20,11 @@ deterministic result.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.session import cut_lineage
@@ -75,3 +77,44 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     out = stamped.join(offsets, ["__pid", *group_cols], "inner")
     out = out.withColumns({f"{c}{suffix}": F.col(f"__o_{c}") + F.sum(c).over(wl) for c in sum_cols})
     return out.drop("__pid", "__mid", *[f"__o_{c}" for c in sum_cols])
+
+
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 10_000
+
+
+def positions_under(df: DataFrame, values: dict[str, Column], key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(sort_key, key, position): the 0-based place of every row in the
+    ascending order of each value (nulls first), ties by ``key``, for all
+    values at once.
+
+    One mergeable quantile summary of all values gives cut points; the rows
+    between two cuts are a bucket, and so are the rows of a cut point itself,
+    which are cut once more by ``key``, so a value that a third of the rows share is
+    spread.  A position is the count of the buckets before plus the place in
+    the bucket: one narrow exchange, and nothing is written."""
+    names = list(values)
+    base = df.select(F.col(key).alias("__id"), F.col(key).cast("double").alias("__k"), *[values[n].cast("double").alias(f"__v{i}") for i, n in enumerate(names)])
+    parts = min(MAX_BUCKETS, math.ceil(base.count() / bucket_rows))
+    cols = [*[f"__v{i}" for i in range(len(names))], "__k"]
+    cuts = [sorted(set(q)) for q in base.stat.approxQuantile(cols, [i / parts for i in range(1, parts)], 0.25 / parts)] if parts > 1 else [[]] * len(cols)
+    inf = float("inf")
+    for c, q in zip(cols, cuts):
+        if q:
+            q = [x for x in q if abs(x) < inf]
+            base = Bucketizer(splits=[-inf, *q, inf], inputCol=c, outputCol=f"{c}b", handleInvalid="keep").transform(base)
+            at = F.col(f"{c}b").cast("int")
+            same = F.coalesce((at > 0) & (F.col(c) == F.get(F.array(*[F.lit(x) for x in q]), at - 1)), F.lit(False))
+            base = base.withColumn(f"{c}b", F.when(F.col(c).isNull(), -1).otherwise(2 * at + F.when(same, 0).otherwise(1))).withColumn(f"{c}e", same)
+        else:
+            base = base.withColumns({f"{c}b": F.when(F.col(c).isNull(), -1).otherwise(0), f"{c}e": F.lit(False)})
+    sub = lambda i: F.when(F.col(f"__v{i}e") | F.col(f"__v{i}").isNull(), F.col("__kb")).otherwise(0)
+    rows = base.select("__id", F.inline(F.array(*[F.struct(F.lit(n).alias("sort_key"), F.col(f"__v{i}b").alias("__b"), sub(i).alias("__s"), F.col(f"__v{i}").alias("__v"))
+                                                  for i, n in enumerate(names)])))
+    cell = ["sort_key", "__b", "__s"]
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("__v", "__id")) - 1
+    cell_n = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("sort_key").orderBy("__b", "__s")) - F.col("__n")      # one row per bucket
+    offsets = cell_n.select(*cell, before.alias("__off"))
+    return (rows.withColumn("__at", place).join(offsets, cell)
+            .select("sort_key", F.col("__id").alias(key), (F.col("__off") + F.col("__at")).cast("long").alias("position")))
