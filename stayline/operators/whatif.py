@@ -35,8 +35,10 @@ def normalize_payment(mods: dict) -> dict:
 
 
 def policy_scenarios(spark: SparkSession, normalize: bool = True, include_empty: bool = False) -> DataFrame:
-    """The predefined scenarios as (scenario, description, modifications)."""
-    rows = [(n, d, normalize_payment(m) if normalize else dict(m)) for n, d, m in C.POLICY_SCENARIOS]
+    """The predefined scenarios as (scenario, description, modifications);
+    the description says what is set."""
+    told = lambda m: "; ".join(f"{k} = {v}" for k, v in m.items())
+    rows = [(n, told(m), normalize_payment(m) if normalize else dict(m)) for n, m in C.POLICY_SCENARIOS]
     if include_empty:
         rows.append(("No Change", "Empty modification set", {}))
     schema = T.StructType([T.StructField("scenario", T.StringType()),

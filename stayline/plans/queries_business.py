@@ -932,12 +932,12 @@ def q_threshold_scenario(spark, sf_dir):
 # W: what-if
 # ---------------------------------------------------------------------------
 
-SCEN_FIELDS = sorted({k for _, _, m in C.POLICY_SCENARIOS for k in m})
+SCEN_FIELDS = sorted({k for _, m in C.POLICY_SCENARIOS for k in m})
 
 
 def _scen_sql(include_empty: bool = True) -> str:
     rows = []
-    for name, _, mods in C.POLICY_SCENARIOS:
+    for name, mods in C.POLICY_SCENARIOS:
         mods = whatif.normalize_payment(mods)
         rows.append("(" + ", ".join([sstr(name)] + [sstr(mods[f]) if f in mods else "CAST(NULL AS VARCHAR)"
                                                     for f in SCEN_FIELDS]) + ")")

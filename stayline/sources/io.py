@@ -40,8 +40,6 @@ RAW_SCHEMA = T.StructType([
     T.StructField("Churn", T.StringType()),
 ])
 
-# One scoring record: the 19 inputs, all optional.
-
 
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = RAW_SCHEMA) -> DataFrame:
     """Header CSV with an explicit schema (inference only when no schema
