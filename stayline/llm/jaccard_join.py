@@ -17,7 +17,8 @@ linked when the Jaccard similarity of their sets is ``THRESHOLD`` at least.
    3 and the full depth included (``recall_of``, ``runs_for``).
 3. Leaves are brute-forced on the sampled tokens, a bucket larger than
    ``BLOCK`` in blocks and pairs of blocks, each a group of its own, and leave a
-   spanning forest of the pairs that may be similar.
+   spanning forest of the pairs that may be similar.  A cell of two blocks
+   adds only what joins their own components.
 4. The components of that forest are small groups of likely copies.  Their
    whole sets are compared exactly, again by pairs of blocks: every pair
    counts towards its two classes' numbers of links, and a spanning forest
@@ -164,25 +165,26 @@ def blocked(rows: DataFrame, group: str, size: str, item: str, block: int = BLOC
             .withColumn("side", (F.col("__b") == F.col("__p.hi")).cast("int")).drop("__g", "__b", "__p"))
 
 
-class _Forest:
-    """Union-find over the rows of one cell; a component's root is its first row."""
+def _labels(close: np.ndarray) -> np.ndarray:
+    """The first row of every row's component of a symmetric closeness matrix."""
+    n = len(close)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(close, label[None, :], n).min(1, initial=n))
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-    def star(self) -> list[tuple[int, int]]:
-        """(row, root) of every row that isn't a root itself.  The cells of a
-        group mostly agree on the root, so their edges are the same ones."""
-        return [(i, r) for i in range(len(self.up)) if (r := self.root(i)) != i]
+def _joints(close: np.ndarray, side: np.ndarray, alone: bool) -> list[tuple[int, int]]:
+    """Edges (row, first row of its component) that a cell adds: all of a lone
+    block's; of two blocks, whose own components their lone cells give, one for
+    each component that they join."""
+    joint = _labels(close)
+    own = np.arange(len(close)) if alone else _labels(close & (side[:, None] == side[None, :]))
+    roots = np.flatnonzero(own == np.arange(len(own)))
+    return [(i, j) for i, j in zip(roots.tolist(), joint[roots].tolist()) if i != j]
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
@@ -229,11 +231,8 @@ def likely(cells: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
             same = np.zeros((n, n), np.int16)
             for k in range(MINHASHES):
                 same += sig[:, k][:, None] == sig[:, k][None, :]
-            i, j = _links(same >= at_least * MINHASHES, c["side"], bool(c["alone"][0]))
-            tree, ids = _Forest(n), list(c["set_id"])
-            for a, b in zip(i.tolist(), j.tolist()):
-                tree.join(a, b)
-            edges = [(ids[a], ids[b]) for a, b in tree.star()]
+            ids = list(c["set_id"])
+            edges = [(ids[a], ids[b]) for a, b in _joints(same >= at_least * MINHASHES, c["side"], bool(c["alone"][0]))]
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
@@ -291,11 +290,8 @@ def exact(cells: DataFrame, threshold: float) -> DataFrame:
             close = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
             i, j = _links(close, c["side"], bool(c["alone"][0]))
             linked = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            tree = _Forest(len(ids))
             got = [(ids[k], None, int(n)) for k, n in enumerate(linked) if n]
-            for x, y in zip(i.tolist(), j.tolist()):
-                tree.join(x, y)
-            got += [(ids[x], ids[y], None) for x, y in tree.star()]
+            got += [(ids[x], ids[y], None) for x, y in _joints(close, c["side"], bool(c["alone"][0]))]
             if got:
                 out = pd.DataFrame(got, columns=["a", "b", "linked"])
                 out["linked"] = out["linked"].astype("Int64")
