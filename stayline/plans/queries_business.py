@@ -822,12 +822,17 @@ SCORED_SPLIT = (SPLIT_SQL.replace("SELECT clean.*,", "SELECT scored.*,", 1).repl
                 .replace("split AS (", "ssplit AS ("))
 
 
+def split_scores(spark, sf_dir):
+    """Scored customers with their split: the narrow table is written once, and
+    cut points, counts and AUC are read from it."""
+    return features.stratified_split(cut_lineage(scored_view(spark, sf_dir).select("customerID", "Churn", "churn_score", "churn_margin")))
+
+
 @query("evaluate_splits", with_views(
     "SELECT m.*, a.roc_auc, CAST(0.5 AS DOUBLE) AS threshold FROM (" + f1_sql(metrics_sql("scm")) + ") m JOIN sauc a ON m.split = a.split",
     extra=SCORED_SPLIT + f", scm AS (SELECT split, {CM(0.5)} FROM ssplit GROUP BY split)," + _split_auc_sql()))
 def q_evaluate_splits(spark, sf_dir):
-    sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
+    d = split_scores(spark, sf_dir).select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
     return E.evaluate_splits(d, 0.5, p="churn_score", rank="churn_margin")
 
 

@@ -9,7 +9,7 @@ from stayline import config as C
 from stayline.operators import evaluate as E
 from stayline.operators import features
 from stayline.plans.oracle import with_views
-from stayline.plans.queries_business import CM, PLAN_SQL, SCORED_SPLIT, _split_auc_sql, f1_sql, metrics_sql, plan_view
+from stayline.plans.queries_business import CM, PLAN_SQL, SCORED_SPLIT, _split_auc_sql, f1_sql, metrics_sql, plan_view, split_scores
 from stayline.plans.queries_core import SPLIT_SQL
 from stayline.plans.queries_model import SPLIT_CHECK, split_check
 from stayline.plans.registry import query
@@ -24,8 +24,7 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
 def _split_metrics(spark, sf_dir, tau):
-    sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
+    d = split_scores(spark, sf_dir).select("split", F.col("Churn").alias("label"), "churn_score", "churn_margin")
     return E.metrics_long(E.evaluate_splits(d, tau, p="churn_score", rank="churn_margin"), names=METRICS)
 
 

@@ -12,7 +12,7 @@ from stayline.operators import evaluate as E
 from stayline.operators import features, model as M, segments
 from stayline.plans.oracle import dbl, sstr, with_views
 from stayline.plans.queries_core import SPLIT_SQL, split_sql
-from stayline.plans.queries_business import CM, SCORED_SPLIT, f1_sql, metrics_sql
+from stayline.plans.queries_business import CM, SCORED_SPLIT, f1_sql, metrics_sql, split_scores
 from stayline.plans.registry import query
 from stayline.plans.score import features_view, processed_view, scored_view
 from stayline.session import cut_lineage, scratch_path
@@ -395,8 +395,7 @@ def q_stacking(spark, sf_dir):
                                   ("accuracy", "precision", "recall", "f1")) + ") t GROUP BY metric",
     extra=SCORED_SPLIT + ", sm AS (" + f1_sql(metrics_sql(f"(SELECT split, {CM(0.5)} FROM ssplit GROUP BY split) q")) + ")"))
 def q_overfit_gap(spark, sf_dir):
-    sp = features.stratified_split(scored_view(spark, sf_dir))
-    d = sp.select("split", F.col("Churn").alias("label"), "churn_score")
+    d = split_scores(spark, sf_dir).select("split", F.col("Churn").alias("label"), "churn_score")
     met = E.evaluate_splits(d, 0.5, p="churn_score")
     long = E.metrics_long(met, names=("accuracy", "precision", "recall", "f1"))
     return M.overfit_gap(long)

@@ -11,7 +11,10 @@ from tests.conftest import SF
 
 SAMPLE = ["preprocess", "engineer_features", "score_batch", "segment_ratios", "segment_intelligence",
           "action_plan", "roc_auc", "pr_curve", "classification_report", "what_if_delta", "global_importance",
-          "metrics_diff", "value_share", "box_stats", "stratified_split"]
+          "metrics_diff", "value_share", "box_stats", "stratified_split", "describe_numeric", "segment_summary", "segment_profile",
+          "corr_matrix", "corr_with_target", "kernel_density", "null_dtype_profile", "plan_sort", "plan_filters", "row_number_id",
+          "batch_status", "failed_rows", "attach_segments", "explain_customers", "prediction_record", "experiment_log", "kernel_shapley",
+          "train_churn", "early_stopping", "model_feature_importance", "tree_shap", "model_drivers", "logistic_baseline", "refine_search"]
 
 
 def _rows(pdf):
