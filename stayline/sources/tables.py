@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.functions.exprs import idiv
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -51,73 +50,37 @@ def customer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_view_from(orders: DataFrame, cust: DataFrame) -> DataFrame:
-    day = F.unix_date(F.to_date("o_orderdate"))
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    packed = day.cast("long") * F.lit(DAY_SHIFT) + F.col("o_orderkey")
-    status_code = (F.when(F.col("o_orderstatus") == "P", 0)
-                   .when(F.col("o_orderstatus") == "O", 1)
-                   .when(F.col("o_orderstatus") == "F", 2))
-    prio_code = F.substring("o_orderpriority", 1, 1).cast("int")
-    o = orders.select(
-        F.col("o_custkey"), packed.alias("packed"), cents.alias("cents"),
-        status_code.alias("status_code"), prio_code.alias("prio_code"))
-    per_cust = o.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        F.sum("cents").alias("sum_cents"),
-        F.max("packed").alias("latest_packed"),
-        F.max_by("cents", "packed").alias("latest_cents"),
-        F.max_by("status_code", "packed").alias("latest_status"),
-        F.max_by("prio_code", "packed").alias("latest_prio"),
-    )
+    """The view from both tables.  Expressions are SQL text, parsed in one call
+    each: the view is built for every query."""
+    o = orders.selectExpr(
+        "o_custkey", f"CAST(unix_date(to_date(o_orderdate)) AS BIGINT) * {DAY_SHIFT}L + o_orderkey AS packed",
+        "CAST(round(o_totalprice * 100) AS BIGINT) AS cents",
+        "CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS status_code",
+        "CAST(substring(o_orderpriority, 1, 1) AS INT) AS prio_code")
+    per_cust = o.groupBy("o_custkey").agg(*[F.expr(e) for e in (
+        "count(1) AS n_orders", "sum(cents) AS sum_cents", "max(packed) AS latest_packed", "max_by(cents, packed) AS latest_cents",
+        "max_by(status_code, packed) AS latest_status", "max_by(prio_code, packed) AS latest_prio")])
     # one pruned column, evaluated once, then a literal
-    last_day = (orders.where("o_custkey is not null")
-                .agg(F.max(F.unix_date(F.to_date("o_orderdate")))).scalar())
+    last_day = orders.where("o_custkey is not null").agg(F.expr("max(unix_date(to_date(o_orderdate)))")).scalar()
     c = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
-
-    key = F.col("c_custkey")
-    n = F.col("n_orders")
-    tenure = F.greatest(F.lit(0), (n - 3) * 4).cast("int")
-    internet = (F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "Fiber optic")
-                .when(F.col("c_mktsegment").isin("FURNITURE", "HOUSEHOLD"), "DSL")
-                .when(F.col("c_mktsegment") == "MACHINERY", "No"))
-
-    def service(i: int):
-        return (F.when(internet == "No", F.lit("No internet service"))
-                .when((key * 7 + i * 3) % 5 < 2, F.lit("Yes"))
-                .otherwise(F.lit("No")))
-
-    phone = F.when(key % 10 != 0, F.lit("Yes")).otherwise(F.lit("No"))
-    total_cents = idiv(F.col("sum_cents") * tenure, n * CENTS_PER_MONTH_UNIT)
-    total_str = F.when(tenure == 0, F.lit(" ")).otherwise(
-        F.concat(idiv(total_cents, 100).cast("string"), F.lit("."),
-                 F.lpad((total_cents % 100).cast("string"), 2, "0")))
-    latest_day = idiv(F.col("latest_packed"), DAY_SHIFT)
-    return c.select(
-        key.alias("customerID"),
-        F.when(F.col("c_nationkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
-        F.when(key % 6 == 0, 1).otherwise(0).alias("SeniorCitizen"),
-        F.when(key % 2 == 1, "Yes").otherwise("No").alias("Partner"),
-        F.when(key % 10 < 3, "Yes").otherwise("No").alias("Dependents"),
-        tenure.alias("tenure"),
-        phone.alias("PhoneService"),
-        F.when(phone == "No", "No phone service")
-         .when(key % 7 < 3, "Yes").otherwise("No").alias("MultipleLines"),
-        internet.alias("InternetService"),
-        service(1).alias("OnlineSecurity"),
-        service(2).alias("OnlineBackup"),
-        service(3).alias("DeviceProtection"),
-        service(4).alias("TechSupport"),
-        service(5).alias("StreamingTV"),
-        service(6).alias("StreamingMovies"),
-        F.when(F.col("latest_status") == 0, "Month-to-month")
-         .when(F.col("latest_status") == 1, "One year")
-         .when(F.col("latest_status") == 2, "Two year").alias("Contract"),
-        F.when(F.col("c_acctbal") >= 2000, "Yes").otherwise("No").alias("PaperlessBilling"),
-        F.when(F.col("latest_prio") == 1, "Electronic check")
-         .when(F.col("latest_prio") == 2, "Mailed check")
-         .when(F.col("latest_prio") == 3, "Bank transfer (automatic)")
-         .when(F.col("latest_prio").isin(4, 5), "Credit card (automatic)").alias("PaymentMethod"),
-        (idiv(F.col("latest_cents"), CENTS_PER_MONTH_UNIT) / 100.0).alias("MonthlyCharges"),
-        total_str.alias("TotalCharges"),
-        F.when(last_day - latest_day > CHURN_GAP_DAYS, "Yes").otherwise("No").alias("Churn"),
-    )
+    tenure = "CAST(greatest(0, (n_orders - 3) * 4) AS INT)"
+    internet = "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'Fiber optic' WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'DSL' WHEN c_mktsegment = 'MACHINERY' THEN 'No' END"
+    c = c.withColumns({"__tenure": F.expr(tenure), "__internet": F.expr(internet)})
+    total = f"(sum_cents * __tenure) DIV (n_orders * {CENTS_PER_MONTH_UNIT})"
+    service = lambda i, name: f"CASE WHEN __internet = 'No' THEN 'No internet service' WHEN (c_custkey * 7 + {i * 3}) % 5 < 2 THEN 'Yes' ELSE 'No' END AS {name}"
+    names = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies")
+    phone = "CASE WHEN c_custkey % 10 != 0 THEN 'Yes' ELSE 'No' END"
+    text = [
+        "c_custkey AS customerID", "CASE WHEN c_nationkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender",
+        "CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS SeniorCitizen", "CASE WHEN c_custkey % 2 = 1 THEN 'Yes' ELSE 'No' END AS Partner",
+        "CASE WHEN c_custkey % 10 < 3 THEN 'Yes' ELSE 'No' END AS Dependents", "__tenure AS tenure", f"{phone} AS PhoneService",
+        f"CASE WHEN {phone} = 'No' THEN 'No phone service' WHEN c_custkey % 7 < 3 THEN 'Yes' ELSE 'No' END AS MultipleLines", "__internet AS InternetService",
+        *[service(i, n) for i, n in enumerate(names, 1)],
+        "CASE latest_status WHEN 0 THEN 'Month-to-month' WHEN 1 THEN 'One year' WHEN 2 THEN 'Two year' END AS Contract",
+        "CASE WHEN c_acctbal >= 2000 THEN 'Yes' ELSE 'No' END AS PaperlessBilling",
+        "CASE WHEN latest_prio = 1 THEN 'Electronic check' WHEN latest_prio = 2 THEN 'Mailed check' WHEN latest_prio = 3 THEN 'Bank transfer (automatic)' "
+        "WHEN latest_prio IN (4, 5) THEN 'Credit card (automatic)' END AS PaymentMethod",
+        f"(latest_cents DIV {CENTS_PER_MONTH_UNIT}) / 100.0D AS MonthlyCharges",
+        f"CASE WHEN __tenure = 0 THEN ' ' ELSE concat(CAST({total} DIV 100 AS STRING), '.', lpad(CAST({total} % 100 AS STRING), 2, '0')) END AS TotalCharges"]
+    gone = F.when(last_day - F.expr(f"latest_packed DIV {DAY_SHIFT}L") > CHURN_GAP_DAYS, "Yes").otherwise("No")
+    return c.select(*[F.expr(e) for e in text], gone.alias("Churn"))
