@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stayline import config as C
 from stayline.operators.positions import group_positions
-from stayline.operators.selection import order_statistics, quantiles
+from stayline.operators.selection import order_statistics, summaries
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -48,16 +48,11 @@ def grouped_bars(df: DataFrame, feats: Sequence[str] = C.EDA_BAR_FEATURES, label
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max per column (long).
-    The quartiles of all columns come from one distributed selection."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    got, none = quantiles(df, cols, QUARTILES), [None] * 3
-    num = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"double('{x!r}')"
-    parts = ", ".join(f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, {', '.join(num(x) for x in got.get(((), c), none))}, `{c}__max`" for c in cols)
-    return df.agg(*aggs).selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, count, mean, std, min, q1, median, q3, max)")
+    """Count, mean, sample std, min, quartiles, max per column (long), all
+    from one pass over the columns' counted values."""
+    got = summaries(df, cols, QUARTILES)
+    rows = [(c, *got[c][:4], *got[c][5], got[c][4]) if c in got else (c, 0, *[None] * 7) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column_name string, count long, mean double, std double, min double, q1 double, median double, q3 double, max double")
 
 
 def churn_rate_by(df: DataFrame, by: str, label: str = "Churn") -> DataFrame:

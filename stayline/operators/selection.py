@@ -78,26 +78,54 @@ def _inner_bins(counted: DataFrame, groups: list[str], bins: DataFrame, up: int,
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), max_bins: int = MAX_BINS, direct: int = DIRECT) -> dict:
     """{(group values, column): [quantile per prob]} of the non-null values.
     Groups and columns without a value are left out."""
-    groups, spark = [f"g{i}" for i in range(len(by))], df.sparkSession
+    groups = [f"g{i}" for i in range(len(by))]
     counted = _counted(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)      # recomputed if an executor goes
-    few = (lambda d: d.orderBy("c", "rank").limit(max_bins + 1)) if by else (lambda d: d)
     try:
-        found = _first_bins(counted, groups, probs)
-        schema = T.StructType([f for f in found.schema if f.name != "n"])
-        rows, up = few(found).collect(), SHIFTS[0]
-        while up:
-            if len(rows) > max_bins:
-                raise ValueError(f"more than {max_bins} ranks are wanted; select fewer groups, columns or quantiles")
-            if not rows:
-                return {}
-            held = {(*[r[g] for g in groups], r.c, r.d): r.n for r in rows}
-            if not by and sum(held.values()) <= direct and len(held) <= 100:
-                return _from_values(counted, rows, up, probs)
-            shift = 0 if sum(held.values()) <= direct else SHIFTS[SHIFTS.index(up) + 1]
-            bins = spark.createDataFrame(pa.Table.from_pylist([{f.name: r[f.name] for f in schema} for r in rows]), schema)
-            rows, up = few(_inner_bins(counted, groups, bins, up, shift)).collect(), shift
+        return _selected(counted, groups, probs, max_bins, direct)
     finally:
         counted.unpersist()
+
+
+def summaries(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
+    """{column: (count, mean, sample deviation, minimum, maximum, quantiles)} of
+    the non-null values, from one pass over ``df``: the moments are taken of
+    the counted values, around the column's middle."""
+    counted = _counted(df, cols, ()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        got = _selected(counted, [], [*probs, 0.5], MAX_BINS, DIRECT)
+        aggs = [F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+        middle = F.lit(0.0)
+        for (_, c), q in got.items():
+            middle = F.when(F.col("c") == c, F.lit(q[-1])).otherwise(middle)
+        off = F.col("x") - middle
+        rows = counted.groupBy("c").agg(*aggs, F.sum(F.col("n") * off).alias("s"), F.sum(F.col("n") * off * off).alias("ss")).collect()
+    finally:
+        counted.unpersist()
+    out = {}
+    for r in rows:
+        q = got[(), r.c]
+        var = (r.ss - r.s * r.s / r.n) / (r.n - 1) if r.n > 1 else None
+        out[r.c] = (r.n, q[-1] + r.s / r.n, None if var is None else math.sqrt(max(var, 0.0)), r.lo, r.hi, q[:-1])
+    return out
+
+
+def _selected(counted: DataFrame, groups: list[str], probs: Sequence[float], max_bins: int, direct: int) -> dict:
+    spark = counted.sparkSession
+    few = (lambda d: d.orderBy("c", "rank").limit(max_bins + 1)) if groups else (lambda d: d)
+    found = _first_bins(counted, groups, probs)
+    schema = T.StructType([f for f in found.schema if f.name != "n"])
+    rows, up = few(found).collect(), SHIFTS[0]
+    while up:
+        if len(rows) > max_bins:
+            raise ValueError(f"more than {max_bins} ranks are wanted; select fewer groups, columns or quantiles")
+        if not rows:
+            return {}
+        held = {(*[r[g] for g in groups], r.c, r.d): r.n for r in rows}
+        if not groups and sum(held.values()) <= direct and len(held) <= 100:
+            return _from_values(counted, rows, up, probs)
+        shift = 0 if sum(held.values()) <= direct else SHIFTS[SHIFTS.index(up) + 1]
+        bins = spark.createDataFrame(pa.Table.from_pylist([{f.name: r[f.name] for f in schema} for r in rows]), schema)
+        rows, up = few(_inner_bins(counted, groups, bins, up, shift)).collect(), shift
     return _interpolated(rows, groups, probs)
 
 

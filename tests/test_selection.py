@@ -87,9 +87,21 @@ def test_no_percentile_in_the_plans(spark):
         assert "percentile" not in plan(entry.queries()[name](spark, SF)), name
 
 
+def test_summaries(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(1e6, 3, 2000)
+    df = spark.createDataFrame([(float(v), int(k)) for v, k in zip(x, rng.integers(0, 4, 2000))], "x double, k int").withColumn("none", F.lit(None).cast("double"))
+    got = selection.summaries(df, ["x", "k", "none"], [0.25, 0.9])
+    n, mean, std, lo, hi, q = got["x"]
+    assert (n, lo, hi) == (2000, x.min(), x.max()) and mean == pytest.approx(x.mean(), rel=1e-14) and std == pytest.approx(x.std(ddof=1), rel=1e-9)
+    assert q == pytest.approx(np.quantile(x, [0.25, 0.9]).tolist(), rel=1e-12) and "none" not in got and got["k"][0] == 2000
+    one = selection.summaries(df.limit(1), ["x"], [0.5])["x"]
+    assert one[0] == 1 and one[2] is None
+
+
 def test_empty_null_and_many_groups(spark):
     df = spark.createDataFrame([], "x double, g int")
-    assert selection.quantiles(df, ["x"], [0.5]) == {}
+    assert selection.quantiles(df, ["x"], [0.5]) == {} and selection.summaries(df, ["x"], [0.5]) == {}
     assert selection.order_statistics(df, ["x"], [0.5], ["g"]).count() == 0
     nulls = spark.createDataFrame([(None, 1)], "x double, g int")
     assert selection.order_statistics(nulls, ["x"], [0.5]).count() == 0
