@@ -1,13 +1,15 @@
 """Edit-aware token counts over pre-token segment trees.
 
 A document is cut into leaves of about ``LEAF`` characters, only where a
-word is followed by a blank or line feed: byte-level pre-tokens never
-cross such a place, so leaf counts add up to the count of the whole text.
+word is followed by a blank or line feed, or where a letter and a mark other
+than an apostrophe meet: byte-level pre-tokens never cross such a place, so leaf
+counts add up to the count of the whole text.
 A binary tree over the leaves keeps characters and tokens per subtree.  An
 edit (start, characters to delete, text to insert) re-encodes the leaves it
 touches and one more on either side, whose outer ends it can't move, cuts
 them anew and updates the sums above them; a leaf that is as before isn't
-encoded again.  Edits are applied one after another; positions
+encoded again.  If the number of leaves changes, the tree is built over the kept
+counts again, so leaves stay small however many edits meet.  Edits are applied one after another; positions
 are code points in the text as edited so far and are held inside it.
 
 The leaves can be kept (``leaf_chars``, ``leaf_tokens``) and handed back with
@@ -15,7 +17,8 @@ later edits, so that an unchanged document is never encoded again.
 
 Cases.  Null text is empty: one empty leaf, no tokens.  Null edits, or an
 empty list, change nothing; a null field of an edit is 0 or empty.  A text
-without a cut place is one leaf.  Text that looks like a special token is
+without a cut place is one leaf.  Columns ``edits``, ``leaf_chars`` and
+``leaf_tokens`` of other types, and all further ones, are ignored.  Text that looks like a special token is
 ordinary text.  Repeated rows are counted each.  An empty table gives an
 empty result.
 """
@@ -31,13 +34,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF = 256
 # Fixed value: the pre-token pattern of this byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDITS = "array<struct<start:long,n:long,insert:string>>"
-_CUT = re.compile(r"(?<=\w)(?=[ \n])")
+_CUT = re.compile(r"(?<=\w)(?=[ \n])|(?<=[^\W\d_])(?=[^\w\s'])|(?<=[^\w\s'])(?=[^\W\d_])")
 SCHEMA = ("doc_id long, n_chars long, n_tokens long, n_edits int, n_chars_edited long, n_tokens_edited long, "
           "n_leaves int, chars_encoded_again long, leaf_chars array<int>, leaf_tokens array<int>")
 
@@ -69,6 +73,9 @@ class TokenTree:
         else:
             self.text = leaves(text, leaf)
             own = [count(t) for t in self.text]
+        self._build(own)
+
+    def _build(self, own: list[int]) -> None:
         self.size = 1 << max(0, len(self.text) - 1).bit_length()
         self.tokens, self.chars = ([0] * (2 * self.size) for _ in range(2))
         self.tokens[self.size:self.size + len(own)] = own
@@ -107,12 +114,16 @@ class TokenTree:
         new = old[:at] + insert + old[at + n:]
         known = {self.text[k]: self.tokens[self.size + k] for k in range(a, b + 1)}
         parts = leaves(new, self.leaf)
-        room = b - a + 1
-        parts = [*parts[:room - 1], "".join(parts[room - 1:])]
-        for k, t in zip(range(a, b + 1), [*parts, *[""] * (room - len(parts))]):
+        for t in parts:
             if t not in known:
                 known[t] = self.count(t)
                 self.again += len(t)
+        if len(parts) != b - a + 1:
+            own = self.tokens[self.size:self.size + len(self.text)]
+            self.text[a:b + 1], own[a:b + 1] = parts, [known[t] for t in parts]
+            self._build(own)
+            return
+        for k, t in zip(range(a, b + 1), parts):
             self.text[k] = t
             self.tokens[self.size + k], self.chars[self.size + k] = known[t], len(t)
         ks = set(range((self.size + a) // 2, (self.size + b) // 2 + 1))
@@ -126,10 +137,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF
     """Token counts before and after the edits of every document.  ``docs``
     has ``doc_id``, ``text`` and may have ``edits`` (``EDITS``) and kept leaves;
     ``vocabulary`` is a path that every executor can read."""
-    kept = {"leaf_chars", "leaf_tokens"} <= set(docs.columns)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    numbers = lambda c: isinstance(kinds.get(c), T.ArrayType) and isinstance(kinds[c].elementType, T.IntegralType)
+    edit = kinds.get("edits")
+    edited = isinstance(edit, T.ArrayType) and isinstance(edit.elementType, T.StructType) and edit.elementType.names == ["start", "n", "insert"]
+    kept = numbers("leaf_chars") and numbers("leaf_tokens")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        (F.col("edits").cast(EDITS) if "edits" in docs.columns else F.lit(None).cast(EDITS)).alias("edits"),
+        (F.col("edits").cast(EDITS) if edited else F.lit(None).cast(EDITS)).alias("edits"),
         *[(F.col(c) if kept else F.lit(None)).cast("array<int>").alias(c) for c in ("leaf_chars", "leaf_tokens")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

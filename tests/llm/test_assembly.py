@@ -124,11 +124,11 @@ def edited(text, edits):
     return text
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(12))
 def test_tree_counts_equal_whole_text_counts(seed):
     """After every edit of a long series, the sums equal a fresh encoding."""
     rng = random.Random(seed)
-    pieces = ["word ", "Ünï ", "\n", "  ", "12,5 ", "don't ", "<|endoftext|>", "xyz", "日本語 ", "\t", ".", "é"]
+    pieces = ["word ", "Ünï ", "\n", "  ", "12,5 ", "don't ", "<|endoftext|>", "xyz", "日本語 ", "\t", ".", "é", "、漢字", "。", "'s", "a'll", "!'re", "_", "½", "²", "\u0301", "\x1c", "-", "😀", "'", "a", "…'", "\u00a0", "۳"]
     text = "".join(rng.choice(pieces) for _ in range(400))
     tree = token_counts.TokenTree(text, lambda t: count(t) if t else 0, leaf=20)
     for _ in range(25):
@@ -140,6 +140,40 @@ def test_tree_counts_equal_whole_text_counts(seed):
         assert (tree.tokens[1], tree.chars[1]) == (count(text), len(text))
 
 
+def test_many_edits_at_one_place_keep_leaves_small():
+    rng, leaf = random.Random(4), token_counts.LEAF
+    text = words(rng, 300)
+    tree = token_counts.TokenTree(text, lambda t: count(t) if t else 0)
+    inserted = 0
+    for _ in range(30):
+        new = words(rng, 60) + " "
+        at = text.index(" ", len(text) // 2)
+        tree.edit(at, 0, " " + new)
+        text = edited(text, [(at, 0, " " + new)])
+        inserted += len(new) + 1
+    assert "".join(tree.text) == text and tree.tokens[1] == count(text)
+    assert max(map(len, tree.text)) <= 2 * leaf
+    assert tree.again <= inserted + 30 * 6 * leaf
+    for _ in range(40):                                          # and deletions leave no tiny ones behind for good
+        tree.edit(len(text) // 3, 150, "")
+        text = edited(text, [(len(text) // 3, 150, "")])
+    assert "".join(tree.text) == text and tree.tokens[1] == count(text) and len(tree.text) <= 3 + 3 * len(text) // leaf
+
+
+def test_text_without_blanks_has_many_leaves():
+    text = "日本語の文章、区切りは句読点だけ。" * 300
+    tree = token_counts.TokenTree(text, lambda t: count(t) if t else 0)
+    assert tree.tokens[1] == count(text) and max(map(len, tree.text)) <= 2 * token_counts.LEAF
+    tree.edit(2000, 3, "新しい、")
+    assert tree.again <= 6 * token_counts.LEAF and tree.tokens[1] == count(edited(text, [(2000, 3, "新しい、")]))
+
+
+def test_token_counts_ignore_clashing_columns(spark, docs):
+    odd = docs.withColumns({"edits": F.lit(3), "leaf_chars": F.lit("x"), "leaf_tokens": F.array(F.lit("y")), "n_tokens": F.lit(1), "n_leaves": F.lit(True)})
+    got = {(r.doc_id, r.n_tokens, r.n_edits) for r in token_counts.count_tokens(odd).collect()}
+    assert got == {(i, count(t or ""), 0) for i, t, *_ in corpus()}
+
+
 def test_token_counts_cases(spark, docs, empty):
     plain = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs).collect()}
     assert plain == {(i, count(t or "")) for i, t, *_ in corpus()}
