@@ -7,7 +7,7 @@ ordered by id (null last), then text hash.  A stretch of lines is a later
 copy if an equal stretch starts earlier: in an earlier document, or earlier in
 the same.  Deleted are all lines of later copies of stretches of ``MIN_LINES``
 lines or more, and single lines of ``LONG_WORDS`` words or more that are later
-copies.  Stretches are judged on the input, so overlaps count.
+copies; shorter lone lines (headings, "yes", closing brackets) stay.  Stretches are judged on the input, so overlaps count.
 
 Suffix array.  A line's id is its rank among the distinct repeated lines.
 Prefix doubling then ranks suffixes by their first 2, 4, 8, ... lines: the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from stayline.llm.common import saved
 
 MIN_LINES = 2          # a power of two
-LONG_WORDS = 50
+LONG_WORDS = 5         # as a shingle of the other operators
 MAX_ROUNDS = 40
 
 

@@ -125,11 +125,11 @@ def brute_lines(rows, min_lines, long_words):
 @pytest.mark.parametrize("min_lines", [1, 2, 4])
 def test_lines_equal_brute_force(spark, min_lines):
     rng = random.Random(9)
-    pool = [f"line {k} " + "w " * rng.choice([0, 3, 60]) for k in range(14)] + ["", "  "]
+    pool = [f"line {k} " + "w " * rng.choice([0, 2, 3, 60]) for k in range(14)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))), None, None, None) for i in range(30)]
     rows += [(40, None, None, None, None), (41, "", None, None, None), (None, rows[0][1], None, None, None), rows[3]]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).withColumn("gone", F.lit("clash")), min_lines=min_lines).collect()
-    want = brute_lines(rows, min_lines, 50)
+    want = brute_lines(rows, min_lines, line_dedup.LONG_WORDS)
     texts = {i: t for i, t, *_ in rows}
     assert len(got) == len(rows)
     for r in got:
