@@ -254,9 +254,8 @@ def clean(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
 
 def oracle(window: int = WINDOW, least: int = LEAST, consistent: float = CONSISTENT) -> str:
     """The same in DuckDB's SQL; items of ``window`` words at least are told
-    from shorter ones by their own width, as above.  It checks the slots of one
-    alignment of a document and an item only, so it lacks the pairs whose best
-    alignment fails while another one passes, and it has no second search."""
+    from shorter ones by their own width, as above.  It has the first search
+    with the slots of every alignment, not the second search."""
     token = lambda c: (f"regexp_extract_all(regexp_replace(regexp_replace(coalesce({c}, ''), '{NAME}', '\\1@\\2', 'g'), "
                        f"'{AFTER}', '\\1~\\2', 'g'), '{TOKEN}')")
     canon = (r"list_transform(words, lambda w: CASE WHEN w[1] IN ('@', '~') THEN w[1] WHEN regexp_matches(w, '^\p{N}') THEN '#' ELSE lower(w) END)")
@@ -274,14 +273,14 @@ dw AS (SELECT doc_id, text, width, i AS doc_at, array_to_string(t[i + 1:i + widt
   FROM (SELECT *, unnest(range(greatest(len(t) - width + 1, 0))) AS i FROM dt, (SELECT DISTINCT width FROM bt))),
 h AS (SELECT doc_id, text, item_id, doc_at - item_at AS shift, count(*) AS windows, min(item_at) AS first, max(item_at) AS last
   FROM dw JOIN bw USING (width, run) GROUP BY ALL),
-g AS (SELECT * FROM h JOIN f USING (item_id) WHERE windows >= {least} OR windows * 2 >= item_windows
-  QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY windows DESC, shift) = 1),
+g AS (SELECT * FROM h JOIN f USING (item_id) WHERE windows >= {least} OR windows * 2 >= item_windows),
 s AS (SELECT g.*, unnest(range(first, last + width)) AS i FROM g),
 p AS (SELECT s.*, item_words[i + 1] AS item, words[i + shift + 1] AS doc FROM s JOIN dt ON dt.doc_id IS NOT DISTINCT FROM s.doc_id AND dt.text = s.text),
-c AS (SELECT doc_id, text, item_id, item, doc, count(*) AS n FROM p WHERE regexp_matches(item, '^[@~\\p{{N}}]') GROUP BY ALL),
-a AS (SELECT doc_id, text, item_id, sum(n) AS n, max(n) AS agree FROM c GROUP BY doc_id, text, item_id, item),
-z AS (SELECT doc_id, text, item_id, sum(n) AS n_slots, sum(agree) AS n_agree FROM a GROUP BY ALL)
-SELECT g.doc_id, g.item_id, CAST(first + shift AS INTEGER) AS doc_at, CAST(first AS INTEGER) AS item_at, windows, item_windows,
+c AS (SELECT doc_id, text, item_id, shift, item, doc, count(*) AS n FROM p WHERE regexp_matches(item, '^[@~\\p{{N}}]') GROUP BY ALL),
+a AS (SELECT doc_id, text, item_id, shift, sum(n) AS n, max(n) AS agree FROM c GROUP BY doc_id, text, item_id, shift, item),
+z AS (SELECT doc_id, text, item_id, shift, sum(n) AS n_slots, sum(agree) AS n_agree FROM a GROUP BY ALL)
+SELECT g.doc_id, g.item_id, CAST(first + g.shift AS INTEGER) AS doc_at, CAST(first AS INTEGER) AS item_at, windows, item_windows,
   CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, CAST(coalesce(n_agree, 0) AS BIGINT) AS n_agree
-FROM g LEFT JOIN z ON z.doc_id IS NOT DISTINCT FROM g.doc_id AND z.text = g.text AND z.item_id = g.item_id
-WHERE coalesce(n_agree, 0) >= {consistent} * coalesce(n_slots, 0)"""
+FROM g LEFT JOIN z ON z.doc_id IS NOT DISTINCT FROM g.doc_id AND z.text = g.text AND z.item_id = g.item_id AND z.shift = g.shift
+WHERE coalesce(n_agree, 0) >= {consistent} * coalesce(n_slots, 0)
+QUALIFY row_number() OVER (PARTITION BY g.doc_id, g.text, g.item_id ORDER BY windows DESC, g.shift) = 1"""
