@@ -38,6 +38,7 @@ from stayline.llm.common import saved
 MIN_LINES = 2          # a power of two
 LONG_WORDS = 5         # as a shingle of the other operators
 MAX_ROUNDS = 40
+SALTS = 8
 
 
 def _ranked(keys: DataFrame, order: list, name: str) -> DataFrame:
@@ -69,10 +70,13 @@ def suffix_ranks(lines: DataFrame) -> list[tuple[int, DataFrame]]:
 
 
 def _later(suffixes: DataFrame) -> DataFrame:
-    """The members of every interval but the first in document order."""
+    """The members of every interval but the first in document order.  The
+    first ones are joined back in ``SALTS`` parts, so a hot interval's members
+    are spread."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "pos")
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
-    return suffixes.join(first, "rank").where(place != F.col("first")).drop("first")
+    first = suffixes.groupBy("rank").agg(F.min(place).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = suffixes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "pos"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["rank", "salt"]).where(place != F.col("first")).drop("first", "salt")
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
