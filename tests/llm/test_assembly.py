@@ -215,5 +215,5 @@ def test_pipeline_names_and_run(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
     assert set(queries.oracles()) <= set(queries.queries())
