@@ -255,7 +255,7 @@ def q_logistic_baseline(spark, sf_dir):
     80/20 split.  At its optimum the probabilities of every level's training
     rows add up to the level's churners (the score equations): checked per level."""
     _, scored = M.logistic_baseline(_model_input(spark, sf_dir))
-    rows = scored.where("split = 'train'").join(processed_view(spark, sf_dir).select("customerID", *RAW_CATEGORICAL), "customerID")
+    rows = cut_lineage(scored.where("split = 'train'")).join(processed_view(spark, sf_dir).select("customerID", *RAW_CATEGORICAL), "customerID")
     level = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("level")) for c in RAW_CATEGORICAL]))
     got = rows.select(level, "label", "churn_prob").groupBy("feature", "level").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("label").cast("long").alias("churners"), F.sum("churn_prob").alias("expected"))
