@@ -304,8 +304,9 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: Sequence[str
     crossed with every background row (``max_background`` at most, checked) in
     ``n_perm`` seeded feature orders of its own; along an order the
     features switch from the background row's values to the row's, one by one.
-    All these hybrids are predicted in one pass, and the change of the value
-    at a switch is credited to the feature."""
+    The hybrids after and before a switch are predicted side by side in one pass,
+    and the change of the value is credited to the feature: means by row and
+    feature are added up in the tasks, so the exchange doesn't hold the hybrids."""
     features, spark = list(features), df.sparkSession
     size = background.limit(max_background + 1).count()
     if size > max_background:
@@ -320,14 +321,16 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: Sequence[str
     plan = spark.createDataFrame(orders, "__b int, __p int, __place array<int>, __order array<string>")
     bg = background.select(*[F.col(f).alias(f"__bg_{f}") for f in features])
     bg = bg.withColumn("__b", F.row_number().over(Window.orderBy(*bg.columns)) - 1).join(plan, "__b")     # max_background rows
-    steps = F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("__step")
-    rows = (df.select(key, *features).crossJoin(F.broadcast(bg)).select("*", steps))
-    rows = rows.withColumns({f: F.when(F.col("__place")[i] <= F.col("__step"), F.col(f)).otherwise(F.col(f"__bg_{f}"))
-                             for i, f in enumerate(features)}).drop(*[f"__bg_{f}" for f in features])
-    got = predict(rows).groupBy(key, "__b", "__p").agg(
-        F.sort_array(F.collect_list(F.struct("__step", "value"))).alias("v"), F.first("__order").alias("__order"))
-    diff = F.transform("__order", lambda f, i: F.struct(f.alias("feature"), (F.get(F.col("v"), i + 1)["value"] - F.get(F.col("v"), i)["value"]).alias("d")))
-    return got.select(key, F.inline(diff)).groupBy(key, "feature").agg(F.avg("d").alias("contribution"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(len(features)))).alias("__step")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))      # much work per row
+    rows = df.select(key, *features).repartition(tasks).crossJoin(F.broadcast(bg)).select("*", steps, *[F.col(f).alias(f"__own_{f}") for f in features])
+
+    def hybrids(at: DataFrame, step: F.Column) -> DataFrame:
+        return at.withColumns({f: F.when(F.col("__place")[i] <= step, F.col(f"__own_{f}")).otherwise(F.col(f"__bg_{f}")) for i, f in enumerate(features)})
+
+    after = predict(hybrids(rows, F.col("__step"))).withColumnRenamed("value", "__after")
+    both = predict(hybrids(after, F.col("__step") - 1))
+    return both.groupBy(key, F.get("__order", F.col("__step") - 1).alias("feature")).agg(F.avg(F.col("__after") - F.col("value")).alias("contribution"))
 
 
 def kernel_coalitions(m: int, samples: int, seed: int = C.SEED) -> tuple[np.ndarray, np.ndarray]:
