@@ -7,8 +7,8 @@
 * Batch aggregates (X5/X6) are one ``groupBy(feature)`` over the long form
   with exact micro-unit sums.
 * TreeSHAP (X1) for boosted trees: the leaf paths of the fitted trees are listed
-  once, and every path is evaluated for a whole Arrow batch in
-  ``mapInPandas``.  Contributions are on the log-odds scale, so base + sum(phi)
+  once, neighbouring leaves of at most eight tests are tabulated by the pattern of
+  passed tests, and a whole Arrow batch is looked up at once.  Contributions are on the log-odds scale, so base + sum(phi)
   = logit(p); the slots of an encoded column can be added up to the column.
 * Kernel Shapley values (X10) of any model: coalitions with Shapley kernel
   weights, one prediction pass over all hybrids of a row, a bounded background
@@ -192,18 +192,31 @@ def leaf_paths(t: dict) -> list[tuple]:
 
 
 def tree_shap_batch(x: np.ndarray, t: dict, paths: list[tuple]) -> np.ndarray:
-    """Path-dependent Shapley values of one tree for all rows of ``x``.
+    """Path-dependent Shapley values of one tree for all rows of ``x``."""
+    phi = np.zeros_like(x)
+    for f, v in path_values(node_tests(x.T, t, np.flatnonzero(t["left"] >= 0)), paths, len(x)).items():
+        phi[:, f] = v
+    return phi
+
+
+def node_tests(columns: np.ndarray, t: dict, nodes: Sequence[int]) -> dict:
+    """Whether the rows pass the tests of the nodes, by node."""
+    out = {}
+    for n in map(int, nodes):
+        v = columns[t["feat"][n]]
+        out[n] = np.isin(v, list(t["cats"][n])) if t["cats"][n] is not None else v <= t["thr"][n]
+    return out
+
+
+def path_values(passes: dict, paths: list[tuple], rows: int) -> dict:
+    """Shapley values by feature of the leaves ``paths``.
 
     For a leaf of value v with features 1..m on its path, a row that passes
     the tests of feature j has o_j = 1, else 0; z_j is the share of training
     rows that pass.  The leaf gives feature i the value v (o_i - z_i) times the
     sum over subsets S of the other features of |S|! (m-1-|S|)! / m! * prod_S o
     * prod_rest z, whose sums by size are the coefficients of prod (z_j + o_j u)."""
-    phi = np.zeros_like(x)
-    passes = {}
-    for n in np.flatnonzero(t["left"] >= 0):
-        v = x[:, t["feat"][n]]
-        passes[int(n)] = np.isin(v, list(t["cats"][n])) if t["cats"][n] is not None else v <= t["thr"][n]
+    phi = {}
     for value, path in paths:
         m = len(path)
         if not m or not value:
@@ -213,14 +226,52 @@ def tree_shap_batch(x: np.ndarray, t: dict, paths: list[tuple]) -> np.ndarray:
         o = [np.logical_and.reduce([passes[n] if left else ~passes[n] for n, left in path[f][1]]).astype(float) for f in feats]
         weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
         for i, f in enumerate(feats):
-            poly = [np.ones(len(x))]
+            poly = [np.ones(rows)]
             for j in range(m):
                 if j != i:
                     poly = [(poly[k] * z[j] if k < len(poly) else 0.0) + (poly[k - 1] * o[j] if k else 0.0) for k in range(len(poly) + 1)]
-            phi[:, f] += value * (o[i] - z[i]) * sum(w * c for w, c in zip(weight, poly))
+            phi[f] = phi.get(f, 0.0) + value * (o[i] - z[i]) * sum(w * c for w, c in zip(weight, poly))
     return phi
 
 
+MOST_TESTS = 8
+PATTERNS = (np.arange(1 << MOST_TESTS)[:, None] >> np.arange(MOST_TESTS) & 1).astype(bool)
+
+
+def pieces(paths: list[tuple]) -> list[tuple[list[int], list[tuple]]]:
+    """Neighbouring leaves whose tests are at most ``MOST_TESTS``, with the tests'
+    nodes; a longer path is a piece of its own."""
+    out = []
+    for leaf in paths:
+        nodes = {n for _, tests in leaf[1].values() for n, _ in tests}
+        if out and len(out[-1][0] | nodes) <= MOST_TESTS:
+            out[-1] = (out[-1][0] | nodes, [*out[-1][1], leaf])
+        else:
+            out.append((nodes, [leaf]))
+    return [(sorted(nodes), leaves) for nodes, leaves in out]
+
+
+def piece_tables(t: dict, w: float) -> list[tuple]:
+    """A tree's pieces as (nodes, {feature: value of every pattern of passed tests},
+    None), or with the paths instead of a table if the tests are too many."""
+    out = []
+    for nodes, leaves in pieces(leaf_paths(t)):
+        if len(nodes) > MOST_TESTS:
+            out.append((nodes, None, leaves))
+        else:
+            seen = {n: PATTERNS[:1 << len(nodes), k] for k, n in enumerate(nodes)}
+            out.append((nodes, {f: w * v for f, v in path_values(seen, leaves, 1 << len(nodes)).items()}, None))
+    return out
+
+
+def pattern(passes: dict, nodes: Sequence[int], rows: int) -> np.ndarray:
+    """The rows' patterns of passed tests as one number."""
+    out = np.zeros(rows, np.uint8)
+    for k, n in enumerate(nodes):
+        out |= passes[n].view(np.uint8) << np.uint8(k)
+    return out.astype(np.intp)
+
+
 def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: str = "customerID",
               vec: str = "features", model_prior: float = 0.0) -> DataFrame:
     """X1 + X8: per row base value, margin (log-odds) and contribution array.
@@ -230,20 +281,33 @@ def tree_shap(df: DataFrame, trees: list, weights: list, n_features: int, key: s
     base = model_prior + 2.0 * sum(w * _expected_value(t) for t, w in zip(trees, weights))
     inp = df.select(F.col(key), vector_to_array(vec).alias("__x"))
 
-    paths = [leaf_paths(t) for t in trees]
+    tables = [(t, w, piece_tables(t, 2.0 * w)) for t, w in zip(trees, weights)]
+    kind, sc = df.schema[key].dataType.simpleString(), df.sparkSession.sparkContext
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["__x"].tolist(), dtype=float)
-            phi = sum(2.0 * w * tree_shap_batch(x, t, p) for t, w, p in zip(trees, weights, paths))
-            yield pd.DataFrame({key: pdf[key], "base_value": base, "margin": base + phi.sum(1), "contributions": phi.tolist()})
+    def contributions(columns: np.ndarray) -> np.ndarray:
+        rows, phi = columns.shape[1], np.zeros_like(columns)
+        for t, w, parts in tables:
+            passes = node_tests(columns, t, np.flatnonzero(t["left"] >= 0))
+            for nodes, table, leaves in parts:
+                if table is None:
+                    table, at = {f: 2.0 * w * v for f, v in path_values(passes, leaves, rows).items()}, slice(None)
+                else:
+                    at = pattern(passes, nodes, rows)
+                for f, v in table.items():
+                    phi[f] += v[at]
+        return phi
 
-    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("base_value", T.DoubleType()),
-                           T.StructField("margin", T.DoubleType()),
-                           T.StructField("contributions", T.ArrayType(T.DoubleType()))])
-    return inp.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                own = batch.slice(lo, 4096)
+                x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+                phi = np.ascontiguousarray(contributions(np.ascontiguousarray(x.T)).T)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(phi.ravel()))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(x), base)), pa.array(base + phi.sum(1)), lists], names=[key, "base_value", "margin", "contributions"])
+
+    tasks = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))      # much work per row
+    return inp.repartition(tasks).mapInArrow(run, f"`{key}` {kind}, base_value double, margin double, contributions array<double>")
 
 
 def fold_slots(shap: DataFrame, names: Sequence[str], source: Callable[[str], str]) -> tuple[DataFrame, list[str]]:
@@ -378,8 +442,42 @@ def kernel_solution(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, c
 
 
+def coalition_tables(trees: list, weights: list, bg: np.ndarray, mask: np.ndarray, a: np.ndarray) -> list[tuple] | None:
+    """Per piece of a tree (nodes of its tests, table): ``a`` times the mean value
+    over the background of every coalition (``mask``: its slots), for every pattern
+    of the row's passed tests.  None if a path has too many tests."""
+    out = []
+    for t, w in zip(trees, weights):
+        own = node_tests(bg.T, t, np.flatnonzero(t["left"] >= 0))
+        tables = []
+        for nodes, leaves in pieces(leaf_paths(t)):
+            if len(nodes) > MOST_TESTS:
+                return None
+            n, bits = 1 << len(nodes), {x: k for k, x in enumerate(nodes)}
+            seen, value = PATTERNS[:n], np.zeros(n)
+            for v, path in leaves:
+                value += 2.0 * w * v * np.logical_and.reduce([seen[:, bits[x]] == left for _, tests in path.values() for x, left in tests] or [np.ones(n, bool)])
+            back, every = pattern(own, nodes, len(bg)), np.arange(n)
+            switched = (mask[:, t["feat"][nodes]] @ (1 << np.arange(len(nodes)))).astype(np.intp)        # a coalition's tests
+            kinds, of = np.unique(switched, return_inverse=True)
+            means = np.stack([value[(every & k)[:, None] | (back & ~k)[None]].mean(1) for k in kinds], 1)
+            tables.append((nodes, np.ascontiguousarray(means[:, of] @ a.T)))
+        out.append((t, tables))
+    return out
+
+
+def _looked_up(x: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    columns, out = np.ascontiguousarray(x.T), 0.0
+    for t, parts in tables:
+        passes = node_tests(columns, t, np.flatnonzero(t["left"] >= 0))
+        for nodes, table in parts:
+            out = out + table[pattern(passes, nodes, len(x))]
+    return out
+
+
 def kernel_shapley(df: DataFrame, background: DataFrame, features: dict, predict: Callable[[np.ndarray], np.ndarray], samples: int = 256,
-                   seed: int = C.SEED, key: str = "customerID", vec: str = "x", max_background: int = 500) -> DataFrame:
+                   seed: int = C.SEED, key: str = "customerID", vec: str = "x", max_background: int = 500,
+                   trees: tuple[list, list] | None = None, prior: float = 0.0) -> DataFrame:
     """Shapley values of any model by kernel-weighted least squares, as
     (key, base_value, margin, contributions).
 
@@ -388,7 +486,12 @@ def kernel_shapley(df: DataFrame, background: DataFrame, features: dict, predict
     and returns one value a row; it is sent to the tasks.  For each row
     all hybrids of the coalitions with the ``background`` rows (``max_background``
     at most, checked) are predicted in one pass; a coalition's value is their
-    mean.  Exact if ``samples`` holds all ``2**features - 2`` coalitions."""
+    mean.  Exact if ``samples`` holds all ``2**features - 2`` coalitions.
+
+    Where the value is a weighted sum of ``trees`` (with ``prior``) these means are
+    tabulated: what a piece of a tree is worth to a coalition depends on the
+    row by its pattern of passed tests only (``coalition_tables``), so a row
+    costs a look-up a piece and not a prediction a hybrid."""
     bg = background.select(vec).limit(max_background + 1).toArrow().column(0).combine_chunks()
     if len(bg) > max_background:
         raise ValueError(f"the background has more than {max_background} rows")
@@ -400,16 +503,21 @@ def kernel_shapley(df: DataFrame, background: DataFrame, features: dict, predict
     a, c = kernel_solution(z, w)
     mask = np.hstack([z, np.zeros((len(z), 1))])[:, owners].astype(bool)          # slots of no feature stay the background's
 
+    tables = coalition_tables(*trees, bg, mask, a) if trees and len(bg) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = predict(bg).mean() if len(bg) else 0.0
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            values = np.empty((len(x), len(z)))
-            for i, row in enumerate(x):                                           # one row's hybrids at a time
+            if tables is not None:
+                solved = np.concatenate([np.zeros((0, len(names))), *[_looked_up(x[lo:lo + 4096], tables) for lo in range(0, len(x), 4096)]])
+                solved += prior * a.sum(1)
+            values = np.empty((0 if tables is not None else len(x), len(z)))
+            for i, row in enumerate(x[:len(values)]):                                           # one row's hybrids at a time
                 hybrids = np.where(mask[:, None, :], row, bg[None])
                 values[i] = predict(hybrids.reshape(-1, x.shape[1])).reshape(len(z), len(bg)).mean(1)
             margin = predict(x) if len(x) else np.zeros(0)
-            phi = (values - base) @ a.T + (margin - base)[:, None] * c
+            phi = (solved - base * a.sum(1) if tables is not None else (values - base) @ a.T) + (margin - base)[:, None] * c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), base)), pa.array(margin), pa.array(phi.tolist(), pa.list_(pa.float64()))],
                                              names=[key, "base_value", "margin", "contributions"])
 

@@ -202,7 +202,7 @@ def q_model_kernel_shapley(spark, sf_dir):
     groups = {}
     for i, n in enumerate(model.names):
         groups.setdefault(_source(n), []).append(i)
-    got = cut_lineage(X.kernel_shapley(rows, bg, groups, model.margins, samples=KERNEL_SAMPLES))
+    got = cut_lineage(X.kernel_shapley(rows, bg, groups, model.margins, samples=KERNEL_SAMPLES, trees=model.node_tables(), prior=model.prior))
     base = float(model.margins(np.array(bg.select("x").toArrow().column(0).to_pylist())).mean())
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
     return got.agg(F.count(F.lit(1)).alias("customers"), F.sum(F.size(F.filter("contributions", lambda x: x.isNull() | F.isnan(x)))).cast("long").alias("nulls"),
