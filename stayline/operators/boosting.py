@@ -7,6 +7,9 @@
 * **Histograms.**  One job per tree level: each task adds up, for all models of
   a batch, gradients, curvatures and rows per node and bin, and the driver
   chooses the splits from the sums, whose size doesn't depend on the rows.
+  The rows stay in executors' memory (or on their disks) with the margins of the
+  round, eight features of two bins share a byte's histogram, and of two
+  children only the smaller is added up.
   With more than ``FAN`` tasks the sums are added in a tree of jobs' tasks
   first.  Gradients are rounded to multiples of 2**-20, so sums are exact and
   the same in any order.  A table of one block needs no sums between tasks:
@@ -32,9 +35,11 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -138,13 +143,17 @@ def to_bins(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], 1).astype(np.uint8) if len(cuts) else np.zeros((len(x), 0), np.uint8)
 
 
-def leaf_of(bins: np.ndarray, tree: dict) -> np.ndarray:
-    """The node where every row ends."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+def leaf_of(bins: np.ndarray, tree: dict, rows: np.ndarray | None = None, levels: int | None = None) -> np.ndarray:
+    """The node where every row (or those in ``rows``) ends, or is after some levels."""
     feat, cut = tree["feat"], tree["bin"]
-    for _ in range(len(feat).bit_length() - 1):
-        f = feat[node]
-        node = np.where(f >= 0, 2 * node + 2 - (bins[rows, np.maximum(f, 0)] <= cut[node]), node)
+    levels = len(feat).bit_length() - 1 if levels is None else levels
+    first, flat = (np.arange(len(bins)) if rows is None else rows) * bins.shape[1], bins.ravel()
+    node, ends, on = np.zeros(len(first), np.int64), feat < 0, np.maximum(feat, 0)
+    late, below = np.arange(len(feat)) * 2 + 2, np.where(ends, -1, cut)          # a leaf's rows stay
+    stay = np.flatnonzero(ends)
+    late[stay] = stay
+    for _ in range(levels):
+        node = late[node] - (flat[first + on[node]] <= below[node])
     return node
 
 
@@ -208,6 +217,14 @@ class _Rows:
         self.y, self.w = get("y", np.float64), get("w", np.float64)
         self.bins = get("bins", np.uint8).reshape(len(self.key), features)
         self.margins = get("margins", np.float64).reshape(len(self.key), -1) if "margins" in batch.schema.names else None
+        self.codes = None
+
+    def packed(self, offsets: np.ndarray) -> tuple[list, list]:
+        """The histogram columns and the rows' codes in them."""
+        columns = packed_columns(offsets)
+        if self.codes is None:
+            self.codes = [sum(self.bins[:, f] << np.uint8(i) for i, f in enumerate(c)) for c in columns]
+        return columns, self.codes
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -234,26 +251,70 @@ def features_of(spec: Spec, turn: int, n: int) -> np.ndarray:
 
 # -- growing -----------------------------------------------------------------------
 
+def packed_columns(offsets: np.ndarray) -> list[list[int]]:
+    """Features by histogram column: those of two bins eight to a byte."""
+    few = np.diff(offsets) <= 2
+    two = np.flatnonzero(few).tolist()
+    return [[f] for f in np.flatnonzero(~few).tolist()] + [two[i:i + 8] for i in range(0, len(two), 8)]
+
+
+def targets(tree: dict, level: int) -> list[int]:
+    """The level's nodes that are added up: of two children the one with fewer
+    rows.  Sums are exact, so the other's are the parent's less these."""
+    if not level:
+        return [0]
+    rows = tree["rows"]
+    return [2 * n + (1 if rows[2 * n + 1] <= rows[2 * n + 2] else 2) for n in range((1 << level - 1) - 1, (1 << level) - 1) if tree["feat"][n] >= 0]
+
+
 def node_sums(r: _Rows, m: np.ndarray, spec: Spec, tree: dict | None, level: int, turn: int, offsets: np.ndarray) -> np.ndarray:
-    """Gradients, curvatures and rows per node and bin of the level's nodes,
+    """Gradients, curvatures and rows per target node and bin of the level,
     then (level 0) the validation rows' loss and weight; ``m`` are the margins."""
-    total, features = int(offsets[-1]), len(offsets) - 1
-    size = (1 << level) * total
-    own = np.zeros(3 * size + 2)
+    wanted = targets(tree, level) if tree else []
+    own = np.zeros((3, len(wanted), int(offsets[-1])))
+    loss = np.zeros(2)
     if not level and spec.valid:
         v = np.isin(r.part, spec.valid)
-        own[-2] = np.round(r.w[v] * np.logaddexp(0, np.where(r.y[v] > 0, -m[v], m[v])) * EXACT).sum()
-        own[-1] = np.round(r.w[v] * EXACT).sum()
+        loss[:] = np.round(r.w[v] * np.logaddexp(0, np.where(r.y[v] > 0, -m[v], m[v])) * EXACT).sum(), np.round(r.w[v] * EXACT).sum()
     if tree is None:
-        return own
-    node = leaf_of(r.bins, tree) - ((1 << level) - 1)
-    on = np.flatnonzero(drawn(r, spec, turn) & (node >= 0))
-    p = 1 / (1 + np.exp(-m[on]))
-    g, h = np.round(r.w[on] * (r.y[on] - p) * EXACT), np.round(r.w[on] * p * (1 - p) * EXACT)
-    at = (node[on, None] * total + (r.bins[on] + offsets[:-1])).ravel()
-    for k, weight in enumerate((np.repeat(g, features), np.repeat(h, features), None)):
-        own[k * size:(k + 1) * size] = np.bincount(at, weight, size)
-    return own
+        return loss
+    on, base = np.flatnonzero(drawn(r, spec, turn)), None
+    if level:
+        at = np.full(len(tree["feat"]), -1)
+        at[wanted] = np.arange(len(wanted))
+        place = at[leaf_of(r.bins, tree, on, level)]
+        mine = place >= 0
+        on, base = on[mine], place[mine] * 256
+    p, w = 1 / (1 + np.exp(-m[on])), r.w[on]
+    weights = np.round(w * (r.y[on] - p) * EXACT), np.round(w * p * (1 - p) * EXACT), None
+    for features, codes in zip(*r.packed(offsets)):
+        code = codes[on] if base is None else codes[on] + base
+        for k, weight in enumerate(weights):
+            cells = np.bincount(code, weight, len(wanted) * 256).reshape(len(wanted), 256)
+            every = cells.sum(1)
+            for i, f in enumerate(features):
+                lo, hi = offsets[f], offsets[f + 1]
+                if hi - lo > 2:
+                    own[k, :, lo:hi] = cells[:, :hi - lo]
+                else:
+                    ones = cells @ _BITS[i] if hi - lo == 2 else 0
+                    own[k, :, lo], own[k, :, lo + 1:hi] = every - ones, np.reshape(ones, (-1, 1))
+    return np.append(own.ravel(), loss)
+
+
+_BITS = [((np.arange(256) >> i) & 1).astype(float) for i in range(8)]
+
+
+def all_sums(above: np.ndarray | None, tree: dict, level: int, got: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(3, nodes, bins) of the whole level from the sums of its target nodes and
+    those of the level above."""
+    wanted, nodes, first, total = targets(tree, level), 1 << level, (1 << level) - 1, int(offsets[-1])
+    out = np.zeros((3, nodes, total))
+    for i, n in enumerate(wanted):
+        out[:, n - first] = own = got[:3 * len(wanted) * total].reshape(3, -1, total)[:, i]
+        if level:
+            out[:, (n + 1 if n % 2 else n - 1) - first] = above[:, (n - 1) // 2 - (nodes // 2 - 1)] - own
+    return out
 
 
 def _margins(r: _Rows, col: int, prior: float, since: list) -> np.ndarray:
@@ -263,45 +324,60 @@ def _margins(r: _Rows, col: int, prior: float, since: list) -> np.ndarray:
     return m
 
 
-def _level_sums(blocks: DataFrame, jobs: list[tuple], offsets: np.ndarray, turn: int) -> dict:
-    """``node_sums`` over all rows for every job: (model, spec, prior, trees
-    since the stage, tree being grown or None, level)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = _Rows(batch, i, len(offsets) - 1)
-                for model, spec, prior, since, tree, level in jobs:
-                    own = node_sums(r, _margins(r, model, prior, since), spec, tree, level, turn, offsets)
-                    sums[model] = sums[model] + own if model in sums else own
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["model", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(blocks: DataFrame, specs: list[Spec], models: list[Boosted], since: list[list], features: int) -> RDD:
+    """The blocks as ``_Rows`` with the margins of all models, kept in memory (or
+    on disk) while rounds read them, in a partition a core where there are more."""
+    priors, spark = [m.prior for m in models], blocks.sparkSession
+    hashed = any(s.rows < 1 for s in specs)
+
+    def rows(part: Iterator) -> Iterator[_Rows]:
+        for row in part:
+            r = _Rows(pa.RecordBatch.from_pylist([row.asDict()]), 0, features)
+            r.margins = np.stack([_margins(r, k, p, t) for k, (p, t) in enumerate(zip(priors, since))], 1)
+            r.key, r.hash, r.codes = None, r.hash if hashed else None, None
+            yield r
+
+    got, tasks = blocks.rdd, spark.sparkContext.defaultParallelism
+    if got.getNumPartitions() > 2 * tasks:
+        got = got.coalesce(tasks)
+    return got.mapPartitions(rows).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _moved(held: RDD, trees: dict) -> RDD:
+    """The held rows after a round: the margins with its trees."""
+    def run(part: Iterator[_Rows]) -> Iterator[_Rows]:
+        for r in part:
+            r.margins = r.margins.copy()
+            for model, t in trees.items():
+                r.margins[:, model] += t["value"][leaf_of(r.bins, t)]
+            yield r
+
+    return held.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _level_sums(held: RDD, jobs: list[tuple], offsets: np.ndarray, turn: int) -> dict:
+    """``node_sums`` over all rows for every job: (model, spec, tree being grown
+    or None, level)."""
+    def run(part: Iterator[_Rows]) -> Iterator[dict]:
         sums = {}
-        for batch in batches:
-            for model, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(b)
-                sums[model] = sums[model] + v if model in sums else v
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["model", "sums"])
-
-    got, tasks = blocks.mapInArrow(run, "model int, sums binary"), len(blocks.inputFiles())
-    while tasks > FAN:
-        tasks = math.ceil(tasks / FAN)
-        got = got.repartition(tasks).mapInArrow(add, "model int, sums binary")
-    out = {}
-    for row in got.collect():
-        v = np.frombuffer(row.sums)
-        out[row.model] = out[row.model] + v if row.model in out else v
-    return out
+        for r in part:
+            for model, spec, tree, level in jobs:
+                own = node_sums(r, r.margins[:, model], spec, tree, level, turn, offsets)
+                sums[model] = sums[model] + own if model in sums else own
+        yield sums
+
+    def add(a: dict, b: dict) -> dict:
+        return {k: a[k] + b[k] if k in a and k in b else a.get(k, b.get(k)) for k in {**a, **b}}
+
+    got = held.mapPartitions(run)
+    return got.treeReduce(add) if got.getNumPartitions() > FAN else reduce(add, got.collect(), {})
 
 
 def choose_splits(tree: dict, sums: np.ndarray, level: int, spec: Spec, offsets: np.ndarray, allowed: np.ndarray) -> int:
     """Split the level's nodes where it gains; leaf values of the others and of
     all new nodes.  Returns the number of splits."""
     nodes, total = 1 << level, int(offsets[-1])
-    g, h, n = sums[:3 * nodes * total].reshape(3, nodes, total) / np.array([EXACT, EXACT, 1.0])[:, None, None]
+    g, h, n = sums.reshape(3, nodes, total) / np.array([EXACT, EXACT, 1.0])[:, None, None]
     start = np.repeat(offsets[:-1], np.diff(offsets))
     left = []
     for x in (g, h, n):
@@ -338,12 +414,13 @@ def stopped(curve: list, patience: int | None) -> bool:
 
 def grow_tree(spec: Spec, turn: int, offsets: np.ndarray, sums_of: Callable[[dict, int], np.ndarray], curve: list) -> dict:
     """One tree, level by level, from the sums that ``sums_of`` gives."""
-    tree, allowed = _new_tree(spec.depth), features_of(spec, turn, len(offsets) - 1)
+    tree, allowed, above = _new_tree(spec.depth), features_of(spec, turn, len(offsets) - 1), None
     for level in range(spec.depth):
         if level and not (tree["feat"][(1 << level - 1) - 1:(1 << level) - 1] >= 0).any():
             break
         sums = sums_of(tree, level)
-        choose_splits(tree, sums, level, spec, offsets, allowed)
+        above = all_sums(above, tree, level, sums, offsets)
+        choose_splits(tree, above, level, spec, offsets, allowed)
         if not level and sums[-1]:
             curve.append(float(sums[-2] / sums[-1]))
     return tree
@@ -453,47 +530,59 @@ def boost(blocks: DataFrame, names: Sequence[str], cuts: Sequence[np.ndarray], s
         _with_margins(at, models, since, features).write.mode("overwrite").parquet(f"{path}/blocks-{turn:05d}")
         _keep(spark, path, turn, models)
 
-    while True:
-        ids = [i for i in range(len(specs)) if live(i)]
-        if not ids or stop_after is not None and turn >= stop_after:
-            break
-        rounds = min(stage - turn % stage, max(specs[i].rounds for i in ids) - turn, *([stop_after - turn] if stop_after else [])) if alone else 1
-        if alone:
-            got = _stage_of_one_block(at, [(i, specs[i], models[i].prior, since[i], models[i].curve) for i in ids], offsets, turn, rounds)
-        else:
-            got = _round(at, ids, specs, models, since, offsets, turn)
-        for i, (trees, curve) in got.items():
-            models[i].trees, models[i].curve = models[i].trees + trees, curve
-            since[i] = since[i] + trees
-        turn += rounds
-        if turn % stage == 0 and any(live(i) for i in range(len(specs))):
+    held, kept = None, []                             # the rows of the next round, and of those before that are still in memory
+    try:
+        while True:
+            ids = [i for i in range(len(specs)) if live(i)]
+            if not ids or stop_after is not None and turn >= stop_after:
+                break
+            rounds = min(stage - turn % stage, max(specs[i].rounds for i in ids) - turn, *([stop_after - turn] if stop_after else [])) if alone else 1
+            if alone:
+                got = _stage_of_one_block(at, [(i, specs[i], models[i].prior, since[i], models[i].curve) for i in ids], offsets, turn, rounds)
+            else:
+                kept.append(held or _held(at, specs, models, since, features))
+                got = _round(kept[-1], ids, specs, models, offsets, turn)
+                held = _moved(kept[-1], {i: trees[0] for i, (trees, _) in got.items()})
+                if len(kept) > 1:
+                    kept.pop(0).unpersist()
+            for i, (trees, curve) in got.items():
+                models[i].trees, models[i].curve = models[i].trees + trees, curve
+                since[i] = since[i] + trees
+            turn += rounds
+            if turn % stage == 0 and any(live(i) for i in range(len(specs))):
+                write()
+                at, since, held = spark.read.schema(BLOCKS + ", margins binary").parquet(f"{path}/blocks-{turn:05d}"), [[] for _ in specs], None
+        if stop_after is not None and any(live(i) for i in range(len(specs))):
+            return models
+        if keep_last and (not done or done[0] < turn):           # an equal run finds the whole model
             write()
-            at, since = spark.read.schema(BLOCKS + ", margins binary").parquet(f"{path}/blocks-{turn:05d}"), [[] for _ in specs]
-    if stop_after is not None and any(live(i) for i in range(len(specs))):
-        return models
-    if keep_last and (not done or done[0] < turn):               # an equal run finds the whole model
-        write()
-    watched = [i for i, s in enumerate(specs) if s.valid and len(models[i].curve) == len(models[i].trees)]
-    for i, own in (_level_sums(at, [(i, specs[i], models[i].prior, since[i], None, 0) for i in watched], offsets, turn) if watched else {}).items():
-        if own[-1]:
-            models[i].curve.append(float(own[-2] / own[-1]))          # of the whole model
+        watched = [i for i, s in enumerate(specs) if s.valid and len(models[i].curve) == len(models[i].trees)]
+        if watched:
+            kept.append(held or _held(at, specs, models, since, features))
+            for i, own in _level_sums(kept[-1], [(i, specs[i], None, 0) for i in watched], offsets, turn).items():
+                if own[-1]:
+                    models[i].curve.append(float(own[-2] / own[-1]))          # of the whole model
+    finally:
+        for rows in kept:
+            rows.unpersist()
     for m, s in zip(models, specs):
         if s.patience and m.curve:
             m.trees = m.trees[:int(np.argmin(m.curve))]
     return models
 
 
-def _round(at: DataFrame, ids: list[int], specs: Sequence[Spec], models: list[Boosted], since: list, offsets: np.ndarray, turn: int) -> dict:
+def _round(held: RDD, ids: list[int], specs: Sequence[Spec], models: list[Boosted], offsets: np.ndarray, turn: int) -> dict:
     """{model: ([tree], curve)} of one round: a job per level for all models."""
-    trees, curves = {i: _new_tree(specs[i].depth) for i in ids}, {i: list(models[i].curve) for i in ids}
+    trees, curves, above = {i: _new_tree(specs[i].depth) for i in ids}, {i: list(models[i].curve) for i in ids}, dict.fromkeys(ids)
     for level in range(max(specs[i].depth for i in ids)):
         grow = [i for i in ids if level < specs[i].depth and (not level or (trees[i]["feat"][(1 << level - 1) - 1:(1 << level) - 1] >= 0).any())]
         if not grow:
             break
-        sums = _level_sums(at, [(i, specs[i], models[i].prior, since[i], trees[i], level) for i in grow], offsets, turn)
+        sums = _level_sums(held, [(i, specs[i], trees[i], level) for i in grow], offsets, turn)
         for i in grow:
-            own = sums.get(i, np.zeros(3 * (1 << level) * int(offsets[-1]) + 2))
-            choose_splits(trees[i], own, level, specs[i], offsets, features_of(specs[i], turn, len(offsets) - 1))
+            own = sums.get(i, np.zeros(3 * len(targets(trees[i], level)) * int(offsets[-1]) + 2))
+            above[i] = all_sums(above[i], trees[i], level, own, offsets)
+            choose_splits(trees[i], above[i], level, specs[i], offsets, features_of(specs[i], turn, len(offsets) - 1))
             if not level and own[-1]:
                 curves[i].append(float(own[-2] / own[-1]))
     return {i: ([trees[i]], curves[i]) for i in ids}
