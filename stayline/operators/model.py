@@ -20,7 +20,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -120,6 +120,20 @@ def positive_probability(df: DataFrame, name: str = "churn_prob") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1])
 
 
+def without_summary(model, spark):
+    """The fitted model for scoring: one that keeps a training summary is
+    stored and loaded again without it.  A summary holds the session, which no
+    task can carry once anything was observed (``DataFrame.observe``) in it."""
+    if isinstance(model, PipelineModel):
+        return PipelineModel([without_summary(m, spark) for m in model.stages])
+    if not getattr(model, "hasSummary", False):
+        return model
+    from stayline.session import scratch_path
+    path = scratch_path(spark, "fitted")
+    model.write().session(spark).save(path)
+    return type(model).read().session(spark).load(path)
+
+
 def model_path(spark, blocks: DataFrame, specs: Sequence[B.Spec]) -> str:
     """The folder of the runs over these rows with these parameters."""
     from stayline.session import ensure_checkpoint_dir
@@ -192,7 +206,7 @@ def logistic_baseline(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
     pipe = Pipeline(stages=encoder_stages(numeric, categorical) +
                     [LogisticRegression(labelCol="label", featuresCol="features", regParam=reg, maxIter=100)])
     model = pipe.fit(data.filter("split = 'train'"))
-    scored = positive_probability(model.transform(data)).select(
+    scored = positive_probability(without_summary(model, df.sparkSession).transform(data)).select(
         *[c for c in ("customerID",) if c in df.columns], "split", "label", "churn_prob")
     return model, scored
 
