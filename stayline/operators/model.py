@@ -236,7 +236,8 @@ def model_leaderboard(df: DataFrame, numeric=C.CHURN_NUMERIC, categorical=C.CHUR
     families = families or model_families()
 
     def score(name: str) -> DataFrame:
-        return positive_probability(families[name].fit(data.filter("split = 'train'")).transform(data)).select(F.lit(name).alias("model"), "split", "label", "churn_prob")
+        model = without_summary(families[name].fit(data.filter("split = 'train'")), df.sparkSession)
+        return positive_probability(model.transform(data)).select(F.lit(name).alias("model"), "split", "label", "churn_prob")
 
     with ThreadPoolExecutor(len(families)) as pool:
         scored = list(pool.map(score, families))

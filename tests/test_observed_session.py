@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -28,3 +29,11 @@ def test_logistic_baseline_scores_in_an_observed_session(rows):
     assert model.stages[-1].hasSummary                                      # the caller's model is whole
     train = got[got["split"] == "train"]
     assert abs(train["churn_prob"].sum() - train["label"].sum()) < 1e-3     # the score equation of the intercept
+
+
+def test_leaderboard_scores_in_an_observed_session(rows):
+    families = {"lr": LogisticRegression(labelCol="label", featuresCol="features", maxIter=5),
+                "rf": RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=2, maxDepth=2, seed=1)}
+    got = M.model_leaderboard(rows, **COLS, families=families).collect()
+    assert {r["model"] for r in got} == {"lr", "rf"}
+    assert all(r["train_customers"] + r["test_customers"] == 120 for r in got)
