@@ -379,7 +379,7 @@ def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.C
         "lr": LogisticRegression(labelCol="label", featuresCol="features", maxIter=50)}
 
     def scores(est, train: DataFrame, on: DataFrame, name: str) -> DataFrame:
-        return positive_probability(est.fit(train).transform(on), f"p_{name}").select("customerID", "label", f"p_{name}")
+        return positive_probability(without_summary(est.fit(train), df.sparkSession).transform(on), f"p_{name}").select("customerID", "label", f"p_{name}")
 
     jobs = [(name, f) for name in bases for f in [*range(k), None]]      # all fits are independent
 
@@ -398,7 +398,7 @@ def stacking(df: DataFrame, k: int = 5, numeric=C.CHURN_NUMERIC, categorical=C.C
     both = reduce(DataFrame.unionByName, [d.withColumn("split", F.lit(s)) for s, d in sides.items()])
     both = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_features").transform(both)
     meta = LogisticRegression(labelCol="label", featuresCol="meta_features", regParam=reg).fit(both.where("split = 'oof'"))
-    out = positive_probability(meta.transform(both), "meta_prob").drop("meta_features", "rawPrediction", "probability", "prediction")
+    out = positive_probability(without_summary(meta, df.sparkSession).transform(both), "meta_prob").drop("meta_features", "rawPrediction", "probability", "prediction")
     return meta, out
 
 

@@ -37,3 +37,12 @@ def test_leaderboard_scores_in_an_observed_session(rows):
     got = M.model_leaderboard(rows, **COLS, families=families).collect()
     assert {r["model"] for r in got} == {"lr", "rf"}
     assert all(r["train_customers"] + r["test_customers"] == 120 for r in got)
+
+
+def test_stacking_scores_in_an_observed_session(rows):
+    bases = {"rf": RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=2, maxDepth=2, seed=1),
+             "lr": LogisticRegression(labelCol="label", featuresCol="features", maxIter=5)}
+    meta, scored = M.stacking(rows, k=2, **COLS, bases=bases)
+    got = scored.toPandas()
+    assert sorted(got["customerID"]) == list(range(120)) and set(got["split"]) == {"oof", "test"}
+    assert got["meta_prob"].between(0, 1).all() and meta.hasSummary
