@@ -9,24 +9,26 @@ A model is a plain dict::
   ``sum((z - c)^2) + gamma * sum(cat != mode)`` as native expressions over
   literal prototypes, then the nearest id (ties -> lowest id), the cost and
   the confidence ``1 - d1/d2``.  No shuffle.
-* **fit** (G1) is Lloyd's algorithm as a short loop of Spark jobs: one job
-  per iteration assigns every row for all starts at once (NumPy over Arrow
-  batches) and adds up, per start and cluster, the numeric sums and the level
-  counts - the driver only ever sees starts x k x (features + levels)
-  numbers.  Initialisation follows Cao et al. (2009) density/distance selection
-  on the categorical part: the level counts (one aggregation) and k
-  passes that each pick the row with the largest score (``max_by``, a
-  partial aggregate).
+* **fit** (G1) is Lloyd's algorithm as a short loop of Spark jobs over blocks
+  of byte arrays, written once: one job per iteration assigns every row for all
+  starts at once (NumPy; mismatches and sums are matrix products) and adds up,
+  per start and cluster, the numeric sums and the level counts - the driver
+  only ever sees starts x k x (features + levels) numbers.  Initialisation
+  follows Cao et al. (2009) density/distance selection on the categorical part:
+  the level counts (one aggregation) and k passes that each pick the row with
+  the largest score (one row per task, then ``max``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
-from functools import reduce
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,6 +218,10 @@ def segment_mix(assigned: DataFrame, features: Sequence[str], k: int = C.N_CLUST
 # ---------------------------------------------------------------------------
 
 MAX_LEVELS = 1000
+CHUNK = 512            # rows whose distances to all prototypes are held at a time
+DIRECT = 64            # tasks whose sums go straight to the driver; of more they are added up by prototype first
+PARTIAL = "proto int, n long, cost double, sums binary, far double, far_z array<double>, far_c array<string>"
+BLOCKS = "n int, z binary, c binary, key array<string>"
 
 
 def _prepare(df: DataFrame, numeric, categorical, scaler) -> DataFrame:
@@ -239,6 +245,38 @@ def level_counts(prep: DataFrame, n_cat: int) -> list[dict]:
     return out
 
 
+def _blocks(prep: DataFrame, n_num: int, levels: list[dict]) -> DataFrame:
+    """Prepared rows as blocks (an Arrow batch each): numerics and level numbers
+    as byte arrays, keys as text.  Written once, spread over the cores."""
+    from stayline.session import cut_lineage
+    names = [pa.array(sorted(lv), pa.string()) for lv in levels]
+    key = F.col(SEG_KEY).cast("string") if SEG_KEY in prep.columns else F.lit(None).cast("string")
+    schema = pa.schema([("n", pa.int32()), ("z", pa.binary()), ("c", pa.binary()), ("key", pa.list_(pa.string()))])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = np.array([b.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(n_num)], float).reshape(n_num, -1)
+            c = np.array([pc.index_in(b.column(f"c{j}"), value_set=v).to_numpy(zero_copy_only=False) for j, v in enumerate(names)], np.uint16)
+            keys = b.column("key").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), pa.array([z.T.tobytes()]), pa.array([c.T.tobytes()]),
+                                              pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], schema=schema)
+
+    rows = prep.select(*[f"z{i}" for i in range(n_num)], *[f"c{j}" for j in range(len(levels))], key.alias("key"))
+    parts = min(math.ceil(prep.count() / 4096), 4 * prep.sparkSession.sparkContext.defaultParallelism)
+    return cut_lineage(rows.repartition(max(1, parts)).mapInArrow(run, BLOCKS))
+
+
+def _arrays(batches, n_num: int, n_cat: int):
+    """The blocks of a task as (numerics, level numbers, keys)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            n = b.column("n")[i].as_py()
+            yield (np.frombuffer(b.column("z")[i].as_py(), float).reshape(n, n_num), np.frombuffer(b.column("c")[i].as_py(), np.uint16).reshape(n, n_cat),
+                   b.column("key")[i].values if "key" in b.schema.names else None)
+
+
 def cao_init(prep: DataFrame, k: int, n_num: int, n_cat: int, seed: int, levels: list[dict] | None = None) -> list:
     """Cao density/distance initialisation for the categorical modes.
 
@@ -248,60 +286,113 @@ def cao_init(prep: DataFrame, k: int, n_num: int, n_cat: int, seed: int, levels:
     chosen rows; ties go to the largest md5 of "seed:key", then key.
     """
     levels = levels or level_counts(prep, n_cat)
-    count = F.lit(0)
-    for j in range(n_cat):
-        known = F.create_map(*[F.lit(x) for lv, c in sorted(levels[j].items()) for x in (lv, c)])
-        count = count + known[F.col(f"c{j}")]
-    dens = prep.withColumn("__count", count)
-    tie = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(SEG_KEY).cast("string"))), F.col(SEG_KEY)] if SEG_KEY in prep.columns else []
-    payload = F.struct(*[F.col(f"z{i}") for i in range(n_num)], *[F.col(f"c{j}") for j in range(n_cat)])
+    blocks = prep if "key" in prep.columns else _blocks(prep, n_num, levels)
+    names = [sorted(lv) for lv in levels]
+    counts = [np.array([lv[x] for x in ns], np.int64) for lv, ns in zip(levels, names)]
     seeds: list = []
+
+    def run(batches):
+        best = None
+        for z, c, keys in _arrays(batches, n_num, n_cat):
+            density = sum(counts[j][c[:, j]] for j in range(n_cat))
+            # mismatches * level counts: an integer in the order of distance * density
+            score = density * np.min([(c != s[1]).sum(1) for s in seeds], 0) if seeds else density
+            top = int(score.max())
+            if best and top < best[0]:
+                continue
+            for i in np.flatnonzero(score == top).tolist():
+                key = keys[i].as_py()
+                row = (top, hashlib.md5(f"{seed}:{key}".encode()).hexdigest() if key is not None else "", z[i].tobytes(), c[i].tobytes())
+                best = row if best is None else max(best, row)
+        if best:
+            yield pa.RecordBatch.from_pylist([dict(zip(("score", "tie", "z", "c"), best))])
+
     while len(seeds) < k:
-        # mismatches * level counts: an integer in the order of distance * density
-        score = F.col("__count")
-        if seeds:
-            dists = [reduce(lambda a, b: a + b, [(F.col(f"c{j}") != F.lit(s[n_num + j])).cast("long") for j in range(n_cat)]) * F.col("__count")
-                     for s in seeds]
-            score = F.least(*dists) if len(dists) > 1 else dists[0]
-        seeds.append(dens.agg(F.max_by(payload, F.struct(score, *tie)).alias("p")).first()["p"])
-    return [([float(s[i]) for i in range(n_num)], [s[n_num + j] for j in range(n_cat)]) for s in seeds]
+        p = blocks.mapInArrow(run, "score long, tie string, z binary, c binary").agg(F.max(F.struct("score", "tie", "z", "c")).alias("p")).first()["p"]
+        seeds.append((np.frombuffer(p["z"], float), np.frombuffer(p["c"], np.uint16)))
+    return [(z.tolist(), [names[j][x] for j, x in enumerate(c)]) for z, c in seeds]
 
 
-def _partial_sums(prep: DataFrame, models: list, gamma: float, n_num: int, levels: list[dict]) -> list:
+def _partial_sums(prep: DataFrame, models: list, gamma: float, n_num: int, levels: list[dict], tasks: int | None = None) -> list:
     """Assign every row to its nearest prototype in each of ``models`` and
     return, per model and cluster, rows, cost, sums, level counts and the
-    farthest row.  One pass over the data whatever the number of models; a
-    batch contributes one row per (model, cluster)."""
+    farthest row.  One pass over the blocks whatever the number of models; a
+    task contributes one row per (model, cluster)."""
     n_cat = len(levels)
     names = [sorted(lv) for lv in levels]
-    index = [{v: i for i, v in enumerate(ns)} for ns in names]
     start = np.cumsum([0] + [len(ns) for ns in names])
-    protos = [(np.array([p[0] for p in m], float), np.array([[index[j].get(v, -1) for j, v in enumerate(p[1])] for p in m])) for m in models]
-    sums = [f"s{i}" for i in range(n_num)] + [f"l{i}" for i in range(int(start[-1]))]
-    schema = "model int, seg int, n long, cost double, " + ", ".join(f"{c} double" for c in sums) + ", far double, far_z array<double>, far_c array<string>"
+    at = {(j, v): start[j] + i for j, ns in enumerate(names) for i, v in enumerate(ns)}
+    first = np.cumsum([0] + [len(m) for m in models])
+    protos = [p for m in models for p in m]
+    num = np.array([p[0] for p in protos], float).reshape(len(protos), n_num)
+    modes = np.zeros((len(protos), int(start[-1])), np.float32)
+    for k, (_, vs) in enumerate(protos):
+        for j, v in enumerate(vs):
+            if (j, v) in at:
+                modes[k, at[j, v]] = 1
 
     def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            z = b[[f"z{i}" for i in range(n_num)]].to_numpy(float)
-            c = np.column_stack([b[f"c{j}"].map(index[j]).to_numpy() for j in range(n_cat)]).astype(int)
-            out = []
-            for m, (num, modes) in enumerate(protos):
-                d = np.stack([((z - num[k]) ** 2).sum(1) + gamma * (c != modes[k]).sum(1) for k in range(len(num))], 1)
-                seg, cost = d.argmin(1), d.min(1)
-                for k in np.unique(seg):
-                    at = np.flatnonzero(seg == k)
-                    far = at[cost[at].argmax()]
-                    counts = np.concatenate([np.bincount(c[at, j], minlength=len(names[j])) for j in range(n_cat)])
-                    out.append((m, int(k), len(at), float(cost[at].sum()), *z[at].sum(0).tolist(), *counts.astype(float).tolist(),
-                                float(cost[far]), z[far].tolist(), [names[j][c[far, j]] for j in range(n_cat)]))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    part = prep.mapInPandas(run, schema)
-    far = F.max_by(F.struct("far", "far_z", "far_c"), F.struct("far", "far_z"))
-    return part.groupBy("model", "seg").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(x).alias(x) for x in sums],
-                                            far.alias("far")).collect()
+        n, cost = np.zeros(len(protos), np.int64), np.zeros(len(protos))
+        total, level = np.zeros((len(protos), n_num)), np.zeros((len(protos), int(start[-1])))
+        far, far_row = np.full(len(protos), -1.0), [None] * len(protos)
+        for zs, cs, _ in _arrays(batches, n_num, n_cat):
+            for lo in range(0, len(zs), CHUNK):
+                z, c = zs[lo:lo + CHUNK], cs[lo:lo + CHUNK]
+                hot = np.zeros((len(z), int(start[-1])), np.float32)
+                hot[np.arange(len(z))[:, None], c + start[:-1]] = 1
+                d, x, columns = np.zeros((len(protos), len(z))), np.empty((len(protos), len(z))), np.ascontiguousarray(z.T)
+                for i in range(n_num):
+                    np.subtract(columns[i], num[:, i, None], out=x)
+                    x *= x
+                    d += x
+                d += gamma * (n_cat - modes @ hot.T).astype(float)
+                near = np.zeros(d.shape, bool)                       # the first of the nearest, per model
+                for a, b in zip(first, first[1:]):
+                    least, free = d[a:b].min(0), np.ones(len(z), bool)
+                    for k in range(a, b):
+                        near[k] = ~(d[k] > least) & free              # a NaN distance counts as least
+                        free &= ~near[k]
+                n += near.sum(1)
+                level += near.astype(np.float32) @ hot               # whole numbers up to CHUNK: exact
+                total += near.astype(float) @ z
+                cost += np.where(near, d, 0.0).sum(1)
+                own = np.where(near, d, -1.0)
+                most = own.max(1)
+                for k in np.flatnonzero(~(most < far) & ~(most < 0)).tolist():
+                    i = int(own[k].argmax())
+                    if far_row[k] is None or most[k] > far[k] or z[i].tolist() > far_row[k][0]:
+                        far[k], far_row[k] = most[k], (z[i].tolist(), [names[j][x] for j, x in enumerate(c[i])])
+        used = np.flatnonzero(n)
+        both = np.concatenate([total, level], 1)
+        yield _partial([(int(k), int(n[k]), cost[k], both[k].tobytes(), far[k], *far_row[k]) for k in used])
+
+    part = prep.select("n", "z", "c").mapInArrow(run, PARTIAL)
+    if (tasks or prep.rdd.getNumPartitions()) > DIRECT:
+        part = part.repartition(DIRECT, "proto").mapInArrow(lambda batches: [_partial(_added(r for b in batches for r in map(tuple, map(dict.values, b.to_pylist()))))], PARTIAL)
+    out = []
+    for k, n, cost, both, *far in _added(part.collect()):
+        m = int(np.searchsorted(first, k, "right")) - 1
+        both = np.frombuffer(both)
+        out.append({"model": m, "seg": k - int(first[m]), "n": n, "cost": cost, "far": dict(zip(("far", "far_z", "far_c"), far)),
+                    **{f"s{i}": x for i, x in enumerate(both[:n_num].tolist())}, **{f"l{i}": x for i, x in enumerate(both[n_num:].tolist())}})
+    return out
+
+
+def _partial(rows: list) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in PARTIAL.split(", ")])
+
+
+def _added(rows) -> list[tuple]:
+    """Partial sums of several tasks added up by prototype, with the farthest row."""
+    out: dict = {}
+    for k, n, cost, both, *far in rows:
+        both = np.frombuffer(both)
+        if k in out:
+            o = out[k]
+            n, cost, both, far = n + o[0], cost + o[1], both + o[2], max(far, o[3], key=lambda f: (f[0], f[1]))
+        out[k] = (n, cost, both, far)
+    return [(k, n, cost, both.tobytes(), *far) for k, (n, cost, both, far) in sorted(out.items())]
 
 
 def _updated(rows: list, protos: list, n_num: int, levels: list[dict]) -> list:
@@ -329,11 +420,12 @@ def fit_starts(prep: DataFrame, starts: list, gamma: float, n_num: int, levels:
     iteration, until every start has converged (or ``max_iter``).  Per start:
     prototypes, their cost, and the cost of every iteration."""
     runs = [{"prototypes": p, "history": [], "done": False} for p in starts]
+    tasks = prep.rdd.getNumPartitions()
     for _ in range(max_iter + 1):
         live = [r for r in runs if not r["done"]]
         if not live:
             break
-        rows = _partial_sums(prep, [r["prototypes"] for r in live], gamma, n_num, levels)
+        rows = _partial_sums(prep, [r["prototypes"] for r in live], gamma, n_num, levels, tasks)
         for m, r in enumerate(live):
             own = [x for x in rows if x["model"] == m]
             r["cost"] = sum(x["cost"] for x in sorted(own, key=lambda x: x["seg"]))     # of the prototypes as they are now
@@ -359,13 +451,16 @@ def seeded_starts(first: list, n_init: int, seed: int) -> list:
 def _fit_input(df: DataFrame, numeric, categorical, scaler):
     from stayline.operators.features import fit_scaler
     from stayline.session import cut_lineage
+    keys = [SEG_KEY] if SEG_KEY in df.columns else []
+    df = cut_lineage(df.select(*keys, *[c for c in dict.fromkeys([*numeric, *categorical]) if c not in keys]))
     missing = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in numeric]).first().asDict()
     bad = sorted(c for c, n in missing.items() if n)
     if bad:
         raise ValueError(f"null values in {bad}: drop or fill these rows before fitting")
     scaler = scaler or fit_scaler(df, numeric)
-    prep = cut_lineage(_prepare(df, numeric, categorical, scaler))
-    return scaler, prep, level_counts(prep, len(categorical))
+    prep = _prepare(df, numeric, categorical, scaler)
+    levels = level_counts(prep, len(categorical))
+    return scaler, _blocks(prep, len(numeric), levels), levels
 
 
 def kprototypes_fit(df: DataFrame, k: int = C.N_CLUSTERS, numeric=C.SEG_NUMERIC,
@@ -374,7 +469,7 @@ def kprototypes_fit(df: DataFrame, k: int = C.N_CLUSTERS, numeric=C.SEG_NUMERIC,
     """G1: fit k-prototypes to convergence; the best of ``n_init`` distinct
     starts.  ``cost`` belongs to the returned prototypes and ``history`` is its
     course (it never rises, but where an empty cluster was re-seeded).  A null
-    numeric is an error.  The prepared input is checkpointed once."""
+    numeric is an error.  The input and its blocks are written once."""
     numeric, categorical = list(numeric), list(categorical)
     scaler, prep, levels = _fit_input(df, numeric, categorical, scaler)
     gamma = 0.5 if gamma is None else gamma      # half the mean std of the numerics, which is 1 after scaling
