@@ -100,7 +100,11 @@ def score_counts(df: DataFrame, y: str, p: str, groups: Sequence[str] = ()) -> D
 def _desc_cum(df: DataFrame, y: str, p: str, groups: Sequence[str]) -> DataFrame:
     """Per distinct score: pos/neg at the score and cumulative counts of
     rows with score >= it (descending running sums)."""
-    sc = score_counts(df, y, p, groups).withColumn("__neg_score", -F.col("score"))
+    return _cum_of_counts(score_counts(df, y, p, groups), groups)
+
+
+def _cum_of_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    sc = counts.withColumn("__neg_score", -F.col("score"))
     return prefix_sums(sc, groups, ["__neg_score"], ["pos", "neg"]).drop("__neg_score")
 
 
@@ -111,14 +115,20 @@ def roc_auc_grouped(df: DataFrame, groups: Sequence[str], y: str = "label", p: s
     neg_below(s) = N - neg_cum(s) the numerator is an exact integer
     (times 2), so the result is one division.
     """
-    cum = _desc_cum(df, y, p, groups)
-    tot = cum.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return roc_auc_of_counts(score_counts(df, y, p, groups), groups)
+
+
+def roc_auc_of_counts(counts: DataFrame, groups: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc_grouped`` of rows that are counted by (groups..., score); the
+    columns ``also`` are added up per group."""
+    cum = _cum_of_counts(counts, groups)
+    tot = cum.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), *[F.sum(c).alias(f"__all_{c}") for c in also])
     j = cum.join(tot, list(groups)) if groups else cum.crossJoin(tot)
     num2 = F.col("pos") * (F.lit(2) * (F.col("N") - F.col("neg_cum")) + F.col("neg"))
-    agg = j.groupBy(*groups).agg(F.sum(num2).alias("__num2"), F.max("P").alias("P"), F.max("N").alias("N"))
+    agg = j.groupBy(*groups).agg(F.sum(num2).alias("__num2"), F.max("P").alias("P"), F.max("N").alias("N"), *[F.max(f"__all_{c}").alias(c) for c in also])
     return agg.select(*groups, F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(None).cast("double"))
                       .otherwise(F.col("__num2").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")))
-                      .alias("roc_auc"))
+                      .alias("roc_auc"), *also)
 
 
 def roc_auc(df: DataFrame, y: str = "label", p: str = "churn_prob") -> DataFrame:

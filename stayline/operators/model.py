@@ -262,7 +262,7 @@ def random_search_cv(df: DataFrame, n_iter: int = 60, k: int = 5, seed: int = C.
     the same blocks, in batches side by side.  Returns one row per draw with its
     parameters, mean and deviation of the fold AUCs and held-out rows, best first.
     """
-    from stayline.operators.evaluate import roc_auc_grouped
+    from stayline.operators.evaluate import roc_auc_of_counts
     from stayline.operators.features import stratified_kfold
     space = space or SPACE
     rng = random.Random(seed)
@@ -272,9 +272,9 @@ def random_search_cv(df: DataFrame, n_iter: int = 60, k: int = 5, seed: int = C.
     pairs = [(i, f) for i in range(n_iter) for f in range(k)]
     specs = [B.Spec(train=tuple(x for x in range(k) if x != f), seed=seed, **draws[i]) for i, f in pairs]
     models = B.boost_batches(blocks, names, cuts, specs, parallelism=parallelism)
-    scored = B.block_scores(blocks, models, [(f,) for _, f in pairs])
-    by_model = roc_auc_grouped(scored, ["model"], "label", "churn_prob").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("held_out")), "model")
-    table = df.sparkSession.createDataFrame([(m, i, *[float(draws[i][p]) for p in space]) for m, (i, _) in enumerate(pairs)], "model int, draw int, " + ", ".join(f"{p} double" for p in space))
+    counts, place = B.block_counts(blocks, models, [(f,) for _, f in pairs])
+    by_model = roc_auc_of_counts(counts, ["model"], ["rows"]).withColumnRenamed("rows", "held_out")
+    table = df.sparkSession.createDataFrame([(m, i, *[float(draws[i][p]) for p in space]) for m, (i, _) in zip(place, pairs)], "model int, draw int, " + ", ".join(f"{p} double" for p in space))
     return (by_model.join(F.broadcast(table), "model").groupBy("draw", *space)
             .agg(F.avg("roc_auc").alias("mean_auc"), F.coalesce(F.stddev_samp("roc_auc"), F.lit(0.0)).alias("std_auc"), F.count(F.lit(1)).alias("folds"), F.sum("held_out").alias("held_out"))
             .select("draw", "mean_auc", "std_auc", "folds", "held_out", *space).orderBy(F.desc("mean_auc"), "draw"))
@@ -286,7 +286,7 @@ def refine_search(df: DataFrame, phase1: DataFrame, n_iter: int = 30, seed: int
     (``random_search_cv``'s table), scored on the validation split next to the
     winner itself (draw 0); ``delta`` is the gain over the winner's score.  All
     draws are fitted side by side over the same blocks."""
-    from stayline.operators.evaluate import roc_auc_grouped
+    from stayline.operators.evaluate import roc_auc_of_counts
     from stayline.operators.features import stratified_split
     best = phase1.orderBy(F.desc("mean_auc"), "draw").first().asDict()
     best = {"depth": int(best.get("depth", 4)), "rate": float(best.get("rate", 0.1)), "rounds": int(best.get("rounds", 20))}
@@ -300,10 +300,10 @@ def refine_search(df: DataFrame, phase1: DataFrame, n_iter: int = 30, seed: int
     _, names, cuts, blocks = boosting_input(data, "split = 'train'", "part", numeric, categorical)
     specs = [B.Spec(train=(0,), valid=(1,), seed=seed, **d) for d in draws]
     models = B.boost_batches(blocks, names, cuts, specs, batch=max(1, -(-len(specs) // parallelism)), parallelism=parallelism)
-    scored = B.block_scores(blocks, models, [(1,)] * len(models))
-    auc = roc_auc_grouped(scored, ["model"], "label", "churn_prob").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("held_out")), "model")
-    table = df.sparkSession.createDataFrame([(i, d["depth"], d["rate"], d["rounds"]) for i, d in enumerate(draws)], "draw int, depth int, rate double, rounds int")
-    out = auc.join(F.broadcast(table), auc["model"] == table["draw"])
+    counts, place = B.block_counts(blocks, models, [(1,)] * len(models))
+    auc = roc_auc_of_counts(counts, ["model"], ["rows"]).withColumnRenamed("rows", "held_out")
+    table = df.sparkSession.createDataFrame([(place[i], i, d["depth"], d["rate"], d["rounds"]) for i, d in enumerate(draws)], "model int, draw int, depth int, rate double, rounds int")
+    out = auc.join(F.broadcast(table), "model")
     first = F.max(F.when(F.col("draw") == 0, F.col("roc_auc"))).over(Window.partitionBy())        # one row per draw
     return out.withColumn("delta", F.col("roc_auc") - first).select("draw", "roc_auc", "delta", "held_out", "depth", "rate", "rounds").orderBy(F.desc("roc_auc"), "draw")
 

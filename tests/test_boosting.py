@@ -157,3 +157,38 @@ def test_one_class_and_missing_numbers(spark):
     m = B.boost(B.training_blocks(two, "part", cuts=cuts), ["a"], cuts, [B.Spec(train=(0,), rounds=5, rate=0.5)])[0]
     low, high = m.margins(np.array([[5.0], [np.nan]]))
     assert high > low
+
+
+def test_specs_that_differ_in_rounds_are_grown_once(shared, monkeypatch):
+    blocks, cuts = shared
+    specs = [B.Spec(train=(0, 1, 2), valid=(3,), rounds=n, depth=2, rate=rate, rows=0.8) for rate in (0.1, 0.3) for n in (4, 2, 4, 3)] + SPECS[2:]
+    want = as_json([B.boost(blocks, COLS, cuts, [s])[0] for s in specs])
+    grown, real = [], B.boost
+    monkeypatch.setattr(B, "boost", lambda *a, **k: (grown.extend(a[3]), real(*a, **k))[1])
+    assert as_json(B.boost_batches(blocks, COLS, cuts, specs, batch=2)) == want
+    assert sorted((s.rate, s.rounds) for s in grown) == [(0.1, 4), (0.3, 4), (1.5, 9)]
+
+
+def test_rounds_leave_the_rows_as_they_are(shared, monkeypatch):
+    """Margins are neither kept nor moved between the stages."""
+    blocks, cuts = shared
+    moved, real = [], B._moved
+    monkeypatch.setattr(B, "_moved", lambda *a: (moved.append(1), real(*a))[1])
+    whole = as_json(B.boost(blocks, COLS, cuts, SPECS[:2], stage=20))
+    assert not moved
+    assert as_json(B.boost(blocks, COLS, cuts, SPECS[:2], stage=3)) == whole and len(moved) == 2
+
+
+def test_auc_from_counted_scores(shared):
+    from stayline.operators.evaluate import roc_auc_grouped, roc_auc_of_counts
+    blocks, cuts = shared
+    long, = B.boost(blocks, COLS, cuts, [B.Spec(train=(0, 1, 2, 3), rounds=5, depth=3)])
+    short = [B.replace(long, trees=long.trees[:n]) for n in (0, 2, 5)]
+    models, parts = [long, *short, long], [(4,)] * 4 + [(0, 4)]
+    counts, place = B.block_counts(blocks, models, parts)
+    assert place[0] == place[3] and len(set(place)) == 4
+    got = {r.model: (r.roc_auc, r["rows"]) for r in roc_auc_of_counts(counts, ["model"], ["rows"]).collect()}
+    rows = B.block_scores(blocks, models, parts).persist()
+    n = {r.model: r["count"] for r in rows.groupBy("model").count().collect()}
+    want = {r.model: r.roc_auc for r in roc_auc_grouped(rows, ["model"], "label", "churn_prob").collect()}
+    assert [got[p] for p in place] == [(want[i], n[i]) for i in range(5)] and want[1] == 0.5
