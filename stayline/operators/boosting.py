@@ -769,13 +769,16 @@ def chains(specs: Sequence[Spec]) -> tuple[list[Spec], list[int]]:
 
 
 def boost_batches(blocks: DataFrame, names: Sequence[str], cuts: Sequence[np.ndarray], specs: Sequence[Spec], batch: int = 40, parallelism: int = 8) -> list[Boosted]:
-    """``boost`` for many specs: batches of models, ``parallelism`` batches at a time.
-    All batches read the same held rows, and trees that several specs share
-    are grown once."""
+    """``boost`` for many specs: batches of at most ``batch`` models, ``parallelism``
+    batches at a time.  All batches read the same held rows, and trees that
+    several specs share are grown once.  A table of one block has a task per
+    batch; where a batch's own tasks fill the cores, two batches do."""
     own, place = chains(specs)
     order = sorted(range(len(own)), key=lambda i: (own[i].rounds, own[i].depth))              # models of a batch end together
-    groups = [order[k:k + batch] for k in range(0, len(order), batch)]
     held = None if blocks.count() == 1 else _held(blocks, own, len(names), bin_offsets(cuts))
+    many = parallelism if held is None else min(parallelism, max(2, -(-2 * blocks.sparkSession.sparkContext.defaultParallelism // held.getNumPartitions())))
+    batch = min(batch, max(1, -(-len(own) // many)))
+    groups = [order[k:k + batch] for k in range(0, len(order), batch)]
     try:
         with ThreadPoolExecutor(parallelism) as pool:
             got = list(pool.map(lambda ids: boost(blocks, names, cuts, [own[i] for i in ids], rows=held), groups))

@@ -192,3 +192,14 @@ def test_auc_from_counted_scores(shared):
     n = {r.model: r["count"] for r in rows.groupBy("model").count().collect()}
     want = {r.model: r.roc_auc for r in roc_auc_grouped(rows, ["model"], "label", "churn_prob").collect()}
     assert [got[p] for p in place] == [(want[i], n[i]) for i in range(5)] and want[1] == 0.5
+
+
+def test_batches_are_as_many_as_fill_the_cores(spark, shared, alone, monkeypatch):
+    specs = [B.Spec(train=(0, 1), rounds=1, depth=1, rate=r / 10) for r in range(1, 9)]
+    sizes, real = [], B.boost
+    monkeypatch.setattr(B, "boost", lambda *a, **k: (sizes.append(len(a[3])), real(*a, **k))[1])
+    B.boost_batches(alone, COLS, shared[1], specs, parallelism=4)
+    assert sizes == [2] * 4                                             # a task each
+    del sizes[:]
+    B.boost_batches(shared[0].repartition(8), COLS, shared[1], specs, parallelism=8)
+    assert sizes == [4] * 2
